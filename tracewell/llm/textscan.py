@@ -117,6 +117,6 @@ def shingles(word: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return mix(h[i]), i
 
 
-def columns(batch: pa.RecordBatch, **values: object) -> pa.RecordBatch:
+def columns(**values: object) -> pa.RecordBatch:
     """A batch of the named columns."""
     return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in values.values()], names=list(values))
