@@ -1,6 +1,7 @@
 """The queries of this subpackage by name, and their SQL."""
 
 from .decontam import op1_benchmark_decontamination
+from .jaccard import op2_ngram_jaccard_join
 from .langid import op9_language_id
 from .packing import op6_best_fit_packing
 from .preferences import op8_preference_formatting
@@ -9,5 +10,5 @@ from .secrets import op4_secret_scans
 from .sentences import op7_substring_dedup
 from .sharding import op10_sharding
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op4_secret_scans, op5_quality_rules, op6_best_fit_packing, op7_substring_dedup, op8_preference_formatting, op9_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op4_secret_scans, op5_quality_rules, op6_best_fit_packing, op7_substring_dedup, op8_preference_formatting, op9_language_id, op10_sharding)}
 ORACLES = {"op5_quality_rules": OP5_SQL}
