@@ -1,18 +1,51 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""Corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the
+columns of documents. Nulls, repeated rows, empty texts and empty tables pass as the operators define; a row without
+doc_id is told from others by its text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewell.llm import quality
+from tracewell.llm import quality, secrets
+from tracewell.llm.decontam import decontaminate
+from tracewell.llm.jaccard import linked
 from tracewell.llm.packing import pack, tokenised
-from tracewell.llm.scratch import written
+from tracewell.llm.scratch import with_keys, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy rejects go."""
-    kept = quality.kept(quality.failures(quality.measure("text")))
-    return docs.where(kept)
+    return docs.where(quality.kept(quality.failures(quality.measure("text"))))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays (one row, if its row is repeated)."""
+    own = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text") % (1 << 62)) - 1)
+    groups = linked(docs.select(own.alias("doc_id"), "text"))
+    first = written(groups.where("n_shingles = 0 or doc_id = component_id").groupBy(F.col("doc_id").alias("_id"), "text_key").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n")))
+    n = first.count()
+    kept = with_keys(docs.withColumn("_id", own), first.select("_id", F.col("text_key").alias("_key")), "_id", rows=n)
+    kept = kept.where(F.xxhash64("text") == F.col("_key"))
+    if not first.where("rows > 1 and n > 0").isEmpty():
+        kept = kept.where("text is null").unionByName(kept.where("text is not null").dropDuplicates(["_id", "text"]))
+    return kept.select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, whole or edited, go."""
+    row = F.xxhash64("doc_id", "text")
+    hits = decontaminate(docs.select(row.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    ids = written(hits.select(F.col("doc_id").alias("_row")).distinct())
+    return with_keys(docs.withColumn("_row", row), ids, "_row", "left_anti").select(*docs.columns)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is replaced by a mark; n_chars follows."""
+    return secrets.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +53,15 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return pack(written(tokenised(docs)))
 
 
-STAGES = [("quality_rules", quality_rules), ("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("jaccard_join", jaccard_join),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("best_fit_packing", best_fit_packing),
+]
 
-#: Tokenising and packing are beyond SQL; tests hold the stages against brute-force versions.
+#: Components, alignment, tokenising and packing are beyond SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 

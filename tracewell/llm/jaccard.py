@@ -61,7 +61,7 @@ def _sketches(batches):
             if len(x):
                 out[:, k] = len(x), np.sum(mix(x ^ salt[0])), np.bitwise_xor.reduce(mix(x ^ salt[1])), mix(np.array([np.sum(x[:3] * odd(3, 9)[: len(x[:3])])]))[0]
         names = ("n", "ka", "kb", "sig")
-        yield columns(doc_id=batch.column("doc_id"), **{c: pa.array(v.view(np.int64)) for c, v in zip(names, out, strict=True)})
+        yield columns(doc_id=batch.column("doc_id"), text_key=batch.column("text_key"), **{c: pa.array(v.view(np.int64)) for c, v in zip(names, out, strict=True)})
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -98,7 +98,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, n: int = N, percent: int = PERCENT, slack: int = SLACK, held: int = HELD):
         assert n == N
-        self.docs = docs.select(F.col("doc_id").cast("long"), "text")
+        self.docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
         self.percent, self.slack, self.held = percent, slack, held
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -166,8 +166,8 @@ class Join:
         return mixed.union(self.across(top, top, True).select("doc", "doc_y")).distinct()
 
     def run(self) -> DataFrame:
-        """(doc_id, n_shingles, set_id, component_id) of each row."""
-        meta = written(self.docs.mapInArrow(_sketches, "doc_id long, n long, ka long, kb long, sig long"))
+        """(doc_id, n_shingles, set_id, component_id, text_key) of each row; text_key is a hash of its text."""
+        meta = written(self.docs.mapInArrow(_sketches, "doc_id long, text_key long, n long, ka long, kb long, sig long"))
         nodes = written(meta.where("n > 0 and doc_id is not null").groupBy("ka", "kb").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("sig").alias("sig")))
         hubs = nodes.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1")
         stars = nodes.join(hubs, "sig").where((F.col("node") != F.col("hub.node")) & _near_size("n", "hub.n", self.percent))
@@ -181,7 +181,7 @@ class Join:
         alone = (F.col("n") == 0) | F.col("doc_id").isNull()
         return out.select(
             "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"),
-            F.when(alone, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"),
+            F.when(alone, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"), "text_key",
         )
 
 

@@ -9,6 +9,7 @@ from .quality import OP5_SQL, op5_quality_rules
 from .secrets import op4_secret_scans
 from .sentences import op7_substring_dedup
 from .sharding import op10_sharding
+from .suffixes import op3_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op4_secret_scans, op5_quality_rules, op6_best_fit_packing, op7_substring_dedup, op8_preference_formatting, op9_language_id, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_suffix_dedup, op4_secret_scans, op5_quality_rules, op6_best_fit_packing, op7_substring_dedup, op8_preference_formatting, op9_language_id, op10_sharding)}
 ORACLES = {"op5_quality_rules": OP5_SQL}
