@@ -218,3 +218,42 @@ def lagged_similarity(left: Column, right: Column, lags: int = 5) -> Column:
         return pa.array(out)
 
     return kernel(run, "double", left, right)
+
+
+def local_extrema(signal: Column) -> Column:
+    """Struct of the places of inner maxima and minima."""
+
+    def run(c: pa.Array) -> pa.Array:
+        found = [[None] * len(c), [None] * len(c)]
+        for rows, m in by_length(c):
+            for out, mask in zip(found, extrema(m), strict=True):
+                for r, v in zip(rows.tolist(), mask, strict=True):
+                    out[r] = np.flatnonzero(v)
+        return pa.StructArray.from_arrays([pa.array(v, pa.list_(pa.int32())) for v in found], names=["maxima", "minima"])
+
+    return kernel(run, "maxima array<int>, minima array<int>", signal)
+
+
+def linear_envelope(signal: Column, upper: bool = True) -> Column:
+    """Lines through the maxima (or minima) and both ends."""
+    return kernel(lambda c: lists(len(c), [(r, through(m, extrema(m)[0 if upper else 1])) for r, m in by_length(c)]), "array<double>", signal)
+
+
+def zero_crossings(signal: Column) -> Column:
+    """Adjacent points of opposite sign, in column functions."""
+    pairs = F.zip_with(F.slice(signal, 1, F.size(signal) - 1), F.slice(signal, 2, F.size(signal) - 1), lambda a, b: (a * b < 0).cast("int"))
+    return F.aggregate(pairs, F.lit(0), lambda s, v: s + v)
+
+
+def sift_once(signal: Column) -> Column:
+    """Struct of one sifting step: candidate, its relative energy, extrema and zero crossings."""
+
+    def run(c: pa.Array) -> pa.Array:
+        cand, sd, ext, zero = [None] * len(c), np.zeros(len(c)), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+        for rows, m in by_length(c):
+            h, sd[rows], ext[rows], zero[rows] = sift(m)
+            for r, v in zip(rows.tolist(), h, strict=True):
+                cand[r] = v
+        return pa.StructArray.from_arrays([pa.array(cand, pa.list_(pa.float64())), pa.array(sd), pa.array(ext), pa.array(zero)], names=["candidate", "sd", "n_extrema", "n_crossings"])
+
+    return kernel(run, "candidate array<double>, sd double, n_extrema long, n_crossings long", signal)
