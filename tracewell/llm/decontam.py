@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are lower-cased runs of letters and digits. Every n-gram of a test item is a possible seed; how many documents
-hold each is counted over the whole corpus, and an item keeps the rarer half of its n-grams (ties included), so the
-rule acts alike at every size and an item that leaked everywhere keeps its seeds. The words around seed hits are
-aligned with the item; the best local alignment, as a share of a perfect one, is the score.
+hold each is counted over the whole corpus. An item drops the n-grams held by COMMON times as many documents as nine
+in ten of its own are: the bound is the item's, so it acts alike at every size, and an item that leaked everywhere,
+edited or not, keeps its seeds. The words around seed hits are aligned with the item; the best local alignment, as a
+share of a perfect one, is the score.
 
 The items are held by every task in parts of bounded size; more items mean more passes.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .scratch import written
 from .textscan import LOWER, PUNCT, blocks, columns, hashed, shingles, words
 
-N, SCORE = 4, 0.6
+N, SCORE, COMMON = 4, 0.6, 8
 #: Bytes of test items held at once.
 PART = 8 << 20
 _BITS = 20
@@ -142,7 +143,7 @@ def _part(docs: DataFrame, spark: SparkSession, sized: DataFrame, n: int, score:
         for k in its:
             of_item[k].append((count.get(h, 0), h))
     for k, seeds in of_item.items():
-        limit = sorted(c for c, _ in seeds)[(len(seeds) - 1) // 2]
+        limit = COMMON * max(1, sorted(c for c, _ in seeds)[len(seeds) * 9 // 10])
         for c, h in seeds:
             if c <= limit:
                 rare[h].add(k)
