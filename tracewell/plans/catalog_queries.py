@@ -28,15 +28,13 @@ def written(df, name, kind="parquet", **options):
 
 
 # Experiments: one per part, with names made of its columns.
-FORM = F.element_at(F.array(*(F.lit(f) for f in S.FORMS)), (F.col("p_partkey") % 4 + 1).cast("int"))
-REGION = F.element_at(F.array(*(F.lit(f) for f in ("full", "bone", "dyn_envelope"))), (F.col("p_partkey") % 3 + 1).cast("int"))
-TAG = F.when(F.col("p_size") % 5 > 0, F.concat(F.lit("cls2_thr"), F.col("p_size").cast("string")))
-
-
 def experiments(s, d):
     p = table(s, d, "part")
-    name = S.run_name(FORM, REGION, F.col("p_size") % 4 + 1, F.when(F.col("p_size") % 2 == 0, "vit").otherwise("emd"), F.lit("core"), TAG)
-    return p.select("p_partkey", name.alias("name"), FORM.alias("form"), REGION.alias("region"), (F.col("p_size") % 4 + 1).cast("string").alias("channel"), F.when(F.col("p_size") % 2 == 0, "vit").otherwise("emd").alias("model_family"), TAG.alias("label_tag"), F.concat(F.lit("/data/"), F.col("p_brand")).alias("data_dir"), F.when(F.col("p_partkey") % 9 > 0, F.col("p_retailprice") / 2000).alias("accuracy"))
+    pick = lambda names, k: F.element_at(F.array(*(F.lit(n) for n in names)), (k + 1).cast("int"))
+    form, region = pick(S.FORMS, F.col("p_partkey") % 4), pick(("full", "bone", "dyn_envelope"), F.col("p_partkey") % 3)
+    tag = F.when(F.col("p_size") % 5 > 0, F.concat(F.lit("cls2_thr"), F.col("p_size").cast("string")))
+    name = S.run_name(form, region, F.col("p_size") % 4 + 1, F.when(F.col("p_size") % 2 == 0, "vit").otherwise("emd"), F.lit("core"), tag)
+    return p.select("p_partkey", name.alias("name"), form.alias("form"), region.alias("region"), (F.col("p_size") % 4 + 1).cast("string").alias("channel"), F.when(F.col("p_size") % 2 == 0, "vit").otherwise("emd").alias("model_family"), tag.alias("label_tag"), F.concat(F.lit("/data/"), F.col("p_brand")).alias("data_dir"), F.when(F.col("p_partkey") % 9 > 0, F.col("p_retailprice") / 2000).alias("accuracy"))
 
 
 EXP = """ex AS (SELECT p_partkey, ['mean_std','raw50','max1','top3_mean'][p_partkey % 4 + 1] AS form, ['full','bone','dyn_envelope'][p_partkey % 3 + 1] AS region, CAST(p_size % 4 + 1 AS VARCHAR) AS channel, CASE WHEN p_size % 2 = 0 THEN 'vit' ELSE 'emd' END AS model_family,
