@@ -56,7 +56,7 @@ def corpus(seed, groups=12, passage=30):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("seed", "held", "slack"), [(1, 48, 32), (2, 1, 2), (3, 2, 4), (4, 1, 0), (5, 3, 8)])
+@pytest.mark.parametrize(("seed", "held", "slack"), [(1, 48, 32), (2, 1, 2), (5, 3, 8)])
 def test_components_equal_brute_force(spark, seed, held, slack):
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -6,9 +6,9 @@ document lengthens its prefix by one for each token in it that too many classes
 estimated number of its candidates grows; a pair needs as many more shared tokens, and tokens that too many classes
 hold need not be joined at all. Candidates are verified on the whole sets.
 
-Before that, equal sets become one node, and nodes with the same smallest tokens are verified against the first of
-them; the postings are then joined only across the classes found, so a large group of near copies costs its size and
-not its square. Documents made up of widely held tokens bring all their tokens and are joined on their rarest.
+Before that, equal sets become one node, nodes with the same smallest tokens are verified against the first of them,
+and then the classes that share a token by their first documents; the postings are joined only across the classes
+found, so a large group of near copies costs its size and not its square. Documents made up of widely held tokens bring all their tokens and are joined on their rarest.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; a text shorter than a shingle is one
 shingle; a null doc_id is linked with nothing and has no component; repeated rows are in one component; rows with one
@@ -31,6 +31,10 @@ from .textscan import LOWER, blocks, columns, hashed, mix, odd, shingles, words
 N, PERCENT = 5, 75
 #: Tokens that each document brings beyond its plain prefix; classes that may hold a token which is joined.
 SLACK, HELD = 32, 48
+#: Rounds in which the classes that share a token are compared by their first documents only.
+ROUNDS = 2
+#: Bits of a posting's place in its prefix, below the document's number: prefixes of up to 16 million tokens.
+_POS = 24
 
 
 def token_sets(column: pa.Array, n: int = N):
@@ -69,17 +73,26 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
-def _whole(batches):
-    for batch in batches:
-        yield columns(doc_id=batch.column("doc_id"), tokens=_lists(list(token_sets(batch.column("text")))))
+def _similar(percent: int):
+    """The pairs of texts whose sets are similar enough."""
+
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(token_sets(batch.column("ta")), token_sets(batch.column("tb")), strict=True)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[k] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
 
 
 def _heads(percent: int, slack: int):
     def heads(batches):
         for batch in batches:
-            sets = list(token_sets(batch.column("text")))
-            some = [x[: prefix(len(x), percent) + slack] for x in sets]
-            yield columns(doc_id=batch.column("doc_id"), comp=batch.column("comp"), n=pa.array([len(x) for x in sets], pa.int64()), tokens=_lists(some))
+            some = [x[: prefix(len(x), percent) + slack] for x in token_sets(batch.column("text"))]
+            assert max(map(len, some), default=0) < 1 << _POS
+            yield columns(i=batch.column("i"), tokens=_lists(some))
 
     return heads
 
@@ -89,6 +102,14 @@ def prefix(n, percent: int = PERCENT):
     return f"({n} - ({n} * {percent} + 99) div 100 + 1)" if isinstance(n, str) else n - (n * percent + 99) // 100 + 1
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df, written, with `i`: 0, 1, ... without gaps, from each part's rows and the count of rows in the parts before."""
+    parts = written(df.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    before = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = before.withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).drop("_n")  # one row per part
+    return written(parts.join(F.broadcast(before), "_part").withColumn("i", F.col("_before") + F.col("_row")).drop("_part", "_row", "_before"))
+
+
 def _near_size(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -96,25 +117,24 @@ def _near_size(a: str, b: str, percent: int) -> Column:
 class Join:
     """Links between the sets of documents of one table."""
 
-    def __init__(self, docs: DataFrame, n: int = N, percent: int = PERCENT, slack: int = SLACK, held: int = HELD):
+    def __init__(self, docs: DataFrame, n: int = N, percent: int = PERCENT, slack: int = SLACK, held: int = HELD, rounds: int = ROUNDS):
         assert n == N
         self.docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
-        self.percent, self.slack, self.held = percent, slack, held
+        self.percent, self.slack, self.held, self.rounds = percent, slack, held, rounds
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose whole sets are similar enough."""
-        pairs = written(pairs)
+        """The pairs (a, b) whose whole texts are similar enough, written. Texts travel, as they are smaller than their sets."""
+        pairs = written(pairs.distinct())
         ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        sets = written(with_keys(self.docs, ids, "doc_id", "left_semi").mapInArrow(_whole, "doc_id long, tokens array<long>"))
-        a, b = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-        both = F.size(F.array_intersect("ta", "tb"))
-        return pairs.join(b, "b").join(a, "a").where(100 * both >= self.percent * (F.size("ta") + F.size("tb") - both)).select("a", "b").distinct()
+        texts = with_keys(self.docs.select("doc_id", "text"), ids, "doc_id", "left_semi")
+        a, b = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        return written(pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_similar(self.percent), "a long, b long").distinct())
 
     def postings(self, nodes: DataFrame) -> DataFrame:
-        """(doc, comp, n, pos, token) of the lengthened prefixes."""
-        text = with_keys(self.docs, nodes.select(F.col("node").alias("doc_id"), "comp"), "doc_id")
-        heads = text.mapInArrow(_heads(self.percent, self.slack), "doc_id long, comp long, n long, tokens array<long>")
-        return heads.select(F.col("doc_id").alias("doc"), "comp", "n", F.posexplode("tokens").alias("pos", "token"))
+        """(token, ref) of the lengthened prefixes; ref packs the document's number and the place, as rows here are many."""
+        text = with_keys(self.docs, nodes.select(F.col("node").alias("doc_id"), "i"), "doc_id").select("i", "text")
+        heads = text.mapInArrow(_heads(self.percent, self.slack), "i long, tokens array<long>")
+        return heads.select(F.posexplode("tokens").alias("pos", "token"), "i").select("token", (F.shiftleft("i", _POS) + F.col("pos")).alias("ref"))
 
     def across(self, x: DataFrame, y: DataFrame, ordered: bool) -> DataFrame:
         """Pairs of rows with one token, of different classes and sizes near enough."""
@@ -122,11 +142,39 @@ class Join:
         on = x.join(y, "token").where((F.col("comp") != F.col("comp_y")) & _near_size("n", "n_y", self.percent))
         return on.where("doc < doc_y") if ordered else on
 
-    def candidates(self, nodes: DataFrame) -> DataFrame:
+    def shared(self, nodes: DataFrame) -> DataFrame:
+        """(token, doc, n, pos), written: postings of tokens that more than one class holds."""
+        w = W.partitionBy("token")
+        twice = self.postings(nodes).repartition("token").withColumn("k", F.count("*").over(w)).where("k > 1")
+        placed = with_keys(twice.select("token", F.shiftright("ref", _POS).alias("i"), F.col("ref").bitwiseAND((1 << _POS) - 1).cast("int").alias("pos")), nodes, "i")
+        apart = placed.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi")
+        return written(apart.select("token", F.col("node").alias("doc"), "n", "pos"))
+
+    def stars(self, shared: DataFrame, comps: DataFrame) -> DataFrame:
+        """For each token the first document of each class against the first of all; those that meet in half a prefix.
+
+        These pairs only spare work, as those they link need not be compared across classes afterwards."""
+        w = W.partitionBy("token").orderBy("d.doc")
+        one = with_keys(shared, comps, "doc").repartition("token").groupBy("token", "comp").agg(F.min(F.struct("doc", "n")).alias("d"))
+        hub = one.withColumn("h", F.first("d").over(w)).where((F.col("d.doc") != F.col("h.doc")) & _near_size("d.n", "h.n", self.percent))
+        met = hub.groupBy(F.col("h.doc").alias("a"), F.col("d.doc").alias("b"), F.col("d.n").alias("n")).agg(F.count("*").alias("c"))
+        return met.where(f"2 * c >= {prefix('n', self.percent)}").select("a", "b")
+
+    def met(self, both: DataFrame) -> DataFrame:
+        """Pairs (a, b) with more shared tokens than `extra`, and enough for the limit.
+
+        Of the document whose prefix ends first in the order of tokens every token up to there is known, so the overlap
+        is at most the tokens met, those that were not joined (`wide`), and what lies beyond its prefix (`room`)."""
+        per = both.groupBy(F.col("doc").alias("a"), F.col("doc_y").alias("b"), F.col("n") + F.col("n_y"), F.greatest("room", "room_y"), F.least("wide", "wide_y"), F.least("extra", "extra_y")).agg(F.count("*").alias("c"))
+        per = per.toDF("a", "b", "sizes", "room", "wide", "extra", "c")
+        return per.where(f"c > extra and (c + wide + room) * {100 + self.percent} >= {self.percent} * sizes").select("a", "b")
+
+    def candidates(self, shared: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs of nodes of different classes that share enough tokens of their prefixes."""
         w = W.partitionBy("token")
-        postings = self.postings(nodes)
-        shared = written(postings.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi").drop("lo", "hi"))
+        comps = nodes.select(F.col("node").alias("doc"), "comp")
+        apart = with_keys(shared, comps, "doc").repartition("token").withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi")
+        shared = written(apart.drop("lo", "hi"))
         held = shared.groupBy("token", "comp").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("held"))
         shared = shared.join(held, "token")
         plain, most = prefix("n", self.percent), f"least(n, {prefix('n', self.percent)} + {self.slack})"
@@ -135,35 +183,36 @@ class Join:
             F.array_sort(F.collect_set(F.when(many, F.col("pos")))).alias("wide"),
             F.sum(F.when(many, 0).otherwise(F.col("held") - 1)).alias("cost"),
         )
+        # The prefix that leaves as many joined tokens as the plain one has, and the one longer by the estimated cost.
         reach = lambda e: f"aggregate(wide, cast({plain} + {e} as int), (acc, p) -> if(p < acc, acc + 1, acc))"
-        extra = f"cast(least(log2(1 + cost), {most} - {plain}) as int)"
-        plans = written(
-            per_doc.withColumn("l0", F.expr(reach("0"))).withColumn("l1", F.expr(reach(extra)))
-            .select(
-                "doc", (F.col("l0") > F.expr(most)).alias("heavy"),
-                F.expr(f"if(l1 <= {most}, l1, l0)").alias("reach"), F.expr(f"if(l1 <= {most}, {extra}, 0)").alias("extra"),
-            )
-        )
-        rows = shared.where(~many).join(plans, "doc").where("pos < reach and not heavy").select("token", "doc", "comp", "n", "extra")
-        found = self.across(rows, rows, True).groupBy(F.col("doc").alias("a"), F.col("doc_y").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("extra", "extra_y")).alias("e"))
-        found = found.where("c > e").select("a", "b")
+        spare = f"greatest({most} - {reach('0')}, 0)"
+        extra = f"cast(least(cost, {spare}) as int)"
+        plans = per_doc.withColumn("l0", F.expr(reach("0"))).withColumn("e", F.expr(extra)).withColumn("l1", F.expr(reach("e")))
+        fits = f"l1 <= {most}"
+        plans = written(plans.select(
+            "doc", "wide", F.expr(f"l0 > {most}").alias("heavy"), F.expr(f"case when l0 > {most} then {most} when {fits} then l1 else l0 end").alias("reach"),
+            F.expr(f"case when l0 > {most} then n when {fits} then e else 0 end").alias("extra"),
+        ).withColumn("wide", F.expr("size(filter(wide, p -> p < reach))")))
+        # A heavy document's pair with another is bound by the other's extra; pairs of two heavy ones are left to `_heavy`.
+        rows = shared.where(~many).join(plans, "doc").where("pos < reach").select("token", "doc", "comp", "n", (F.col("n") - F.col("reach")).alias("room"), "wide", "extra", "heavy")
+        found = self.met(self.across(rows, rows, True).where("not (heavy and heavy_y)"))
         heavy = written(plans.where("heavy").select("doc"))
-        if heavy.isEmpty():
-            return found
-        return found.union(self._heavy(nodes, heavy, written(held.where(many)), plans, postings)).distinct()
-
-    def _heavy(self, nodes: DataFrame, heavy: DataFrame, wide: DataFrame, plans: DataFrame, postings: DataFrame) -> DataFrame:
-        """Candidates of documents of which most tokens are widely held: with others by any token that is not, among themselves by their rarest."""
-        own = nodes.join(heavy, nodes["node"] == heavy["doc"], "left_semi").select(F.col("node").alias("doc_id"), "comp")
-        text = with_keys(self.docs, own, "doc_id")
-        whole = text.mapInArrow(_heads(0, 0), "doc_id long, comp long, n long, tokens array<long>")
-        rows = whole.select(F.col("doc_id").alias("doc"), "comp", "n", F.explode("tokens").alias("token")).join(wide, "token", "left")
-        rows = written(rows.withColumn("rank", F.row_number().over(W.partitionBy("doc").orderBy(F.coalesce("held", F.lit(0)), "token"))))
-        light = postings.join(plans, "doc", "left").where(f"not coalesce(heavy, false) and pos < coalesce(reach, {prefix('n', self.percent)})").select("token", "doc", "comp", "n")
-        some = rows.where("held is null").select("token", "doc", "comp", "n")
-        top = rows.where(f"rank <= {prefix('n', self.percent)}").select("token", "doc", "comp", "n")
-        mixed = self.across(some, light, False).select(F.least("doc", "doc_y").alias("a"), F.greatest("doc", "doc_y").alias("b"))
-        return mixed.union(self.across(top, top, True).select("doc", "doc_y")).distinct()
+        return found if heavy.isEmpty() else found.union(self._heavy(nodes, heavy, held.where(many))).distinct()
+
+    def _heavy(self, nodes: DataFrame, heavy: DataFrame, wide: DataFrame) -> DataFrame:
+        """Candidates among documents of which most tokens are widely held: by the plain prefix of their rarest tokens."""
+        own = written(nodes.join(heavy, nodes["node"] == heavy["doc"], "left_semi"))
+        text = with_keys(self.docs, own.select(F.col("node").alias("doc_id"), "i"), "doc_id").select("i", "text")
+        whole = text.mapInArrow(_heads(0, 0), "i long, tokens array<long>").select("i", F.explode("tokens").alias("token"))
+        rank = F.row_number().over(W.partitionBy("i").orderBy(F.coalesce("held", F.lit(0)), "token"))
+        rows = whole.join(wide, "token", "left").withColumn("rank", rank).join(own, "i").where(f"rank <= {prefix('n', self.percent)}")
+        top = rows.select("token", F.col("node").alias("doc"), "comp", "n", F.expr(f"n - {prefix('n', self.percent)}").alias("room"), F.lit(0).alias("wide"), F.lit(0).alias("extra"))
+        return self.met(self.across(top, top, True))
+
+    def classed(self, nodes: DataFrame, links: DataFrame) -> DataFrame:
+        """(node, n, comp) by the links found so far."""
+        found = nodes.join(components(links), "node", "left")
+        return found.groupBy("node").agg(F.max("n").alias("n"), F.min(F.coalesce("root", "node")).alias("comp"))
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, set_id, component_id, text_key) of each row; text_key is a hash of its text."""
@@ -171,11 +220,17 @@ class Join:
         nodes = written(meta.where("n > 0 and doc_id is not null").groupBy("ka", "kb").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("sig").alias("sig")))
         hubs = nodes.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1")
         stars = nodes.join(hubs, "sig").where((F.col("node") != F.col("hub.node")) & _near_size("n", "hub.n", self.percent))
-        first = written(self.verified(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))))
-        classes = components(first)
-        placed = written(nodes.join(classes, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp")).distinct())
-        second = self.verified(self.candidates(placed))
-        roots = components(first.union(second))
+        links = self.verified(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
+        placed = numbered(self.classed(nodes, links))
+        shared = self.shared(placed)
+        for _ in range(self.rounds):
+            pairs = written(self.stars(shared, placed.select(F.col("node").alias("doc"), "comp")))
+            if pairs.isEmpty():
+                break
+            links = written(links.union(self.verified(pairs)))
+            placed = numbered(self.classed(nodes, links))
+        links = links.union(self.verified(self.candidates(shared, placed)))
+        roots = components(links)
         of_set = nodes.join(roots, "node", "left").select("ka", "kb", F.col("node").alias("set_id"), F.coalesce("root", "node").alias("root"))
         out = meta.join(of_set, ["ka", "kb"], "left")
         alone = (F.col("n") == 0) | F.col("doc_id").isNull()
@@ -190,4 +245,15 @@ def linked(docs: DataFrame, **parameters: int) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM w),
+m AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY s) ELSE doc_id END AS set_id, s FROM s),
+t AS (SELECT doc_id, n, unnest(s) AS tok FROM m WHERE doc_id = set_id),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.tok = b.tok AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT DISTINCT set_id AS d, set_id AS v FROM m UNION SELECT r.d, e.b FROM r JOIN e ON r.v = e.a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, set_id, (SELECT min(v) FROM r WHERE r.d = m.set_id) AS component_id FROM m
+"""

@@ -93,3 +93,27 @@ def paired(conversations: DataFrame) -> DataFrame:
 def op8_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return formatted(paired(gathered(turns)))
+
+
+OP8_SQL = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id),
+l AS (SELECT *, lead(conv_id) OVER (PARTITION BY turns[1] ORDER BY conv_id) AS rejected_id FROM c),
+x AS (SELECT l.*, o.turns AS other, list_filter(range(1, len(l.turns) + 1), lambda i: l.turns[i].role = 'assistant') AS at_ FROM l LEFT JOIN c o ON o.conv_id = l.rejected_id),
+p AS (SELECT conv_id, rejected_id, CASE WHEN rejected_id IS NOT NULL THEN 'sibling' WHEN len(at_) >= 2 THEN 'stale' ELSE 'unpaired' END AS kind,
+        CASE WHEN rejected_id IS NULL AND len(at_) >= 2 THEN turns[1 : at_[-1]] ELSE turns END AS a,
+        CASE WHEN rejected_id IS NOT NULL THEN other WHEN len(at_) >= 2 THEN list_concat(turns[1 : at_[-1] - 1], [{'role': 'assistant', 'text': turns[at_[-2]].text}]) ELSE turns[1:0] END AS b FROM x),
+n AS (SELECT *, list_max(list_filter(range(0, least(len(a), len(b)) + 1), lambda k: a[1:k] = b[1:k])) AS k FROM p),
+r AS (SELECT conv_id, rejected_id, kind, CAST(k AS INTEGER) AS n_common, a[1:k] AS h, a[k + 1 : len(a)] AS u, b[k + 1 : len(b)] AS v FROM n)
+SELECT conv_id, rejected_id, kind, n_common,
+  array_to_string(list_transform(h, lambda y: '<|' || y.role || '|>' || chr(10) || y.text || chr(10)), '') AS prompt,
+  array_to_string(list_transform(u, lambda y: '<|' || y.role || '|>' || chr(10) || y.text || chr(10)), '') AS chosen,
+  array_to_string(list_transform(list_filter(range(1, len(u) + 1), lambda i: u[i].role = 'assistant'), lambda i:
+    CAST(coalesce(list_sum(list_transform(u[1 : i - 1], lambda y: length(y.role) + length(y.text) + 6)), 0) + length(u[i].role) + 5 AS BIGINT) || '-' ||
+    CAST(coalesce(list_sum(list_transform(u[1 : i - 1], lambda y: length(y.role) + length(y.text) + 6)), 0) + length(u[i].role) + 5 + length(u[i].text) AS BIGINT)), ',') AS chosen_mask,
+  array_to_string(list_transform(v, lambda y: '<|' || y.role || '|>' || chr(10) || y.text || chr(10)), '') AS rejected,
+  array_to_string(list_transform(list_filter(range(1, len(v) + 1), lambda i: v[i].role = 'assistant'), lambda i:
+    CAST(coalesce(list_sum(list_transform(v[1 : i - 1], lambda y: length(y.role) + length(y.text) + 6)), 0) + length(v[i].role) + 5 AS BIGINT) || '-' ||
+    CAST(coalesce(list_sum(list_transform(v[1 : i - 1], lambda y: length(y.role) + length(y.text) + 6)), 0) + length(v[i].role) + 5 + length(v[i].text) AS BIGINT)), ',') AS rejected_mask
+FROM r
+"""

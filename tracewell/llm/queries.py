@@ -1,10 +1,10 @@
 """The queries of this subpackage by name, and their SQL."""
 
 from .decontam import op1_benchmark_decontamination
-from .jaccard import op2_ngram_jaccard_join
+from .jaccard import OP2_SQL, op2_ngram_jaccard_join
 from .langid import op9_language_id
 from .packing import op6_best_fit_packing
-from .preferences import op8_preference_formatting
+from .preferences import OP8_SQL, op8_preference_formatting
 from .quality import OP5_SQL, op5_quality_rules
 from .secrets import op4_secret_scans
 from .sentences import op7_substring_dedup
@@ -12,4 +12,4 @@ from .sharding import op10_sharding
 from .suffixes import op3_suffix_dedup
 
 QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_suffix_dedup, op4_secret_scans, op5_quality_rules, op6_best_fit_packing, op7_substring_dedup, op8_preference_formatting, op9_language_id, op10_sharding)}
-ORACLES = {"op5_quality_rules": OP5_SQL}
+ORACLES = {"op2_ngram_jaccard_join": OP2_SQL, "op5_quality_rules": OP5_SQL, "op8_preference_formatting": OP8_SQL}
