@@ -200,14 +200,24 @@ class Join:
         return found if heavy.isEmpty() else found.union(self._heavy(nodes, heavy, held.where(many))).distinct()
 
     def _heavy(self, nodes: DataFrame, heavy: DataFrame, wide: DataFrame) -> DataFrame:
-        """Candidates among documents of which most tokens are widely held: by the plain prefix of their rarest tokens."""
-        own = written(nodes.join(heavy, nodes["node"] == heavy["doc"], "left_semi"))
-        text = with_keys(self.docs, own.select(F.col("node").alias("doc_id"), "i"), "doc_id").select("i", "text")
+        """Candidates among documents of which most tokens are widely held, by the plain prefix of their rarest tokens.
+
+        Where the prefix reaches widely held tokens it holds all others (`own` of them). Two such documents share at most
+        the others met and the smaller number of widely held ones; without any other in common the latter must do."""
+        few = written(nodes.join(heavy, nodes["node"] == heavy["doc"], "left_semi"))
+        text = with_keys(self.docs, few.select(F.col("node").alias("doc_id"), "i"), "doc_id").select("i", "text")
         whole = text.mapInArrow(_heads(0, 0), "i long, tokens array<long>").select("i", F.explode("tokens").alias("token"))
-        rank = F.row_number().over(W.partitionBy("i").orderBy(F.coalesce("held", F.lit(0)), "token"))
-        rows = whole.join(wide, "token", "left").withColumn("rank", rank).join(own, "i").where(f"rank <= {prefix('n', self.percent)}")
-        top = rows.select("token", F.col("node").alias("doc"), "comp", "n", F.expr(f"n - {prefix('n', self.percent)}").alias("room"), F.lit(0).alias("wide"), F.lit(0).alias("extra"))
-        return self.met(self.across(top, top, True))
+        by = W.partitionBy("i")
+        rank = F.row_number().over(by.orderBy(F.coalesce("held", F.lit(0)), "token"))
+        plain = prefix("n", self.percent)
+        rows = whole.join(wide, "token", "left").withColumn("own", F.count_if(F.col("held").isNull()).over(by)).withColumn("rank", rank).join(few, "i")
+        rows = rows.where(f"rank <= {plain}").select("token", "held", F.col("node").alias("doc"), "comp", "n", "own", F.lit(0).alias("extra"))
+        rows = written(rows.withColumn("rest", F.expr(f"n - {plain}")).withColumn("all_own", F.expr(f"own <= {plain}")))
+        rare = rows.where("held is null").withColumn("wide", F.when(F.col("all_own"), F.col("n") - F.col("own")).otherwise(0)).withColumn("room", F.when(F.col("all_own"), 0).otherwise(F.col("rest")))
+        found = self.met(self.across(rare, rare, True))
+        top = rows.where("held is not null").withColumn("wide", F.lit(0)).withColumn("room", F.col("rest"))
+        enough = F.least(F.col("n") - F.col("own"), F.col("n_y") - F.col("own_y")) * (100 + self.percent) >= self.percent * (F.col("n") + F.col("n_y"))
+        return found.union(self.met(self.across(top, top, True).where(enough))).distinct()
 
     def classed(self, nodes: DataFrame, links: DataFrame) -> DataFrame:
         """(node, n, comp) by the links found so far."""
