@@ -257,6 +257,30 @@ def test_sentence_dedup(spark):
     assert sentences.dedup(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_sentence_dedup_removes_all_that_any_repeated_run_covers(spark):
+    rng = random.Random(12)
+    sentence = lambda most: " ".join(f"w{rng.randrange(4000)}" for _ in range(rng.randrange(1, most))) + ". "
+    passages = ["".join(sentence(18) for _ in range(3)) + "".join(sentence(3) for _ in range(rng.randrange(1, 4))) for _ in range(8)]
+    rows = [(i, "".join(rng.choice(passages) if rng.random() < 0.3 else sentence(10) for _ in range(12))) for i in range(40)]
+    occ, want = defaultdict(list), {}
+    for d, t in rows:
+        sent = [x.split() for x in re.findall(r"[^.]+\. ", t)]
+        want[d] = set()
+        for a in range(len(sent)):
+            for z in range(a + 2, len(sent) + 1):
+                run = tuple(w for x in sent[a:z] for w in x)
+                if len(run) >= 12:
+                    occ[run].append((d, a, z))
+    for v in occ.values():
+        for d, a, z in sorted(v)[1:]:
+            want[d] |= set(range(a, z))
+    got = sentences.dedup(docs(spark, rows)).select("doc_id", "_dedup.*").collect()
+    for r in got:
+        sent = re.findall(r"[^.]+\. ", dict(rows)[r.doc_id])
+        assert (r.n_removed, r.text) == (len(want[r.doc_id]), "".join(x for k, x in enumerate(sent) if k not in want[r.doc_id]))
+    assert sum(map(len, want.values())) > 100
+
+
 # Preference pairs.
 def test_preferences(spark):
     turns = [

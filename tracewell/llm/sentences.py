@@ -1,9 +1,10 @@
 """Substring dedup by sliding runs of sentences.
 
-A sentence ends at a line's end, or after `.`, `!` or `?` before white space. From every sentence the shortest run of
-at least MIN_SENTENCES sentences and MIN_WORDS words is hashed (over lower-cased words), and so is the shortest such
-run that ends a text. Where a run occurs more than once in the corpus, the occurrence with the smallest (doc_id, place)
-stays and the sentences of all others go; what stays is the rest of the bytes as they were.
+A sentence ends at a line's end, or after `.`, `!` or `?` before white space. Of the runs of at least MIN_SENTENCES
+sentences and MIN_WORDS words, the shortest that starts at each sentence and the shortest that ends with each are hashed
+(over lower-cased words); each longer run is the union of such runs within it. Where a run occurs more than once in the
+corpus, the occurrence with the smallest (doc_id, place) stays and the sentences of all others go; what stays is the
+rest of the bytes as they were.
 
 Defined results: null and empty texts have no sentences and stay as they are; a text too short for a run stays; rows
 with equal doc_id and text are one place (all stay or all lose the same sentences); a null doc_id sorts first; columns
@@ -61,9 +62,10 @@ def runs(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     stop = np.maximum(s + MIN_SENTENCES, np.searchsorted(edge, edge[s] + MIN_WORDS))
     ok = stop <= last_of_row
     a, z = s[ok], stop[ok]
-    tail = np.flatnonzero(s == last_of_row - 1) + 1  # one past the last sentence of each row
+    tail = s + 1  # one past each sentence, where a run may end
     from_ = np.minimum(tail - MIN_SENTENCES, np.searchsorted(edge, edge[tail] - MIN_WORDS, "right") - 1)
-    fits = from_ >= first_of_row[tail - 1]
+    fits = from_ >= first_of_row
+    fits &= stop[from_] != tail  # else it is the shortest from its start, and there already
     a, z = np.concatenate((a, from_[fits])), np.concatenate((z, tail[fits]))
     key = mix((h[edge[z]] - h[edge[a]]) * back[edge[a]] + (edge[z] - edge[a]).astype(np.uint64))
     return row[a], a - first_of_row[a], z - a, key
