@@ -281,6 +281,22 @@ def test_sentence_dedup_removes_all_that_any_repeated_run_covers(spark):
     assert sum(map(len, want.values())) > 100
 
 
+def test_sentence_dedup_splits_long_sentences(spark):
+    rng = random.Random(13)
+    some = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    whole, line, passages = some(60), some(40), [some(50) for _ in range(20)]
+    rows = [(1, " ".join(whole)), (2, " ".join(whole)), (3, " ".join(w.title() for w in whole))]  # one sentence is all
+    rows += [(10 + i, f"{' '.join(some(5))}.\n{' '.join(line)}\n{' '.join(some(9))}. ") for i in range(2)]
+    rows += [(100 * k + i, " ".join(some(30) + p + some(40))) for i, p in enumerate(passages) for k in (1, 2)]
+    got = {r.doc_id: r for r in sentences.dedup(docs(spark, rows)).select("doc_id", F.col("text").alias("was"), "_dedup.*").collect()}
+    assert got[1].text == rows[0][1] and got[2].text == got[3].text == "" and got[2].n_removed == got[2].n_sentences
+    assert got[10].text == rows[3][1] and got[11].text == rows[4][1].replace(" ".join(line) + "\n", "")
+    for i, p in enumerate(passages):
+        assert got[100 + i].text == got[100 + i].was
+        was, kept = got[200 + i].was.split(), got[200 + i].text.split()
+        assert len(was) - len(kept) >= 27 and set(was) - set(kept) <= set(p)
+
+
 # Preference pairs.
 def test_preferences(spark):
     turns = [

@@ -6,7 +6,12 @@ sentences and MIN_WORDS words, the shortest that starts at each sentence and the
 corpus, the occurrence with the smallest (doc_id, place) stays and the sentences of all others go; what stays is the
 rest of the bytes as they were.
 
-Defined results: null and empty texts have no sentences and stay as they are; a text too short for a run stays; rows
+A sentence of more than LONG words (a word list, a text without stops) is split before the words with the smallest hash
+in any WINDOW consecutive ones, and each piece counts as a sentence. Places depend on the words near them only, so of
+50 words repeated inside such a sentence at least 50 - 2 * WINDOW + 1 lie in whole pieces and go.
+
+Defined results: null and empty texts have no sentences and stay as they are; a text too short for a run stays, and so
+does a repeated sentence of up to LONG words between others that differ; rows
 with equal doc_id and text are one place (all stay or all lose the same sentences); a null doc_id sorts first; columns
 other than doc_id and text are kept by the operator.
 """
@@ -21,20 +26,39 @@ from pyspark.sql import functions as F
 from .textscan import LOWER, SPACE, blocks, columns, hashed, mix, odd, words
 
 MIN_SENTENCES, MIN_WORDS = 2, 12
+#: Words from which on a sentence is not split; consecutive words of a longer one of which one starts a piece.
+LONG, WINDOW = 24, 12
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _M = int(odd(1, 21)[0])
 _INV = pow(_M, -1, 1 << 64)
 
 
+def smallest(h: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Indices of the last smallest value in each WINDOW consecutive ones of one group."""
+    m = len(h) - WINDOW + 1
+    if m < 1:
+        return np.zeros(0, np.int64)
+    least, at = h[:m].copy(), np.arange(m)
+    for k in range(1, WINDOW):
+        lower = h[k : k + m] <= least
+        least[lower] = h[k : k + m][lower]
+        at[lower] = np.flatnonzero(lower) + k
+    return np.unique(at[group[:m] == group[WINDOW - 1 :]])
+
+
 def sentences(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (with the white space that follows), row and first word of each sentence."""
+    """Start, end (with the white space that follows), row and first word of each sentence or piece of a long one."""
     start, end, row = words(b, at)
     if not len(start):
         return start, end, row, np.zeros(0, np.int64)
     lines = np.concatenate(([0], np.cumsum(b == 0x0A)))
     new = np.ones(len(start), bool)
     new[1:] = _STOP[b[end[:-1] - 1]] | (row[1:] != row[:-1]) | (lines[start[1:]] != lines[end[:-1]])
+    size = np.diff(np.flatnonzero(np.append(new, True)))
+    long = np.flatnonzero(np.repeat(size > LONG, size))  # words of long sentences
+    if len(long):
+        new[long[smallest(hashed(LOWER[b], start[long], end[long]), np.cumsum(new)[long])]] = True
     first = np.flatnonzero(new)  # the first word of each sentence
     begin = start[first]
     begin[np.concatenate(([True], row[first][1:] != row[first][:-1]))] = at[row[first][np.concatenate(([True], row[first][1:] != row[first][:-1]))]]
