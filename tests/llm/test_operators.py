@@ -318,6 +318,18 @@ def test_preferences(spark):
     assert preferences.formatted(preferences.paired(preferences.gathered(table.limit(0)))).count() == 0
 
 
+def test_preferences_keep_one_chain_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(preferences, "CHAIN", 4)
+    ids = random.Random(5).sample(range(-500, 500), 90)
+    turns = [(i, 0, "user", "hot" if i % 3 else f"t{i % 4}") for i in ids] + [(i, 1, "assistant", str(i)) for i in ids]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.rejected_id for r in preferences.paired(preferences.gathered(table)).collect()}
+    groups = defaultdict(list)
+    for i in sorted(ids):
+        groups["hot" if i % 3 else f"t{i % 4}"].append(i)
+    assert got == {a: b for v in groups.values() for a, b in zip(v, [*v[1:], None], strict=True)}
+
+
 # Language.
 def test_language(spark):
     rng = random.Random(2)

@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Conversations with one first turn that are chained in one task; larger groups are split by a hash of conv_id.
-CHAIN = 10_000
+from .scratch import written
+
+#: Conversations in a range of (first turn, conv_id) that is chained at once, and the most ranges. Ranges are linked, so
+#: neither changes the chain.
+CHAIN, RANGES = 10_000, 10_000
 
 
 def gathered(turns: DataFrame) -> DataFrame:
@@ -67,14 +70,28 @@ def formatted(pairs: DataFrame) -> DataFrame:
     )
 
 
-def paired(conversations: DataFrame) -> DataFrame:
-    """(conv_id, rejected_id, kind, chosen, rejected) for each gathered conversation."""
+def chained(conversations: DataFrame) -> DataFrame:
+    """(conv_id, rejected_id): each conversation and the next one with its first turn.
+
+    Ranges of (first turn, conv_id) are chained one by one, so a first turn of any number of conversations is spread over
+    tasks; the last of a range is linked to the smallest of the next range that holds its first turn."""
     head = F.xxhash64(F.col("turns")[0]["role"], F.col("turns")[0]["text"])
     keys = conversations.select("conv_id", head.alias("head"))
     large = keys.groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    salted = keys.join(large, "head").withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.ceil(F.col("n") / CHAIN)))
-    chain = W.partitionBy("head", "salt").orderBy("conv_id")
-    links = salted.select("conv_id", F.lead("conv_id").over(chain).alias("rejected_id")).where("rejected_id is not null")
+    shared = written(keys.join(large.select("head"), "head"))
+    n = min(shared.count() // CHAIN + 1, RANGES)
+    # Written, as both uses must see the same ranges.
+    ranged = written(shared.repartitionByRange(n, "head", "conv_id").withColumn("range", F.spark_partition_id()))
+    least = ranged.groupBy("head", "range").agg(F.min("conv_id").alias("least"))
+    after = least.withColumn("after", F.lead("least").over(W.partitionBy("head").orderBy("range"))).where("after is not null")
+    inside = ranged.withColumn("inside", F.lead("conv_id").over(W.partitionBy("head", "range").orderBy("conv_id")))
+    links = inside.join(F.broadcast(after), ["head", "range"], "left")  # fewer rows than ranges
+    return links.select("conv_id", F.coalesce("inside", "after").alias("rejected_id")).where("rejected_id is not null")
+
+
+def paired(conversations: DataFrame) -> DataFrame:
+    """(conv_id, rejected_id, kind, chosen, rejected) for each gathered conversation."""
+    links = chained(conversations)
     other = conversations.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("other"))
     all_ = conversations.join(links.join(other, "rejected_id"), "conv_id", "left")
     place = F.filter(F.transform("turns", lambda x, i: F.when(x["role"] == "assistant", i + 1)), lambda i: i.isNotNull())
