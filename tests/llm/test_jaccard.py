@@ -64,6 +64,17 @@ def test_components_equal_brute_force(spark, seed, held, slack):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == expected(rows)
 
 
+@pytest.mark.parametrize(("seed", "held", "slack"), [(2, 1, 2), (3, 1, 0)])
+def test_repeated_rows_and_ids_equal_brute_force(spark, seed, held, slack):
+    rows = [(d, t) for d, t in corpus(seed) for _ in range(1 + d % 3)]
+    rows += [(d, f"other {t} text of {d}") for d, t in rows[::9]]  # another text with the same doc_id
+    rng = random.Random(seed)
+    rows += [(d, " ".join(f"v{rng.randrange(400)}" for _ in range(20))) for d, _ in rows[:60:4]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = linked(docs, held=held, slack=slack)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == expected(rows)
+
+
 def test_edges_of_input(spark):
     rows = [(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (9, None), (9, "")]
     docs = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows], "doc_id long, text string, n long, comp long, ka long")

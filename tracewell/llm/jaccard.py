@@ -92,7 +92,7 @@ def _heads(percent: int, slack: int):
         for batch in batches:
             some = [x[: prefix(len(x), percent) + slack] for x in token_sets(batch.column("text"))]
             assert max(map(len, some), default=0) < 1 << _POS
-            yield columns(i=batch.column("i"), tokens=_lists(some))
+            yield columns(node=batch.column("node"), tokens=_lists(some))
 
     return heads
 
@@ -122,19 +122,23 @@ class Join:
         self.docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
         self.percent, self.slack, self.held, self.rounds = percent, slack, held, rounds
 
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(node, text) of the nodes in ids, each read from the one row that stands for its set."""
+        rows = written(with_keys(self.nodes.select("node", "doc_id", "text_key"), ids, "node"))
+        return with_keys(self.docs, rows, ["doc_id", "text_key"]).select("node", "text")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole texts are similar enough, written. Texts travel, as they are smaller than their sets."""
         pairs = written(pairs.distinct())
-        ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        texts = with_keys(self.docs.select("doc_id", "text"), ids, "doc_id", "left_semi")
-        a, b = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        texts = self.texts(written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+        a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         return written(pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_similar(self.percent), "a long, b long").distinct())
 
-    def postings(self, nodes: DataFrame) -> DataFrame:
-        """(token, ref) of the lengthened prefixes; ref packs the document's number and the place, as rows here are many."""
-        text = with_keys(self.docs, nodes.select(F.col("node").alias("doc_id"), "i"), "doc_id").select("i", "text")
-        heads = text.mapInArrow(_heads(self.percent, self.slack), "i long, tokens array<long>")
-        return heads.select(F.posexplode("tokens").alias("pos", "token"), "i").select("token", (F.shiftleft("i", _POS) + F.col("pos")).alias("ref"))
+    def postings(self) -> DataFrame:
+        """(token, ref) of the lengthened prefixes; ref packs the node and the place, as rows here are many."""
+        text = with_keys(self.docs, self.nodes.select("node", "doc_id", "text_key"), ["doc_id", "text_key"]).select("node", "text")
+        heads = text.mapInArrow(_heads(self.percent, self.slack), "node long, tokens array<long>")
+        return heads.select(F.posexplode("tokens").alias("pos", "token"), "node").select("token", (F.shiftleft("node", _POS) + F.col("pos")).alias("ref"))
 
     def across(self, x: DataFrame, y: DataFrame, ordered: bool) -> DataFrame:
         """Pairs of rows with one token, of different classes and sizes near enough."""
@@ -145,8 +149,8 @@ class Join:
     def shared(self, nodes: DataFrame) -> DataFrame:
         """(token, doc, n, pos), written: postings of tokens that more than one class holds."""
         w = W.partitionBy("token")
-        twice = self.postings(nodes).repartition("token").withColumn("k", F.count("*").over(w)).where("k > 1")
-        placed = with_keys(twice.select("token", F.shiftright("ref", _POS).alias("i"), F.col("ref").bitwiseAND((1 << _POS) - 1).cast("int").alias("pos")), nodes, "i")
+        twice = self.postings().repartition("token").withColumn("k", F.count("*").over(w)).where("k > 1")
+        placed = with_keys(twice.select("token", F.shiftright("ref", _POS).alias("node"), F.col("ref").bitwiseAND((1 << _POS) - 1).cast("int").alias("pos")), nodes, "node")
         apart = placed.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi")
         return written(apart.select("token", F.col("node").alias("doc"), "n", "pos"))
 
@@ -205,12 +209,11 @@ class Join:
         Where the prefix reaches widely held tokens it holds all others (`own` of them). Two such documents share at most
         the others met and the smaller number of widely held ones; without any other in common the latter must do."""
         few = written(nodes.join(heavy, nodes["node"] == heavy["doc"], "left_semi"))
-        text = with_keys(self.docs, few.select(F.col("node").alias("doc_id"), "i"), "doc_id").select("i", "text")
-        whole = text.mapInArrow(_heads(0, 0), "i long, tokens array<long>").select("i", F.explode("tokens").alias("token"))
-        by = W.partitionBy("i")
+        whole = self.texts(few.select("node")).mapInArrow(_heads(0, 0), "node long, tokens array<long>").select("node", F.explode("tokens").alias("token"))
+        by = W.partitionBy("node")
         rank = F.row_number().over(by.orderBy(F.coalesce("held", F.lit(0)), "token"))
         plain = prefix("n", self.percent)
-        rows = whole.join(wide, "token", "left").withColumn("own", F.count_if(F.col("held").isNull()).over(by)).withColumn("rank", rank).join(few, "i")
+        rows = whole.join(wide, "token", "left").withColumn("own", F.count_if(F.col("held").isNull()).over(by)).withColumn("rank", rank).join(few, "node")
         rows = rows.where(f"rank <= {plain}").select("token", "held", F.col("node").alias("doc"), "comp", "n", "own", F.lit(0).alias("extra"))
         rows = written(rows.withColumn("rest", F.expr(f"n - {plain}")).withColumn("all_own", F.expr(f"own <= {plain}")))
         rare = rows.where("held is null").withColumn("wide", F.when(F.col("all_own"), F.col("n") - F.col("own")).otherwise(0)).withColumn("room", F.when(F.col("all_own"), 0).otherwise(F.col("rest")))
@@ -219,34 +222,46 @@ class Join:
         enough = F.least(F.col("n") - F.col("own"), F.col("n_y") - F.col("own_y")) * (100 + self.percent) >= self.percent * (F.col("n") + F.col("n_y"))
         return found.union(self.met(self.across(top, top, True).where(enough))).distinct()
 
-    def classed(self, nodes: DataFrame, links: DataFrame) -> DataFrame:
-        """(node, n, comp) by the links found so far."""
-        found = nodes.join(components(links), "node", "left")
-        return found.groupBy("node").agg(F.max("n").alias("n"), F.min(F.coalesce("root", "node")).alias("comp"))
+    def classed(self, links: DataFrame) -> DataFrame:
+        """(node, n, comp), written, by the links found so far."""
+        return written(self.nodes.join(components(links), "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp")))
+
+    def once(self, meta: DataFrame) -> DataFrame:
+        """The documents without repeated rows. Only texts that are repeated are shuffled for it."""
+        twice = written(meta.groupBy("doc_id", "text_key").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null").drop("k"))
+        n, on = twice.count(), ["doc_id", "text_key"]
+        if not n:
+            return self.docs
+        return with_keys(self.docs, twice, on, "left_anti", n).unionByName(with_keys(self.docs, twice, on, "left_semi", n).dropDuplicates(on))
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, set_id, component_id, text_key) of each row; text_key is a hash of its text."""
         meta = written(self.docs.mapInArrow(_sketches, "doc_id long, text_key long, n long, ka long, kb long, sig long"))
-        nodes = written(meta.where("n > 0 and doc_id is not null").groupBy("ka", "kb").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("sig").alias("sig")))
+        self.docs = self.once(meta)
+        # One number for each set, and the row that stands for it: doc_id alone does not tell texts apart.
+        sets = meta.where("n > 0 and doc_id is not null").groupBy("ka", "kb").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.max("n").alias("n"), F.max("sig").alias("sig"))
+        nodes = self.nodes = numbered(sets.select("ka", "kb", "row.*", "n", "sig")).withColumnRenamed("i", "node")
         hubs = nodes.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1")
         stars = nodes.join(hubs, "sig").where((F.col("node") != F.col("hub.node")) & _near_size("n", "hub.n", self.percent))
         links = self.verified(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
-        placed = numbered(self.classed(nodes, links))
+        placed = self.classed(links)
         shared = self.shared(placed)
         for _ in range(self.rounds):
             pairs = written(self.stars(shared, placed.select(F.col("node").alias("doc"), "comp")))
             if pairs.isEmpty():
                 break
             links = written(links.union(self.verified(pairs)))
-            placed = numbered(self.classed(nodes, links))
+            placed = self.classed(links)
         links = links.union(self.verified(self.candidates(shared, placed)))
         roots = components(links)
-        of_set = nodes.join(roots, "node", "left").select("ka", "kb", F.col("node").alias("set_id"), F.coalesce("root", "node").alias("root"))
+        least = written(nodes.join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("least")))
+        named = with_keys(roots, least, "root").select("node", "least")
+        of_set = nodes.join(named, "node", "left").select("ka", "kb", F.col("doc_id").alias("set_id"), F.coalesce("least", "doc_id").alias("least"))
         out = meta.join(of_set, ["ka", "kb"], "left")
         alone = (F.col("n") == 0) | F.col("doc_id").isNull()
         return out.select(
             "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("set_id")).alias("set_id"),
-            F.when(alone, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"), "text_key",
+            F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "text_key",
         )
 
 
