@@ -13,7 +13,8 @@ found, so a large group of near copies costs its size and not its square. Docume
 Defined results: a null or empty text has no shingles and is linked with nothing; a text shorter than a shingle is one
 shingle; a null doc_id is linked with nothing and has no component; repeated rows are in one component; rows with one
 doc_id and different texts are judged by their own text; further columns are not read; an empty table gives an empty
-result. Nothing is capped: each pair of different sets that reaches the limit is a link.
+result. Nothing is capped: each pair of different sets that reaches the limit is a link and joins their components. The
+operator returns components, not the set of links: pairs within a class already found are not compared.
 """
 
 from __future__ import annotations
