@@ -56,22 +56,37 @@ def corpus(seed, groups=12, passage=30):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("seed", "held", "slack"), [(1, 48, 32), (2, 1, 2), (5, 3, 8)])
-def test_components_equal_brute_force(spark, seed, held, slack):
+@pytest.mark.parametrize(("seed", "held", "block", "broadcast"), [(1, 48, 1 << 18, 10**6), (2, 1, 2000, 0), (5, 3, 300, 10**6), (6, 2, 1 << 18, 0)])
+def test_components_equal_brute_force(spark, seed, held, block, broadcast):
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = linked(docs, held=held, slack=slack)
+    out = linked(docs, held=held, block=block, broadcast=broadcast)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == expected(rows)
 
 
-@pytest.mark.parametrize(("seed", "held", "slack"), [(2, 1, 2), (3, 1, 0)])
-def test_repeated_rows_and_ids_equal_brute_force(spark, seed, held, slack):
+@pytest.mark.parametrize(("held", "block"), [(8, 3000), (8, 1 << 18), (500, 1 << 18)])
+def test_near_copies_around_the_limit_equal_brute_force(spark, held, block):
+    rng = random.Random(held)
+    base, texts = [f"b{i}" for i in range(90)], []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(w[: rng.choice([70, 80, 90])]))
+    texts += [" ".join(base[:30] + [f"o{rng.randrange(10**6)}" for _ in range(60)]) for _ in range(40)]
+    rows = list(enumerate(texts))
+    out = linked(spark.createDataFrame(rows, "doc_id long, text string"), held=held, block=block)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == expected(rows)
+
+
+@pytest.mark.parametrize(("seed", "held"), [(2, 1), (3, 2)])
+def test_repeated_rows_and_ids_equal_brute_force(spark, seed, held):
     rows = [(d, t) for d, t in corpus(seed) for _ in range(1 + d % 3)]
     rows += [(d, f"other {t} text of {d}") for d, t in rows[::9]]  # another text with the same doc_id
     rng = random.Random(seed)
     rows += [(d, " ".join(f"v{rng.randrange(400)}" for _ in range(20))) for d, _ in rows[:60:4]]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = linked(docs, held=held, slack=slack)
+    out = linked(docs, held=held)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == expected(rows)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.withColumn("m", F.least("u", F.min("v").over(by))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = large.where("u <> v").distinct().withColumn("m", F.min("v").over(by))
-        cur = written(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select("v", "m")).distinct())
+        older, cur = cur, written(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select("v", "m")).distinct())
+        discard(older)
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == last:
             break

@@ -1,20 +1,24 @@
 """Jaccard join of word-shingle sets with adaptive multi-match prefixes, and the components of its links.
 
-A document's tokens are the hashes of its distinct shingles, in the order of the hashes. Two sets similar enough share,
-for every l, at least l tokens of their l-prefixes, where the l-prefix has l - 1 tokens more than the plain one. So a
-document lengthens its prefix by one for each token in it that too many classes hold, and by a few more as the
-estimated number of its candidates grows; a pair needs as many more shared tokens, and tokens that too many classes
-hold need not be joined at all. Candidates are verified on the whole sets.
+A document's tokens are the hashes of its distinct shingles. They are ordered rare ones first: those that more than
+HELD sets hold ("common", by exact counts) come last, the others by their hash. Two sets similar enough share, for
+every l, at least l tokens of their l-prefixes, where the l-prefix has l - 1 tokens more than the plain one. So each
+document lengthens its prefix as far as that lowers the estimated cost of its candidates, which is taken from the
+number of sets behind each token of the prefix, and a pair needs as many more shared tokens before it is verified on
+the whole sets. Rare tokens alone are joined, so no token makes more than HELD * HELD / 2 pairs.
 
-Before that, equal sets become one node, nodes with the same smallest tokens are verified against the first of them,
-and then the classes that share a token by their first documents; the postings are joined only across the classes
-found, so a large group of near copies costs its size and not its square. Documents made up of widely held tokens bring all their tokens and are joined on their rarest.
+A document of which too few tokens are rare to fill a prefix ("dense") is found by other documents through its rare
+tokens. Two dense ones are compared whole: those that share tokens of their prefixes form groups, groups are dealt into
+blocks of bounded size, and each pair of blocks is compared in one task, which returns only links between classes.
+
+Before that, equal sets become one node, and nodes with the same smallest tokens are verified against the first of
+them. Pairs within a class already found are not compared, so a large group of near copies mostly costs its size.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; a text shorter than a shingle is one
 shingle; a null doc_id is linked with nothing and has no component; repeated rows are in one component; rows with one
-doc_id and different texts are judged by their own text; further columns are not read; an empty table gives an empty
-result. Nothing is capped: each pair of different sets that reaches the limit is a link and joins their components. The
-operator returns components, not the set of links: pairs within a class already found are not compared.
+doc_id and different texts are judged by their own text; very long texts are read whole, in blocks; further columns are
+not read; an empty table gives an empty result. Nothing is capped: each pair of different sets that reaches the limit
+is a link and joins their components. The operator returns components, not the set of links.
 """
 
 from __future__ import annotations
@@ -26,16 +30,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import with_keys, written
+from .scratch import BROADCAST_ROWS, discard, with_keys, written
 from .textscan import LOWER, blocks, columns, hashed, mix, odd, shingles, words
 
 N, PERCENT = 5, 75
-#: Tokens that each document brings beyond its plain prefix; classes that may hold a token which is joined.
-SLACK, HELD = 32, 48
-#: Rounds in which the classes that share a token are compared by their first documents only.
-ROUNDS = 2
-#: Bits of a posting's place in its prefix, below the document's number: prefixes of up to 16 million tokens.
+#: Sets that may hold a token which is joined, and the weight of verifying a pair against reading a posting.
+HELD, VERIFY = 48, 8
+#: Weight of the sets in a block of dense documents: their tokens, and 64 for each.
+BLOCK = 1 << 18
+#: Bits of a posting's place in its prefix, below the document's number, the highest marking a dense document.
 _POS = 24
+_DENSE = 1 << (_POS - 1)
+#: Tokens that a kernel hands on at once.
+_TOGETHER = 1 << 17
 
 
 def token_sets(column: pa.Array, n: int = N):
@@ -69,11 +76,6 @@ def _sketches(batches):
         yield columns(doc_id=batch.column("doc_id"), text_key=batch.column("text_key"), **{c: pa.array(v.view(np.int64)) for c, v in zip(names, out, strict=True)})
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    at = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)))
-
-
 def _similar(percent: int):
     """The pairs of texts whose sets are similar enough."""
 
@@ -88,14 +90,150 @@ def _similar(percent: int):
     return run
 
 
-def _heads(percent: int, slack: int):
-    def heads(batches):
+class _Common:
+    """The common tokens with the numbers of their sets, sorted; `token` is None where they come as a column of each row."""
+
+    def __init__(self, table: pa.Table | None):
+        self.token = self.count = None
+        if table is not None:
+            token = table.column("token").to_numpy().view(np.uint64)
+            order = np.argsort(token)
+            self.token, self.count = token[order], table.column("k").to_numpy()[order]
+
+    def split(self, x: np.ndarray, own: pa.Scalar | None) -> tuple[np.ndarray, np.ndarray]:
+        """x, sorted, as its rare tokens, and its common ones with the rarest first."""
+        token, count = self.token, self.count
+        if token is None:
+            some = sorted((r["token"] & (1 << 64) - 1, r["k"]) for r in own.as_py() or ())
+            token, count = np.array([t for t, _ in some], np.uint64), np.array([k for _, k in some], np.int64)
+        if not len(token):
+            return x, x[:0]
+        at = np.minimum(np.searchsorted(token, x), len(token) - 1)
+        common = token[at] == x
+        y = x[common]
+        return x[~common], y[np.lexsort((y, count[at[common]]))]
+
+
+def _rows(node: list[int], tokens: list[np.ndarray], **more: list[np.ndarray]) -> pa.RecordBatch:
+    """One row for each token, with its node."""
+    per = np.repeat(np.array(node, np.int64), [len(t) for t in tokens])
+    return columns(token=np.concatenate(tokens).view(np.int64), node=per, **{k: np.concatenate(v) for k, v in more.items()})
+
+
+def _tokens(batches):
+    """(token, node) of every token of every set."""
+    for batch in batches:
+        node, tokens, size = [], [], 0
+        for k, x in zip(batch.column("node").to_pylist(), token_sets(batch.column("text")), strict=True):
+            if size and size + len(x) > _TOGETHER:
+                yield _rows(node, tokens)
+                node, tokens, size = [], [], 0
+            node.append(k)
+            tokens.append(x)
+            size += len(x)
+        if size:
+            yield _rows(node, tokens)
+
+
+def _counts(batches):
+    """(token, k): how many sets hold a token, in parts."""
+    for batch in batches:
+        some, size = [], 0
+        for x in token_sets(batch.column("text")):
+            some.append(x)
+            size += len(x)
+            if size >= _TOGETHER:
+                token, k = np.unique(np.concatenate(some), return_counts=True)
+                yield columns(token=token.view(np.int64), k=k)
+                some, size = [], 0
+        if size:
+            token, k = np.unique(np.concatenate(some), return_counts=True)
+            yield columns(token=token.view(np.int64), k=k)
+
+
+def _prefixes(percent: int, common: _Common, dense: bool):
+    """(token, node, pos): of documents with enough rare tokens the prefix and its slack, of dense ones all rare tokens.
+
+    With `dense`, (token, node) of dense documents' plain prefixes, common tokens included, instead."""
+
+    def run(batches):
         for batch in batches:
-            some = [x[: prefix(len(x), percent) + slack] for x in token_sets(batch.column("text"))]
-            assert max(map(len, some), default=0) < 1 << _POS
-            yield columns(node=batch.column("node"), tokens=_lists(some))
+            own = batch.column("common") if common.token is None else [None] * batch.num_rows
+            nodes = batch.column("node").to_pylist()
+            node, tokens, places, size = [], [], [], 0
+            for k, x in enumerate(token_sets(batch.column("text"))):
+                rare, rest = common.split(x, own[k])
+                plain = prefix(len(x), percent)
+                reach = plain + slack(plain)
+                assert reach < _DENSE
+                is_dense = len(rare) < min(reach, len(x))
+                if dense and not is_dense or not len(x):
+                    continue
+                out = np.concatenate((rare, rest))[:plain] if dense else rare[:reach]
+                node.append(nodes[k])
+                tokens.append(out)
+                places.append(np.arange(len(out), dtype=np.int32) + is_dense * _DENSE)
+                size += len(out)
+                if size >= _TOGETHER:
+                    yield _rows(node, tokens) if dense else _rows(node, tokens, pos=places)
+                    node, tokens, places, size = [], [], [], 0
+            if size:
+                yield _rows(node, tokens) if dense else _rows(node, tokens, pos=places)
+
+    return run
+
+
+def _merging(sets: list[np.ndarray], cls: np.ndarray, left: np.ndarray, right: np.ndarray | None, percent: int):
+    """Links (a, b) between classes among sets[left] x sets[right], or within left; cls is merged on the way.
+
+    A set is marked in an array of all tokens and met with all others at once. Members of the largest class are not
+    compared with each other."""
+    n = np.array([len(x) for x in sets])
+    ids, cut = np.unique(np.concatenate(sets), return_inverse=True)[1], np.concatenate(([0], np.cumsum(n)))
+    tokens = [ids[cut[k] : cut[k + 1]] for k in range(len(sets))]
+    mark = np.zeros(len(ids), np.uint8)
+    names, sizes = np.unique(cls, return_counts=True)
+    big = cls == names[np.argmax(sizes)]
+    turns = [(left[~big[left]], left)] if right is None else [(left[~big[left]], right), (right[~big[right]], left[big[left]])]
+    for one, other in turns:
+        if not len(one) or not len(other):
+            continue
+        flat = np.concatenate([tokens[k] for k in other])
+        at = np.concatenate(([0], np.cumsum(n[other])[:-1]))
+        for k in one:
+            apart = cls[other] != cls[k]
+            if not apart.any():
+                continue
+            mark[tokens[k]] = 1
+            both = np.add.reduceat(mark[flat], at, dtype=np.int64)
+            mark[tokens[k]] = 0
+            for j in other[apart & (100 * both >= percent * (n[k] + n[other] - both))]:
+                if cls[j] != cls[k]:
+                    yield k, j
+                    cls[cls == cls[j]] = cls[k]
+
+
+def _compared(percent: int):
+    """For the rows (grp, side, node, comp, text) of a task the links (a, b) that merge classes."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        sets = list(token_sets(rows.column("text")))
+        grp, side, node, comp = (rows.column(c).to_numpy() for c in ("grp", "side", "node", "comp"))
+        order, found = np.argsort(grp, kind="stable"), [np.zeros((0, 2), np.int64)]
+        for part in np.split(order, np.flatnonzero(np.diff(grp[order])) + 1):
+            one = side[part] == 0
+            left, right = np.flatnonzero(one), None if one.all() else np.flatnonzero(~one)
+            links = list(_merging([sets[k] for k in part], comp[part], left, right, percent))
+            found.append(node[part[np.array(links, np.int64).reshape(-1, 2)]])
+        links = np.concatenate(found)
+        return pa.table({"a": links[:, 0], "b": links[:, 1]})
+
+    return run
 
-    return heads
+
+def slack(plain):
+    """Tokens by which a prefix may be lengthened. For numbers and, as SQL, for columns."""
+    return f"(4 + {plain} div 8)" if isinstance(plain, str) else 4 + plain // 8
 
 
 def prefix(n, percent: int = PERCENT):
@@ -118,10 +256,10 @@ def _near_size(a: str, b: str, percent: int) -> Column:
 class Join:
     """Links between the sets of documents of one table."""
 
-    def __init__(self, docs: DataFrame, n: int = N, percent: int = PERCENT, slack: int = SLACK, held: int = HELD, rounds: int = ROUNDS):
+    def __init__(self, docs: DataFrame, n: int = N, percent: int = PERCENT, held: int = HELD, block: int = BLOCK, broadcast: int = BROADCAST_ROWS):
         assert n == N
         self.docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
-        self.percent, self.slack, self.held, self.rounds = percent, slack, held, rounds
+        self.percent, self.held, self.block, self.broadcast = percent, held, block, broadcast
 
     def texts(self, ids: DataFrame) -> DataFrame:
         """(node, text) of the nodes in ids, each read from the one row that stands for its set."""
@@ -130,98 +268,102 @@ class Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole texts are similar enough, written. Texts travel, as they are smaller than their sets."""
-        pairs = written(pairs.distinct())
-        texts = self.texts(written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+        ids = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        texts = self.texts(ids)
         a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-        return written(pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_similar(self.percent), "a long, b long").distinct())
-
-    def postings(self) -> DataFrame:
-        """(token, ref) of the lengthened prefixes; ref packs the node and the place, as rows here are many."""
-        text = with_keys(self.docs, self.nodes.select("node", "doc_id", "text_key"), ["doc_id", "text_key"]).select("node", "text")
-        heads = text.mapInArrow(_heads(self.percent, self.slack), "node long, tokens array<long>")
-        return heads.select(F.posexplode("tokens").alias("pos", "token"), "node").select("token", (F.shiftleft("node", _POS) + F.col("pos")).alias("ref"))
-
-    def across(self, x: DataFrame, y: DataFrame, ordered: bool) -> DataFrame:
-        """Pairs of rows with one token, of different classes and sizes near enough."""
-        y = y.select("token", *(F.col(c).alias(f"{c}_y") for c in y.columns if c != "token"))
-        on = x.join(y, "token").where((F.col("comp") != F.col("comp_y")) & _near_size("n", "n_y", self.percent))
-        return on.where("doc < doc_y") if ordered else on
-
-    def shared(self, nodes: DataFrame) -> DataFrame:
-        """(token, doc, n, pos), written: postings of tokens that more than one class holds."""
+        out = written(pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(_similar(self.percent), "a long, b long"))
+        discard(ids, pairs)
+        return out
+
+    def node_texts(self) -> DataFrame:
+        return with_keys(self.docs, self.nodes.select("node", "doc_id", "text_key"), ["doc_id", "text_key"]).select("node", "text")
+
+    def with_common(self) -> tuple[DataFrame, _Common]:
+        """The nodes' texts, and the tokens that more than `held` sets hold: beside them if few, else as a column.
+
+        Every token is shuffled once to be counted. Kernels add up what they have together, which is enough for tokens
+        that many sets hold; partial counts by Spark would not pay, as most tokens occur once."""
+        texts = self.node_texts()
+        counted = texts.mapInArrow(_counts, "token long, k long").repartition("token").groupBy("token").agg(F.sum("k").alias("k"))
+        common = written(counted.where(F.col("k") > self.held))
+        if common.count() <= self.broadcast:
+            return texts, _Common(common.toArrow())
+        tokens = texts.mapInArrow(_tokens, "token long, node long").join(common, "token")
+        by_node = tokens.groupBy("node").agg(F.collect_list(F.struct("token", "k")).alias("common"))
+        return texts.join(by_node, "node", "left"), _Common(None)
+
+    def candidates(self, texts: DataFrame, common: _Common, placed: DataFrame) -> DataFrame:
+        """Pairs of nodes of different classes, not both dense, that share enough rare tokens of their prefixes."""
         w = W.partitionBy("token")
-        twice = self.postings().repartition("token").withColumn("k", F.count("*").over(w)).where("k > 1")
-        placed = with_keys(twice.select("token", F.shiftright("ref", _POS).alias("node"), F.col("ref").bitwiseAND((1 << _POS) - 1).cast("int").alias("pos")), nodes, "node")
-        apart = placed.withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi")
-        return written(apart.select("token", F.col("node").alias("doc"), "n", "pos"))
-
-    def stars(self, shared: DataFrame, comps: DataFrame) -> DataFrame:
-        """For each token the first document of each class against the first of all; those that meet in half a prefix.
-
-        These pairs only spare work, as those they link need not be compared across classes afterwards."""
-        w = W.partitionBy("token").orderBy("d.doc")
-        one = with_keys(shared, comps, "doc").repartition("token").groupBy("token", "comp").agg(F.min(F.struct("doc", "n")).alias("d"))
-        hub = one.withColumn("h", F.first("d").over(w)).where((F.col("d.doc") != F.col("h.doc")) & _near_size("d.n", "h.n", self.percent))
-        met = hub.groupBy(F.col("h.doc").alias("a"), F.col("d.doc").alias("b"), F.col("d.n").alias("n")).agg(F.count("*").alias("c"))
-        return met.where(f"2 * c >= {prefix('n', self.percent)}").select("a", "b")
+        rows = texts.mapInArrow(_prefixes(self.percent, common, False), "token long, node long, pos int")
+        rows = rows.select("token", (F.shiftleft("node", _POS) + F.col("pos")).alias("ref"))  # packed, as rows here are many
+        twice = rows.repartition("token").withColumn("k", F.count("*").over(w)).where("k > 1")
+        twice = twice.select("token", F.shiftright("ref", _POS).alias("node"), F.col("ref").bitwiseAND((1 << _POS) - 1).cast("int").alias("pos"), "k")
+        apart = with_keys(twice, placed, "node").withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi")
+        dense = F.col("pos") >= _DENSE
+        shared = written(apart.select("token", F.col("node").alias("doc"), "comp", "n", "k", dense.alias("dense"), F.when(dense, F.col("pos") - _DENSE).otherwise(F.col("pos")).alias("pos")))
+        # Lengthening as far as the next token that others hold costs nothing, so these are the lengths to choose from.
+        plain = prefix("n", self.percent)
+        before = F.coalesce(F.sum(F.col("k") - 1).over(W.partitionBy("doc").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        cost = lambda read, e: read * (1 + F.lit(VERIFY) / (e + 1))
+        lengths = shared.where("not dense").withColumn("e", F.expr(f"pos - {plain}")).withColumn("before", before)
+        most = F.expr(f"cast({slack(plain)} as int)")
+        best = lengths.groupBy("doc", "n").agg(
+            F.min(F.when(F.col("e") >= 0, F.struct(cost(F.col("before"), F.col("e")).alias("cost"), F.col("e").cast("int").alias("e")))).alias("best"), F.sum(F.col("k") - 1).alias("all"),
+        )
+        extra = F.least(F.col("best"), F.struct(cost(F.col("all"), most).alias("cost"), most.alias("e")))["e"]
+        plans = written(best.select("doc", F.least(extra, F.expr(f"cast(n - {plain} as int)")).alias("extra")))
+        rows = shared.join(plans, "doc", "left").where(F.col("dense") | F.expr(f"pos < {plain} + extra"))
+        rows = rows.select("token", "doc", "comp", "n", "dense", F.when(F.col("dense"), F.col("n")).otherwise(F.col("extra")).cast("int").alias("extra"))
+        pairs = written(self.met(self.across(rows)))
+        discard(shared, plans)
+        return pairs
+
+    def across(self, x: DataFrame) -> DataFrame:
+        """Pairs of rows with one token, of different classes and sizes near enough, not both dense."""
+        y = x.select("token", *(F.col(c).alias(f"{c}_y") for c in x.columns if c != "token"))
+        return x.join(y, "token").where((F.col("doc") < F.col("doc_y")) & (F.col("comp") != F.col("comp_y")) & ~(F.col("dense") & F.col("dense_y")) & _near_size("n", "n_y", self.percent))
 
     def met(self, both: DataFrame) -> DataFrame:
-        """Pairs (a, b) with more shared tokens than `extra`, and enough for the limit.
-
-        Of the document whose prefix ends first in the order of tokens every token up to there is known, so the overlap
-        is at most the tokens met, those that were not joined (`wide`), and what lies beyond its prefix (`room`)."""
-        per = both.groupBy(F.col("doc").alias("a"), F.col("doc_y").alias("b"), F.col("n") + F.col("n_y"), F.greatest("room", "room_y"), F.least("wide", "wide_y"), F.least("extra", "extra_y")).agg(F.count("*").alias("c"))
-        per = per.toDF("a", "b", "sizes", "room", "wide", "extra", "c")
-        return per.where(f"c > extra and (c + wide + room) * {100 + self.percent} >= {self.percent} * sizes").select("a", "b")
-
-    def candidates(self, shared: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs of nodes of different classes that share enough tokens of their prefixes."""
-        w = W.partitionBy("token")
-        comps = nodes.select(F.col("node").alias("doc"), "comp")
-        apart = with_keys(shared, comps, "doc").repartition("token").withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).where("lo < hi")
-        shared = written(apart.drop("lo", "hi"))
-        held = shared.groupBy("token", "comp").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("held"))
-        shared = shared.join(held, "token")
-        plain, most = prefix("n", self.percent), f"least(n, {prefix('n', self.percent)} + {self.slack})"
-        many = F.col("held") > self.held
-        per_doc = shared.groupBy("doc", "n").agg(
-            F.array_sort(F.collect_set(F.when(many, F.col("pos")))).alias("wide"),
-            F.sum(F.when(many, 0).otherwise(F.col("held") - 1)).alias("cost"),
-        )
-        # The prefix that leaves as many joined tokens as the plain one has, and the one longer by the estimated cost.
-        reach = lambda e: f"aggregate(wide, cast({plain} + {e} as int), (acc, p) -> if(p < acc, acc + 1, acc))"
-        spare = f"greatest({most} - {reach('0')}, 0)"
-        extra = f"cast(least(cost, {spare}) as int)"
-        plans = per_doc.withColumn("l0", F.expr(reach("0"))).withColumn("e", F.expr(extra)).withColumn("l1", F.expr(reach("e")))
-        fits = f"l1 <= {most}"
-        plans = written(plans.select(
-            "doc", "wide", F.expr(f"l0 > {most}").alias("heavy"), F.expr(f"case when l0 > {most} then {most} when {fits} then l1 else l0 end").alias("reach"),
-            F.expr(f"case when l0 > {most} then n when {fits} then e else 0 end").alias("extra"),
-        ).withColumn("wide", F.expr("size(filter(wide, p -> p < reach))")))
-        # A heavy document's pair with another is bound by the other's extra; pairs of two heavy ones are left to `_heavy`.
-        rows = shared.where(~many).join(plans, "doc").where("pos < reach").select("token", "doc", "comp", "n", (F.col("n") - F.col("reach")).alias("room"), "wide", "extra", "heavy")
-        found = self.met(self.across(rows, rows, True).where("not (heavy and heavy_y)"))
-        heavy = written(plans.where("heavy").select("doc"))
-        return found if heavy.isEmpty() else found.union(self._heavy(nodes, heavy, held.where(many))).distinct()
-
-    def _heavy(self, nodes: DataFrame, heavy: DataFrame, wide: DataFrame) -> DataFrame:
-        """Candidates among documents of which most tokens are widely held, by the plain prefix of their rarest tokens.
-
-        Where the prefix reaches widely held tokens it holds all others (`own` of them). Two such documents share at most
-        the others met and the smaller number of widely held ones; without any other in common the latter must do."""
-        few = written(nodes.join(heavy, nodes["node"] == heavy["doc"], "left_semi"))
-        whole = self.texts(few.select("node")).mapInArrow(_heads(0, 0), "node long, tokens array<long>").select("node", F.explode("tokens").alias("token"))
-        by = W.partitionBy("node")
-        rank = F.row_number().over(by.orderBy(F.coalesce("held", F.lit(0)), "token"))
-        plain = prefix("n", self.percent)
-        rows = whole.join(wide, "token", "left").withColumn("own", F.count_if(F.col("held").isNull()).over(by)).withColumn("rank", rank).join(few, "node")
-        rows = rows.where(f"rank <= {plain}").select("token", "held", F.col("node").alias("doc"), "comp", "n", "own", F.lit(0).alias("extra"))
-        rows = written(rows.withColumn("rest", F.expr(f"n - {plain}")).withColumn("all_own", F.expr(f"own <= {plain}")))
-        rare = rows.where("held is null").withColumn("wide", F.when(F.col("all_own"), F.col("n") - F.col("own")).otherwise(0)).withColumn("room", F.when(F.col("all_own"), 0).otherwise(F.col("rest")))
-        found = self.met(self.across(rare, rare, True))
-        top = rows.where("held is not null").withColumn("wide", F.lit(0)).withColumn("room", F.col("rest"))
-        enough = F.least(F.col("n") - F.col("own"), F.col("n_y") - F.col("own_y")) * (100 + self.percent) >= self.percent * (F.col("n") + F.col("n_y"))
-        return found.union(self.met(self.across(top, top, True).where(enough))).distinct()
+        """Pairs (a, b) with more shared tokens than the smaller extra, and enough for the limit.
+
+        Of the document whose prefix ends first every token up to there is compared, and of a dense one every rare token
+        is, so the overlap is at most the tokens met and what lies beyond the other's prefix (`room`)."""
+        room = lambda c: F.when(F.col(f"dense{c}"), -1).otherwise(F.expr(f"n{c} - {prefix('n' + c, self.percent)} - extra{c}"))
+        per = both.groupBy(F.col("doc").alias("a"), F.col("doc_y").alias("b")).agg(F.count("*").alias("c"), F.first(F.struct((F.col("n") + F.col("n_y")).alias("sizes"), F.greatest(room(""), room("_y")).alias("room"), F.least("extra", "extra_y").alias("extra"))).alias("p"))
+        return per.where(f"c > p.extra and (c + p.room) * {100 + self.percent} >= {self.percent} * p.sizes").select("a", "b")
+
+    def dense_links(self, texts: DataFrame, common: _Common, placed: DataFrame) -> DataFrame:
+        """Links between classes of dense documents, each pair of which is compared if prefixes and sizes allow one."""
+        edges = rows = written(texts.mapInArrow(_prefixes(self.percent, common, True), "token long, node long"))
+        hubs = rows.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("k")).where("k > 1").drop("k")
+        groups = components(written(rows.join(hubs, "token").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()))
+        members = written(with_keys(groups.withColumnRenamed("root", "grp"), placed, "node"))
+        discard(edges)
+        # Linked sizes are in one bucket or in neighbouring ones.
+        members = members.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / self.percent * 1.01))).cast("int"))
+        weight = F.sum(F.col("n") + 64)
+        mixed = members.groupBy("grp").agg(weight.alias("whole"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi")
+        members = written(members.join(mixed, "grp"))
+        small = members.where(F.col("whole") <= self.block)
+        bins = F.lit(1 + (small.agg(weight).first()[0] or 0) // self.block)
+        alone = small.select(F.struct(F.pmod(F.xxhash64("grp"), bins).alias("grp"), *(F.lit(-1).alias(c) for c in ("p", "i", "q", "j"))).alias("task"), F.lit(0).alias("side"), "grp", "node", "comp")
+        large = members.where(F.col("whole") > self.block)
+        blocks = large.groupBy("grp", "bucket").agg(F.ceil(weight / self.block).cast("int").alias("blocks"))
+        upper = blocks.select("grp", F.col("bucket").alias("q"), F.col("blocks").alias("others"))
+        pairs = blocks.withColumnRenamed("bucket", "p").join(upper, "grp").where("q = p or q = p + 1")
+        pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("others") - 1))).where("p < q or i <= j")
+        task = F.struct("grp", "p", "i", "q", "j").alias("task")
+        sides = pairs.select(task, F.lit(0).alias("side"), "grp", F.col("p").alias("bucket"), F.col("i").alias("part"))
+        sides = sides.union(pairs.where("p < q or i < j").select(task, F.lit(1), "grp", "q", "j"))
+        dealt = large.join(blocks, ["grp", "bucket"]).withColumn("part", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        dealt = dealt.join(sides, ["grp", "bucket", "part"]).select("task", "side", "grp", "node", "comp")
+        rows = written(alone.union(dealt))
+        texts = self.texts(written(members.select("node").distinct()))
+        found = rows.join(texts, "node").select("task", "side", "grp", "node", "comp", "text").groupBy("task").applyInArrow(_compared(self.percent), "a long, b long")
+        out = written(found.distinct())
+        discard(rows, members)
+        return out
 
     def classed(self, links: DataFrame) -> DataFrame:
         """(node, n, comp), written, by the links found so far."""
@@ -244,16 +386,10 @@ class Join:
         nodes = self.nodes = numbered(sets.select("ka", "kb", "row.*", "n", "sig")).withColumnRenamed("i", "node")
         hubs = nodes.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("k")).where("k > 1")
         stars = nodes.join(hubs, "sig").where((F.col("node") != F.col("hub.node")) & _near_size("n", "hub.n", self.percent))
-        links = self.verified(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")))
+        links = self.verified(written(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))))
         placed = self.classed(links)
-        shared = self.shared(placed)
-        for _ in range(self.rounds):
-            pairs = written(self.stars(shared, placed.select(F.col("node").alias("doc"), "comp")))
-            if pairs.isEmpty():
-                break
-            links = written(links.union(self.verified(pairs)))
-            placed = self.classed(links)
-        links = links.union(self.verified(self.candidates(shared, placed)))
+        texts, common = self.with_common()
+        links = written(links.union(self.dense_links(texts, common, placed)).union(self.verified(self.candidates(texts, common, placed))))
         roots = components(links)
         least = written(nodes.join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("least")))
         named = with_keys(roots, least, "root").select("node", "least")
