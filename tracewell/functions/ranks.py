@@ -30,7 +30,8 @@ def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column |
     """df with `name`: 1, 2, ... inside each group in the given order; bucket must not decrease along it."""
     df = df.withColumn("_bucket", bucket)
     counts = df.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(W.partitionBy(*group).orderBy("_bucket")) - F.col("_n")).drop("_n")
+    sums = W.partitionBy(*group).orderBy("_bucket") if group else W.orderBy("_bucket")  # of one row per bucket
+    before = counts.withColumn("_before", F.sum("_n").over(sums) - F.col("_n")).drop("_n")
     local = F.row_number().over(W.partitionBy(*group, "_bucket").orderBy(*order))
     out = df.withColumn("_local", local).join(before, [*group, "_bucket"])
     return out.withColumn(name, F.col("_local") + F.col("_before")).drop("_bucket", "_local", "_before")

@@ -9,13 +9,28 @@ from pyspark.sql import functions as F
 
 #: Accepted spellings of the four frame forms, and the forms in their order.
 FORM_ALIASES = {
-    "mean_std": "mean_std", "mean+std": "mean_std", "meanstd": "mean_std", "mean-std": "mean_std",
-    "raw50": "raw50", "raw": "raw50", "max1": "max1", "max": "max1", "top1": "max1",
-    "top3_mean": "top3_mean", "top3": "top3_mean", "top3mean": "top3_mean",
-}
+    "mean_std": "mean_std",
+    "mean+std": "mean_std",
+    "meanstd": "mean_std",
+    "raw50": "raw50",
+    "raw_50": "raw50",
+    "raw_50_frames": "raw50",
+    "max1": "max1",
+    "max_1": "max1",
+    "max_1_frame": "max1",
+    "top3_mean": "top3_mean",
+    "top3": "top3_mean",
+    "top_3_mean": "top3_mean",
+}
 FORMS = ("mean_std", "raw50", "max1", "top3_mean")
-#: Named sets of depth regions in millimetres.
+#: Named sets of depth regions in millimetres; `all` runs the first four.
 REGION_PRESETS = {"full": [(0.0, 5.0)], "bone": [(1.0, 3.0)], "bone_plus_post": [(0.2, 1.5), (1.5, 5.0)], "dyn_envelope": [], "dyn_envelope_full": [(0.0, 5.0)]}
+#: Marks in the names of runs and images.
+PREPROCESSING_TAG = "headsim_cubic"
+CHANNEL3_SELECTION = "independent_beam_peak_v1"
+MODEL_TOKENS = {"concat": "vit", "cross_vote": "vit_cross_vote", "emd": "core"}
+#: Names of the two classes where no scheme records any.
+BINARY_CLASS_NAMES = ("即将穿透", "安全")
 
 
 def half_up(x: Column) -> Column:
@@ -45,8 +60,14 @@ def digitize(depth: Column, thresholds: Column) -> Column:
 
 
 def general(x: Column) -> Column:
-    """A number with up to six decimals and no trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), "0+$", ""), r"\.$", "")
+    """A number in six significant digits without trailing zeros; very small and large ones with an exponent (as %g)."""
+    mantissa, power = F.split(F.format_string("%.5e", x), "e")[0], F.split(F.format_string("%.5e", x), "e")[1].cast("int")
+    cut = lambda t: F.when(F.contains(t, F.lit(".")), F.regexp_replace(F.regexp_replace(t, "0+$", ""), r"\.$", "")).otherwise(t)
+    fixed = F.lit(None).cast("string")
+    for k in range(-4, 6):
+        fixed = F.when(power == k, F.format_string(f"%.{5 - k}f", F.bround(x, 5 - k))).otherwise(fixed)  # ties to even
+    far = F.concat(cut(mantissa), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return F.when(x == 0, "0").when((power < -4) | (power > 5), far).otherwise(cut(fixed))
 
 
 def class_names(thresholds: Column) -> Column:
@@ -58,11 +79,24 @@ def class_names(thresholds: Column) -> Column:
     return F.concat(F.array(F.concat(F.lit("depth < "), F.get(shown, F.lit(0)))), middle, F.array(F.concat(F.lit("depth >= "), F.get(shown, last))))
 
 
+def display_names(recorded: Column, classes: Column) -> Column:
+    """A name for each of `classes` labels: the recorded one, for two classes the usual pair unless two are recorded, else label=k."""
+    names = F.when((classes == 2) & (F.coalesce(F.size(recorded), F.lit(-1)) != 2), F.array(*(F.lit(n) for n in BINARY_CLASS_NAMES))).otherwise(F.coalesce(recorded, F.array().cast("array<string>")))
+    return F.transform(F.sequence(F.lit(0), classes - 1), lambda k: F.coalesce(F.get(names, k), F.concat(F.lit("label="), k.cast("string"))))
+
+
 def scheme_tag(thresholds: Column) -> Column:
     shown = F.transform(thresholds, lambda t: F.replace(general(t), F.lit("-"), F.lit("m")))
     return F.concat(F.lit("cls"), (F.size(shown) + 1).cast("string"), F.lit("_thr"), F.array_join(shown, "-"))
 
 
+def recorded_tag(tag: Column, thresholds: Column) -> Column:
+    """The tag under which runs are filed: the recorded one, else thr with the thresholds as recorded (texts); null for none."""
+    text = F.coalesce(tag, F.when(F.size(thresholds) > 0, F.concat(F.lit("thr"), F.array_join(thresholds, "-"))))
+    clean = F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}._-]", "-"), r"^[-.]+|[-.]+$", "")
+    return F.when(clean != "", clean)
+
+
 def safe_name(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, "[^A-Za-z0-9_.-]+", "_"), "^[-._]+|[-._]+$", "")
 
@@ -80,17 +114,39 @@ def scheme_errors(thresholds: Column) -> Column:
     return F.array_compact(F.array(F.when(F.size(thresholds) == 0, "empty"), F.when(bad, "not_finite"), F.when(~bad & ~rises, "not_increasing")))
 
 
-def canonical_form(text: Column) -> Column:
-    """One of FORMS, or null for an unknown spelling."""
+def _known_form(text: Column) -> Column:
     names = F.create_map(*(F.lit(x) for kv in FORM_ALIASES.items() for x in kv))
     return F.try_element_at(names, F.replace(F.lower(F.trim(text)), F.lit(" "), F.lit("_")))
 
 
+def canonical_form(text: Column) -> Column:
+    """One of FORMS; an unknown spelling raises."""
+    return F.when(text.isNotNull(), F.coalesce(_known_form(text), F.raise_error(F.concat(F.lit("unknown frame form "), text))))
+
+
+def _asked_forms(text: Column) -> Column:
+    return F.filter(F.split(text, ","), lambda p: F.trim(p) != "")
+
+
+def _all_forms(text: Column) -> Column:
+    return F.lower(F.trim(text)) == "all"
+
+
+def forms_problem(text: Column) -> Column:
+    """What parse_forms raises for: `empty` or `unknown`, or null."""
+    asked = _asked_forms(text)
+    return F.when(_all_forms(text), None).when(F.size(asked) == 0, "empty").when(F.exists(asked, lambda p: _known_form(p).isNull()), "unknown")
+
+
 def parse_forms(text: Column) -> Column:
-    """Forms of a comma-separated list, each once and in the fixed order; `all` means every form."""
+    """Forms of a comma-separated list, each once and in the fixed order; `all` means every form.
+
+    An unknown spelling or a list without any form raises; a null stays null."""
     order = F.array(*(F.lit(f) for f in FORMS))
-    asked = F.transform(F.filter(F.split(text, ","), lambda p: F.trim(p) != ""), canonical_form)
-    return F.when(F.lower(F.trim(text)) == "all", order).otherwise(F.filter(order, lambda f: F.array_contains(F.array_compact(asked), f)))
+    problem = forms_problem(text)
+    asked = F.transform(_asked_forms(text), _known_form)
+    found = F.when(_all_forms(text), order).otherwise(F.filter(order, lambda f: F.array_contains(asked, f)))
+    return F.when(problem.isNull(), found).otherwise(F.raise_error(F.concat(problem, F.lit(" frame form in: "), text)))
 
 
 def tukey_weights(length: int, alpha: float = 0.3) -> list[float]:
@@ -122,13 +178,27 @@ def decide(p: Column, threshold: float | None = None) -> Column:
     return argmax(p) if threshold is None else (F.get(p, F.lit(1)) >= threshold).cast("int")
 
 
-def learning_rate(epoch: Column, epochs: int, peak: float, floor: float, warmup: int) -> Column:
-    """Linear rise, then half a cosine down to the floor."""
+#: The policies of the learning rate.
+SCHEDULES = ("warmup_cosine", "constant")
+
+
+def rate_problem(peak: Column, floor: Column, warmup: Column, schedule: Column) -> Column:
+    """The first rule that settings of the learning rate break, or null."""
+    finite = lambda x: F.coalesce(F.abs(x) < F.lit(math.inf), F.lit(False))
+    return F.when(~(finite(peak) & finite(floor) & (floor > 0) & (floor <= peak)), "rates").when(warmup < 0, "warmup").when(~schedule.isin(*SCHEDULES), "schedule")
+
+
+def learning_rate(epoch: Column, epochs: int, peak: float, floor: float, warmup: int, schedule: str = "warmup_cosine") -> Column:
+    """Linear rise, then half a cosine down to the floor; or always the peak. Wrong settings, and epochs outside the run, raise."""
+    if not 0 < floor <= peak < math.inf or warmup < 0 or schedule not in SCHEDULES:
+        raise ValueError(f"learning rate from {floor} to {peak}, warm-up {warmup}, schedule {schedule}")
     rise = min(warmup, max(epochs - 2, 0))
     down = epochs - rise - 1
     part = F.lit(math.pi) * (epoch - (rise + 1)) / F.lit(float(max(down, 1)))
     fall = F.lit(floor) + F.lit(peak - floor) * (1 + F.cos(part)) / 2 if down else F.lit(peak)
-    return F.when(epoch <= rise, F.lit(floor) + F.lit(peak - floor) * epoch / F.lit(float(max(rise, 1)))).otherwise(fall)
+    rate = F.when(epoch <= rise, F.lit(floor) + F.lit(peak - floor) * epoch / F.lit(float(max(rise, 1)))).otherwise(fall)
+    inside = F.when((epoch >= 1) & (epoch <= epochs), F.lit(peak) if schedule == "constant" else rate)
+    return inside.when(epoch.isNotNull(), F.raise_error(F.lit("epoch outside the run")).cast("double"))
 
 
 def rate_token(x: Column) -> Column:
@@ -139,18 +209,38 @@ def rate_token(x: Column) -> Column:
     return F.concat(mantissa, F.when(power < 0, "em").otherwise("ep"), F.abs(power).cast("string"))
 
 
-def run_name(form: Column, region: Column, channel: Column, model: Column, *more: Column) -> Column:
-    """Parts of an experiment's name; null parts drop out."""
-    return F.concat_ws("__", F.concat(F.lit("form_"), form), F.concat(F.lit("regions_"), region), F.concat(F.lit("channels_"), channel.cast("string")), model, *more)
+def rate_tag(peak: Column, floor: Column, warmup: Column, schedule: Column) -> Column:
+    """Part of a run's name that tells its learning rates."""
+    policy = F.when(schedule == "warmup_cosine", F.concat(F.lit("warmcos"), warmup.cast("string"))).otherwise("constant")
+    return F.concat(F.lit("lr_"), policy, F.lit("_peak"), rate_token(peak), F.lit("_min"), rate_token(floor))
+
+
+def run_name(form: Column, region: Column, channel: Column, variant: Column, *more: Column) -> Column:
+    """Name of an experiment. variant: a key of MODEL_TOKENS; channel 3 tells its selection; further parts that are null drop out."""
+    model = F.create_map(*(F.lit(x) for kv in MODEL_TOKENS.items() for x in kv))[variant]
+    selection = F.when(channel.cast("int") == 3, F.lit(f"sel_{CHANNEL3_SELECTION}"))
+    parts = (F.concat(F.lit("form_"), form), F.concat(F.lit("regions_"), region), F.concat(F.lit("channels_"), channel.cast("string")))
+    return F.concat_ws("__", *parts, model, F.lit(PREPROCESSING_TAG), selection, *more)
+
+
+#: Channel and rest of a run's name; neither part before may hold the next mark.
+_TO_CHANNEL, _REST = "(?:(?!__channels_).)*", "__channels_((?:(?!__).)+)__(.+)$"
 
 
 def parsed_run_name(name: Column) -> Column:
     """Struct of the parts of an experiment's name; null where it is no such name."""
-    pattern = r"^form_(.+?)__regions_(.+?)__channels_([^_]+)__(.+)$"
+    pattern = f"^form_((?:(?!__regions_).)*)__regions_({_TO_CHANNEL}){_REST}"
     part = lambda i: F.regexp_extract(name, pattern, i)
     return F.when(name.rlike(pattern), F.struct(part(1).alias("form"), part(2).alias("region"), part(3).alias("channel"), part(4).alias("rest")))
 
 
+def confusion_image(name: Column, split: Column) -> Column:
+    """File name of an experiment's confusion image; null where the name is no experiment's."""
+    pattern = f"^(form_{_TO_CHANNEL}){_REST}"
+    part = lambda i: F.regexp_extract(name, pattern, i)
+    return F.when(name.rlike(pattern), F.concat(part(1), F.lit("__channels_"), part(2), F.lit("__split_"), split, F.lit("__"), part(3), F.lit(".png")))
+
+
 def class_token(label: Column, classes: int = 2) -> Column:
     """Short class name for file names."""
     if classes != 2:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import depth_to_index, general, tapered
+from ..functions.scalars import REGION_PRESETS, depth_to_index, general, tapered
 from ..functions.signals import resample_cubic
 from .frames import interval
 from .spans import Detector
@@ -34,6 +34,24 @@ def parse_regions(df: DataFrame, text: str, max_mm: float) -> DataFrame:
     return x.select(*df.columns, "region_idx", F.coalesce("r.name", region_name(a, z)).alias("name"), a.alias("start_mm"), z.alias("end_mm"), valid.alias("valid"))
 
 
+def region_experiments(df: DataFrame, region_set: str, regions_json: str, max_mm: float) -> DataFrame:
+    """df exploded to (..., name, regions) of the runs that a region set asks for.
+
+    Given regions (JSON) make one run named custom; `all` stands for the first four presets; dyn_envelope has no fixed
+    regions; an unknown set raises."""
+    presets = {k: F.array(*(F.struct(F.lit(a).alias("start_mm"), F.lit(z).alias("end_mm")) for a, z in v)).cast("array<struct<start_mm:double,end_mm:double>>") for k, v in REGION_PRESETS.items()}
+    run = lambda name, regions: F.struct(F.lit(name).alias("name"), regions.alias("regions"))
+    chosen = F.when(F.col(region_set) == "all", F.array(*(run(k, v) for k, v in presets.items() if k != "dyn_envelope_full")))
+    for k, v in presets.items():
+        chosen = chosen.when(F.col(region_set) == k, F.array(run(k, v)))
+    unknown = F.raise_error(F.concat(F.lit("unknown region set "), F.coalesce(region_set, F.lit("null"))))
+    texts = df.where(F.col(regions_json).isNotNull())
+    custom = parse_regions(texts, regions_json, max_mm).groupBy(*df.columns).agg(F.array_sort(F.collect_list(F.struct("region_idx", "start_mm", "end_mm"))).alias("r"))
+    custom = custom.select(*df.columns, F.lit("custom").alias("name"), F.transform("r", lambda x: F.struct(x["start_mm"].alias("start_mm"), x["end_mm"].alias("end_mm"))).alias("regions"))
+    named = df.where(F.col(regions_json).isNull()).select(*df.columns, F.explode(chosen.otherwise(unknown)).alias("x")).select(*df.columns, "x.*")
+    return named.unionByName(custom)
+
+
 def slice_bounds(regions: DataFrame, max_mm: float, length: int) -> DataFrame:
     """regions with `start` and `end` indices; empty ones are dropped."""
     to = lambda c: depth_to_index(F.col(c), max_mm, length)

@@ -9,8 +9,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import ranks
+
 #: Fixed value: the pattern of a preprocessing image's name.
-IMAGE = r"^form_(.+?)__regions_(.+?)__channels_([1234])__class_(imminent|safe|label\d+)__core\.png$"
+IMAGE = r"^form_(.+?)__regions_(.+?)__channels_([1234])__class_(imminent|safe|label\d+)__headsim_cubic\.png$"
+#: Parameters of the transformer, and their presets.
+PARAMETERS = {
+    "patch_size": "int", "dim": "int", "depth": "int", "heads": "int", "mlp_dim": "int",
+    "dropout": "double", "learning_rate": "double", "weight_decay": "double", "batch_size": "int", "warmup_epochs": "int",
+}
+PRESETS = {
+    "legacy": (8, 256, 3, 2, 512, 0.1, 3e-4, 0.05, 8, 5),
+    "baseline_top1": (16, 64, 4, 8, 256, 0.1, 3e-4, 0.05, 4, 5),
+    "six_channel_top1": (8, 256, 4, 4, 1024, 0.1, 1e-3, 0.02, 24, 5),
+    "beam_vote_top1": (8, 256, 4, 4, 512, 0.25, 1e-3, 0.01, 4, 5),
+    "six_channel_beam_vote_top1": (8, 256, 2, 4, 1024, 0.4, 3e-4, 0.0, 4, 5),
+}
+#: Where a preset comes from (file, method, id, position in the file).
+PRESET_PACKAGE = "ViT_reference/top15_hyperparameters_test_accuracy_20261024"
+PRESET_ORIGINS = {
+    "baseline_top1": ("01_baseline_top15.json", "baseline", "random_0047", 1),
+    "six_channel_top1": ("03_six_channel_top15.json", "six_channel", "random_0048", 1),
+    "beam_vote_top1": ("04_beam_vote_top15.json", "beam_vote", "random_0096", 1),
+    "six_channel_beam_vote_top1": ("05_six_channel_beam_vote_top15.json", "six_channel_beam_vote", "random_0086", 1),
+}
 
 
 def selected(df: DataFrame, **wanted: str) -> DataFrame:
@@ -35,15 +57,25 @@ def resolve_classes(wanted: DataFrame, observed: DataFrame, classes: int) -> Dat
     return n.join(seen, "label", "left").select("label", what.alias("status"))
 
 
-def resolve_hyperparameters(runs: DataFrame, presets: DataFrame, on: list[str], values: list[str]) -> DataFrame:
-    """Explicit values win, 0 too; the preset fills the rest, and `source` tells which."""
-    p = presets.select(*on, *(F.col(v).alias(f"_{v}") for v in values))
-    out = runs.join(p, on, "left")
-    given = F.array_compact(F.array(*(F.when(F.col(v).isNotNull(), v) for v in values)))
-    out = out.withColumn("source", F.when(F.size(given) == len(values), "explicit").when(F.size(given) == 0, "preset").otherwise("mixed"))
-    for v in values:
-        out = out.withColumn(v, F.coalesce(v, f"_{v}")).drop(f"_{v}")
-    return out
+def preset_of(preset: Column, variant: Column, region_set: Column) -> Column:
+    """The preset that `auto` stands for, by model variant and region set; another name stays."""
+    whole = region_set == "dyn_envelope_full"
+    auto = F.when(variant == "cross_vote", F.when(whole, "six_channel_beam_vote_top1").otherwise("beam_vote_top1")).otherwise(F.when(whole, "six_channel_top1").otherwise("baseline_top1"))
+    return F.when(preset == "auto", auto).otherwise(preset)
+
+
+def resolve_hyperparameters(runs: DataFrame) -> DataFrame:
+    """runs (hyperparameter_preset, model_variant, region_set and PARAMETERS, null where not given), resolved.
+
+    Given values win, 0 too, and the preset fills the rest; `origin` tells where the preset comes from (null for legacy).
+    An unknown preset raises."""
+    table = runs.sparkSession.createDataFrame([(k, *v) for k, v in PRESETS.items()], "_preset string, " + ", ".join(f"_{k} {t}" for k, t in PARAMETERS.items()))
+    origin = F.coalesce(*(F.when(F.col("_preset") == k, F.struct(F.lit(PRESET_PACKAGE).alias("package"), *(F.lit(x).alias(n) for n, x in zip(("file", "method", "id", "position"), v, strict=True)))) for k, v in PRESET_ORIGINS.items()))
+    named = runs.withColumn("hyperparameter_preset", preset_of(F.col("hyperparameter_preset"), F.col("model_variant"), F.col("region_set")))
+    out = named.join(F.broadcast(table), F.col("hyperparameter_preset") == F.col("_preset"), "left")  # five presets
+    known = F.when(F.col("_preset").isNull(), F.raise_error(F.concat(F.lit("unknown preset "), F.coalesce("hyperparameter_preset", F.lit("null")))).cast("string")).otherwise(F.col("_preset"))
+    filled = {k: F.coalesce(F.col(k), F.col(f"_{k}")).cast(t) for k, t in PARAMETERS.items()}
+    return out.withColumns({"hyperparameter_preset": known, "origin": origin, **filled}).drop("_preset", *(f"_{k}" for k in PARAMETERS))
 
 
 def dataset_tags(experiments: DataFrame, schemes: DataFrame) -> DataFrame:
@@ -73,11 +105,18 @@ def with_images(experiments: DataFrame, files: DataFrame, expected: Column) -> D
 
 
 def sort_place(df: DataFrame, column: str, descending: bool, tie: str) -> DataFrame:
-    """df with `place`: numbers before text, missing last; text sorts by its lower-case form."""
+    """df with `place`: numbers before text, missing last; text sorts by its lower-case form. Ranked by buckets, not in one task."""
     number, text = F.col(column).try_cast("double"), F.lower(column)
-    missing = F.col(column).isNull()
-    order = [missing, number.isNull(), number.desc() if descending else number.asc(), text.desc() if descending else text.asc(), F.col(tie)]
-    return df.withColumn("place", F.row_number().over(W.orderBy(*order)))  # a listing for people, at most some thousand rows
+    rows = df.withColumns({"_number": number, "_text": text})
+    spread = ranks.range_bucket(rows.where(~F.isnan("_number")), "_number")
+    letter = F.least(F.ascii(F.substring("_text", 1, 1)), F.lit(255))  # order of text is that of its UTF-8 bytes
+    last = F.lit(ranks.BUCKETS)
+    inside = F.when(F.isnan("_number"), last).otherwise(spread)
+    down = lambda b, top: top - b if descending else b
+    bucket = F.when(F.col(column).isNull(), 3 * last).when(F.col("_number").isNull(), 2 * last + down(letter, F.lit(255))).otherwise(down(inside, last))
+    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    order = [F.col(column).isNull(), F.col("_number").isNull(), direction("_number"), direction("_text"), F.col(tie)]
+    return ranks.ranked(rows, [], bucket, order, "place").drop("_number", "_text")
 
 
 def shown(x: Column) -> Column:

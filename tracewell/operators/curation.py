@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,8 +35,9 @@ def pool_problems(pool: DataFrame) -> DataFrame:
     """One row of counts, all zero for a sound pool: rows, duplicate rows, gaps, bad depths, empty and duplicate ids."""
     per_id = pool.groupBy("sample_id").agg(F.count("*").alias("n"))
     per_row = pool.groupBy("pool_row").agg(F.count("*").alias("n"))
-    bad = F.col("depth_value").isNull() | F.isnan("depth_value")
-    one = pool.agg(F.count("*").alias("n_rows"), F.count_if(bad).alias("bad_depth"), F.count_if(F.col("sample_id").isNull()).alias("empty_ids"), F.max("pool_row").alias("top"), F.min("pool_row").alias("low"))
+    bad = ~F.coalesce(F.abs("depth_value") < F.lit(math.inf), F.lit(False))  # null, NaN and infinities
+    empty = F.col("sample_id").isNull() | (F.col("sample_id").cast("string") == "")
+    one = pool.agg(F.count("*").alias("n_rows"), F.count_if(bad).alias("bad_depth"), F.count_if(empty).alias("empty_ids"), F.max("pool_row").alias("top"), F.min("pool_row").alias("low"))
     rows = per_row.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"), F.count("*").alias("k"))
     ids = per_id.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_ids"))
     gaps = F.greatest(F.col("top") + 1 - F.col("k"), F.lit(0)) + F.when(F.col("low") < 0, 1).otherwise(0)

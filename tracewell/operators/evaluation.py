@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import ranks
+
 #: Buckets of equal width into which scores from 0 to 1 are dealt for prefix sums.
 BINS = 1024
 
@@ -39,9 +41,13 @@ def binary_metrics(df: DataFrame, by: list[str] | None = None, weight: float = 1
 
 
 def per_score(df: DataFrame, by: list[str], score: str) -> DataFrame:
-    """Positives and negatives at each distinct score, and below it. A window sees one bucket of scores at a time."""
-    bucket = F.least(F.greatest(F.floor(F.col(score) * BINS), F.lit(0)), F.lit(BINS)).cast("int")
-    each = df.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).withColumn("_b", bucket if score == "score" else F.least(F.greatest(F.floor(F.col("score") * BINS), F.lit(0)), F.lit(BINS)).cast("int"))
+    """Positives and negatives at each distinct score, and below it. A window sees one bucket of scores at a time.
+
+    A null score is left out; one that is no number raises, as it has no place in the order."""
+    number = F.when(F.isnan(score), F.raise_error(F.lit(f"{score} is not a number")).cast("double")).otherwise(F.col(score))
+    counts = F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
+    each = df.where(F.col(score).isNotNull()).groupBy(*by, number.alias("score")).agg(*counts)
+    each = each.withColumn("_b", F.least(F.greatest(F.floor(F.col("score") * BINS), F.lit(0)), F.lit(BINS)).cast("int"))
     sums = each.groupBy(*by, "_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     w = W.partitionBy(*by).orderBy("_b")
     sums = sums.withColumn("_pb", F.sum("_p").over(w) - F.col("_p")).withColumn("_nb", F.sum("_n").over(w) - F.col("_n"))
@@ -133,9 +139,10 @@ def best_epoch_auc(df: DataFrame, patience: int, gain: float = 1e-4) -> DataFram
 
 
 def leaderboard(results: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Candidates with their place: by accuracy, then the lower loss, then the id."""
-    w = W.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("val_accuracy").desc(), "val_loss", "id")
-    return results.withColumn("place", F.row_number().over(w))
+    """Candidates with their place: by accuracy, then the lower loss, then the id. Accuracies are dealt into buckets."""
+    bucket = BINS - F.least(F.greatest(F.floor(F.col("val_accuracy") * BINS), F.lit(0)), F.lit(BINS)).cast("int")
+    bucket = F.coalesce(F.when(F.isnan("val_accuracy"), -1).otherwise(bucket), F.lit(BINS + 1))
+    return ranks.ranked(results, by or [], bucket, [F.col("val_accuracy").desc(), "val_loss", "id"], "place")
 
 
 def array_differences(df: DataFrame, a: str, b: str, key: list[str]) -> DataFrame:

@@ -35,7 +35,7 @@ def region_texts(s, d):
     return table(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, pairs).otherwise(objects).alias("regions"))
 
 
-G_ = "regexp_replace(regexp_replace(printf('%.6f', {0}), '0+$', ''), '\\.$', '')"
+G_ = "printf('%g', CAST({0} AS DOUBLE))"
 REG = f"""rg AS (SELECT p_partkey, 0 AS region_idx, CASE WHEN p_partkey % 2 = 0 THEN '0-1.5mm' ELSE 'near' END AS name, CAST(0.0 AS DOUBLE) AS start_mm, CAST(1.5 AS DOUBLE) AS end_mm FROM part
  UNION ALL SELECT p_partkey, 1, {G_.format('CAST(p_size AS DOUBLE) / 10')} || '-' || {G_.format('CAST(p_partkey % 60 AS DOUBLE) / 10')} || 'mm', CAST(p_size AS DOUBLE) / 10, CAST(p_partkey % 60 AS DOUBLE) / 10 FROM part)"""
 register("parse_regions", lambda s, d: B.parse_regions(region_texts(s, d), "regions", MM).drop("regions"), f"WITH {REG} SELECT p_partkey, CAST(region_idx AS INTEGER) AS region_idx, name, start_mm, end_mm, start_mm >= 0 AND start_mm < end_mm AND end_mm <= 5.0 AS valid FROM rg")
@@ -43,24 +43,40 @@ register("slice_bounds", lambda s, d: B.slice_bounds(B.parse_regions(region_text
          f'WITH {REG} SELECT p_partkey, CAST(region_idx AS INTEGER) AS region_idx, CAST(floor(start_mm / 5.0 * 896 + 0.5) AS BIGINT) AS start, CAST(floor(end_mm / 5.0 * 896 + 0.5) AS BIGINT) AS "end" FROM rg WHERE start_mm >= 0 AND start_mm < end_mm AND end_mm <= 5.0')
 
 
+SETS = ("all", "full", "bone", "bone_plus_post", "dyn_envelope", "dyn_envelope_full")
+
+
 def _presets(s, d):
-    """The run grid of every data set (here: nation): each frame form with each preset and its regions."""
-    rows = [F.struct(F.lit(k).alias("preset"), F.lit(len(v)).alias("n_regions"), F.lit(v[0][0] if v else None).cast("double").alias("first_mm"), F.lit(v[-1][1] if v else None).cast("double").alias("last_mm")) for k, v in S.REGION_PRESETS.items() if k != "dyn_envelope_full"]
-    grid = table(s, d, "nation").select("n_nationkey", F.explode(F.array(*rows)).alias("p"))
-    return grid.select("n_nationkey", "p.*").withColumn("form", F.explode(F.array(*(F.lit(f) for f in S.FORMS))))
+    """The run grid: each frame form with the runs of each part's region set, or of its own regions."""
+    own = region_texts(s, d).select("p_partkey", F.when(F.col("p_partkey") % 7 == 3, F.col("regions")).alias("own"), F.element_at(F.array(*(F.lit(x) for x in SETS)), (F.col("p_partkey") % 6 + 1).cast("int")).alias("region_set"))
+    runs = B.region_experiments(own, "region_set", "own", MM)
+    grid = runs.select("p_partkey", "name", F.size("regions").alias("n_regions"), F.get("regions", F.lit(0))["start_mm"].alias("first_mm"), F.get("regions", F.size("regions") - 1)["end_mm"].alias("last_mm"))
+    return grid.withColumn("form", F.explode(F.array(*(F.lit(f) for f in S.FORMS))))
 
 
-register("region_presets", _presets, "SELECT n_nationkey, preset, n_regions, first_mm, last_mm, form FROM nation, (VALUES ('full', 1, CAST(0.0 AS DOUBLE), CAST(5.0 AS DOUBLE)), ('bone', 1, 1.0, 3.0), ('bone_plus_post', 2, 0.2, 5.0), ('dyn_envelope', 0, NULL, NULL)) AS p(preset, n_regions, first_mm, last_mm), (VALUES ('mean_std'), ('raw50'), ('max1'), ('top3_mean')) AS f(form)")
+register("region_presets", _presets, f"""WITH {REG}, p(name, n_regions, first_mm, last_mm) AS (VALUES ('full', 1, CAST(0.0 AS DOUBLE), CAST(5.0 AS DOUBLE)), ('bone', 1, 1.0, 3.0), ('bone_plus_post', 2, 0.2, 5.0), ('dyn_envelope', 0, NULL, NULL), ('dyn_envelope_full', 1, 0.0, 5.0)),
+ a AS (SELECT p_partkey, ['all', 'full', 'bone', 'bone_plus_post', 'dyn_envelope', 'dyn_envelope_full'][p_partkey % 6 + 1] AS region_set FROM part WHERE p_partkey % 7 <> 3),
+ r AS (SELECT p_partkey, name, n_regions, first_mm, last_mm FROM a JOIN p ON name = region_set OR region_set = 'all' AND name <> 'dyn_envelope_full' UNION ALL SELECT p_partkey, 'custom', 2, min(start_mm) FILTER (region_idx = 0), min(end_mm) FILTER (region_idx = 1) FROM rg WHERE p_partkey % 7 = 3 GROUP BY 1)
+ SELECT p_partkey, name, n_regions, first_mm, last_mm, form FROM r, (VALUES ('mean_std'), ('raw50'), ('max1'), ('top3_mean')) AS f(form)""")
 
 
 def form_texts(s, d):
+    """Lists of two spellings each, some with an unknown name, some empty, some `all`."""
     k = F.col("p_partkey")
-    pick = lambda m, t: F.when(k % m == 0, t)
-    return table(s, d, "part").select("p_partkey", F.when(k % 11 == 0, " ALL ").otherwise(F.concat_ws(",", pick(2, F.lit(" Top3 ")), pick(3, F.lit("MEAN STD")), pick(5, F.lit("max")), pick(7, F.lit("raw")), pick(13, F.lit("nonsense")))).alias("t"))
+    spelling = lambda i: F.element_at(F.array(*(F.lit(x) for x in S.FORM_ALIASES)), (i % 12 + 1).cast("int"))
+    two = F.concat(F.lit(" "), F.upper(F.replace(spelling(k), F.lit("_"), F.lit(" "))), F.lit(" ,"), spelling(F.floor(k / 12)))
+    return table(s, d, "part").select("p_partkey", F.when(k % 11 == 0, " ALL ").when(k % 13 == 0, " , ").when(k % 17 == 0, F.concat(two, F.lit(",nonsense"))).otherwise(two).alias("t"))
+
+
+def _forms(s, d):
+    """Forms of sound lists, and what others raise for."""
+    t = form_texts(s, d).withColumn("problem", S.forms_problem(F.col("t")))
+    return t.select("p_partkey", "problem", F.when(F.col("problem").isNull(), F.array_join(S.parse_forms(F.col("t")), ",")).alias("forms"))
 
 
-register("parse_forms", lambda s, d: form_texts(s, d).select("p_partkey", F.array_join(S.parse_forms(F.col("t")), ",").alias("forms")),
-         "SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'mean_std,raw50,max1,top3_mean' ELSE concat_ws(',', CASE WHEN p_partkey % 3 = 0 THEN 'mean_std' END, CASE WHEN p_partkey % 7 = 0 THEN 'raw50' END, CASE WHEN p_partkey % 5 = 0 THEN 'max1' END, CASE WHEN p_partkey % 2 = 0 THEN 'top3_mean' END) END AS forms FROM part")
+register("parse_forms", _forms, """WITH al(i, form) AS (VALUES (0, 'mean_std'), (1, 'mean_std'), (2, 'mean_std'), (3, 'raw50'), (4, 'raw50'), (5, 'raw50'), (6, 'max1'), (7, 'max1'), (8, 'max1'), (9, 'top3_mean'), (10, 'top3_mean'), (11, 'top3_mean')),
+ t AS (SELECT p_partkey, [a.form, b.form] AS f, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 13 = 0 THEN 'empty' WHEN p_partkey % 17 = 0 THEN 'unknown' END AS problem FROM part JOIN al a ON a.i = p_partkey % 12 JOIN al b ON b.i = (p_partkey // 12) % 12)
+ SELECT p_partkey, problem, CASE WHEN problem IS NOT NULL THEN NULL WHEN p_partkey % 11 = 0 THEN 'mean_std,raw50,max1,top3_mean' ELSE array_to_string(list_filter(['mean_std', 'raw50', 'max1', 'top3_mean'], lambda x: list_contains(f, x)), ',') END AS forms FROM t""")
 
 TUKEY = "CASE WHEN pos < 0.15 * 63 THEN 0.5 * (1 + cos(pi() / 0.15 * (pos / 63.0 - 0.15))) WHEN pos > 63 - 0.15 * 63 THEN 0.5 * (1 + cos(pi() / 0.15 * ((63 - pos) / 63.0 - 0.15))) ELSE 1 END"
 register("tukey_window", lambda s, d: exploded(scans(s, d).withColumn("signal", S.tapered(F.col("signal"), 64)), KEY), sql(f"SELECT sample_id, frame, channel, CAST(pos AS INTEGER) AS pos, round(value * {TUKEY}, 6) AS value FROM traces", "traces"))

@@ -31,37 +31,62 @@ def written(df, name, kind="parquet", **options):
 def experiments(s, d):
     p = table(s, d, "part")
     pick = lambda names, k: F.element_at(F.array(*(F.lit(n) for n in names)), (k + 1).cast("int"))
-    form, region = pick(S.FORMS, F.col("p_partkey") % 4), pick(("full", "bone", "dyn_envelope"), F.col("p_partkey") % 3)
+    form, region = pick(S.FORMS, F.col("p_partkey") % 4), pick(("full", "bone", "dyn_envelope", "dyn_envelope_full"), F.expr("p_partkey div 4 % 4"))
     tag = F.when(F.col("p_size") % 5 > 0, F.concat(F.lit("cls2_thr"), F.col("p_size").cast("string")))
-    name = S.run_name(form, region, F.col("p_size") % 4 + 1, F.when(F.col("p_size") % 2 == 0, "vit").otherwise("emd"), F.lit("core"), tag)
-    return p.select("p_partkey", name.alias("name"), form.alias("form"), region.alias("region"), (F.col("p_size") % 4 + 1).cast("string").alias("channel"), F.when(F.col("p_size") % 2 == 0, "vit").otherwise("emd").alias("model_family"), tag.alias("label_tag"), F.concat(F.lit("/data/"), F.col("p_brand")).alias("data_dir"), F.when(F.col("p_partkey") % 9 > 0, F.col("p_retailprice") / 2000).alias("accuracy"))
+    family = F.when(F.col("p_size") % 2 == 0, "vit").otherwise("emd")
+    variant = F.when(F.col("p_size") % 2 == 1, "emd").when(F.col("p_partkey") % 5 == 0, "cross_vote").otherwise("concat")
+    trained = F.when(family == "vit", S.rate_tag(F.lit(3e-4), F.lit(5e-6), F.lit(5), F.lit("warmup_cosine")))
+    preset = F.when(family == "vit", F.concat(F.lit("hp_"), K.preset_of(F.lit("auto"), variant, region)))
+    name = S.run_name(form, region, F.col("p_size") % 4 + 1, variant, tag, trained, preset)
+    return p.select("p_partkey", name.alias("name"), form.alias("form"), region.alias("region"), (F.col("p_size") % 4 + 1).cast("string").alias("channel"), family.alias("model_family"), variant.alias("variant"), tag.alias("label_tag"), F.concat(F.lit("/data/"), F.col("p_brand")).alias("data_dir"), F.when(F.col("p_partkey") % 9 > 0, F.col("p_retailprice") / 2000).alias("accuracy"))
+
+
+EXP = """ex AS (SELECT p_partkey, ['mean_std','raw50','max1','top3_mean'][p_partkey % 4 + 1] AS form, ['full','bone','dyn_envelope','dyn_envelope_full'][p_partkey // 4 % 4 + 1] AS region, CAST(p_size % 4 + 1 AS VARCHAR) AS channel, CASE WHEN p_size % 2 = 0 THEN 'vit' ELSE 'emd' END AS model_family,
+ CASE WHEN p_size % 2 = 1 THEN 'emd' WHEN p_partkey % 5 = 0 THEN 'cross_vote' ELSE 'concat' END AS variant, CASE WHEN p_size % 5 > 0 THEN 'cls2_thr' || p_size END AS label_tag, '/data/' || p_brand AS data_dir, CASE WHEN p_partkey % 9 > 0 THEN p_retailprice / 2000 END AS accuracy FROM part),
+ rs AS (SELECT *, concat_ws('__', CASE variant WHEN 'emd' THEN 'core' WHEN 'concat' THEN 'vit' ELSE 'vit_cross_vote' END, 'headsim_cubic', CASE WHEN channel = '3' THEN 'sel_independent_beam_peak_v1' END, label_tag, CASE WHEN model_family = 'vit' THEN 'lr_warmcos5_peak3em4_min5em6' END,
+  CASE WHEN model_family = 'vit' THEN 'hp_' || CASE WHEN variant = 'cross_vote' AND region = 'dyn_envelope_full' THEN 'six_channel_beam_vote_top1' WHEN variant = 'cross_vote' THEN 'beam_vote_top1' WHEN region = 'dyn_envelope_full' THEN 'six_channel_top1' ELSE 'baseline_top1' END END) AS rest FROM ex),
+ ne AS (SELECT *, 'form_' || form || '__regions_' || region || '__channels_' || channel || '__' || rest AS name FROM rs)"""
+register("run_name", lambda s, d: experiments(s, d).select("p_partkey", "name", S.safe_name(F.concat(F.lit("--"), F.col("data_dir"), F.lit(" #1."))).alias("safe")), f"WITH {EXP} SELECT p_partkey, name, 'data_' || regexp_replace(substr(data_dir, 7), '#', '_') || '_1' AS safe FROM ne")
 
 
-EXP = """ex AS (SELECT p_partkey, ['mean_std','raw50','max1','top3_mean'][p_partkey % 4 + 1] AS form, ['full','bone','dyn_envelope'][p_partkey % 3 + 1] AS region, CAST(p_size % 4 + 1 AS VARCHAR) AS channel, CASE WHEN p_size % 2 = 0 THEN 'vit' ELSE 'emd' END AS model_family,
- CASE WHEN p_size % 5 > 0 THEN 'cls2_thr' || p_size END AS label_tag, '/data/' || p_brand AS data_dir, CASE WHEN p_partkey % 9 > 0 THEN p_retailprice / 2000 END AS accuracy FROM part),
- ne AS (SELECT *, concat_ws('__', 'form_' || form, 'regions_' || region, 'channels_' || channel, model_family, 'core', label_tag) AS name FROM ex)"""
-register("run_name", lambda s, d: experiments(s, d).select("p_partkey", "name", S.safe_name(F.concat(F.lit("--"), F.col("data_dir"), F.lit(" #1."))).alias("safe")), f"WITH {EXP} SELECT p_partkey, name, 'data_' || regexp_replace(substr(data_dir, 7), '#', '_') || '_1' AS safe FROM ne")
-register("parse_run_name", lambda s, d: experiments(s, d).select("p_partkey", F.when(F.col("p_partkey") % 6 == 0, F.col("form")).otherwise(F.col("name")).alias("name")).withColumn("p", S.parsed_run_name(F.col("name"))).select("p_partkey", "p.*"),
-         f"WITH {EXP} SELECT p_partkey, CASE WHEN p_partkey % 6 > 0 THEN form END AS form, CASE WHEN p_partkey % 6 > 0 THEN region END AS region, CASE WHEN p_partkey % 6 > 0 THEN channel END AS channel, CASE WHEN p_partkey % 6 > 0 THEN concat_ws('__', model_family, 'core', label_tag) END AS rest FROM ne")
+def _parsed_names(s, d):
+    """Parts of names and their confusion images; some names are broken."""
+    k = F.col("p_partkey")
+    broken = F.when(k % 6 == 0, F.col("form")).when(k % 6 == 1, F.replace("name", F.lit("__channels_"), F.lit("__channels___"))).otherwise(F.col("name"))
+    e = experiments(s, d).select("p_partkey", broken.alias("name"))
+    return e.withColumn("p", S.parsed_run_name(F.col("name"))).select("p_partkey", "p.*", S.confusion_image(F.col("name"), F.lit("test")).alias("image"))
+
+
+register("parse_run_name", _parsed_names, f"WITH {EXP}, ok AS (SELECT * FROM ne WHERE p_partkey % 6 > 1) SELECT p.p_partkey, ok.form, ok.region, ok.channel, ok.rest, 'form_' || ok.form || '__regions_' || ok.region || '__channels_' || ok.channel || '__split_test__' || ok.rest || '.png' AS image FROM part p LEFT JOIN ok USING (p_partkey)")
 register("class_token", lambda s, d: samples(s, d).select("sample_id", S.class_token(F.col("label")).alias("two"), S.class_token(F.col("label"), 10).alias("many")), sql("SELECT sample_id, CASE label WHEN 0 THEN 'imminent' WHEN 1 THEN 'safe' ELSE 'label' || label END AS two, 'label' || label AS many FROM samples", "samples"))
-register("lr_tag", lambda s, d: table(s, d, "part").select("p_partkey", F.concat(F.lit("lr_warmcos5_peak"), S.rate_token(F.col("p_size").cast("double") / 10000), F.lit("_min"), S.rate_token((F.col("p_partkey") + 1).cast("double") * 1000)).alias("tag")),
-         """WITH t AS (SELECT p_partkey, printf('%.11e', CAST(p_size AS DOUBLE) / 10000) AS a, printf('%.11e', CAST(p_partkey + 1 AS DOUBLE) * 1000) AS b FROM part),
- m AS (SELECT p_partkey, replace(regexp_replace(split_part(a, 'e', 1), '\\.?0+$', ''), '.', 'p') || CASE WHEN CAST(split_part(a, 'e', 2) AS INTEGER) < 0 THEN 'em' ELSE 'ep' END || abs(CAST(split_part(a, 'e', 2) AS INTEGER)) AS a, replace(regexp_replace(split_part(b, 'e', 1), '\\.?0+$', ''), '.', 'p') || CASE WHEN CAST(split_part(b, 'e', 2) AS INTEGER) < 0 THEN 'em' ELSE 'ep' END || abs(CAST(split_part(b, 'e', 2) AS INTEGER)) AS b FROM t)
- SELECT p_partkey, 'lr_warmcos5_peak' || a || '_min' || b AS tag FROM m""")
+register("lr_tag", lambda s, d: table(s, d, "part").select("p_partkey", S.rate_tag(F.col("p_size").cast("double") / 10000, (F.col("p_partkey") + 1).cast("double") * 1000, F.col("p_size"), F.when(F.col("p_partkey") % 3 == 0, "constant").otherwise("warmup_cosine")).alias("tag")),
+         """WITH t AS (SELECT p_partkey, p_size, printf('%.11e', CAST(p_size AS DOUBLE) / 10000) AS a, printf('%.11e', CAST(p_partkey + 1 AS DOUBLE) * 1000) AS b FROM part),
+ m AS (SELECT p_partkey, p_size, replace(regexp_replace(split_part(a, 'e', 1), '\\.?0+$', ''), '.', 'p') || CASE WHEN CAST(split_part(a, 'e', 2) AS INTEGER) < 0 THEN 'em' ELSE 'ep' END || abs(CAST(split_part(a, 'e', 2) AS INTEGER)) AS a, replace(regexp_replace(split_part(b, 'e', 1), '\\.?0+$', ''), '.', 'p') || CASE WHEN CAST(split_part(b, 'e', 2) AS INTEGER) < 0 THEN 'em' ELSE 'ep' END || abs(CAST(split_part(b, 'e', 2) AS INTEGER)) AS b FROM t)
+ SELECT p_partkey, 'lr_' || CASE WHEN p_partkey % 3 = 0 THEN 'constant' ELSE 'warmcos' || p_size END || '_peak' || a || '_min' || b AS tag FROM m""")
 register("catalog_filter", lambda s, d: K.selected(experiments(s, d), form="max1", region="all", model_family="vit", channel="all").select("p_partkey", "name"), f"WITH {EXP} SELECT p_partkey, name FROM ne WHERE form = 'max1' AND model_family = 'vit'")
 register("valid_history", lambda s, d: K.valid_history(table(s, d, "events").select("event_id", (F.col("user_id") - 3).cast("string").alias("epoch"), F.when(F.col("event_id") % 7 == 0, "NaN").when(F.col("event_id") % 11 == 0, "oops").otherwise(F.col("value").cast("string")).alias("loss")), "epoch", "loss"),
          "SELECT event_id, CAST(user_id - 3 AS INTEGER) AS epoch, value AS loss FROM events WHERE user_id > 3 AND event_id % 7 <> 0 AND event_id % 11 <> 0")
 register("resolve_classes", lambda s, d: K.resolve_classes(table(s, d, "part").select((F.col("p_size") - 3).alias("label")), lpool(s, d), 40), f"WITH pool AS (SELECT o_totalprice / 100000 AS depth_value FROM orders), lp AS (SELECT {LABEL} AS label FROM pool), w AS (SELECT p_size - 3 AS label, count(*) AS n FROM part GROUP BY 1) SELECT label, CASE WHEN label < 0 OR label >= 40 THEN 'out_of_range' WHEN n > 1 THEN 'repeated' WHEN label NOT IN (SELECT label FROM lp) THEN 'no_support' ELSE 'ok' END AS status FROM w")
 
 
-def _hp(s, d):
-    runs = experiments(s, d).select("p_partkey", "region", "model_family", F.when(F.col("p_partkey") % 2 == 0, (F.col("p_partkey") % 8).cast("double")).alias("depth"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") / 1000).alias("lr"))
-    presets = experiments(s, d).groupBy("region", "model_family").agg(F.count("*").cast("double").alias("depth"), F.min("accuracy").alias("lr"))
-    return K.resolve_hyperparameters(runs, presets, ["region", "model_family"], ["depth", "lr"])
+NAMES = ("auto", "auto", "legacy", "baseline_top1", "six_channel_top1", "beam_vote_top1", "six_channel_beam_vote_top1")
 
 
-register("hp_resolve", _hp, f"""WITH {EXP}, ps AS (SELECT region, model_family, CAST(count(*) AS DOUBLE) AS depth, min(accuracy) AS lr FROM ne GROUP BY ALL), ru AS (SELECT p_partkey, region, model_family, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey % 8 AS DOUBLE) END AS depth, CASE WHEN p_partkey % 3 = 0 THEN p_partkey / 1000 END AS lr FROM ne)
- SELECT p_partkey, region, model_family, coalesce(ru.depth, ps.depth) AS depth, coalesce(ru.lr, ps.lr) AS lr, CASE WHEN ru.depth IS NOT NULL AND ru.lr IS NOT NULL THEN 'explicit' WHEN ru.depth IS NULL AND ru.lr IS NULL THEN 'preset' ELSE 'mixed' END AS source FROM ru JOIN ps USING (region, model_family)""")
+def _hp(s, d):
+    """Runs that ask for a preset, and give some parameters themselves, 0 too."""
+    k, given = F.col("p_partkey"), {"depth": F.when(F.col("p_partkey") % 2 == 0, (F.col("p_partkey") % 8).cast("int")), "learning_rate": F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") / 1000), "weight_decay": F.when(F.col("p_partkey") % 5 == 0, 0.0)}
+    preset = F.element_at(F.array(*(F.lit(n) for n in NAMES)), (k % 7 + 1).cast("int"))
+    runs = experiments(s, d).select("p_partkey", preset.alias("hyperparameter_preset"), F.col("variant").alias("model_variant"), F.col("region").alias("region_set"), *(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in K.PARAMETERS.items()))
+    return K.resolve_hyperparameters(runs).select("p_partkey", "hyperparameter_preset", *K.PARAMETERS, F.col("origin.id").alias("origin_id"), F.col("origin.file").alias("origin_file"))
+
+
+register("hp_resolve", _hp, f"""WITH {EXP}, ps(preset, patch_size, dim, depth, heads, mlp_dim, dropout, learning_rate, weight_decay, batch_size, warmup_epochs, origin_id, origin_file) AS (VALUES
+ ('legacy', 8, 256, 3, 2, 512, CAST(0.1 AS DOUBLE), CAST(0.0003 AS DOUBLE), CAST(0.05 AS DOUBLE), 8, 5, NULL, NULL), ('baseline_top1', 16, 64, 4, 8, 256, 0.1, 0.0003, 0.05, 4, 5, 'random_0047', '01_baseline_top15.json'),
+ ('six_channel_top1', 8, 256, 4, 4, 1024, 0.1, 0.001, 0.02, 24, 5, 'random_0048', '03_six_channel_top15.json'), ('beam_vote_top1', 8, 256, 4, 4, 512, 0.25, 0.001, 0.01, 4, 5, 'random_0096', '04_beam_vote_top15.json'),
+ ('six_channel_beam_vote_top1', 8, 256, 2, 4, 1024, 0.4, 0.0003, 0.0, 4, 5, 'random_0086', '05_six_channel_beam_vote_top15.json')),
+ ru AS (SELECT p_partkey, variant, region, ['auto', 'auto', 'legacy', 'baseline_top1', 'six_channel_top1', 'beam_vote_top1', 'six_channel_beam_vote_top1'][p_partkey % 7 + 1] AS asked FROM ne),
+ wa AS (SELECT *, CASE WHEN asked <> 'auto' THEN asked WHEN variant = 'cross_vote' THEN CASE WHEN region = 'dyn_envelope_full' THEN 'six_channel_beam_vote_top1' ELSE 'beam_vote_top1' END WHEN region = 'dyn_envelope_full' THEN 'six_channel_top1' ELSE 'baseline_top1' END AS preset FROM ru)
+ SELECT p_partkey, preset AS hyperparameter_preset, patch_size, dim, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey % 8 AS INTEGER) ELSE depth END AS depth, heads, mlp_dim, dropout, CASE WHEN p_partkey % 3 = 0 THEN p_partkey / 1000 ELSE learning_rate END AS learning_rate, CASE WHEN p_partkey % 5 = 0 THEN 0.0 ELSE weight_decay END AS weight_decay, batch_size, warmup_epochs, origin_id, origin_file FROM wa JOIN ps USING (preset)""")
 register("experiment_dataset_tag", lambda s, d: K.dataset_tags(experiments(s, d), table(s, d, "part").where("p_brand not like '%1'").groupBy(F.concat(F.lit("/data/"), F.col("p_brand")).alias("data_dir")).agg(F.concat(F.lit("cls"), F.max("p_size").cast("string")).alias("tag"))).select("p_partkey", "label_tag"),
          f"WITH {EXP}, sc AS (SELECT '/data/' || p_brand AS data_dir, 'cls' || max(p_size) AS tag FROM part WHERE p_brand NOT LIKE '%1' GROUP BY 1) SELECT p_partkey, coalesce(label_tag, tag) AS label_tag FROM ne LEFT JOIN sc USING (data_dir)")
 
@@ -69,22 +94,24 @@ register("experiment_dataset_tag", lambda s, d: K.dataset_tags(experiments(s, d)
 def images(s, d):
     """Preprocessing images of part of the experiments, and files that are none."""
     cls = F.when(F.col("p_partkey") % 5 == 0, "safe").when(F.col("p_partkey") % 7 == 0, "label3").otherwise("imminent")
-    file = F.concat(F.lit("form_"), F.col("form"), F.lit("__regions_"), F.col("region"), F.lit("__channels_"), F.col("channel"), F.lit("__class_"), cls, F.lit("__core"), F.when(F.col("p_partkey") % 10 == 3, ".txt").otherwise(".png"))
+    file = F.concat(F.lit("form_"), F.col("form"), F.lit("__regions_"), F.col("region"), F.lit("__channels_"), F.col("channel"), F.lit("__class_"), cls, F.lit(f"__{S.PREPROCESSING_TAG}"), F.when(F.col("p_partkey") % 10 == 3, ".txt").otherwise(".png"))
     return experiments(s, d).select("p_partkey", "form", "region", "channel", file.alias("file"))
 
 
-IMG = f"{EXP}, im AS (SELECT p_partkey, form, region, channel, CASE WHEN p_partkey % 5 = 0 THEN 'safe' WHEN p_partkey % 7 = 0 THEN 'label3' ELSE 'imminent' END AS class, p_partkey % 10 <> 3 AS ok FROM ne), fi AS (SELECT *, 'form_' || form || '__regions_' || region || '__channels_' || channel || '__class_' || class || '__core.png' AS file FROM im WHERE ok)"
+IMG = f"{EXP}, im AS (SELECT p_partkey, form, region, channel, CASE WHEN p_partkey % 5 = 0 THEN 'safe' WHEN p_partkey % 7 = 0 THEN 'label3' ELSE 'imminent' END AS class, p_partkey % 10 <> 3 AS ok FROM ne), fi AS (SELECT *, 'form_' || form || '__regions_' || region || '__channels_' || channel || '__class_' || class || '__headsim_cubic.png' AS file FROM im WHERE ok)"
 register("parse_image_name", lambda s, d: K.image_pairs(images(s, d)), f"WITH {IMG} SELECT form, region, channel, max(file) FILTER (class = 'imminent') AS imminent, max(file) FILTER (class = 'safe') AS safe FROM fi GROUP BY ALL")
 register("catalog_files", lambda s, d: K.selected(images(s, d).withColumn("p", K.image_parts(F.col("file"))).where("p is not null").select("file", "p.*").distinct(), region="bone", form="all"), f"WITH {IMG} SELECT DISTINCT file, form, region, channel, class FROM fi WHERE region = 'bone'")
 
 
 def _with_images(s, d):
-    e = experiments(s, d).withColumn("label", F.concat_ws(" ", "form", "region"))
-    have = e.where("p_partkey % 4 <> 1").select(F.concat(F.col("name"), F.lit("#"), F.col("p_partkey"), F.lit(".png")).alias("file")).union(e.select(F.concat(F.lit("orphan"), F.col("p_partkey")).alias("file")))
-    return K.with_images(e.withColumn("name", F.concat(F.col("name"), F.lit("#"), F.col("p_partkey"))), have, F.concat(F.col("name"), F.lit(".png"))).select("name", "shown")
+    """Experiments (here told apart by the part) with a confusion image of the test split, among images of none."""
+    e = experiments(s, d).withColumn("name", F.concat(F.col("name"), F.lit("__p"), F.col("p_partkey"))).withColumn("label", F.concat_ws(" ", "form", "region"))
+    image = S.confusion_image(F.col("name"), F.lit("test"))
+    have = e.where("p_partkey % 4 <> 1").select(image.alias("file")).union(e.select(F.concat(F.lit("orphan"), F.col("p_partkey")).alias("file")))
+    return K.with_images(e, have, image).select("name", "file", "shown")
 
 
-register("catalog_images", _with_images, f"WITH {EXP}, k AS (SELECT name || '#' || p_partkey AS name, form || ' ' || region AS label FROM ne WHERE p_partkey % 4 <> 1) SELECT name, CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN label || ' (' || row_number() OVER (PARTITION BY label ORDER BY name) || ')' ELSE label END AS shown FROM k")
+register("catalog_images", _with_images, f"WITH {EXP}, k AS (SELECT name || '__p' || p_partkey AS name, 'form_' || form || '__regions_' || region || '__channels_' || channel || '__split_test__' || rest || '__p' || p_partkey || '.png' AS file, form || ' ' || region AS label FROM ne WHERE p_partkey % 4 <> 1) SELECT name, file, CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN label || ' (' || row_number() OVER (PARTITION BY label ORDER BY name) || ')' ELSE label END AS shown FROM k")
 register("summary_view", lambda s, d: experiments(s, d).select("name", "p_partkey", K.shown(F.col("accuracy")).alias("accuracy"), F.coalesce("label_tag", F.lit("-")).alias("tag")), f"WITH {EXP} SELECT name, p_partkey, coalesce(printf('%.3f', floor(accuracy * 1000 + 0.5) / 1000), '-') AS accuracy, coalesce(label_tag, '-') AS tag FROM ne")
 MIXED = "CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN p_brand ELSE CAST(p_size AS VARCHAR) END"
 register("summary_sort", lambda s, d: K.sort_place(table(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 13 == 0, None).when(F.col("p_partkey") % 5 == 0, F.col("p_brand")).otherwise(F.col("p_size").cast("string")).alias("v")), "v", True, "p_partkey").select("p_partkey", "place"),
@@ -177,7 +204,7 @@ def _schemes(s, d):
 
 BRAND = "br AS (SELECT p_brand, max(p_size) AS m FROM part GROUP BY 1)"
 register("scan_label_scheme", lambda s, d: _schemes(s, d).select("p_brand", "tag", F.element_at("thresholds", 2).alias("upper")), f"WITH {BRAND} SELECT p_brand, CASE WHEN m % 3 = 1 THEN 't' || m END AS tag, CASE WHEN m % 3 = 1 THEN m / 10 END AS upper FROM br")
-register("discover_datasets", lambda s, d: _schemes(s, d).where("thresholds is not null").select("p_brand", (F.size("thresholds") + 1).alias("num_classes"), S.scheme_tag(F.col("thresholds")).alias("derived")), f"WITH {BRAND} SELECT p_brand, 3 AS num_classes, 'cls3_thr0.5-' || regexp_replace(regexp_replace(printf('%.6f', m / 10), '0+$', ''), '\\.$', '') AS derived FROM br WHERE m % 3 = 1")
+register("discover_datasets", lambda s, d: _schemes(s, d).where("thresholds is not null").select("p_brand", (F.size("thresholds") + 1).alias("num_classes"), S.scheme_tag(F.col("thresholds")).alias("derived")), f"WITH {BRAND} SELECT p_brand, 3 AS num_classes, 'cls3_thr0.5-' || printf('%g', m / 10) AS derived FROM br WHERE m % 3 = 1")
 
 
 def _publish(s, d):

@@ -97,7 +97,7 @@ def schemes(s, d):
     return table(s, d, "part").select("p_partkey", t.alias("t"))
 
 
-G = "regexp_replace(regexp_replace(printf('%.6f', {0}), '0+$', ''), '\\.$', '')"
+G = "printf('%g', CAST({0} AS DOUBLE))"
 register("scheme_tag", lambda s, d: schemes(s, d).select("p_partkey", S.scheme_tag(F.col("t")).alias("tag")), f"SELECT p_partkey, 'cls3_thr' || {G.format('t[1]')} || '-' || {G.format('t[2]')} AS tag FROM ({PRICES})")
 register("class_names", lambda s, d: schemes(s, d).select("p_partkey", F.array_join(S.class_names(F.col("t")), "|").alias("names")), f"SELECT p_partkey, 'depth < ' || {G.format('t[1]')} || '|' || {G.format('t[1]')} || ' <= depth < ' || {G.format('t[2]')} || '|depth >= ' || {G.format('t[2]')} AS names FROM ({PRICES})")
 register("scheme_validate", lambda s, d: schemes(s, d).select("p_partkey", F.array_join(S.scheme_errors(S.parse_thresholds(F.concat_ws(";", F.transform("t", lambda x: x.cast("string"))))), ",").alias("errors")), f"SELECT p_partkey, CASE WHEN t[1] >= t[2] THEN 'not_increasing' ELSE '' END AS errors FROM ({PRICES})")
