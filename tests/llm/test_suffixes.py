@@ -5,9 +5,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tracewell.llm.suffixes import Suffixes, dedup
+from tracewell.llm import suffixes
+from tracewell.llm.suffixes import Suffixes, anchors, dedup, row_anchors
 
 
 def expected(rows, length):
@@ -40,11 +42,11 @@ def corpus(seed):
     return [(i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("seed", "gram", "hot", "together"), [(1, 16, 10_000, 4096), (2, 16, 10_000, 3), (3, 8, 2, 16), (4, 25, 0, 16)])
-def test_equals_every_window(spark, seed, gram, hot, together):
+@pytest.mark.parametrize(("seed", "gram", "hot", "together", "bits"), [(1, 16, 10_000, 4096, 64), (2, 16, 10_000, 3, 64), (3, 8, 2, 16, 64), (4, 25, 0, 16, 4)])
+def test_equals_every_window(spark, seed, gram, hot, together, bits):
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, key long, tk string")
-    got = dedup(docs, length=40, gram=gram, hot=hot, together=together).drop("kept").collect()
+    got = dedup(docs, length=40, gram=gram, hot=hot, together=together, bits=bits).drop("kept").collect()
     assert sorted(map(tuple, got), key=repr) == expected(rows, 40)
 
 
@@ -69,3 +71,22 @@ def test_mergesort_orders_like_bytes():
         a, b = rows[want[k - 1]], rows[want[k]]
         n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         assert common[k] == (n if group[k] == group[k - 1] else 0)
+
+
+@pytest.mark.parametrize("least", [0, 1, (1 << 33) - 1])
+def test_smallest_hash_marks_an_anchor(monkeypatch, least):
+    """A gram whose hash is as small as can be, in a text of one window, is its anchor."""
+    mix = lambda x: np.concatenate((np.full(len(x) // 2, 1 << 60, np.uint64), np.full(1, least, np.uint64), np.full(len(x) - len(x) // 2 - 1, 1 << 60, np.uint64)))
+    monkeypatch.setattr(suffixes, "mix", mix)
+    place, _ = anchors(np.arange(200, dtype=np.uint8), np.array([0, 200]), 200, 64)
+    assert place.tolist() == [137 // 2]
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 123, 5000, np.uint8).tobytes()
+    column = pa.array([b"short", text, None, text[:300]])
+    whole = sorted((int(r), int(p), int(k)) for row, place, key in row_anchors(column, 200, 64) for r, p, k in zip(row, place, key, strict=True))
+    monkeypatch.setattr(suffixes, "BLOCK", 700)
+    monkeypatch.setattr(suffixes, "blocks", lambda c: ((i, i + 1, np.frombuffer(c[i].as_py() or b"", np.uint8), np.array([0, len(c[i].as_py() or b"")])) for i in range(len(c))))
+    assert sorted((int(r), int(p), int(k)) for row, place, key in row_anchors(column, 200, 64) for r, p, k in zip(row, place, key, strict=True)) == whole

@@ -7,11 +7,12 @@ them. Among the suffixes of one anchor a mergesort compares two by binary search
 finds their common extension in logarithmic time; one sort runs to the right of the anchor and one to the left, and
 extensions of neighbours are checked byte by byte against collisions. Two windows are equal when both extensions reach.
 
-Anchors held by more than HOT suffixes are spread instead: their windows are counted by 128-bit hashes.
+Anchors held by more than HOT suffixes are spread instead: their windows are counted by 128-bit hashes, and the windows
+behind each hash that occurs again are compared by their bytes.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; equal texts (repeated rows too) of at
-least LENGTH bytes lose everything; a null doc_id stays null; further columns are not read; an empty table gives an
-empty result.
+least LENGTH bytes lose everything; a null doc_id stays null; a very long text is read in pieces that overlap by a
+window; further columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,15 +22,16 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import with_keys, written
-from .textscan import BYTE, blocks, columns, mix, odd, piece, powers, prefix_hash
+from .textscan import BLOCK, BYTE, blocks, columns, mix, odd, piece, powers, prefix_hash
 
 LENGTH, GRAM, HOT = 200, 64, 20_000
 #: Rows whose suffixes are sorted together in a task (whole anchors, so one anchor's may be more).
 TOGETHER = 4096
+#: Bytes of contexts that are handed on at once.
+_BYTES = 1 << 22
 
 
 def _sliding(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
@@ -48,56 +50,77 @@ def anchors(b: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.n
         return none
     h, i = prefix_hash(b), np.arange(len(b) - gram + 1)
     key = mix(piece(h, i, i + gram))
-    order = (key >> np.uint64(32)).astype(np.uint32)
+    order = (key >> np.uint64(33)).astype(np.uint32) + np.uint32(1)  # 0 is left for places without a window
     least = _sliding(order, length - gram + 1, np.minimum)
     row_end = np.repeat(at[1:], np.diff(at))[: len(least)]
     inside = np.arange(len(least)) + length <= row_end
-    least = np.where(inside, least, 0)  # no window here: below every hash but zero
+    least = np.where(inside, least, np.uint32(0))
     wide = length - gram
     most = _sliding(np.concatenate((np.zeros(wide, np.uint32), least, np.zeros(wide, np.uint32))), wide + 1, np.maximum)
     chosen = np.flatnonzero((most == order) & (most > 0))
     return chosen, key[chosen]
 
 
+def row_anchors(column: pa.Array, length: int, gram: int):
+    """(row, place, hash) of the anchors of each row, block by block; long texts in pieces that share a window."""
+    for i, _, b, at in blocks(column):
+        if len(at) > 2 or len(b) <= BLOCK:
+            place, key = anchors(b, at, length, gram)
+            row = np.searchsorted(at, place, "right") - 1
+            yield row + i, place - at[row], key
+            continue
+        last = -1
+        for s in range(0, len(b), BLOCK):
+            part = b[s : s + BLOCK + length]
+            place, key = anchors(part, np.array([0, len(part)]), length, gram)
+            new = place + s > last
+            place, key = place[new] + s, key[new]
+            last = max(last, int(place[-1])) if len(place) else last
+            yield np.full(len(place), i), place, key
+
+
+def _anchor_counts(length: int, gram: int):
+    """(key, n): how often an anchor occurs, in parts."""
+
+    def run(batches):
+        for batch in batches:
+            keys = [k for _, _, k in row_anchors(batch.column("text"), length, gram)]
+            key, n = np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]), return_counts=True)
+            yield columns(key=key.view(np.int64), n=n)
+
+    return run
+
+
 def _anchors(length: int, gram: int):
     def run(batches):
         for batch in batches:
-            row, pos, key = [], [], []
-            for i, _, b, at in blocks(batch.column("text")):
-                p, k = anchors(b, at, length, gram)
-                r = np.searchsorted(at, p, "right") - 1
-                row.append(r + i)
-                pos.append(p - at[r])
-                key.append(k.view(np.int64))
-            row, pos, key = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (row, pos, key))
-            take = pa.array(row)
-            yield columns(key=pa.array(key), doc_id=batch.column("doc_id").take(take), tk=batch.column("tk").take(take), pos=pa.array(pos))
+            for row, place, key in row_anchors(batch.column("text"), length, gram):
+                take = pa.array(row)
+                yield columns(key=key.view(np.int64), doc_id=batch.column("doc_id").take(take), tk=batch.column("tk").take(take), pos=place)
 
     return run
 
 
 def _contexts(length: int, gram: int):
     """The bytes around each anchor of a text: length - gram before it and `length` from it, as far as the text goes."""
-    side = length - gram
+    side, names = length - gram, ("key", "hot", "doc_id", "tk", "pos", "left", "right")
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
     def run(batches):
         for batch in batches:
-            row, pos, hot, left, right = [], [], [], [], []
+            held, size = [[] for _ in names], 0
             text = batch.column("text").cast(pa.large_binary())
-            for r, (p, k) in enumerate(zip(batch.column("pos"), batch.column("hot"), strict=True)):
-                t = text[r].as_py()
-                for a, h in zip(p.values.to_numpy().tolist(), k.values.to_pylist(), strict=True):
-                    row.append(r)
-                    pos.append(a)
-                    hot.append(h)
-                    left.append(t[max(0, a - side) : a])
-                    right.append(t[a : a + length])
-            take = pa.array(row, pa.int64())
-            key = pa.array(np.concatenate([k.values.to_numpy() for k in batch.column("key")] + [np.zeros(0, np.int64)]))
-            yield columns(
-                key=key, hot=pa.array(hot, pa.bool_()), doc_id=batch.column("doc_id").take(take), tk=batch.column("tk").take(take), pos=pa.array(pos, pa.int64()),
-                left=pa.array(left, pa.binary()), right=pa.array(right, pa.binary()),
-            )
+            for r in range(batch.num_rows):
+                t, doc, tk = memoryview(text[r].as_buffer()), batch.column("doc_id")[r].as_py(), batch.column("tk")[r].as_py()
+                for key, a, hot in zip(*(batch.column(c)[r].values.to_pylist() for c in ("key", "pos", "hot")), strict=True):
+                    for column, v in zip(held, (key, hot, doc, tk, a, bytes(t[max(0, a - side) : a]), bytes(t[a : a + length])), strict=True):
+                        column.append(v)
+                    size += length + side
+                    if size >= _BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(held, kinds, strict=True)], names)
+                        held, size = [[] for _ in names], 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(held, kinds, strict=True)], names)
 
     return run
 
@@ -215,8 +238,7 @@ def _sorts(length: int, gram: int, together: int):
             take = pa.array(row)
             return columns(doc_id=t["doc_id"].combine_chunks().take(take), tk=t["tk"].combine_chunks().take(take), a=pa.array(a), z=pa.array(z))
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch]).select(names)
+        for t in (pa.Table.from_batches([batch.slice(i, together)]).select(names) for batch in batches for i in range(0, batch.num_rows, together)):
             held = t if held is None else pa.concat_tables([held, t])
             if len(held) < together:
                 continue
@@ -230,30 +252,36 @@ def _sorts(length: int, gram: int, together: int):
     return run
 
 
-def _windows(length: int, gram: int):
-    """128-bit hash and start of each window around the given anchors."""
-    side, salt = length - gram, odd(2, 17)
+def _windows(length: int, gram: int, bits: int, whole: bool):
+    """Twofold hash of `bits` each and start of each window around the given anchors, or the hash and the window's bytes."""
+    side, salt, shift = length - gram, odd(2, 17), np.uint64(64 - bits)
 
     def run(batches):
         for batch in batches:
-            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            row, start, keys = [], [], [[], []]
-            for r, (x, y) in enumerate(zip(left, right, strict=True)):
-                b = np.frombuffer(x + y, np.uint8)
-                if len(b) < length:
-                    continue
-                i = np.arange(min(len(x), side), max(len(x) - (len(b) - length), 0) - 1, -1)  # bytes before the anchor
-                s = len(x) - i
-                row.append(np.full(len(s), r))
-                start.append(s - len(x))
-                for k, other in enumerate((b, b[::-1])):
-                    h = prefix_hash(other)
-                    a = s if k == 0 else len(b) - length - s
-                    keys[k].append(mix(piece(h, a, a + length) ^ salt[k]).view(np.int64))
-            row, start, ka, kb = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (row, start, *keys))
-            take = pa.array(row.astype(np.int64))
-            pos = batch.column("pos").to_numpy()[row.astype(np.int64)] + start
-            yield columns(doc_id=batch.column("doc_id").take(take), tk=batch.column("tk").take(take), a=pa.array(pos), ka=pa.array(ka), kb=pa.array(kb))
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                left, right = part.column("left").to_pylist(), part.column("right").to_pylist()
+                row, start, keys, text = [], [], [[], []], []
+                for r, (x, y) in enumerate(zip(left, right, strict=True)):
+                    b = np.frombuffer(x + y, np.uint8)
+                    if len(b) < length:
+                        continue
+                    i = np.arange(min(len(x), side), max(len(x) - (len(b) - length), 0) - 1, -1)  # bytes before the anchor
+                    s = len(x) - i
+                    row.append(np.full(len(s), r))
+                    start.append(s - len(x))
+                    for k, other in enumerate((b, b[::-1])):
+                        h = prefix_hash(other)
+                        a = s if k == 0 else len(b) - length - s
+                        keys[k].append((mix(piece(h, a, a + length) ^ salt[k]) >> shift).view(np.int64))
+                    if whole:
+                        text += [(x + y)[k : k + length] for k in s.tolist()]
+                row, start, ka, kb = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (row, start, *keys))
+                take = pa.array(row.astype(np.int64))
+                if whole:
+                    yield columns(ka=ka, kb=kb, w=pa.array(text, pa.binary()))
+                else:
+                    pos = part.column("pos").to_numpy()[row.astype(np.int64)] + start
+                    yield columns(doc_id=part.column("doc_id").take(take), tk=part.column("tk").take(take), a=pos, ka=ka, kb=kb)
 
     return run
 
@@ -275,7 +303,26 @@ def _kept(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(gone, pa.int64()), pa.array(runs_, pa.int64())], names=["kept", "n_removed", "n_spans"])
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, together: int = TOGETHER) -> DataFrame:
+def _spread(around: DataFrame, length: int, gram: int, bits: int) -> DataFrame:
+    """Spans of the windows around hot anchors that occur again, without a task that sees all suffixes of one."""
+    windows = written(around.mapInArrow(_windows(length, gram, bits, False), "doc_id long, tk long, a long, ka long, kb long").distinct())
+    again = written(windows.groupBy("ka", "kb").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    texts = around.mapInArrow(_windows(length, gram, bits, True), "ka long, kb long, w binary").join(again, ["ka", "kb"], "left_semi")
+    mixed = written(texts.groupBy("ka", "kb").agg(F.min("w").alias("low"), F.max("w").alias("high")).where("low <> high").select("ka", "kb"))
+    n_mixed = mixed.count()
+    sure = windows.join(again, ["ka", "kb"], "left_semi")
+    if not n_mixed:
+        return sure.select("doc_id", "tk", "a", (F.col("a") + length).alias("z"))
+    sure = with_keys(sure, mixed, ["ka", "kb"], "left_anti", n_mixed).select("doc_id", "tk", "a")
+    # Hashes collided: these windows are told apart by their bytes.
+    places = with_keys(windows, mixed, ["ka", "kb"], "left_semi", n_mixed).select("doc_id", "tk", "a")
+    whole = around.select("doc_id", "tk", (F.col("pos") - F.length("left")).alias("from"), F.concat("left", "right").alias("bytes"))
+    cut = places.join(whole, ["doc_id", "tk"]).where(f"a >= from and a - from + {length} <= length(bytes)").select("doc_id", "tk", "a", F.expr(f"substring(bytes, cast(a - from + 1 as int), {length})").alias("w")).distinct()
+    equal = cut.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return sure.union(cut.join(equal, "w", "left_semi").select("doc_id", "tk", "a")).select("doc_id", "tk", "a", (F.col("a") + length).alias("z"))
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, together: int = TOGETHER, bits: int = 64) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row, and kept: the bytes that stay, null where all do."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
     meta = written(docs.select("doc_id", "tk", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
@@ -284,16 +331,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     ids = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     n_reps = reps.count()
     one = with_keys(ids, reps.withColumnRenamed("tk", "tk_"), "doc_id", rows=n_reps).where("tk = tk_").select("doc_id", "tk", "text")
-    marks = one.mapInArrow(_anchors(length, gram), "key long, doc_id long, tk long, pos long")
-    met = marks.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1")
+    # Anchors are counted first, so that only those met twice travel with their places, and no task sees all of one.
+    twice = written(one.mapInArrow(_anchor_counts(length, gram), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
+    met = with_keys(one.mapInArrow(_anchors(length, gram), "key long, doc_id long, tk long, pos long"), twice, "key")
     per_text = met.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("key", "pos", (F.col("n") > hot).alias("hot"))).alias("m"))
     found = written(one.join(per_text, ["doc_id", "tk"]).select("doc_id", "tk", "text", "m.key", "m.pos", "m.hot"))
     around = found.mapInArrow(_contexts(length, gram), "key long, hot boolean, doc_id long, tk long, pos long, left binary, right binary")
     spans = around.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key").mapInArrow(_sorts(length, gram, together), "doc_id long, tk long, a long, z long")
     if not found.where(F.exists("hot", lambda h: h)).isEmpty():
-        windows = around.where("hot").mapInArrow(_windows(length, gram), "doc_id long, tk long, a long, ka long, kb long").distinct()
-        again = windows.groupBy("ka", "kb").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-        spans = spans.union(windows.join(again, ["ka", "kb"], "left_semi").select("doc_id", "tk", "a", (F.col("a") + length).alias("z")))
+        spans = spans.union(_spread(around.where("hot"), length, gram, bits))
     cuts = spans.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("a", "z")).alias("s")).select("doc_id", "tk", "s.a", "s.z")
     cut = F.arrow_udf(_kept, "kept binary, n_removed long, n_spans long")
     changed = found.select("doc_id", "tk", "text").dropDuplicates(["doc_id", "tk"]).join(cuts, ["doc_id", "tk"]).withColumn("c", cut("text", "a", "z")).select("doc_id", "tk", "c.*")
