@@ -101,7 +101,15 @@ def pieces(text: Column, model: str, ranks: str, size: int = SIZE, end: int = EN
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]]:
-    """(lengths of one sequence, how many such sequences) that use up the counts of each length."""
+    """(lengths of one sequence, how many such sequences) that use up the counts of each length.
+
+    Exact combinations early on can eat short pieces that best fit would need later, so the plan is made with
+    combinations of up to three, two, one and no further pieces, and the shortest plan is taken."""
+    return min((_plan(counts, size, most) for most in (3, 2, 1, 0)), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: dict[int, int], size: int, most: int) -> list[tuple[list[int], int]]:
+    """A plan whose exact fillings hold up to `most` pieces beside the longest one."""
     left, out = defaultdict(int, counts), []
 
     def use(lengths: list[int]) -> bool:
@@ -115,18 +123,18 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]
                 left[x] -= n * k
         return n > 0
 
-    for long in range(size, 0, -1):
+    for long in range(size, 0, -1) if most else ():
         gap = size - long
         if left[long] and not gap:
             use([long])
         if left[long] and gap:
             use([long, gap])
-        for a in range(gap - 1, (gap - 1) // 2, -1):
+        for a in range(gap - 1, (gap - 1) // 2, -1) if most > 1 else ():
             if not left[long]:
                 break
             if left[a] and left[gap - a]:
                 use([long, a, gap - a])
-        for a in range(gap - 2, (gap - 1) // 3, -1):
+        for a in range(gap - 2, (gap - 1) // 3, -1) if most > 2 else ():
             if not left[long]:
                 break
             for b in range(min(a, gap - a - 1), (gap - a - 1) // 2, -1) if left[a] else ():
