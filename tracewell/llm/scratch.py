@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +51,20 @@ def with_keys(df: DataFrame, keys: DataFrame, on: str, how: str = "inner", rows:
     """df joined to the narrow table keys: broadcast if it is counted as small, else by shuffle."""
     n = keys.count() if rows is None else rows
     return df.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, on, how)
+
+
+def few(table: DataFrame, rows: int = BROADCAST_ROWS) -> list[np.ndarray] | None:
+    """The columns of longs of a table, sorted by the first, to be sent to every task with a kernel; None if it has more than `rows`."""
+    if table.count() > rows:
+        return None
+    got = table.toArrow()
+    order = np.argsort(got.column(0).to_numpy())
+    return [got.column(c).to_numpy()[order] for c in table.columns]
+
+
+def among(x: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of x are in the sorted keys, and the places there of those."""
+    at = np.searchsorted(keys, x)
+    found = at < len(keys)
+    found[found] = keys[at[found]] == x[found]
+    return found, at[found]

@@ -4,7 +4,7 @@ A sentence ends at a line's end, or after `.`, `!` or `?` before white space. Of
 sentences and MIN_WORDS words, the shortest that starts at each sentence and the shortest that ends with each are hashed
 (over lower-cased words); each longer run is the union of such runs within it. Where a run occurs more than once in the
 corpus, the occurrence with the smallest (doc_id, place) stays and the sentences of all others go; what stays is the
-rest of the bytes as they were.
+rest of the bytes as they were. Runs are counted by a 64-bit hash first; those met twice are told apart by 128 bits.
 
 A sentence of more than LONG words (a word list, a text without stops) is split before the words with the smallest hash
 in any WINDOW consecutive ones, and each piece counts as a sentence. Places depend on the words near them only, so of
@@ -12,8 +12,8 @@ in any WINDOW consecutive ones, and each piece counts as a sentence. Places depe
 
 Defined results: null and empty texts have no sentences and stay as they are; a text too short for a run stays, and so
 does a repeated sentence of up to LONG words between others that differ; rows
-with equal doc_id and text are one place (all stay or all lose the same sentences); a null doc_id sorts first; columns
-other than doc_id and text are kept by the operator.
+with equal doc_id and text are one place (all stay or all lose the same sentences); a null doc_id sorts first; a very
+long text is one block of its own; an empty table gives an empty result; columns other than doc_id and text are kept.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import BROADCAST_ROWS, among, few, written
 from .textscan import LOWER, SPACE, blocks, columns, hashed, mix, odd, words
 
 MIN_SENTENCES, MIN_WORDS = 2, 12
@@ -32,6 +33,7 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _M = int(odd(1, 21)[0])
 _INV = pow(_M, -1, 1 << 64)
+_SECOND = int(odd(1, 23)[0])
 
 
 def smallest(h: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -67,18 +69,17 @@ def sentences(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return begin, stop, row[first], first
 
 
-def runs(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first sentence in the row, sentences and hash of each run of a block of texts."""
+def runs(b: np.ndarray, at: np.ndarray, both: bool = False) -> tuple[np.ndarray, ...]:
+    """Row, first sentence in the row, sentences and hash of each run of a block of texts; with `both` a second hash."""
     low = LOWER[b]
     start, end, word_row = words(low, at)
     begin, _, row, first = sentences(b, at)
     if not len(first):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * (1 + both)
     n = len(start)
     power, back = np.full(n, _M, np.uint64), np.full(n, _INV, np.uint64)
     power[0] = back[0] = 1
     power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
-    h = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashed(low, start, end) * power)))
     edge = np.concatenate((first, [n]))  # first words of sentences, and the end
     s = np.arange(len(first))
     last_of_row = np.searchsorted(row, row, "right")  # one past the row's last sentence
@@ -91,22 +92,38 @@ def runs(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     fits = from_ >= first_of_row
     fits &= stop[from_] != tail  # else it is the shortest from its start, and there already
     a, z = np.concatenate((a, from_[fits])), np.concatenate((z, tail[fits]))
-    key = mix((h[edge[z]] - h[edge[a]]) * back[edge[a]] + (edge[z] - edge[a]).astype(np.uint64))
-    return row[a], a - first_of_row[a], z - a, key
+    word, keys = hashed(low, start, end), []
+    for salt in (0, _SECOND)[: 1 + both]:
+        h = np.concatenate((np.zeros(1, np.uint64), np.cumsum((mix(word ^ np.uint64(salt)) if salt else word) * power)))
+        keys.append(mix((h[edge[z]] - h[edge[a]]) * back[edge[a]] + (edge[z] - edge[a]).astype(np.uint64)))
+    return row[a], a - first_of_row[a], z - a, *keys
 
 
-def _spans(batches):
+def _counts(batches):
+    """(key, n): how often a run occurs, in parts."""
     for batch in batches:
-        out = [[], [], [], []]
-        for i, _, b, at in blocks(batch.column("text")):
-            for values, v in zip(out, runs(b, at), strict=True):
-                values.append(v + i if values is out[0] else v)
-        row, place, size, key = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-        take = pa.array(row.astype(np.int64))
-        yield columns(
-            key=pa.array(key.astype(np.uint64).view(np.int64)), doc_id=batch.column("doc_id").take(take), text_key=batch.column("text_key").take(take),
-            place=pa.array(place.astype(np.int32)), size=pa.array(size.astype(np.int32)),
-        )
+        for _, _, b, at in blocks(batch.column("text")):
+            key, n = np.unique(runs(b, at)[3], return_counts=True)
+            yield columns(key=key.view(np.int64), n=n)
+
+
+def _spans(wanted: np.ndarray | None):
+    """Runs with their places; only those with a wanted key, if these are given."""
+
+    def run(batches):
+        for batch in batches:
+            for i, _, b, at in blocks(batch.column("text")):
+                row, place, size, key, second = runs(b, at, True)
+                if wanted is not None:
+                    take, _ = among(key.view(np.int64), wanted)
+                    row, place, size, key, second = (x[take] for x in (row, place, size, key, second))
+                take = pa.array(row + i)
+                yield columns(
+                    key=key.view(np.int64), second=second.view(np.int64), doc_id=batch.column("doc_id").take(take), text_key=batch.column("text_key").take(take),
+                    place=place.astype(np.int32), size=size.astype(np.int32),
+                )
+
+    return run
 
 
 def _cut(text: pa.Array, places: pa.Array, sizes: pa.Array) -> pa.Array:
@@ -134,19 +151,23 @@ def _cut(text: pa.Array, places: pa.Array, sizes: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total), pa.array(gone)], names=names)
 
 
-def dedup(docs: DataFrame, out: str = "_dedup") -> DataFrame:
-    """docs with the struct `out`: text without repeated runs, n_sentences, n_removed."""
-    text_key: Column = F.xxhash64("text")
-    spans = docs.select(F.col("doc_id").cast("long"), text_key.alias("text_key"), "text").mapInArrow(_spans, "key long, doc_id long, text_key long, place int, size int")
+def dedup(docs: DataFrame, out: str = "_dedup", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs with the struct `out`: text without repeated runs, n_sentences, n_removed. Texts are scanned twice, so that only runs met twice are shuffled with their places."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    twice = written(texts.mapInArrow(_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
+    wanted = few(twice, rows)
+    spans = texts.mapInArrow(_spans(wanted and wanted[0]), "key long, second long, doc_id long, text_key long, place int, size int")
+    spans = written(spans if wanted is not None else spans.join(twice, "key", "left_semi"))
     place = F.struct("doc_id", "text_key", "place", "size")
     # One place twice (equal rows, or the run that ends a text) is one occurrence.
-    repeated = spans.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "first")
-    later = spans.join(repeated, "key").where(~place.eqNullSafe(F.col("first")))
+    repeated = spans.groupBy("key", "second").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "second", "first")
+    later = spans.join(repeated, ["key", "second"]).where(~place.eqNullSafe(F.col("first")))
     cuts = later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("place", "size")).alias("cuts"))
-    cuts = cuts.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("cuts.place").alias("_places"), F.col("cuts.size").alias("_sizes"))
-    joined = docs.join(cuts, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key")), "left")
+    held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("text_key"))
     cut = F.arrow_udf(_cut, "text string, n_sentences long, n_removed long")
-    return joined.withColumn(out, cut("text", "_places", "_sizes")).select(*(docs[c] for c in docs.columns), out)
+    cuts = cuts.select(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key"), "cuts.place", "cuts.size")
+    joined = held.join(cuts, held["doc_id"].eqNullSafe(F.col("cut_id")) & (F.col("text_key") == F.col("cut_key")), "left")
+    return joined.select("row", cut("text", "place", "size").alias("cut")).select("row.*", F.col("cut").alias(out))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
