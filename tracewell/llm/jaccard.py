@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import components
-from .scratch import BROADCAST_ROWS, discard, with_keys, written
+from .scratch import BROADCAST_ROWS, among, discard, few, with_keys, written
 from .textscan import LOWER, blocks, columns, hashed, mix, odd, shingles, words
 
 N, PERCENT = 5, 75
@@ -93,25 +93,18 @@ def _similar(percent: int):
 class _Common:
     """The common tokens with the numbers of their sets, sorted; `token` is None where they come as a column of each row."""
 
-    def __init__(self, table: pa.Table | None):
-        self.token = self.count = None
-        if table is not None:
-            token = table.column("token").to_numpy().view(np.uint64)
-            order = np.argsort(token)
-            self.token, self.count = token[order], table.column("k").to_numpy()[order]
+    def __init__(self, held: list[np.ndarray] | None):
+        self.token, self.count = held or (None, None)
 
     def split(self, x: np.ndarray, own: pa.Scalar | None) -> tuple[np.ndarray, np.ndarray]:
         """x, sorted, as its rare tokens, and its common ones with the rarest first."""
         token, count = self.token, self.count
         if token is None:
-            some = sorted((r["token"] & (1 << 64) - 1, r["k"]) for r in own.as_py() or ())
-            token, count = np.array([t for t, _ in some], np.uint64), np.array([k for _, k in some], np.int64)
-        if not len(token):
-            return x, x[:0]
-        at = np.minimum(np.searchsorted(token, x), len(token) - 1)
-        common = token[at] == x
+            some = sorted((r["token"], r["k"]) for r in own.as_py() or ())
+            token, count = np.array([t for t, _ in some], np.int64), np.array([k for _, k in some], np.int64)
+        common, at = among(x.view(np.int64), token)
         y = x[common]
-        return x[~common], y[np.lexsort((y, count[at[common]]))]
+        return x[~common], y[np.lexsort((y, count[at]))]
 
 
 def _rows(node: list[int], tokens: list[np.ndarray], **more: list[np.ndarray]) -> pa.RecordBatch:
@@ -286,8 +279,8 @@ class Join:
         texts = self.node_texts()
         counted = texts.mapInArrow(_counts, "token long, k long").repartition("token").groupBy("token").agg(F.sum("k").alias("k"))
         common = written(counted.where(F.col("k") > self.held))
-        if common.count() <= self.broadcast:
-            return texts, _Common(common.toArrow())
+        if (held := few(common.select("token", "k"), self.broadcast)) is not None:
+            return texts, _Common(held)
         tokens = texts.mapInArrow(_tokens, "token long, node long").join(common, "token")
         by_node = tokens.groupBy("node").agg(F.collect_list(F.struct("token", "k")).alias("common"))
         return texts.join(by_node, "node", "left"), _Common(None)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import with_keys, written
+from .scratch import BROADCAST_ROWS, among, few, with_keys, written
 from .textscan import BLOCK, BYTE, blocks, columns, mix, odd, piece, powers, prefix_hash
 
 LENGTH, GRAM, HOT = 200, 64, 20_000
@@ -91,12 +91,18 @@ def _anchor_counts(length: int, gram: int):
     return run
 
 
-def _anchors(length: int, gram: int):
+def _anchors(length: int, gram: int, wanted: list[np.ndarray] | None):
+    """Anchors with their places and, where the wanted keys are given, only those, with how often they occur."""
+
     def run(batches):
         for batch in batches:
             for row, place, key in row_anchors(batch.column("text"), length, gram):
+                key, more = key.view(np.int64), {}
+                if wanted is not None:
+                    found, at = among(key, wanted[0])
+                    row, place, key, more = row[found], place[found], key[found], {"n": wanted[1][at]}
                 take = pa.array(row)
-                yield columns(key=key.view(np.int64), doc_id=batch.column("doc_id").take(take), tk=batch.column("tk").take(take), pos=place)
+                yield columns(key=key, doc_id=batch.column("doc_id").take(take), tk=batch.column("tk").take(take), pos=place, **more)
 
     return run
 
@@ -322,7 +328,7 @@ def _spread(around: DataFrame, length: int, gram: int, bits: int) -> DataFrame:
     return sure.union(cut.join(equal, "w", "left_semi").select("doc_id", "tk", "a")).select("doc_id", "tk", "a", (F.col("a") + length).alias("z"))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, together: int = TOGETHER, bits: int = 64) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, together: int = TOGETHER, bits: int = 64, rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row, and kept: the bytes that stay, null where all do."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
     meta = written(docs.select("doc_id", "tk", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
@@ -333,7 +339,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     one = with_keys(ids, reps.withColumnRenamed("tk", "tk_"), "doc_id", rows=n_reps).where("tk = tk_").select("doc_id", "tk", "text")
     # Anchors are counted first, so that only those met twice travel with their places, and no task sees all of one.
     twice = written(one.mapInArrow(_anchor_counts(length, gram), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
-    met = with_keys(one.mapInArrow(_anchors(length, gram), "key long, doc_id long, tk long, pos long"), twice, "key")
+    wanted = few(twice.select("key", "n"), rows)
+    met = one.mapInArrow(_anchors(length, gram, wanted), "key long, doc_id long, tk long, pos long" + ", n long" * (wanted is not None))
+    met = met if wanted is not None else met.join(twice, "key")
     per_text = met.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("key", "pos", (F.col("n") > hot).alias("hot"))).alias("m"))
     found = written(one.join(per_text, ["doc_id", "tk"]).select("doc_id", "tk", "text", "m.key", "m.pos", "m.hot"))
     around = found.mapInArrow(_contexts(length, gram), "key long, hot boolean, doc_id long, tk long, pos long, left binary, right binary")
