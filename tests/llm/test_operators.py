@@ -78,6 +78,48 @@ def test_ring_overflow_goes_clockwise_and_moves_little():
         assert s == owner[arc] or load[owner[arc]] == cap[owner[arc]]
 
 
+def plain_ring(position, at, owner, shards):
+    """Shard of each key: its own while there is room, else the next one clockwise with room. Keys in order of the ring."""
+    arc = np.searchsorted(at, position) % len(at)
+    native = np.bincount(owner[arc], minlength=shards)
+    free = np.full(shards, len(position) // shards)
+    free[np.argsort(-native, kind="stable")[: len(position) % shards]] += 1
+    order = sorted(range(len(position)), key=lambda k: (arc[k], (position[k] >> 48) - (position[k] > at[-1]) * 65536, position[k]))
+    out, late = {}, []
+    for k in order:
+        s = owner[arc[k]]
+        if free[s]:
+            out[k] = s
+            free[s] -= 1
+        else:
+            late.append(k)
+    for k in late:
+        out[k] = next(s for s in (owner[(arc[k] + i) % len(at)] for i in range(1, len(at) + 1)) if free[s])
+        free[out[k]] -= 1
+    return [int(out[k]) for k in range(len(position))]
+
+
+def test_sharding_equals_a_plain_ring_and_moves_little(spark):
+    keys = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("shard"), F.lit(1).alias("at")).coalesce(1)
+    position = np.array([r.p for r in keys.orderBy("doc_id").select(F.xxhash64("doc_id").alias("p")).collect()])
+    got = {n: [r.shard for r in sharding.assign(keys, shards=n).orderBy("doc_id").collect()] for n in (40, 41)}
+    for n, shards in got.items():
+        assert shards == plain_ring(position, *sharding.ring(n, 64), n)
+    moved = np.mean(np.array(got[40]) != np.array(got[41]))
+    assert moved < 0.25, moved  # a plain modulus moves 0.98
+
+
+def test_sharding_query(spark, tmp_path):
+    rows = [(i, f"text {i} é" * (i % 5)) for i in range(300)] + [(7, None), (None, "a"), (None, "a")]
+    spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, slot int").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    out = sharding.op10_sharding(spark, str(tmp_path)).collect()
+    want = Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in rows)
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in out) == want
+    per = Counter(r.shard for r in out)
+    assert max(per.values()) - min(per[k] for k in range(40)) <= 1 and {r.law for r in out} == {"rows"} and {r.grown_shard for r in out} == {None}
+    assert sorted((r.shard, r.slot) for r in out) == [(s, k) for s in sorted(per) for k in range(per[s])]
+
+
 # Packing.
 @pytest.fixture(scope="module")
 def vocabulary():

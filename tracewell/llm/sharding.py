@@ -7,7 +7,7 @@ row count, so counts are at most one apart (law `rows`).
 Only counts per arc (shards x vnodes numbers) reach the driver; every row gets its shard from its rank inside its arc.
 
 Defined results: a null text has no bytes (size 16, checksum 0); a null doc_id is a key of its own; repeated rows
-are placed each on its own; an empty table gives an empty result; further columns of the input are not read.
+are placed each on its own; a very long text counts whole; an empty table gives an empty result; further columns stay.
 """
 
 from __future__ import annotations
@@ -20,6 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import written
+
+#: Parts into which the rows of one place on the ring are dealt.
+SALTS = 32
+
 
 def ring(shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all virtual nodes in clockwise order, and their shards."""
@@ -51,16 +56,22 @@ def placed(counts: np.ndarray, owner: np.ndarray, capacity: np.ndarray) -> list[
 
 
 def assign(rows: DataFrame, key: str = "doc_id", shards: int = 40, vnodes: int = 64) -> DataFrame:
-    """rows with `shard` and `slot` (the place in it, gapless from 0)."""
+    """rows with `shard` and `slot` (the place in it, gapless from 0); these two replace columns of their names.
+
+    Rows go in the order of the ring; within a 65,536th of it, by the part they were written in, so that not even equal
+    keys meet in one task. They are written first, as ranks must see the same parts."""
     at, owner = ring(shards, vnodes)
 
     def arc_of(position: pa.Array) -> pa.Array:
         return pa.array(np.searchsorted(at, position.to_numpy()) % len(at))
 
-    keyed = rows.withColumn("_at", F.xxhash64(key)).withColumn("_arc", F.arrow_udf(arc_of, "long")("_at"))
+    keyed = rows.select(F.struct(*rows.columns).alias("row"), F.xxhash64(key).alias("at"))
+    near = F.shiftright("at", 48) - F.when(F.col("at") > int(at[-1]), 1 << 16).otherwise(0)  # what lies past the last node comes first in its arc
+    keyed = written(keyed.select("row", "at", F.arrow_udf(arc_of, "long")("at").alias("arc"), near.alias("near"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")))
+    parts = keyed.groupBy("arc", "near", "salt").agg(F.count("*").alias("n"))
     counts = np.zeros(len(at), np.int64)
-    for r in keyed.groupBy("_arc").count().collect():
-        counts[r["_arc"]] = r["count"]
+    for r in parts.groupBy("arc").agg(F.sum("n").alias("n")).collect():
+        counts[r["arc"]] = r["n"]
     native = np.bincount(owner, counts, shards)
     capacity = np.full(shards, counts.sum() // shards)
     capacity[np.argsort(-native, kind="stable")[: counts.sum() % shards]] += 1
@@ -77,9 +88,12 @@ def assign(rows: DataFrame, key: str = "doc_id", shards: int = 40, vnodes: int =
         k = np.searchsorted(first, g, "right") - 1
         return pa.StructArray.from_arrays([pa.array(shard[k].astype(np.int32)), pa.array(slot[k] + g - first[k])], names=["shard", "slot"])
 
-    rank = F.row_number().over(W.partitionBy("_arc").orderBy("_at", key, *(c for c in rows.columns if c != key))).cast("long") - 1
+    before = parts.select("arc", "near", "salt", (F.sum("n").over(W.partitionBy("arc").orderBy("near", "salt")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(W.partitionBy("arc", "near", "salt").orderBy("at", "row")) - 1
+    ranked = keyed.withColumn("inside", inside).join(before, ["arc", "near", "salt"])
     to = F.arrow_udf(place, "shard int, slot long")
-    return keyed.withColumn("_to", to("_arc", rank)).select(*rows.columns, "_to.shard", "_to.slot")
+    out = ranked.select("row", to("arc", F.col("before") + F.col("inside")).alias("to"))
+    return out.select(*(F.col("row")[c].alias(c) for c in rows.columns if c not in ("shard", "slot")), "to.shard", "to.slot")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
