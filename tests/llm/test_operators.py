@@ -256,6 +256,33 @@ def test_decontamination(spark):
     assert decontam.decontaminate(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def plain_score(item, text):
+    """Best local alignment (match 1, mismatch and gap -1) as a share of the item."""
+    last, best = [0] * (len(text) + 1), 0
+    for w in item:
+        now = [0]
+        for j, t in enumerate(text):
+            now.append(max(0, last[j] + (1 if w == t else -1), last[j + 1] - 1, now[j] - 1))
+        best, last = max(best, *now), now
+    return best / len(item)
+
+
+def test_decontamination_query_equals_all_alignments(spark, tmp_path):
+    """Copies with every fourth word replaced, or a word put in after every third, too; repeated rows, and one long text."""
+    rng = random.Random(16)
+    some = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    items = [(i, some(n)) for i, n in enumerate((7, 11, 15, 24, 40, 40))]
+    edited = lambda w: [[x if (k + 1) % 4 else "other" for k, x in enumerate(w)], [y for k, x in enumerate(w) for y in ([x, "more"] if k % 3 == 2 else [x])], w[: len(w) * 7 // 10], w]
+    texts = [some(60) for _ in range(20)] + [some(20) + e + some(20) for _, w in items for e in edited(w)]
+    texts += [texts[-1], sum(texts, []), some(3000) + items[4][1] + some(3000)]
+    rows = [(100 + i, " ".join(t)) for i, t in enumerate(texts)] + [(None, " ".join(texts[30])), (7, None), (8, "")]
+    spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.op1_benchmark_decontamination(spark, str(tmp_path)).collect()}
+    want = {(d, i): max(plain_score(w, t.split()) for e, t in rows if e == d and t) for d, t in rows if t for i, w in items}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.6})
+
+
 def test_alignment_equals_plain_smith_waterman():
     rng = np.random.default_rng(2)
     for _ in range(30):

@@ -1,16 +1,18 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased runs of letters and digits. Every n-gram of a test item is a possible seed; how many documents
-hold each is counted over the whole corpus. An item drops the n-grams held by COMMON times as many documents as nine
-in ten of its own are: the bound is the item's, so it acts alike at every size, and an item that leaked everywhere,
-edited or not, keeps its seeds. The words around seed hits are aligned with the item; the best local alignment, as a
-share of a perfect one, is the score.
+Words are lower-cased runs of letters and digits. Every n-gram of a test item is a possible seed; how many texts hold
+each is counted over the whole corpus first. An item drops the n-grams held by COMMON times as many texts as the median
+of its own: the bound is the item's, so it acts alike at every size, and an item that leaked everywhere, edited or not,
+keeps its seeds. The rarer half always stays, so a copy of more than half of an item holds a seed. Texts are then
+searched for what stays, and the words around seeds are aligned with the item; the best local alignment, as a share of a
+perfect one, is the score.
 
 The items are held by every task in parts of bounded size; more items mean more passes.
 
 Defined results: null and empty texts have no words and match nothing; an item of fewer than n words is matched as
-a whole; items with equal words score alike; a null doc_id is reported as null; rows with one doc_id count as one
-document; further columns are not read; empty tables give an empty result.
+a whole; items with equal words score alike; a null doc_id is reported as null; rows with one doc_id are reported once
+for an item; a very long text is aligned in pieces that overlap by more than an alignment can reach; further columns are
+not read; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import written
 from .textscan import LOWER, PUNCT, blocks, columns, hashed, shingles, words
 
-N, SCORE, COMMON = 4, 0.6, 8
+N, SCORE, COMMON = 3, 0.6, 8
 #: Bytes of test items held at once.
 PART = 8 << 20
 _BITS = 20
+#: Words of texts that are aligned with one item at once, and a piece of a text in lengths of its item.
+_CELLS, _PIECE = 1 << 20, 8
 
 
 def item_words(text: str) -> np.ndarray:
@@ -43,16 +46,32 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], n: int):
         self.n, self.ids, self.words = n, [r[0] for r in rows], [item_words(r[1]) for r in rows]
         self.seeds: dict[int, set[int]] = defaultdict(set)  # n-gram -> items
-        self.size = max([len(w) for w in self.words], default=0)
         self.lengths = sorted({min(n, len(w)) for w in self.words if len(w)})
         for k, w in enumerate(self.words):
             if len(w):
                 for h in shingles(w, np.zeros(len(w), np.int64), min(n, len(w)))[0].tolist():
                     self.seeds[h].add(k)
+        self.index()
+
+    def index(self) -> None:
         self.known = np.array(sorted(self.seeds), np.uint64)
         self.table = np.zeros(1 << _BITS, bool)
         self.table[(self.known & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
 
+    def keep_rare(self, count: dict[int, int]) -> None:
+        """Drops the seeds of each item that are far more common than its others."""
+        of_item = defaultdict(list)
+        for h, items in self.seeds.items():
+            for k in items:
+                of_item[k].append((count.get(h, 0), h))
+        self.seeds = defaultdict(set)
+        for k, seeds in of_item.items():
+            limit = COMMON * max(1, sorted(c for c, _ in seeds)[len(seeds) // 2])
+            for c, h in seeds:
+                if c <= limit:
+                    self.seeds[h].add(k)
+        self.index()
+
     def hits(self, word: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of each n-gram that is one of an item."""
         at, found = [], []
@@ -107,77 +126,78 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, score: float =
 
 def _part(docs: DataFrame, spark: SparkSession, sized: DataFrame, n: int, score: float) -> DataFrame:
     held = Items([(r[0], r[1]) for r in sized.select("item_id", "text").collect()], n)
-    shared = spark.sparkContext.broadcast(held)  # of bounded size: one part of the items
+    every = spark.sparkContext.broadcast(held)  # of bounded size: one part of the items
+
+    def word_rows(column):
+        for i, _, b, at in blocks(column):
+            b = LOWER[b]
+            start, end, row = words(b, at, PUNCT)
+            yield i, hashed(b, start, end), row
 
-    def clusters(batches):
-        """Runs of seed hits with the words around them, from each text."""
-        m = shared.value
+    def count(batches):
+        """(seed, n): in how many texts an n-gram of an item occurs, in parts."""
+        m = every.value
         for batch in batches:
-            ids, key, base, text, at_, seed = batch.column("doc_id").to_pylist(), [], [], [], [], []
-            for i, _, b, at in blocks(batch.column("text")):
-                b = LOWER[b]
-                start, end, row = words(b, at, PUNCT)
-                word = hashed(b, start, end)
+            for _, word, row in word_rows(batch.column("text")):
                 where, h = m.hits(word, row)
-                if not len(where):
-                    continue
-                cut = np.flatnonzero((np.diff(where) > 2 * m.size) | (np.diff(row[where]) != 0)) + 1
-                for k in np.split(np.arange(len(where)), cut):
-                    r = row[where[k[0]]]
-                    lo, hi = np.searchsorted(row, r), np.searchsorted(row, r, "right")
-                    a, z = max(lo, where[k[0]] - 2 * m.size), min(hi, where[k[-1]] + 2 * m.size)
-                    key.append(ids[i + int(r)])
-                    base.append(int(a - lo))
-                    text.append(word[a:z].view(np.int64))
-                    at_.append(where[k] - a)
-                    seed.append(h[k].view(np.int64))
-            kind = pa.list_(pa.int64())
-            yield columns(doc_id=pa.array(key, pa.int64()), base=pa.array(base, pa.int64()), words=pa.array(text, kind), at=pa.array(at_, kind), seeds=pa.array(seed, kind))
-
-    near = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(clusters, "doc_id long, base long, words array<long>, at array<long>, seeds array<long>"))
-    held_by = near.select("doc_id", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.countDistinct("doc_id").alias("n"))
-    count = {r["seed"] & (1 << 64) - 1: r["n"] for r in held_by.collect()}  # at most one row a seed of this part
-    rare: dict[int, set[int]] = defaultdict(set)
-    of_item = defaultdict(list)
-    for h, its in held.seeds.items():
-        for k in its:
-            of_item[k].append((count.get(h, 0), h))
-    for k, seeds in of_item.items():
-        limit = COMMON * max(1, sorted(c for c, _ in seeds)[len(seeds) * 9 // 10])
-        for c, h in seeds:
-            if c <= limit:
-                rare[h].add(k)
-    wanted = spark.sparkContext.broadcast(dict(rare))
+                order = np.lexsort((h, row[where]))
+                r, h = row[where][order], h[order]
+                once = np.ones(len(h), bool)
+                once[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+                seed, n = np.unique(h[once], return_counts=True)
+                yield columns(seed=seed.view(np.int64), n=n)
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    counted = texts.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    held.keep_rare({r["seed"] & (1 << 64) - 1: r["n"] for r in counted.collect()})  # at most one row a seed of this part
+    wanted = spark.sparkContext.broadcast(held)
 
     def align(batches):
-        m, use = shared.value, wanted.value
+        m = wanted.value
         for batch in batches:
-            todo: dict[int, list] = defaultdict(list)
-            for d, base, w, at, seeds in zip(*(batch.column(c) for c in ("doc_id", "base", "words", "at", "seeds")), strict=True):
-                w, span = w.values.to_numpy().view(np.uint64), {}
-                for p, h in zip(at.values.to_numpy().tolist(), seeds.values.to_numpy().view(np.uint64).tolist(), strict=True):
-                    for k in use.get(h, ()):
-                        a, z = span.get(k, (p, p))
-                        span[k] = (min(a, p), max(z, p))
-                for k, (a, z) in span.items():
-                    more = 2 * len(m.words[k])
-                    a = max(0, a - more)
-                    todo[k].append((d.as_py(), base.as_py() + a, w[a : z + more]))
-            rows = []
-            for k, some in todo.items():
-                some.sort(key=lambda x: len(x[2]))
-                for i in range(0, len(some), 256):
-                    best, end = aligned(m.words[k], [x[2] for x in some[i : i + 256]])
-                    for (d, base, _), s, e in zip(some[i : i + 256], best.tolist(), end.tolist(), strict=True):
-                        if s >= score * len(m.words[k]):
-                            rows.append((d, m.ids[k], s, len(m.words[k]), base + e))
-            c = list(zip(*rows, strict=True)) or [()] * 5
-            yield columns(**{name: pa.array(v, pa.int64()) for name, v in zip(("doc_id", "item_id", "matched", "item_words", "end_word"), c, strict=True)})
-
-    hits = near.mapInArrow(align, "doc_id long, item_id long, matched long, item_words long, end_word long")
+            ids, todo, size = batch.column("doc_id").to_pylist(), defaultdict(list), 0
+            for i, word, row in word_rows(batch.column("text")):
+                where, h = m.hits(word, row)
+                ends = np.searchsorted(row, row[where], "right").tolist()
+                begins = np.searchsorted(row, row[where]).tolist()
+                near: dict[tuple[int, int], list[int]] = {}  # (row, item) -> words to align, as long as seeds go on
+                for p, seed, lo, hi in zip(where.tolist(), h.tolist(), begins, ends, strict=True):
+                    for k in m.seeds[seed]:
+                        more = 2 * len(m.words[k])
+                        a, z = max(lo, p - more), min(hi, p + more)
+                        old = near.get((lo, k))
+                        if old and a <= old[1] and z - old[0] <= _PIECE * more:
+                            old[1] = z
+                            continue
+                        near[lo, k] = new = [a, z]
+                        todo[k].append((ids[i + int(row[p])], lo, new, word))
+                        size += z - a
+                if size > _CELLS:
+                    yield _scored(m, todo, score)
+                    todo, size = defaultdict(list), 0
+            yield _scored(m, todo, score)
+
+    hits = texts.mapInArrow(align, "doc_id long, item_id long, matched long, item_words long, end_word long")
     best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "item_words", (-F.col("end_word")).alias("e"))).alias("x"))
     return best.select("doc_id", "item_id", (F.col("x.matched") / F.col("x.item_words")).alias("score"), "x.matched", "x.item_words", (-F.col("x.e")).alias("end_word"))
 
 
+def _scored(m: Items, todo: dict[int, list], score: float) -> pa.RecordBatch:
+    """Alignments that reach the score, of each item with the stretches (doc_id, first word of the text, [from, to], words of the block)."""
+    rows = []
+    for k, some in todo.items():
+        size = len(m.words[k])
+        some = sorted(((d, a - lo, word[a:z]) for d, lo, (a, z), word in some), key=lambda x: len(x[2]))
+        i = 0
+        while i < len(some):
+            n = max(1, min(256, _CELLS // len(some[min(i + 255, len(some) - 1)][2])))
+            part = some[i : i + n]
+            best, end = aligned(m.words[k], [x[2] for x in part])
+            rows += [(d, m.ids[k], s, size, base + e) for (d, base, _), s, e in zip(part, best.tolist(), end.tolist(), strict=True) if s >= score * size]
+            i += n
+    c = list(zip(*rows, strict=True)) or [()] * 5
+    return columns(**{name: pa.array(v, pa.int64()) for name, v in zip(("doc_id", "item_id", "matched", "item_words", "end_word"), c, strict=True)})
+
+
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
