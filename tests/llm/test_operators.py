@@ -220,6 +220,38 @@ def test_secret_entropy(spark):
     assert red[1] == ("see [SECRET] now", 16) and red[5][0] == "[SECRET]" and red[2][0] == rows[1][1]
 
 
+def added_spans(t):
+    """Spans that the method adds, by plain counts over each window."""
+    t, base = t or "", [tuple(map(int, x.split(":")[1:])) for x in spans_of(t).split(",") if x]
+    allow = re.compile(secrets.ALLOW.replace("^(?-i:", "^(?:").replace("(?i)", ""), re.I)
+    lower_path = re.compile(r"/?(?:[a-z_-]+[0-9]{0,4}/){2,}[a-z_-]*[0-9]{0,4}")
+    out = []
+    for kind, least in (("entropy_hex", 3.0), ("entropy_b64", 3.9)):
+        own = []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{24,}", t):
+            v = m[0]
+            is_hex = bool(re.fullmatch(r"[A-Fa-f0-9]+", v))
+            if not re.search("[0-9]", v) or (kind == "entropy_hex") != is_hex and kind == "entropy_hex":
+                continue
+            paths = allow.search(v) and (re.search(allow.pattern.rsplit("|", 1)[0], v, re.I) or lower_path.fullmatch(v))
+            value = v.upper() if kind == "entropy_hex" else v
+            high = max(-sum(n / 24 * np.log2(n / 24) for n in Counter(value[i : i + 24]).values()) for i in range(len(value) - 23))
+            if not paths and high >= least and not any(a < m.end() and m.start() < z for a, z in base + [x[:2] for x in out]):
+                own.append((m.start(), m.end(), kind))
+        out += own
+    return ",".join(f"{k}:{a}:{z}" for a, z, k in sorted(out, key=lambda x: (x[0], x[2] != "entropy_hex")))
+
+
+def test_added_secrets_equal_plain_windows(spark):
+    rng = random.Random(19)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    pieces = [lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(10, 60))), lambda: "".join(rng.choice("0123456789ABCDEF") for _ in range(rng.randrange(20, 40)))]
+    pieces += [lambda: "/usr/lib2/python/site-packages", lambda: "password=" + "q" * 9, lambda: "x9" * 20, lambda: "plain words here", lambda: "aB3" * 9 + "example", lambda: "ab9/cde/fgh/" + "".join(rng.choice(letters) for _ in range(24))]
+    rows = [(10 + i, " ".join(rng.choice(pieces)() for _ in range(rng.randrange(6)))) for i in range(250)]
+    got = secrets.scan(docs(spark, rows)).select("text", secrets.listed(F.col("_added")).alias("s")).collect()
+    assert [r.s for r in got] == [added_spans(r.text) for r in got] and sum(bool(r.s) for r in got) > 50
+
+
 def test_sliding_entropy_equals_plain_counts(spark):
     rng, w = random.Random(3), 8
     values = ["".join(rng.choice("0123456789ABCDEF") for _ in range(rng.randrange(8, 30))) for _ in range(40)]
