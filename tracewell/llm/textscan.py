@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text makes a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1)
 
