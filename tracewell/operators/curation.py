@@ -138,6 +138,8 @@ def class_count_dev(pool: DataFrame) -> DataFrame:
 
 
 def manifest_rows(pool: DataFrame) -> DataFrame:
-    """Text rows of a manifest: depth with four decimals, and the place of the split in the fixed order to sort by."""
+    """Text rows of a manifest: depth with four decimals, and the place of the split in the fixed order to sort by. Without a source_label the label is its own source."""
     place = F.array_position(F.array(*(F.lit(s) for s in SPLITS)), F.col("split"))
-    return pool.select(place.cast("int").alias("split_order"), "split", "pool_row", "sample_id", F.format_string("%.4f", half_up(F.col("depth_value") * 10000) / 10000).alias("depth"), "label")
+    source = F.col("source_label") if "source_label" in pool.columns else F.col("label")
+    depth = F.format_string("%.4f", half_up(F.col("depth_value") * 10000) / 10000)
+    return pool.select(place.cast("int").alias("split_order"), "split", "pool_row", "sample_id", depth.alias("depth"), source.cast("int").alias("source_label"), "label")

@@ -164,6 +164,12 @@ def loss_bounds(df: DataFrame, by: list[str], pad: float = 0.05) -> DataFrame:
 
 
 def dedupe_candidates(df: DataFrame, params: list[str], source: list[str]) -> DataFrame:
-    """Each set of parameters once: the first id in source order, and all its references."""
-    key = F.to_json(F.struct(*params))
-    return df.withColumn("params", key).groupBy("params").agg(F.min_by("id", F.struct(*source, "id")).alias("id"), F.count("*").alias("n_references"), F.array_sort(F.collect_list(F.struct(*source, "id"))).alias("references"))
+    """Each set of parameters once: the first id in source order, the last reference, and how many there are."""
+    key, at = F.to_json(F.struct(*params)), F.struct(*source, "id")
+    return df.withColumn("params", key).groupBy("params").agg(F.min_by("id", at).alias("id"), F.max(at).alias("last"), F.count("*").alias("n_references"))
+
+
+def candidate_references(df: DataFrame, params: list[str], source: list[str]) -> DataFrame:
+    """(candidate, and the columns of df): every reference beside the id under which its parameters are kept."""
+    first = dedupe_candidates(df, params, source).select("params", F.col("id").alias("candidate"))
+    return df.withColumn("params", F.to_json(F.struct(*params))).join(first, "params").drop("params")

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .evaluation import binary_metrics, leaderboard, log_loss, votes
+from .evaluation import binary_metrics, error_gate, leaderboard, log_loss, votes
 
 
 def fit(train: DataFrame, inputs: int, classes: int, hidden: list[int], rounds: int, seed: int = 1):
@@ -20,9 +20,10 @@ def fit(train: DataFrame, inputs: int, classes: int, hidden: list[int], rounds:
 
 
 def scored(model, rows: DataFrame) -> DataFrame:
-    """rows with `probs`; those whose features are not all finite are dropped."""
-    sound = rows.where(F.forall("features", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    out = model.transform(sound.withColumn("vector", array_to_vector("features")))
+    """rows with `probs`; a feature that is not finite raises."""
+    sound = F.forall("features", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    checked = F.when(sound, F.col("features")).otherwise(F.raise_error(F.lit("features that are not finite")).cast("array<double>"))
+    out = model.transform(rows.withColumn("vector", array_to_vector(checked)))
     return out.withColumn("probs", vector_to_array("probability")).drop("vector", "rawPrediction", "probability", "prediction")
 
 
@@ -47,18 +48,24 @@ def losses(scored: DataFrame, by: list[str]) -> DataFrame:
     return scored.groupBy(*by).agg(F.avg(log_loss(F.col("probs"), F.col("label").cast("int"))).alias("val_loss"), F.avg(right.cast("double")).alias("val_accuracy"))
 
 
-def sweep(rows: DataFrame, candidates: list[dict], inputs: int, classes: int) -> tuple[DataFrame, DataFrame]:
-    """Leaderboard of candidates (id, hidden, rounds) on the validation split, and the winner's metrics on the test split.
+def sweep(rows: DataFrame, candidates: list[dict], inputs: int, classes: int, limit: float = 0.4, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(leaderboard, winner): candidates (id, hidden, rounds) by their validation split, and the winner's metrics on the test split.
 
-    The test split is read only once the winner is known.
-    """
-    spark, results, models = rows.sparkSession, [], {}
+    Results of `done` (id, val_accuracy, val_loss) are taken over and not fitted again. The test split is read only once
+    the winner is known; `stop` tells whether its share of missed positives is above the limit."""
+    spark, models = rows.sparkSession, {}
     train, val = rows.where("split = 'train'"), rows.where("split = 'val'")
+    have = {r["id"]: r for r in done.collect()} if done is not None else {}  # as many as candidates
+    results = []
     for c in candidates:
-        models[c["id"]] = fit(train, inputs, classes, c["hidden"], c["rounds"])
-        r = losses(scored(models[c["id"]], val), []).first()
-        results.append((c["id"], r["val_accuracy"], r["val_loss"]))
-    board = leaderboard(spark.createDataFrame(results, "id string, val_accuracy double, val_loss double"))
+        if c["id"] not in have:
+            models[c["id"]] = fit(train, inputs, classes, c["hidden"], c["rounds"])
+        r = have.get(c["id"]) or losses(scored(models[c["id"]], val), []).first()
+        results.append((c["id"], r["val_accuracy"], r["val_loss"], c["id"] in have))
+    board = leaderboard(spark.createDataFrame(results, "id string, val_accuracy double, val_loss double, reused boolean"))
     best = min(results, key=lambda r: (-r[1], r[2], r[0]))[0]
-    test = scored(models[best], rows.where("split = 'test'")).withColumn("prediction", (F.array_position("probs", F.array_max("probs")) - 1).cast("int"))
-    return board, binary_metrics(test.withColumn("label", (F.col("label") > 0).cast("int")).withColumn("prediction", (F.col("prediction") > 0).cast("int")))
+    chosen = next(c for c in candidates if c["id"] == best)
+    model = models.get(best) or fit(train, inputs, classes, chosen["hidden"], chosen["rounds"])
+    test = scored(model, rows.where("split = 'test'")).withColumn("prediction", (F.array_position("probs", F.array_max("probs")) - 1).cast("int"))
+    metrics = binary_metrics(test.withColumn("label", (F.col("label") > 0).cast("int")).withColumn("prediction", (F.col("prediction") > 0).cast("int")))
+    return board, error_gate(metrics, limit).withColumn("winner", F.lit(best))

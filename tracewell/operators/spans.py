@@ -43,11 +43,12 @@ class Detector:
 
 
 def moving_average(x: Column, window: int, first: int = 0) -> Column:
-    """Mean of `window` points about each, from point `first` on; places beyond an end read as that end, earlier points are 0."""
-    left, right = (window // 2, window // 2) if window % 2 else (window // 2 - 1, window // 2)
-    last = F.size(x) - 1
+    """Mean of `window` points about each, at most as many as there are, from point `first` on; places beyond an end read as that end, earlier points are 0."""
+    last, size = F.size(x) - 1, F.greatest(F.least(F.lit(window), F.size(x) - first), F.lit(1))
+    right = F.floor(size / 2).cast("int")
+    left = right - F.when(size % 2 == 0, 1).otherwise(0)
     at = lambda i: F.get(x, F.least(F.greatest(i, F.lit(first)), last))
-    mean = lambda i: F.aggregate(F.sequence(i - left, i + right), F.lit(0.0), lambda a, j: a + at(j)) / window
+    mean = lambda i: F.aggregate(F.sequence(i - left, i + right), F.lit(0.0), lambda a, j: a + at(j)) / size
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.when(i < first, F.lit(0.0)).otherwise(mean(i)))
 
 

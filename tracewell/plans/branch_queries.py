@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -11,7 +12,7 @@ from ..operators import features as Fe
 from ..operators import frames as Fr
 from .registry import register
 from .trace_queries import DET, SPAN, spans
-from .views import pool, samples, scans, sql, table
+from .views import history, pool, samples, scans, sql, table
 
 R = lambda c, n=6: F.round(c, n)
 MM = 5.0
@@ -82,7 +83,30 @@ TUKEY = "CASE WHEN pos < 0.15 * 63 THEN 0.5 * (1 + cos(pi() / 0.15 * (pos / 63.0
 register("tukey_window", lambda s, d: exploded(scans(s, d).withColumn("signal", S.tapered(F.col("signal"), 64)), KEY), sql(f"SELECT sample_id, frame, channel, CAST(pos AS INTEGER) AS pos, round(value * {TUKEY}, 6) AS value FROM traces", "traces"))
 register("resample_linear", lambda s, d: exploded(scans(s, d).withColumn("signal", G.resample_linear(F.col("signal"), 48)), KEY), sql("""WITH k AS (SELECT k, k * 63 / 47.0 AS x, least(CAST(floor(k * 63 / 47.0) AS BIGINT), 62) AS i FROM range(48) AS t(k))
  SELECT a.sample_id, a.frame, a.channel, CAST(k AS INTEGER) AS pos, round(a.value + (x - i) * (b.value - a.value), 6) AS value FROM k JOIN traces a ON a.pos = i JOIN traces b ON b.pos = i + 1 AND a.sample_id = b.sample_id AND a.frame = b.frame AND a.channel = b.channel""", "traces"))
-register("resample_cubic", lambda s, d: exploded(scans(s, d).withColumn("signal", G.resample_cubic(F.col("signal"), 48)), KEY))
+
+
+def spline_table(n: int, target: int) -> str:
+    """SQL rows (k, i, w): the share w of point i of n in point k of a not-a-knot spline at `target` places.
+
+    Solved here for the second derivatives of all unit signals at once, apart from the library's own weights."""
+    system, right = np.zeros((n, n)), np.zeros((n, n))
+    for i in range(1, n - 1):
+        system[i, i - 1 : i + 2], right[i, i - 1 : i + 2] = (1, 4, 1), (6, -12, 6)
+    system[0, :3] = system[-1, -3:] = (1, -2, 1)
+    second = np.linalg.solve(system, right)
+    rows = []
+    for k in range(target):
+        x = k * (n - 1) / (target - 1)
+        i = min(int(x), n - 2)
+        t, u = x - i, 1 - x + i
+        w = (u**3 - u) / 6 * second[i] + (t**3 - t) / 6 * second[i + 1]
+        w[i] += u
+        w[i + 1] += t
+        rows += [f"({k},{j},{v:.15g})" for j, v in enumerate(w) if abs(v) > 1e-13]
+    return f"(SELECT k, i, CAST(w AS DOUBLE) AS w FROM (VALUES {','.join(rows)}) AS v(k, i, w))"
+
+
+register("resample_cubic", lambda s, d: exploded(scans(s, d).withColumn("signal", G.resample_cubic(F.col("signal"), 48)), KEY), sql(f"SELECT sample_id, frame, channel, CAST(k AS INTEGER) AS pos, round(sum(value * w), 6) AS value FROM traces JOIN {spline_table(64, 48)} ON i = pos GROUP BY ALL", "traces"))
 
 EX = """lg AS (SELECT *, lag(value) OVER w AS l, lead(value) OVER w AS r FROM traces WINDOW w AS (PARTITION BY sample_id, frame, channel ORDER BY pos)),
  xt AS (SELECT *, coalesce(value > l AND value >= r, false) AS up, coalesce(value < l AND value <= r, false) AS dn FROM lg)"""
@@ -92,7 +116,7 @@ ENV = EX + """, kn AS (SELECT *, count(*) FILTER (up) OVER g AS nu, count(*) FIL
  FROM nb n JOIN traces a ON (a.sample_id, a.frame, a.channel, a.pos) = (n.sample_id, n.frame, n.channel, u0) JOIN traces b ON (b.sample_id, b.frame, b.channel, b.pos) = (n.sample_id, n.frame, n.channel, u1)
  JOIN traces c ON (c.sample_id, c.frame, c.channel, c.pos) = (n.sample_id, n.frame, n.channel, d0) JOIN traces e ON (e.sample_id, e.frame, e.channel, e.pos) = (n.sample_id, n.frame, n.channel, d1))"""
 register("local_extrema", lambda s, d: scans(s, d).withColumn("x", G.local_extrema(F.col("signal"))).select(*KEY, F.array_join("x.maxima", ",").alias("maxima"), F.array_join("x.minima", ",").alias("minima")), sql(f"WITH {EX} SELECT sample_id, frame, channel, coalesce(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FILTER (up), '') AS maxima, coalesce(string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) FILTER (dn), '') AS minima FROM xt GROUP BY ALL", "traces"))
-register("linear_envelope", lambda s, d: exploded(scans(s, d).withColumn("signal", G.linear_envelope(F.col("signal"))), KEY, name="upper").join(exploded(scans(s, d).withColumn("signal", G.linear_envelope(F.col("signal"), False)), KEY, name="lower"), [*KEY, "pos"]), sql(f"WITH {ENV} SELECT sample_id, frame, channel, CAST(pos AS INTEGER) AS pos, round(upper, 6) AS upper, round(lower, 6) AS lower FROM ev", "traces"))
+register("linear_envelope", lambda s, d: scans(s, d).select(*KEY, F.posexplode(F.arrays_zip(G.linear_envelope(F.col("signal")).alias("u"), G.linear_envelope(F.col("signal"), False).alias("l"))).alias("pos", "e")).select(*KEY, "pos", R("e.u").alias("upper"), R("e.l").alias("lower")), sql(f"WITH {ENV} SELECT sample_id, frame, channel, CAST(pos AS INTEGER) AS pos, round(upper, 6) AS upper, round(lower, 6) AS lower FROM ev", "traces"))
 register("zero_crossings", lambda s, d: scans(s, d).select(*KEY, G.zero_crossings(F.col("signal")).cast("long").alias("n")), sql(f"WITH {EX} SELECT sample_id, frame, channel, count(*) FILTER (value * r < 0) AS n FROM xt GROUP BY ALL", "traces"))
 register("sift_once", lambda s, d: scans(s, d).withColumn("x", G.sift_once(F.col("signal"))).select(*KEY, R("x.sd").alias("sd"), "x.n_extrema", "x.n_crossings"), sql(f"""WITH {ENV}, cd AS (SELECT *, value - (upper + lower) / 2 AS c FROM ev), c2 AS (SELECT *, lag(c) OVER w AS cl, lead(c) OVER w AS cr FROM cd WINDOW w AS (PARTITION BY sample_id, frame, channel ORDER BY pos))
  SELECT sample_id, frame, channel, round(sum(c * c) / (sum(value * value) + 1e-12), 6) AS sd, count(*) FILTER ((c > cl AND c >= cr) OR (c < cl AND c <= cr)) AS n_extrema, count(*) FILTER (c * cr < 0) AS n_crossings FROM c2 GROUP BY ALL""", "traces"))
@@ -149,15 +173,23 @@ def whole(s, d):
     return B.fixed(Fr.prepared(scans(s, d), None, "mean_std", 3), region_rows(s), MM, 64, 64)
 
 
-register("prepare_fixed", lambda s, d: exploded(whole(s, d).where("name = 'full'"), ["sample_id", "channel", "stream"]), sql(f"WITH m AS (SELECT sample_id, channel, pos, avg(value) AS a, stddev_pop(value) AS b FROM traces GROUP BY ALL) SELECT sample_id, channel, CAST(k AS INTEGER) AS stream, CAST(pos AS INTEGER) AS pos, round((CASE WHEN k = 0 THEN a ELSE b END) * {TUKEY}, 6) AS value FROM m, range(2) AS t(k)", "traces"))
+def tukey(n: int, place: str) -> str:
+    return f"CASE WHEN {place} < 0.15 * {n - 1} THEN 0.5 * (1 + cos(pi() / 0.15 * ({place} / {n - 1}.0 - 0.15))) WHEN {place} > {n - 1} - 0.15 * {n - 1} THEN 0.5 * (1 + cos(pi() / 0.15 * (({n - 1} - {place}) / {n - 1}.0 - 0.15))) ELSE 1 END"
+
+
+register("prepare_fixed", lambda s, d: exploded(whole(s, d), ["sample_id", "channel", "name", "stream"]), sql(f"""WITH m AS (SELECT sample_id, channel, pos, avg(value) AS a, stddev_pop(value) AS b FROM traces GROUP BY ALL), st AS (SELECT sample_id, channel, k AS stream, pos, CASE WHEN k = 0 THEN a ELSE b END AS value FROM m, range(2) AS t(k)),
+ rs AS (SELECT 'full' AS name, sample_id, channel, stream, pos AS k, value FROM st UNION ALL SELECT 'bone', sample_id, channel, stream, k, sum(value * w) FROM st JOIN {spline_table(25, 64)} ON i = pos - 13 WHERE pos >= 13 AND pos < 38 GROUP BY ALL)
+ SELECT sample_id, channel, name, CAST(stream AS INTEGER) AS stream, CAST(k AS INTEGER) AS pos, round(value * {tukey(64, 'k')}, 6) AS value FROM rs""", "traces"))
 
 
 def main_tail(s, d, target=24, alpha=0.0):
     return B.dynamic(frames3(s, d), spans(s, d), DET, target, alpha)
 
 
-register("prepare_dynamic", lambda s, d: exploded(main_tail(s, d).where("name = 'main'"), ["sample_id", "channel"]), sql(f'WITH {LP} SELECT p.sample_id, p.channel, CAST(pos - start AS INTEGER) AS pos, round(value, 6) AS value FROM pr p JOIN lo USING (sample_id, channel) WHERE pos >= start AND pos < "end" AND sample_id NOT IN (SELECT sample_id FROM lo WHERE "end" > 64)', "traces"))
 TWO = SPAN + """, br AS (SELECT sample_id, channel, 0 AS region_idx, 'main' AS name, start, "end", 24 AS input_len, 0 AS pad FROM lo UNION ALL SELECT sample_id, channel, 1, 'tail', "end", least("end" + 32, 64), 32, 32 - (least("end" + 32, 64) - "end") FROM lo), bo AS (SELECT * FROM br WHERE sample_id NOT IN (SELECT sample_id FROM lo WHERE "end" > 64))"""
+register("prepare_dynamic", lambda s, d: exploded(main_tail(s, d, 24, 0.3), ["sample_id", "channel", "name"]), sql(f"""WITH {LP}{TWO[len(SPAN):]}, cu AS (SELECT p.sample_id, p.channel, name, pos - start AS i, value FROM pr p JOIN bo USING (sample_id, channel) WHERE pos >= start AND pos < "end"),
+ rs AS (SELECT sample_id, channel, name, i AS k, value FROM cu WHERE name = 'main' UNION ALL SELECT b.sample_id, b.channel, 'tail', k, coalesce(sum(value * w), 0) FROM bo b CROSS JOIN {spline_table(32, 24)} v LEFT JOIN cu ON cu.sample_id = b.sample_id AND cu.channel = b.channel AND cu.name = 'tail' AND cu.i = v.i WHERE b.name = 'tail' GROUP BY ALL)
+ SELECT sample_id, channel, name, CAST(k AS INTEGER) AS pos, round(value * {tukey(24, 'k')}, 6) AS value FROM rs""", "traces"))
 register("branch_tensor", lambda s, d: B.tensor(main_tail(s, d, 24, 0.3), 2).select("sample_id", F.col("branch_id").cast("int").alias("branch_id"), "name", "start", "end", "pad", F.size("signal").alias("points"), "finite"), sql(f'WITH {TWO} SELECT sample_id, CAST(region_idx * 2 + channel AS INTEGER) AS branch_id, name, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", CAST(pad AS INTEGER) AS pad, 24 AS points, true AS finite FROM bo', "traces"))
 register("branch_geometry", lambda s, d: B.geometry(main_tail(s, d), MM, 64, 24).select("sample_id", "channel", "name", "input_len", R("spacing_mm").alias("spacing_mm"), "title"), sql(f"""WITH {TWO} SELECT sample_id, channel, name, CAST(input_len AS INTEGER) AS input_len, round(CAST(5.0 AS DOUBLE) / 64 * input_len / 24, 6) AS spacing_mm, name || ' ' || {G_.format('start * CAST(0.078125 AS DOUBLE)')} || '-' || {G_.format('"end" * CAST(0.078125 AS DOUBLE)')} || 'mm' AS title FROM bo""", "traces"))
 
@@ -185,9 +217,12 @@ register("entry_slice", lambda s, d: Fr.select_c3(scans(s, d).withColumn("signal
 
 
 def _curves(s, d):
-    """Long-form curves: mean trace of each label's samples."""
+    """Long-form curves: the mean trace of each label and channel, and both losses of each run."""
     lab = samples(s, d).select("sample_id", "label")
-    return scans(s, d).join(lab, "sample_id").select("label", "channel", F.posexplode("signal").alias("pos", "v")).groupBy("label", "channel", "pos").agg(R(F.avg("v")).alias("value"), F.count("*").alias("n"))
+    mean = scans(s, d).join(lab, "sample_id").select("label", "channel", F.posexplode("signal").alias("x", "v")).groupBy("label", "channel", "x").agg(R(F.avg("v")).alias("value"), F.count("*").alias("n"))
+    mean = mean.select(F.lit("trace").alias("kind"), F.concat_ws("/", F.col("label").cast("string"), F.col("channel").cast("string")).alias("series"), "x", "value", "n")
+    runs = history(s, d).select(F.col("experiment").cast("string").alias("series"), F.col("epoch").alias("x"), F.explode(F.create_map(F.lit("train_loss"), F.col("train_loss"), F.lit("val_loss"), F.col("val_loss"))).alias("kind", "value"))
+    return mean.union(runs.select("kind", "series", "x", R("value").alias("value"), F.lit(1).cast("long").alias("n")))
 
 
-register("curve_table", _curves, sql("SELECT s.label, channel, CAST(pos AS INTEGER) AS pos, round(avg(value), 6) AS value, count(*) AS n FROM traces t JOIN samples s USING (sample_id) GROUP BY ALL", "traces", "samples"))
+register("curve_table", _curves, sql("SELECT 'trace' AS kind, s.label || '/' || channel AS series, CAST(pos AS INTEGER) AS x, round(avg(value), 6) AS value, count(*) AS n FROM traces t JOIN samples s USING (sample_id) GROUP BY ALL UNION ALL SELECT 'train_loss', CAST(experiment AS VARCHAR), epoch, round(train_loss, 6), 1 FROM history UNION ALL SELECT 'val_loss', CAST(experiment AS VARCHAR), epoch, round(val_loss, 6), 1 FROM history", "traces", "samples", "history"))

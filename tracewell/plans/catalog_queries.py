@@ -21,9 +21,9 @@ from .views import history, pool, predictions, samples, scans, sql, table
 R = lambda c, n=6: F.round(c, n)
 
 
-def written(df, name, kind="parquet", **options):
+def written(df, name, kind="parquet", by=()):
     path = shared_path(df.sparkSession, name)
-    df.write.options(**options).format(kind).save(path)
+    df.write.partitionBy(*by).format(kind).save(path)
     return path
 
 
@@ -142,23 +142,37 @@ register("fold_overlap", lambda s, d: K.fold_overlap(pool(s, d).where("split <>
 
 
 def _guard(s, d):
-    e = experiments(s, d).withColumn("name", F.concat(F.col("name"), F.col("p_partkey").cast("string")))
-    wanted = e.select("name", Si.config_hash("form", "region", "channel").alias("hash"))
-    done = e.where("p_partkey % 3 > 0").select("name", Si.config_hash("form", F.when(F.col("p_partkey") % 5 == 0, "other").otherwise(F.col("region")).alias("region"), "channel").alias("hash"))
+    """Runs against saved ones; saved settings are in another order, and their numbers of another type."""
+    e = experiments(s, d).withColumn("name", F.concat(F.col("name"), F.col("p_partkey").cast("string"))).withColumn("setting", F.struct(F.col("p_partkey").alias("epochs"), "variant"))
+    wanted = e.select("name", Si.config_hash(e, "form", "region", "channel", "setting").alias("hash"))
+    saved = e.withColumn("region", F.when(F.col("p_partkey") % 5 == 0, "other").otherwise(F.col("region"))).withColumn("setting", F.struct("variant", F.col("p_partkey").cast("double").alias("epochs")))
+    done = saved.where("p_partkey % 3 > 0").select("name", Si.config_hash(saved, "setting", "channel", "region", "form").alias("hash"))
     return Si.may_run(wanted, done)
 
 
 register("run_guard", _guard, f"WITH {EXP} SELECT name || p_partkey AS name, p_partkey % 3 > 0 AS conflict FROM ne WHERE p_partkey % 3 = 0 OR p_partkey % 5 = 0")
-SET = "st AS (SELECT p_partkey, p_size - 2 AS noise_start, CAST(p_size % 12 AS DOUBLE) / 10 AS peak_ratio, p_size % 9 - 1 AS warmup, p_partkey % 3 AS peak_forward FROM part)"
+#: Settings of each part by rules of its columns: name, as SQL of both engines, the range that the surveyed rules allow.
+SETTINGS = {
+    "noise_start": ("p_size % 9 - 1", "{x} < 0"), "weak_threshold": ("CAST(p_size % 7 - 1 AS DOUBLE) / 100", "{x} < 0"), "smooth_window": ("p_size % 8", "{x} <= 0"), "peak_window_back": ("p_size % 11 - 1", "{x} < 0"),
+    "peak_window_forward": ("p_partkey % 5", "{x} <= 0"), "peak_ratio": ("CAST(p_size % 12 AS DOUBLE) / 10", "{x} <= 0 OR {x} >= 1"), "gap_max": ("p_partkey % 10 - 1", "{x} < 0"), "min_run_width": ("p_partkey % 9", "{x} <= 0"),
+    "min_run_area_ratio": ("CAST(p_partkey % 14 - 1 AS DOUBLE) / 10", "{x} < 0 OR {x} > 1"), "merge_max_lead": ("p_partkey % 12 - 1", "{x} < 0"), "lead_back": ("p_size % 13 - 1", "{x} < 0"), "main_length": ("p_size % 20", "{x} < 4"),
+    "main_start_min": ("p_partkey % 17 - 1", "{x} < 0"), "tail_length": ("p_partkey % 30", "{x} < 4"), "locator_top_k": ("p_partkey % 6", "{x} <= 0"),
+    "max_imfs": ("p_size % 6", "{x} <= 0"), "max_sift_iterations": ("p_size % 10", "{x} <= 0"), "sift_sd_threshold": ("CAST(p_size % 5 AS DOUBLE) / 10", "{x} <= 0"),
+    "num_classes": ("p_size % 7", "{x} < 2"), "weight_decay": ("CAST(p_partkey % 8 - 1 AS DOUBLE) / 10", "{x} < 0"), "dropout": ("CAST(p_partkey % 12 - 1 AS DOUBLE) / 10", "{x} < 0 OR {x} >= 1"), "batch_size": ("p_partkey % 7", "{x} <= 0"),
+    "epochs": ("p_partkey % 11", "{x} <= 0"), "patience": ("p_partkey % 13", "{x} <= 0"), "patch_size": ("p_size % 16", "{x} < 1"), "dim": ("p_size % 10", "{x} < 1 OR {x} % 2 <> 0"), "depth": ("p_partkey % 4", "{x} < 1"), "mlp_dim": ("p_size % 17", "{x} < 1"),
+}
 
 
 def _checks(s, d):
-    k = table(s, d, "part").select("p_partkey", (F.col("p_size") - 2).alias("noise_start"), ((F.col("p_size") % 12).cast("double") / 10).alias("peak_ratio"), (F.col("p_size") % 9 - 1).alias("warmup"), (F.col("p_partkey") % 3).alias("peak_forward"))
-    rules = {"noise_start": F.col("noise_start") < 0, "peak_ratio": (F.col("peak_ratio") <= 0) | (F.col("peak_ratio") >= 1), "warmup": F.col("warmup") < 0, "peak_forward": F.col("peak_forward") <= 0}
-    return k.select("p_partkey", F.array_join(F.array_compact(F.array(*(F.when(v, n) for n, v in rules.items()))), ",").alias("broken"))
+    """Names of the rules that each part's settings break."""
+    k = table(s, d, "part").select("p_partkey", *(F.expr(v).alias(n) for n, (v, _) in SETTINGS.items()), F.array(F.expr("p_size % 4 - 1"), F.expr("p_partkey % 3")).alias("hidden_dims"), F.expr("p_size % 4").alias("heads"), F.expr("CAST(p_size AS DOUBLE) / 1000").alias("learning_rate"), F.expr("CAST(p_partkey % 9 AS DOUBLE) / 1000").alias("min_learning_rate"), F.expr("p_size % 6 - 1").alias("warmup_epochs"), F.when(F.col("p_partkey") % 10 == 0, "steps").otherwise("constant").alias("lr_schedule"))
+    return k.select("p_partkey", F.array_join(K.broken_rules(), ",").alias("broken"))
 
 
-register("config_checks", _checks, f"WITH {SET} SELECT p_partkey, concat_ws(',', CASE WHEN noise_start < 0 THEN 'noise_start' END, CASE WHEN peak_ratio <= 0 OR peak_ratio >= 1 THEN 'peak_ratio' END, CASE WHEN warmup < 0 THEN 'warmup' END, CASE WHEN peak_forward <= 0 THEN 'peak_forward' END) AS broken FROM st")
+_BROKEN = ", ".join(f"CASE WHEN {rule.format(x=f'({value})')} THEN '{name}' END" for name, (value, rule) in SETTINGS.items())
+_MORE = """CASE WHEN least(p_size % 4 - 1, p_partkey % 3) <= 0 THEN 'hidden_dims' END, CASE WHEN p_size % 4 < 1 OR (p_size % 10) % greatest(p_size % 4, 1) <> 0 THEN 'heads' END,
+ CASE WHEN p_partkey % 9 = 0 OR p_partkey % 9 > p_size THEN 'rates' WHEN p_size % 6 = 0 THEN 'warmup' WHEN p_partkey % 10 = 0 THEN 'schedule' END"""
+register("config_checks", _checks, f"SELECT p_partkey, concat_ws(',', {_BROKEN}, {_MORE}) AS broken FROM part")
 
 
 # Files written from the tables, then scanned.
@@ -173,48 +187,7 @@ def _manifest(s, d):
 register("scan_manifest", _manifest, sql("SELECT sample_id % 40 AS \"group\", (sample_id % 40) % 9 <> 0 AS sound, split, CAST(row_number() OVER (PARTITION BY sample_id % 40, split ORDER BY CAST(sample_id AS VARCHAR)) - 1 AS INTEGER) AS position, CAST(sample_id AS VARCHAR) AS sample_id FROM pool", "pool"))
 
 
-def _candidates(s, d):
-    p = table(s, d, "part").select((F.col("p_size") % 6).alias("file"), F.struct(F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("id"), F.create_map(F.lit("depth"), F.col("p_size").cast("double"), F.lit("lr"), F.col("p_partkey") / 1000).alias("parameters")).alias("c"))
-    path = written(p.groupBy("file").agg(F.collect_list("c").alias("configurations")).select(F.to_json(F.struct("configurations")).alias("value"), "file"), "candidates", "json")
-    return Fi.candidates(s.read.schema("value string, file int").json(path), "value").select("file", "id", F.col("parameters")["depth"].alias("depth"), F.col("parameters")["lr"].alias("lr"))
-
-
-register("scan_candidates", _candidates, "SELECT p_size % 6 AS file, 'c' || p_partkey AS id, CAST(p_size AS DOUBLE) AS depth, p_partkey / 1000 AS lr FROM part")
-
-
-def _experiment_files(s, d):
-    """Folders run=N with config text; every seventh is not JSON of the expected form."""
-    text = F.when(F.col("p_partkey") % 7 == 0, "{broken").otherwise(F.to_json(F.struct("name", "form", "region", "accuracy")))
-    path = shared_path(s, "experiments")
-    experiments(s, d).select((F.col("p_partkey") % 50).alias("run"), "p_partkey", text.alias("value")).repartition("run").write.partitionBy("run").json(path)
-    got = s.read.schema("p_partkey long, value string, run long").json(path)
-    return got.withColumn("c", F.from_json("value", "name string, form string, region string, accuracy double")).where("c.name is not null").select("run", "p_partkey", "c.*")
-
-
-register("scan_experiments", _experiment_files, f"WITH {EXP} SELECT p_partkey % 50 AS run, p_partkey, name, form, region, accuracy FROM ne WHERE p_partkey % 7 <> 0")
-
-
-def _schemes(s, d):
-    """Data folders with a label scheme, without one, or with a corrupt one."""
-    brands = table(s, d, "part").groupBy("p_brand").agg(F.max("p_size").alias("m"))
-    text = F.when(F.col("m") % 3 == 0, "not json").when(F.col("m") % 3 == 1, F.to_json(F.struct(F.array(F.lit(0.5), F.col("m") / 10).alias("thresholds_mm"), F.concat(F.lit("t"), F.col("m")).alias("tag"))))
-    path = written(brands.select("p_brand", "m", text.alias("value")), "schemes")
-    return Fi.label_schemes(s.read.parquet(path), "value")
-
-
-BRAND = "br AS (SELECT p_brand, max(p_size) AS m FROM part GROUP BY 1)"
-register("scan_label_scheme", lambda s, d: _schemes(s, d).select("p_brand", "tag", F.element_at("thresholds", 2).alias("upper")), f"WITH {BRAND} SELECT p_brand, CASE WHEN m % 3 = 1 THEN 't' || m END AS tag, CASE WHEN m % 3 = 1 THEN m / 10 END AS upper FROM br")
-register("discover_datasets", lambda s, d: _schemes(s, d).where("thresholds is not null").select("p_brand", (F.size("thresholds") + 1).alias("num_classes"), S.scheme_tag(F.col("thresholds")).alias("derived")), f"WITH {BRAND} SELECT p_brand, 3 AS num_classes, 'cls3_thr0.5-' || printf('%g', m / 10) AS derived FROM br WHERE m % 3 = 1")
-
-
-def _publish(s, d):
-    path = shared_path(s, "dataset")
-    Si.publish(lpool(s, d), path, by=["split"])
-    return s.read.parquet(path).groupBy("split", "label").agg(F.count("*").alias("n"), F.sum("pool_row").alias("rows"))
-
-
 PUBLISHED = sql(f"WITH {LP} SELECT split, label, count(*) AS n, CAST(sum(pool_row) AS BIGINT) AS rows FROM lp GROUP BY ALL", "pool")
-register("write_dataset", _publish, PUBLISHED)
 
 
 def _guarded(s, d):
@@ -231,21 +204,6 @@ def _guarded(s, d):
 
 register("publish_guarded", _guarded, PUBLISHED)
 register("write_predictions", lambda s, d: s.read.schema("sample_id long, label int, prediction int, probability_label1 string").csv(written(Si.prediction_rows(decided(s, d)), "predictions", "csv")), sql(f"WITH {DEC} SELECT sample_id, label, prediction, printf('%.6f', floor(p1 * 1e6 + 0.5) / 1e6) AS probability_label1 FROM de", "predictions"))
-register("write_features", lambda s, d: s.read.parquet(written(table(s, d, "embeddings").select(F.col("vec_id").alias("sample_id"), "label", F.col("embedding").alias("features")), "features")).select("sample_id", "label", F.size("features").alias("n")), "SELECT vec_id AS sample_id, label, CAST(len(embedding) AS INTEGER) AS n FROM embeddings")
-
-
-def _provenance(s, d):
-    """Hashes of files of one writing against another in which some texts changed."""
-    one = table(s, d, "nation").select("n_nationkey", "n_name").repartition(5, "n_nationkey")
-    a = Fi.texts(s, written(one.select(F.concat_ws(",", "n_nationkey", "n_name")), "a", "text") + "/*.txt")
-    rows = lambda t: t.select(F.explode(F.split("value", "\n")).alias("v")).where("v <> ''").select(F.split("v", ",")[0].cast("long").alias("path"), F.sha2("v", 256).alias("sha256"))
-    b = one.withColumn("n_name", F.when(F.col("n_nationkey") % 4 == 0, F.lower("n_name")).otherwise(F.col("n_name"))).where("n_nationkey % 9 <> 5")
-    return Fi.changed_hashes(rows(a), rows(Fi.texts(s, written(b.select(F.concat_ws(",", "n_nationkey", "n_name")), "b", "text") + "/*.txt")))
-
-
-register("provenance_hash", _provenance, "WITH x AS (SELECT CAST(n_nationkey AS BIGINT) AS path, sha256(n_nationkey || ',' || n_name) AS old, CASE WHEN n_nationkey % 9 <> 5 THEN sha256(n_nationkey || ',' || CASE WHEN n_nationkey % 4 = 0 THEN lower(n_name) ELSE n_name END) END AS \"new\" FROM nation) SELECT * FROM x WHERE old IS DISTINCT FROM \"new\"")
-
-
 def _summary(s, d):
     m = E.binary_metrics(decided(s, d), ["toxic"])
     path = written(m.select("toxic", F.struct("accuracy", "f1").alias("metrics"), F.struct("tn", "fp", "fn", "tp").alias("confusion")), "summary", "json")
@@ -253,9 +211,6 @@ def _summary(s, d):
 
 
 register("summary_sink", _summary, sql(f"WITH {DEC} SELECT toxic, round(count(*) FILTER (label = prediction) / count(*), 6) AS accuracy, count(*) FILTER (label = 0 AND prediction = 0) AS tn, count(*) FILTER (label = 0 AND prediction = 1) AS fp, count(*) FILTER (label = 1 AND prediction = 0) AS fn, count(*) FILTER (label = 1 AND prediction = 1) AS tp FROM de GROUP BY 1", "predictions"))
-register("experiment_catalog", lambda s, d: K.sort_place(K.selected(_experiment_files(s, d), region="full"), "accuracy", True, "p_partkey").select("name", "p_partkey", K.shown(F.col("accuracy")).alias("accuracy"), "place"),
-         f"WITH {EXP} SELECT name, p_partkey, coalesce(printf('%.3f', floor(accuracy * 1000 + 0.5) / 1000), '-') AS accuracy, CAST(row_number() OVER (ORDER BY accuracy IS NULL, accuracy DESC, p_partkey) AS INTEGER) AS place FROM ne WHERE region = 'full' AND p_partkey % 7 <> 0")
-
 
 # Classifiers over the vectors: rows only.
 def vectors(s, d):
@@ -271,14 +226,12 @@ def branch_vectors(s, d):
 register("classify_concat", lambda s, d: M.concatenated(vectors(s, d), 64, 2, [16, 8], 30).select("sample_id", "split", "label", R(F.element_at("probs", 2)).alias("p1")))
 register("classify_vote", lambda s, d: M.voting(branch_vectors(s, d), [0, 1], 32, 2, [8], 30).select("sample_id", "split", "label", R(F.element_at("vote_mean", 2)).alias("p1")))
 register("score_batch", lambda s, d: M.losses(M.concatenated(vectors(s, d), 64, 2, [16, 8], 30), ["split"]))
-register("sweep_select", lambda s, d: M.sweep(vectors(s, d), [{"id": "a", "hidden": [8], "rounds": 15}, {"id": "b", "hidden": [16], "rounds": 15}], 64, 2)[0])
 
 
-def _pool_split(s, d):
-    """Sizes of each split, and whether its rows are unique and inside the pool."""
-    total = table(s, d, "orders").agg(F.count("*").alias("total"))
-    g = pool(s, d).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("pool_row").alias("n_rows"), F.min("pool_row").alias("low"), F.max("pool_row").alias("high"))
-    return g.crossJoin(F.broadcast(total)).select("split", "n", ((F.col("n") == F.col("n_rows")) & (F.col("low") >= 0) & (F.col("high") < F.col("total"))).alias("sound"))  # total has one row
+def _sweep(s, d):
+    """The leaderboard, with the winner's counts and gate on the test split beside it."""
+    board, winner = M.sweep(vectors(s, d), [{"id": "a", "hidden": [8], "rounds": 15}, {"id": "b", "hidden": [16], "rounds": 15}], 64, 2)
+    return board.join(F.broadcast(winner.select(F.col("winner").alias("id"), "tn", "fp", "fn", "tp", "label1_error", "stop")), "id", "left")  # one row
 
 
-register("scan_pool_split", _pool_split, sql("SELECT split, count(*) AS n, count(*) = count(DISTINCT pool_row) AND min(pool_row) >= 0 AND max(pool_row) < (SELECT count(*) FROM orders) AS sound FROM pool GROUP BY 1", "pool"))
+register("sweep_select", _sweep)

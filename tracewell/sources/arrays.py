@@ -1,21 +1,53 @@
-"""Array files (.npy) as a Spark data source: one partition per run of rows, read by the executors.
+"""Array files (.npy) as a Spark data source that reads and writes.
 
-`spark.dataSource.register(ArrayScans)`, then `spark.read.format("npy_scans").schema(...).load(path)` gives a row per
-first index with the rest of the array flattened; `path` is a file in a folder that driver and executors share.
+`spark.dataSource.register(ArrayScans)`, then `spark.read.format("npy_scans").option("path", p).load()` gives a row per
+first index with the rest of the array flattened. A path is one file, or a folder of part files that continue each other
+in the order of their names. Writing makes such a folder from rows (row, values), a file for each partition. Paths lie in
+folders that driver and executors share.
 """
 
 from __future__ import annotations
 
+import glob
+import os
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 ROWS = 4096
 
 
+def local(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:")
+
+
+def part_files(path: str) -> list[str]:
+    path = local(path)
+    if os.path.isfile(path):
+        return [path]
+    found = sorted(glob.glob(f"{glob.escape(path)}/*.npy"))
+    if not found:
+        raise FileNotFoundError(path)
+    return found
+
+
+def shape(path: str) -> tuple[int, ...]:
+    """Shape of the whole array, from the headers of its files; files that do not fit together raise."""
+    each = [np.load(f, mmap_mode="r").shape for f in part_files(path)]
+    if len({s[1:] for s in each}) != 1:
+        raise ValueError(f"{path}: files of shapes {sorted({s[1:] for s in each})}")
+    return (sum(s[0] for s in each), *each[0][1:])
+
+
+@dataclass
 class Rows(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last
+    file: str
+    first: int
+    last: int
+    base: int
 
 
 class ArrayReader(DataSourceReader):
@@ -23,19 +55,54 @@ class ArrayReader(DataSourceReader):
         self.path, self.rows = path, rows
 
     def partitions(self) -> list[Rows]:
-        n = np.load(self.path, mmap_mode="r").shape[0]
-        return [Rows(i, min(i + self.rows, n)) for i in range(0, n, self.rows)] or [Rows(0, 0)]
+        out, base = [], 0
+        for f in part_files(self.path):
+            n = np.load(f, mmap_mode="r").shape[0]
+            out += [Rows(f, i, min(i + self.rows, n), base) for i in range(0, n, self.rows)]
+            base += n
+        return out or [Rows(part_files(self.path)[0], 0, 0, 0)]
 
     def read(self, part: Rows):
-        block = np.load(self.path, mmap_mode="r")[part.first : part.last]
-        flat = np.ascontiguousarray(block, np.float64).reshape(len(block), -1)
-        width = flat.shape[1] if len(flat) else 0
-        at = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * width)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.first, part.last)), pa.ListArray.from_arrays(at, pa.array(flat.ravel()))], names=["row", "values"])
+        block = np.load(part.file, mmap_mode="r")[part.first : part.last]
+        flat = np.ascontiguousarray(block, np.float64).reshape(len(block), -1) if len(block) else np.zeros((0, 1))
+        at = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(part.first, part.last) + part.base), pa.ListArray.from_arrays(at, pa.array(flat.ravel()))], names=["row", "values"])
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    file: str
+
+
+class ArrayWriter(DataSourceArrowWriter):
+    """Writes values in the order in which they come; a failed job takes its files away."""
+
+    def __init__(self, path: str, inner: tuple[int, ...], dtype: str):
+        self.path, self.inner, self.dtype = local(path), inner, dtype
+
+    def write(self, batches) -> Written:
+        from pyspark import TaskContext
+
+        blocks = [np.zeros((0, *self.inner), self.dtype)]
+        for batch in batches:
+            values = batch.column("values")
+            blocks.append(np.asarray(values.flatten(), self.dtype).reshape(len(values), *self.inner))
+        os.makedirs(self.path, exist_ok=True)
+        context = TaskContext.get()
+        file = f"{self.path}/part-{context.partitionId():06d}.npy"
+        with open(f"{file}.{context.taskAttemptId()}", "wb") as f:
+            np.save(f, np.concatenate(blocks))
+        os.replace(f"{file}.{context.taskAttemptId()}", file)
+        return Written(file)
+
+    def abort(self, messages) -> None:
+        for m in messages:
+            if m is not None and os.path.exists(m.file):
+                os.remove(m.file)
 
 
 class ArrayScans(DataSource):
-    """Columns row and values; option `rows` sets the rows of a partition."""
+    """Columns row and values; options: `rows` of a partition to read, `inner` shape (as 50,2,896) and `dtype` to write."""
 
     @classmethod
     def name(cls) -> str:
@@ -46,3 +113,20 @@ class ArrayScans(DataSource):
 
     def reader(self, schema) -> ArrayReader:
         return ArrayReader(self.options["path"], int(self.options.get("rows", ROWS)))
+
+    def writer(self, schema, overwrite: bool) -> ArrayWriter:
+        inner = tuple(int(x) for x in self.options.get("inner", "").split(",") if x)
+        return ArrayWriter(self.options["path"], inner, self.options.get("dtype", "float64"))
+
+
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    spark.dataSource.register(ArrayScans)
+    return spark.read.format("npy_scans").option("path", path).load()
+
+
+def write_arrays(rows: DataFrame, path: str, inner: tuple[int, ...] = (), dtype: str = "float64", parts: int = 4) -> None:
+    """rows (row, values), in the order of row, as a folder of part files."""
+    spark = rows.sparkSession
+    spark.dataSource.register(ArrayScans)
+    placed = rows.select("row", "values").repartitionByRange(parts, "row").sortWithinPartitions("row")
+    placed.write.format("npy_scans").mode("append").option("path", path).option("inner", ",".join(map(str, inner))).option("dtype", dtype).save()

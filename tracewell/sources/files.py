@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import recorded_tag
+
 MANIFEST = "schema_version int, num_classes int, thresholds_mm array<double>, splits map<string,array<string>>"
 CANDIDATES = "configurations array<struct<id:string,parameters:map<string,double>>>"
 
@@ -32,15 +34,63 @@ def candidates(df: DataFrame, text: str) -> DataFrame:
     return c.select(*(x for x in c.columns if x != "c"), "c.id", "c.parameters")
 
 
+def candidate_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, method, id, parameters) of every *top15.json of a folder."""
+    kind = "method string, configurations array<struct<id:string,parameters:map<string,double>>>"
+    t = texts(spark, f"{folder.rstrip('/')}/*top15.json").select(F.regexp_extract("path", "/(?:[^/=]*=)?([^/=]*top15[.]json)", 1).alias("file"), F.from_json("value", kind).alias("c"))
+    return t.select("file", "c.method", F.explode("c.configurations").alias("x")).select("file", "method", "x.*")
+
+
+#: Fixed value: the layout of runs that are listed.
+LAYOUT = "headsim_cubic"
+CONFIG = "feature_layout string, model_family string, label_scheme struct<tag:string,thresholds_mm:array<string>>, num_classes int, form string, region_name string, channel_mode string, data_dir string"
+METRICS = "metrics map<string,map<string,double>>, feature_dim int, best_epoch int, trained_epochs int"
+HISTORY = "array<struct<epoch:int,learning_rate:double,train_loss:double,val_loss:double,val_auc:double,val_accuracy:double>>"
+
+
+def run_folders(spark: SparkSession, root: str) -> DataFrame:
+    """One row for each run's folder: its config.json, metrics.json and history.json. Folders without a config of LAYOUT or without metrics are left out, and an unreadable history is empty."""
+
+    def part(name: str) -> DataFrame:
+        t = texts(spark, f"{root.rstrip('/')}/*/*{name}.json")
+        return t.select(F.regexp_extract("path", f"/(?:[^/=]*=)?([^/]+)/(?:[^/=]*=)?{name}[.]json", 1).alias("name"), F.col("value").alias(name))
+
+    config, metrics = F.from_json("config", CONFIG), F.from_json("metrics", METRICS)
+    runs = part("config").withColumn("c", config).where(F.col("c.feature_layout") == LAYOUT)
+    runs = runs.join(part("metrics").withColumn("m", metrics).where(F.size("m.metrics") > 0), "name").join(part("history"), "name", "left")
+    scheme = F.col("c.label_scheme")
+    return runs.select(
+        "name", F.coalesce("c.model_family", F.lit("emd")).alias("model_family"), recorded_tag(scheme["tag"], scheme["thresholds_mm"]).alias("label_tag"), "c.num_classes", "c.form",
+        F.col("c.region_name").alias("region"), F.col("c.channel_mode").alias("channel"), "c.data_dir", "m.feature_dim", "m.best_epoch", "m.trained_epochs",
+        F.coalesce(F.from_json("history", HISTORY), F.array().cast(HISTORY)).alias("history"), F.col("m.metrics").alias("metrics"),
+    )
+
+
+#: Fixed value: the threshold of data sets that record none.
+DEFAULT_THRESHOLDS = (1.0,)
+
+
+def discover(spark: SparkSession, root: str) -> DataFrame:
+    """(data_dir, thresholds, num_classes, tag) of each folder below root that carries a label_scheme.json; an unreadable one counts as none recorded."""
+    t = texts(spark, f"{root.rstrip('/')}/*/*label_scheme.json")
+    s = t.select(F.regexp_extract("path", "/([^/]+)/(?:[^/=]*=)?label_scheme[.]json", 1).alias("data_dir"), F.from_json(F.trim("value"), "thresholds_mm array<string>, tag string").alias("s")).dropDuplicates(["data_dir"])
+    numbers = F.filter(F.transform("s.thresholds_mm", lambda x: x.try_cast("double")), lambda x: x.isNotNull())
+    none = F.col("s.thresholds_mm").isNull() & F.col("s.tag").isNull()
+    thresholds = F.when(none, F.array(*(F.lit(x) for x in DEFAULT_THRESHOLDS))).otherwise(F.coalesce(numbers, F.array().cast("array<double>")))
+    classes = F.when(F.size(thresholds) > 0, F.size(thresholds) + 1).otherwise(2)
+    return s.select("data_dir", thresholds.alias("thresholds"), classes.alias("num_classes"), recorded_tag(F.col("s.tag"), F.col("s.thresholds_mm")).alias("tag"))
+
+
 def label_schemes(df: DataFrame, text: str) -> DataFrame:
     """df with `thresholds` and `tag` of a scheme's text; both null where it is absent or corrupt."""
     s = F.from_json(text, "thresholds_mm array<double>, tag string")
     return df.withColumn("thresholds", s["thresholds_mm"]).withColumn("tag", s["tag"]).drop(text)
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of every file under a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+def file_hashes(spark: SparkSession, path: str, name: str = "/([^/]+)$") -> DataFrame:
+    """(path, sha256) of every file under a folder; `name` is the part of a path by which files are told apart."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select(F.regexp_extract("path", name, 1).alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
 def changed_hashes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 
 def _fs(spark: SparkSession, path: str):
@@ -30,15 +31,38 @@ def publish(df: DataFrame, path: str, sources: list[str] = (), overwrite: bool =
         raise FileExistsError(path)
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.partitionBy(*by).format(kind).save(staged)
-    if fs.exists(target):
-        fs.delete(target, True)
+    # The old table is moved aside before, and goes after: a failure in between loses neither.
+    aside = _fs(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")[1]
+    old = fs.exists(target)
+    if old and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(_fs(spark, staged)[1], target):
+        if old:
+            fs.rename(aside, target)
         raise OSError(f"could not move {staged} to {path}")
+    if old:
+        fs.delete(aside, True)
 
 
-def config_hash(*parts: Column) -> Column:
-    """Hash of a run's settings in a canonical order."""
-    return F.sha2(F.to_json(F.struct(*parts)), 256)
+def canonical(value: Column, kind: DataType) -> Column:
+    """value in one form: fields of structs by name, entries of maps by key, whole floating numbers as integers, NaN as null."""
+    if isinstance(kind, StructType):
+        inner = F.struct(*(canonical(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)))
+        return F.when(value.isNotNull(), inner)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: canonical(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("key"), F.to_json(F.struct(canonical(e["value"], kind.valueType).alias("v"))).alias("value"))))
+    if isinstance(kind, (FloatType, DoubleType)):
+        whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
+        return F.when(F.isnan(value), None).when(whole, value.cast("long").cast("string")).otherwise(value.cast("string"))
+    return value.cast("string")
+
+
+def config_hash(df: DataFrame, *names: str) -> Column:
+    """Hash of a run's settings, columns of df, whatever the order in which they are given and however numbers are written."""
+    parts = [F.coalesce(F.to_json(F.struct(canonical(F.col(n), df.schema[n].dataType).alias(n))), F.lit("")) for n in sorted(names)]
+    return F.sha2(F.concat_ws("\n", *parts), 256)
 
 
 def may_run(wanted: DataFrame, done: DataFrame) -> DataFrame:
