@@ -22,25 +22,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.where(quality.kept(quality.failures(quality.measure("text"))))
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """docs as one struct `row` beside doc_id and text, so that no column's name is in the way."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+
+
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays (one row, if its row is repeated)."""
     own = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.xxhash64("text") % (1 << 62)) - 1)
     groups = linked(docs.select(own.alias("doc_id"), "text"))
-    first = written(groups.where("n_shingles = 0 or doc_id = component_id").groupBy(F.col("doc_id").alias("_id"), "text_key").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n")))
+    first = written(groups.where("n_shingles = 0 or doc_id = component_id").groupBy(F.col("doc_id").alias("id"), "text_key").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n")))
     n = first.count()
-    kept = with_keys(docs.withColumn("_id", own), first.select("_id", F.col("text_key").alias("_key")), "_id", rows=n)
-    kept = kept.where(F.xxhash64("text") == F.col("_key"))
+    kept = with_keys(_whole(docs).withColumn("id", own), first.select("id", "text_key"), "id", rows=n)
+    kept = kept.where(F.xxhash64("text") == F.col("text_key"))
     if not first.where("rows > 1 and n > 0").isEmpty():
-        kept = kept.where("text is null").unionByName(kept.where("text is not null").dropDuplicates(["_id", "text"]))
-    return kept.select(*docs.columns)
+        kept = kept.where("text is null").unionByName(kept.where("text is not null").dropDuplicates(["id", "text"]))
+    return kept.select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, whole or edited, go."""
-    row = F.xxhash64("doc_id", "text")
-    hits = decontaminate(docs.select(row.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    ids = written(hits.select(F.col("doc_id").alias("_row")).distinct())
-    return with_keys(docs.withColumn("_row", row), ids, "_row", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item, whole or edited, go. Rows are told apart by two hashes of 64 bits, so that no clean one goes with another."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    rows = _whole(docs).withColumns({"one": F.xxhash64("doc_id", "text"), "two": F.xxhash64(F.lit("second"), "text", "doc_id")})
+    named = lambda table, name: decontaminate(table.select(F.col(name).alias("doc_id"), "text"), items).select(F.col("doc_id").alias(name)).distinct()
+    ids = written(named(rows, "one"))
+    pairs = written(with_keys(rows, ids, "one", "left_semi").select("one", "two").distinct())
+    mixed = written(pairs.groupBy("one").agg(F.count("*").alias("n")).where("n > 1").select("one"))
+    if n_mixed := mixed.count():  # different rows with one hash: only those go that the second hash names
+        again = written(named(with_keys(rows, mixed, "one", "left_semi", n_mixed), "two"))
+        pairs = written(pairs.join(mixed, "one", "left_anti").unionByName(pairs.join(mixed, "one", "left_semi").join(again, "two", "left_semi").select("one", "two")))
+    return with_keys(rows, pairs, ["one", "two"], "left_anti").select("row.*")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under the session's spark.checkpoint.dir, or under a folder of our own where it is unset. It goes when the session ends."""
+    """A new path under the session's spark.checkpoint.dir, or, on one machine, under a folder of our own where it is unset. It goes when the session ends."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at}/{name}-{uuid.uuid4().hex}"
