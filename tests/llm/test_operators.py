@@ -205,7 +205,7 @@ def test_secret_base_spans(spark):
     rng = random.Random(9)
     parts = ["password", "Token", "api_key", "APIKEY", " = ", ":", "'", '"', "abc", "DEADbeef", "AKIA", "ABCD1234", "é", " ", "0123456789abcdef", "secret=", "\n", "==", "x" * 9]
     rows = [(10 + i, "".join(rng.choice(parts) for _ in range(rng.randrange(40)))) for i in range(300)] + EDGES
-    got = secrets.scan(docs(spark, rows)).select("doc_id", "text", secrets.listed(F.col("_base")).alias("s")).collect()
+    got = secrets.scan(docs(spark, rows)).select("row.doc_id", "text", secrets.listed(F.col("base")).alias("s")).collect()
     assert all(r.s == spans_of(r.text) for r in got) and len(got) == len(rows)
     assert secrets.scan(docs(spark, rows).limit(0)).count() == 0
 
@@ -213,9 +213,9 @@ def test_secret_base_spans(spark):
 def test_secret_entropy(spark):
     token, upper = "aZ3kQ9xW7mB2vN8cL5jH1gT6", "A1B2C3D4E5F60718293A4B5C6D7E8F90"
     rows = [(1, f"see {token} now"), (2, "the quickbrownfoxjumpsoverthelazydog is a word"), (3, "id example" + token), (4, upper), (5, "password=" + token), (6, "a" * 500 + "1")]
-    got = {r.doc_id: r.s for r in secrets.scan(docs(spark, rows)).select("doc_id", secrets.listed(F.col("_added")).alias("s")).collect()}
+    got = {r.doc_id: r.s for r in secrets.scan(docs(spark, rows)).select("row.doc_id", secrets.listed(F.col("added")).alias("s")).collect()}
     assert got == {1: f"entropy_b64:4:{4 + len(token)}", 2: "", 3: "", 4: "entropy_hex:0:32", 5: "", 6: ""}
-    table = docs(spark, rows).withColumn("n_chars", F.length("text"))
+    table = docs(spark, rows).withColumns({"n_chars": F.length("text"), "base": F.lit(1), "row": F.lit(2)})
     red = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(table).collect()}
     assert red[1] == ("see [SECRET] now", 16) and red[5][0] == "[SECRET]" and red[2][0] == rows[1][1]
 
@@ -248,7 +248,7 @@ def test_added_secrets_equal_plain_windows(spark):
     pieces = [lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(10, 60))), lambda: "".join(rng.choice("0123456789ABCDEF") for _ in range(rng.randrange(20, 40)))]
     pieces += [lambda: "/usr/lib2/python/site-packages", lambda: "password=" + "q" * 9, lambda: "x9" * 20, lambda: "plain words here", lambda: "aB3" * 9 + "example", lambda: "ab9/cde/fgh/" + "".join(rng.choice(letters) for _ in range(24))]
     rows = [(10 + i, " ".join(rng.choice(pieces)() for _ in range(rng.randrange(6)))) for i in range(250)]
-    got = secrets.scan(docs(spark, rows)).select("text", secrets.listed(F.col("_added")).alias("s")).collect()
+    got = secrets.scan(docs(spark, rows)).select("text", secrets.listed(F.col("added")).alias("s")).collect()
     assert [r.s for r in got] == [added_spans(r.text) for r in got] and sum(bool(r.s) for r in got) > 50
 
 
@@ -456,3 +456,39 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in out.values())
     none = langid.predict(table, langid.fit(table.limit(0))).collect()
     assert {r.lang_pred for r in none} == {"und"}
+
+
+def test_language_gradients_equal_differences():
+    rng = np.random.default_rng(5)
+    mean, w, y = rng.normal(size=(7, 4)), rng.normal(size=(4, 3)), rng.integers(0, 3, 7)
+    loss = lambda m, v: -np.log(langid.softmax(m @ v)[np.arange(7), y]).mean()
+    for x, got, at in ((w, langid.gradients(mean, w, y)[0], lambda v: loss(mean, v)), (mean, langid.gradients(mean, w, y)[1], lambda v: loss(v, w))):
+        for i in np.ndindex(x.shape):
+            step = np.zeros(x.shape)
+            step[i] = 1e-6
+            assert got[i] == pytest.approx((at(x + step) - at(x - step)) / 2e-6, abs=1e-6)
+
+
+def test_language_predictions_equal_plain_averages(spark):
+    """Scores are softmax of the mean over all subwords of each word, also for repeated rows, a long text and an empty one."""
+    rng = random.Random(23)
+    texts = [" ".join(rng.choice(["der", "the", "Été", "und", "of", "x1"]) for _ in range(rng.randrange(1, 30))) for _ in range(20)]
+    rows = [*enumerate(texts), (3, texts[3]), (50, "the end " * 60_000), (51, "")]
+    table = np.random.default_rng(2).normal(size=(langid.BUCKETS, 3)).astype(np.float32)
+    model = {"langs": ["de", "en", "fr"], "table": table, "scale": 2.0, "reject": 0.5}
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 4)) for r in langid.predict(docs(spark, rows), model).collect())
+
+    def plain(text):
+        buckets = []
+        for w in re.findall(r"[^\W_]+", text.lower()):
+            b = f" {w} ".encode()
+            for n in langid.SIZES:
+                for i in range(len(b) - n + 1):
+                    h = langid.piece(langid.prefix_hash(np.frombuffer(b[i : i + n], np.uint8)), np.array([0]), np.array([n]))
+                    buckets.append(int(langid.mix(h + np.uint64(n))[0] % np.uint64(langid.BUCKETS)))
+        p = langid.softmax(table[buckets].astype(np.float64).mean(0)[None] * 2.0)[0]
+        return model["langs"][int(p.argmax())], round(float(p.max()), 4)
+
+    known = {}
+    want = Counter((d, *(known.setdefault(t[:500], plain(t[:480_000])) if t else ("und", 0.0))) for d, t in rows)
+    assert got == want

@@ -45,7 +45,7 @@ def test_stages_on_small_tables(spark):
 def test_edges(spark):
     long = " ".join(f"w{i} v{i % 977}" for i in range(400))
     rows = [(1, long), (1, long), (2, long + " more"), (None, long + " other words"), (None, "x " + long.replace("w", "q")), (3, None), (4, ""), (5, "short")]
-    table = spark.createDataFrame([(d, t, "en", None, 1, 7, 8) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, n int, length int")
+    table = spark.createDataFrame([(d, t, "en", None, 1, 7, 8, 9, 1, 2, 3) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, n int, length int, id int, row int, one long, base int")
     for size, docs in ((len(rows), table), (0, table.limit(0))):
         for name, stage in cp.STAGES:
             docs = cp.written(stage(spark, docs, SF))

@@ -84,6 +84,13 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def gradients(mean: np.ndarray, w: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the mean cross-entropy of softmax(mean @ w), by the weights and by the mean embeddings."""
+    g = softmax(mean @ w)
+    g[np.arange(len(y)), y] -= 1
+    return mean.T @ g / len(y), g @ w.T / len(y)
+
+
 def trained(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, epochs: int = 6, rate: float = 0.5, seed: int = 0) -> np.ndarray:
     """Scores of each bucket and class: the product of the embeddings and the weights after descent."""
     rng = np.random.default_rng(seed)
@@ -99,12 +106,10 @@ def trained(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: i
             share = np.concatenate([bags[k][1] / bags[k][1].sum() for k in some])
             edge = np.cumsum([0] + [len(bags[k][0]) for k in some])
             mean = np.add.reduceat(e[at] * share[:, None], edge[:-1])
-            g = softmax(mean @ w)
-            g[np.arange(len(some)), y[some]] -= 1
-            back = g @ w.T
-            w -= step * (mean.T @ g) / len(some) * 4
+            to_w, to_mean = gradients(mean, w, y[some])
+            w -= 4 * step * to_w
             of = np.repeat(np.arange(len(some)), np.diff(edge))
-            np.subtract.at(e, at, step * 30 * share[:, None] * back[of] / len(some) * 32)
+            np.subtract.at(e, at, 30 * 32 * step * share[:, None] * to_mean[of])  # a bucket is met far less often than a weight
     return e @ w
 
 
@@ -116,7 +121,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     """A model from rows (doc_id, text, lang): languages, table of scores, temperature, and the limit of rejection."""
     rows = labelled.where("lang is not null and text is not null")
     chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    bags = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang").mapInArrow(counted, "lang string, buckets array<int>, counts array<float>").toArrow()
+    one = F.min(F.struct(F.xxhash64("text", "lang").alias("h"), "text", "lang")).alias("one")  # of a repeated doc_id one row
+    own = rows.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(one)
+    bags = own.select("one.text", "one.lang").mapInArrow(counted, "lang string, buckets array<int>, counts array<float>").toArrow()
     langs = sorted(set(bags.column("lang").to_pylist()))
     if not langs:
         return {"langs": [], "table": np.zeros((BUCKETS, 1), np.float32), "scale": 1.0, "reject": 1.0}
@@ -163,7 +170,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(score), pa.array(score >= m["reject"])], names=["lang_pred", "score", "accepted"])
 
     to = F.arrow_udf(of, "lang_pred string, score double, accepted boolean")
-    return docs.withColumn("_to", to("text")).select(*docs.columns, "_to.*")
+    return docs.select(F.struct(*docs.columns).alias("row"), to("text").alias("to")).select("row.*", "to.*")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,10 +176,10 @@ def pack(table: DataFrame, key: str = "doc_id", size: int = SIZE) -> DataFrame:
     """table of pieces (key, piece, start, length, ...) with sequence_id and offset. It is read twice: pass a written one."""
     spark = table.sparkSession
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salted = table.withColumn("_salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)))
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = counts.select("length", "_salt", (F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
-    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    salted = table.select(F.struct(*table.columns).alias("row"), F.col(key).alias("key"), "piece", "length", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).alias("salt"))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = counts.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
+    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     first, sequence, offset = slots(plan(totals, size))
 
     def place(length: pa.Array, rank: pa.Array) -> pa.Array:
@@ -187,10 +187,10 @@ def pack(table: DataFrame, key: str = "doc_id", size: int = SIZE) -> DataFrame:
         k = np.searchsorted(first, g, "right") - 1
         return pa.StructArray.from_arrays([pa.array(sequence[k] + g - first[k]), pa.array(offset[k])], names=["sequence_id", "offset"])
 
-    local = F.row_number().over(W.partitionBy("length", "_salt").orderBy(key, "piece")) - 1
+    local = F.row_number().over(W.partitionBy("length", "salt").orderBy("key", "piece")) - 1
     to = F.arrow_udf(place, "sequence_id long, offset long")
-    ranked = salted.withColumn("_local", local).join(before, ["length", "_salt"]).withColumn("_to", to("length", F.col("_local") + F.col("_before")))
-    return ranked.select(*table.columns, "_to.sequence_id", "_to.offset")
+    ranked = salted.withColumn("local", local).join(before, ["length", "salt"]).select("row", to("length", F.col("local") + F.col("before")).alias("to"))
+    return ranked.select("row.*", "to.sequence_id", "to.offset")
 
 
 def tokenised(docs: DataFrame, model: str | None = None, ranks: str | None = None, size: int = SIZE, end: int = END) -> DataFrame:

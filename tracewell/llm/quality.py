@@ -4,7 +4,8 @@ Every rule is evaluated once per document; its outcome is one bit of `failures`.
 bit mask, so applying another policy or asking what a rule costs reads the ledger alone.
 
 Defined results: a null or empty text has no words, symbols or lines (it fails too_short); a null doc_id
-stays null; repeated rows give repeated rows; further columns of the input are not read.
+stays null; repeated rows give repeated rows; a very long text is a block of its own; an empty table gives an empty
+ledger; further columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import written
 from .textscan import SPACE, blocks, hashed, mix, odd, shingles, words
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters")
@@ -85,6 +87,7 @@ RULES = {
 POLICIES = {
     "base": ("too_short", "repeats_itself"),
     "v1": tuple(RULES),
+    "v2": ("too_short", "repeats_itself", "duplicate_lines", "word_length"),
 }
 
 
@@ -146,7 +149,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP5_SQL = r"""
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each version of the policy, what each of its rules costs, from the ledger of all documents."""
+    rows = written(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    each = [ablations(rows, v).withColumn("version", F.lit(v)) for v in POLICIES]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+_LEDGER = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -167,5 +177,8 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
              + (CASE WHEN 100 * n_symbols > 20 * n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END)
              + (CASE WHEN word_chars < 2 * n_words OR word_chars > 25 * n_words THEN 16 ELSE 0 END)
              + (CASE WHEN 100 * n_upper > 50 * n_letters THEN 32 ELSE 0 END) AS BIGINT) AS failures FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failures = 0 AS kept, n_lines, failures FROM f
 """
+OP5_SQL = _LEDGER + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failures = 0 AS kept, n_lines, failures FROM f"
+ABLATIONS_SQL = _LEDGER + """, po(version, rule, bit, mask) AS (VALUES ('base', 'too_short', 1, 3), ('base', 'repeats_itself', 2, 3), ('v1', 'too_short', 1, 63), ('v1', 'repeats_itself', 2, 63), ('v1', 'symbols', 4, 63),
+ ('v1', 'duplicate_lines', 8, 63), ('v1', 'word_length', 16, 63), ('v1', 'shouting', 32, 63), ('v2', 'too_short', 1, 27), ('v2', 'repeats_itself', 2, 27), ('v2', 'duplicate_lines', 8, 27), ('v2', 'word_length', 16, 27))
+SELECT version, rule, count(*) FILTER (failures & bit <> 0) AS n_failed, count(*) FILTER (failures & mask = bit) AS n_only, count(*) FILTER (failures & mask & ~bit = 0) AS n_kept_without FROM f, po GROUP BY ALL"""

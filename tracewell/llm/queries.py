@@ -5,11 +5,11 @@ from .jaccard import OP2_SQL, op2_ngram_jaccard_join
 from .langid import op9_language_id
 from .packing import op6_best_fit_packing
 from .preferences import OP8_SQL, op8_preference_formatting
-from .quality import OP5_SQL, op5_quality_rules
+from .quality import ABLATIONS_SQL, OP5_SQL, op5_quality_rules, quality_ablations
 from .secrets import op4_secret_scans
 from .sentences import op7_substring_dedup
 from .sharding import op10_sharding
 from .suffixes import op3_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_suffix_dedup, op4_secret_scans, op5_quality_rules, op6_best_fit_packing, op7_substring_dedup, op8_preference_formatting, op9_language_id, op10_sharding)}
-ORACLES = {"op2_ngram_jaccard_join": OP2_SQL, "op5_quality_rules": OP5_SQL, "op8_preference_formatting": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_suffix_dedup, op4_secret_scans, op5_quality_rules, op6_best_fit_packing, op7_substring_dedup, op8_preference_formatting, op9_language_id, op10_sharding, quality_ablations)}
+ORACLES = {"op2_ngram_jaccard_join": OP2_SQL, "op5_quality_rules": OP5_SQL, "quality_ablations": ABLATIONS_SQL, "op8_preference_formatting": OP8_SQL}

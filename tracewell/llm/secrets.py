@@ -77,21 +77,21 @@ def entropy(value: str, alphabet: str, window: int) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs with `_base` and `_added`: arrays of spans in order."""
+    """(row, text, base, added): docs as the struct `row`, and arrays of spans in order."""
     text = F.coalesce("text", F.lit(""))
     base = [_found(text, p, g, n, i, k) for i, (k, (p, g, n)) in enumerate(BASE.items())]
-    out = docs.withColumn("_base", F.array_sort(F.concat(*base)))
+    out = docs.select(F.struct(*docs.columns).alias("row"), "text").withColumn("base", F.array_sort(F.concat(*base)))
     for i, (kind, (alphabet, pattern, window, bits)) in enumerate(CLASSES.items()):
         value = "upper(x.value)" if kind == "entropy_hex" else "x.value"
-        out = out.withColumn(f"_{kind}", _found(text, pattern, 0, window, len(BASE) + i, kind))
+        out = out.withColumn(kind, _found(text, pattern, 0, window, len(BASE) + i, kind))
         out = out.withColumn(
-            f"_{kind}",
-            F.expr(f"""filter(_{kind}, x -> not exists(_base, y -> y.start < x.end and x.start < y.end)
+            kind,
+            F.expr(f"""filter({kind}, x -> not exists(base, y -> y.start < x.end and x.start < y.end)
                        and not rlike(x.value, r'{ALLOW}') and {entropy(value, alphabet, window)} >= {bits}D)"""),
         )
-    hexes, b64 = (f"_{k}" for k in CLASSES)
+    hexes, b64 = CLASSES
     added = F.expr(f"array_sort(concat({hexes}, filter({b64}, x -> not exists({hexes}, y -> y.start < x.end and x.start < y.end))))")
-    return out.withColumn("_added", added).drop(hexes, b64)
+    return out.withColumn("added", added).drop(hexes, b64)
 
 
 def listed(spans: Column) -> Column:
@@ -105,16 +105,17 @@ def redact(docs: DataFrame) -> DataFrame:
         gap = F.when(x["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(MARK))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
 
-    spans = F.array_sort(F.concat("_base", "_added"))
+    spans = F.array_sort(F.concat("base", "added"))
     cut = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    out = scan(docs).withColumn("text", F.when(F.size(spans) > 0, cut).otherwise(F.col("text"))).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = scan(docs).withColumn("text", F.when(F.size(spans) > 0, cut).otherwise(F.col("text")))
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*(own[c].alias(c) if c in own else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    count = lambda k: F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return scan(docs).select(
-        "doc_id", *(count(k) for k in BASE), F.sha2(listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"),
-        listed(F.array_sort(F.concat("_base", "_added"))).alias("spans"), F.size("_added").cast("long").alias("n_entropy"),
+        "row.doc_id", *(count(k) for k in BASE), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        listed(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_entropy"),
     )
