@@ -1,5 +1,6 @@
 """Boundary cases and properties of the library's operators, against independent arithmetic."""
 
+import json
 import math
 
 import numpy as np
@@ -9,12 +10,14 @@ from pyspark.sql import functions as F
 from tracewell.functions import scalars as S
 from tracewell.functions import signals as G
 from tracewell.operators import branches as B
+from tracewell.operators import catalog as K
 from tracewell.operators import curation as C
 from tracewell.operators import evaluation as E
 from tracewell.operators import features as Fe
 from tracewell.operators import frames as Fr
+from tracewell.operators import models as M
 from tracewell.operators import spans as Sp
-from tracewell.sources import files, sinks
+from tracewell.sources import arrays, datasets, files, sinks
 from tracewell.sources.arrays import ArrayScans
 
 rng = np.random.default_rng(3)
@@ -232,6 +235,99 @@ def test_array_source(spark, tmp_path):
     assert np.allclose([r["values"] for r in sorted(rows, key=lambda r: r.row)], x.reshape(10, 6))
 
 
+def test_arrays_are_written_in_order_and_read_again(spark, tmp_path):
+    rows = spark.range(37).select(F.col("id").alias("row"), F.array(*(F.col("id") * k for k in (1.0, 2.0, 3.0, 4.0, 5.0, 6.0))).alias("values")).repartition(5)
+    arrays.write_arrays(rows, f"file://{tmp_path}/x.npy", (2, 3), "float32", 4)
+    assert arrays.shape(f"file://{tmp_path}/x.npy") == (37, 2, 3)
+    got = arrays.read_arrays(spark, f"file://{tmp_path}/x.npy").orderBy("row").collect()
+    assert [r["row"] for r in got] == list(range(37)) and all(r["values"] == [r["row"] * k for k in range(1, 7)] for r in got)
+
+
+def reference_folder(at, n=4, shape=(3, 2, 5), labels=None, records=None):
+    """A split in the layout of single files."""
+    at.mkdir(parents=True)
+    np.save(at / "X.npy", np.arange(n * np.prod(shape), dtype=np.float32).reshape(n, *shape))
+    np.save(at / "y.npy", np.arange(n if labels is None else labels))
+    np.save(at / "indices.npy", np.arange(n) + 10)
+    (at / "samples.json").write_text(json.dumps([{"sample_id": f"s{i}", "depth_value": i / 2, "label": i, "source_label": 1, "bone": "x"} for i in range(n if records is None else records)], indent=1))
+
+
+def test_split_folders_are_checked(spark, tmp_path):
+    reference_folder(tmp_path / "good" / "train")
+    got = datasets.load_split(spark, f"file://{tmp_path}/good", "train", (3, 2, 5), True).orderBy("position").collect()
+    assert [(r.position, r.label, r.pool_row, r.sample_id, r.depth_value) for r in got] == [(i, i, 10 + i, f"s{i}", i / 2) for i in range(4)]
+    one = datasets.traces(datasets.load_split(spark, f"file://{tmp_path}/good", "train", (3, 2, 5)), 3, 2, 5).where("position = 1 and frame = 2 and channel = 1").first()
+    assert one.signal == [55.0, 56.0, 57.0, 58.0, 59.0]
+    (tmp_path / "good" / "train" / "samples.json").unlink()
+    assert datasets.load_split(spark, f"file://{tmp_path}/good", "train", (3, 2, 5)).where("sample_id is null").count() == 4
+    with pytest.raises(ValueError, match="shape"):
+        datasets.load_split(spark, f"file://{tmp_path}/good", "train", (3, 2, 6))
+    for name, more in (("labels", {"labels": 3}), ("records", {"records": 5})):
+        reference_folder(tmp_path / name / "train", **more)
+        with pytest.raises(ValueError, match="numbers"):
+            datasets.load_split(spark, f"file://{tmp_path}/{name}", "train", (3, 2, 5), True)
+    with pytest.raises(FileNotFoundError):
+        datasets.load_split(spark, f"file://{tmp_path}/none", "train", (3, 2, 5))
+    assert datasets.label_scheme(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_manifest_is_sorted_over_its_parts(spark, tmp_path):
+    rows = spark.range(200).select(F.element_at(F.array(F.lit("test"), F.lit("train"), F.lit("val")), (F.col("id") % 3 + 1).cast("int")).alias("split"), (F.col("id") * 7 % 200).alias("pool_row"), F.col("id").alias("sample_id"), (F.col("id") / 3).alias("depth_value"), (F.col("id") % 2).alias("label")).repartition(6)
+    datasets.write_manifest(rows, f"file://{tmp_path}/manifest.csv")
+    lines = [x for f in sorted((tmp_path / "manifest.csv").glob("part-*")) for x in f.read_text().splitlines()[1:]]
+    order = [(("train", "val", "test").index(x.split(",")[0]), int(x.split(",")[1])) for x in lines]
+    assert order == sorted(order) and len(order) == 200 and lines[0].split(",")[3] == f"{int(lines[0].split(',')[2]) / 3:.4f}"
+
+
+def test_config_hash_is_canonical(spark):
+    df = spark.sql("select named_struct('b', 1, 'a', map('y', 2.0, 'x', 1.5)) s, 3 n, 3.0D d, array(1, 2) l")
+    one = spark.sql("select array(1.0D, 2.0D) l, 3.0D n, 3 d, named_struct('a', map('x', 1.5D, 'y', 2), 'b', 1.0D) s")
+    other = spark.sql("select array(2, 1) l, 3 n, 3 d, named_struct('a', map('x', 1.5D, 'y', 2), 'b', 1) s")
+    a, b, c = (x.select(sinks.config_hash(x, *x.columns)).first()[0] for x in (df, one, other))
+    assert a == b != c
+
+
+def test_unknown_names_raise(spark):
+    t = spark.createDataFrame([("max1, nonsense",), (" , ",)], "t string")
+    for row in ("t like 'max%'", "t not like 'max%'"):
+        with pytest.raises(Exception, match="frame form"):
+            t.where(row).select(S.parse_forms(F.col("t"))).collect()
+    with pytest.raises(Exception, match="unknown preset"):
+        K.resolve_hyperparameters(spark.createDataFrame([("none", "concat", "full")], "hyperparameter_preset string, model_variant string, region_set string").withColumns({k: F.lit(None).cast(v) for k, v in K.PARAMETERS.items()})).collect()
+    with pytest.raises(Exception, match="not a number"):
+        E.roc_auc(spark.createDataFrame([(1, 0.5), (0, float("nan"))], "label int, p double").withColumn("g", F.lit(1)), ["g"], "p").collect()
+    with pytest.raises(ValueError):
+        S.learning_rate(F.lit(1), 10, 1e-3, 2e-3, 1)
+    with pytest.raises(Exception, match="outside the run"):
+        spark.range(1).select(S.learning_rate(F.lit(11), 10, 1e-3, 1e-4, 1)).collect()
+
+
+def test_pool_problems_count_infinite_depths_and_empty_ids(spark):
+    pool = spark.createDataFrame([("a", 0, 1.0), ("", 1, float("inf")), (None, 2, float("nan")), ("b", 3, None)], "sample_id string, pool_row long, depth_value double")
+    got = C.pool_problems(pool).first()
+    assert (got.bad_depth, got.empty_ids) == (3, 2)
+
+
+def test_recorded_tags_and_names(spark):
+    tags = spark.createDataFrame([("x/y!", ["1"]), (None, ["0.8", "1.2"]), (None, []), ("..", None)], "tag string, t array<string>")
+    assert [r[0] for r in tags.select(S.recorded_tag(F.col("tag"), F.col("t"))).collect()] == ["x-y", "thr0.8-1.2", None, None]
+    shown = spark.createDataFrame([(v,) for v in (0.8, 1e-7, 123456789.0, 2.578125, 0.0, 1.0)], "v double").select(S.general(F.col("v"))).collect()
+    assert [r[0] for r in shown] == [f"{v:g}" for v in (0.8, 1e-7, 123456789.0, 2.578125, 0.0, 1.0)]
+
+
+def test_moving_average_of_few_points(spark):
+    got = spark.range(1).select(Sp.moving_average(F.array(F.lit(1.0), F.lit(3.0), F.lit(5.0)), 9)).first()[0]
+    assert got == pytest.approx([5 / 3, 3.0, 13 / 3])  # the window is cut to three points
+
+
+def test_features_that_are_not_finite_raise(spark):
+    rows = spark.createDataFrame([(i, i % 2, [float(i % 2), 1.0]) for i in range(8)], "sample_id int, label int, features array<double>")
+    model = M.fit(rows, 2, 2, [], 5)
+    assert M.scored(model, rows).count() == 8
+    with pytest.raises(Exception, match="not finite"):
+        M.scored(model, rows.withColumn("features", F.array(F.lit(float("inf")), F.lit(0.0)))).collect()
+
+
 def test_publish_guards(spark, tmp_path):
     df = spark.range(5)
     at = f"file://{tmp_path}/out"

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
+from pyspark.sql.types import ArrayType, DataType, DecimalType, DoubleType, FloatType, MapType, StructType
 
 
 def _fs(spark: SparkSession, path: str):
@@ -53,6 +53,8 @@ def canonical(value: Column, kind: DataType) -> Column:
         return F.transform(value, lambda x: canonical(x, kind.elementType))
     if isinstance(kind, MapType):
         return F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("key"), F.to_json(F.struct(canonical(e["value"], kind.valueType).alias("v"))).alias("value"))))
+    if isinstance(kind, DecimalType):
+        return canonical(value.cast("double"), DoubleType())
     if isinstance(kind, (FloatType, DoubleType)):
         whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
         return F.when(F.isnan(value), None).when(whole, value.cast("long").cast("string")).otherwise(value.cast("string"))
