@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ STATS = ("mean", "std", "rms", "energy", "abs_mean", "peak_abs", "zero_crossing_
 
 def by_length(column: pa.Array):
     """(rows, matrix) for the traces of each length; null traces are in none."""
-    size = np.array([-1 if not v.is_valid else len(v) for v in column])
+    size = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
     for n in np.unique(size[size >= 0]):
         rows = np.flatnonzero(size == n)
         flat = column.take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
@@ -26,11 +27,15 @@ def by_length(column: pa.Array):
 
 
 def lists(n: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
-    out = [None] * n
+    """n lists, of which those in the parts' rows hold the parts' rows; the others are null."""
+    size, known = np.zeros(n, np.int64), np.zeros(n, bool)
     for rows, m in parts:
-        for r, v in zip(rows.tolist(), m, strict=True):
-            out[r] = v
-    return pa.array(out, pa.list_(pa.float64()))
+        size[rows], known[rows] = m.shape[1], True
+    at = np.concatenate(([0], np.cumsum(size)))
+    values = np.zeros(at[-1])
+    for rows, m in parts:
+        values[at[rows][:, None] + np.arange(m.shape[1])] = m
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values), mask=pa.array(~known))
 
 
 def envelope_of(x: np.ndarray) -> np.ndarray:
@@ -159,13 +164,13 @@ def emd(signal: Column, modes: int = 5, sifts: int = 30, limit: float = 0.2) ->
     """Struct of n_modes and components (modes first, then the residue)."""
 
     def run(c: pa.Array) -> pa.Array:
-        parts, n_modes = [None] * len(c), np.zeros(len(c), np.int64)
+        parts, n_modes, slots = [], np.zeros(len(c), np.int64), modes + 1
         for rows, m in by_length(c):
-            comp, n = decompose(m, modes, sifts, limit)
-            n_modes[rows] = n
-            for r, v in zip(rows.tolist(), comp, strict=True):
-                parts[r] = list(v)
-        return pa.StructArray.from_arrays([pa.array(n_modes), pa.array(parts, pa.list_(pa.list_(pa.float64())))], names=["n_modes", "components"])
+            comp, n_modes[rows] = decompose(m, modes, sifts, limit)
+            parts.append(((rows[:, None] * slots + np.arange(slots)).ravel(), comp.reshape(-1, m.shape[1])))
+        each = lists(len(c) * slots, parts)
+        whole = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * slots), each, mask=c.is_null())
+        return pa.StructArray.from_arrays([pa.array(n_modes), whole], names=["n_modes", "components"])
 
     return kernel(run, "n_modes long, components array<array<double>>", signal)
 

@@ -106,10 +106,25 @@ def log_loss(probs: Column, label: Column) -> Column:
 
 
 def votes(df: DataFrame, key: list[str], probs: str = "probs") -> DataFrame:
-    """Sum and mean of the branches' probabilities, class by class."""
-    each = df.select(*key, F.posexplode(probs).alias("class", "p")).groupBy(*key, "class").agg(F.sum("p").alias("s"), F.avg("p").alias("m"))
-    rows = each.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("class", "s", "m"))).alias("v"))
-    return rows.select(*key, F.col("v.s").alias("vote_sum"), F.col("v.m").alias("vote_mean"))
+    """Sum and mean of the branches' probabilities, class by class; a key has a few branches."""
+    rows = df.groupBy(*key).agg(F.array_sort(F.collect_list(probs)).alias("v"))  # sorted, so that sums do not depend on the order of rows
+    total = F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(1))), F.get("v", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    rows = rows.withColumn("vote_sum", total)
+    return rows.select(*key, "vote_sum", F.transform("vote_sum", lambda x: x / F.size("v")).alias("vote_mean"))
+
+
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row: for each name the interpolated quantile of a column's values, by their ranks and not in one task's state."""
+    out = None
+    for name, (column, q) in wanted.items():
+        rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("x"))
+        place = q * max(rows.count() - 1, 0)
+        low = int(place)
+        near = ranks.ranked(rows, [], ranks.range_bucket(rows, "x"), ["x"], "r").where(F.col("r").isin(low + 1, low + 2))
+        first, second = F.max(F.when(F.col("r") == low + 1, F.col("x"))), F.max(F.when(F.col("r") == low + 2, F.col("x")))
+        one = near.agg((first + (F.coalesce(second, first) - first) * F.lit(place - low)).alias(name))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out
 
 
 def error_gate(cells: DataFrame, limit: float) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import signals as G
 from ..operators import branches as B
 from ..operators import features as Fe
 from ..operators import frames as Fr
+from ..sources.scratch import shared_path
 from .registry import register
 from .trace_queries import DET, SPAN, spans
 from .views import history, pool, samples, scans, sql, table
@@ -158,8 +159,16 @@ LP = SPAN + """, lp AS (SELECT t.sample_id, t.channel, t.frame, row_number() OVE
  pr AS (SELECT t.sample_id, t.channel, pos, avg(value) AS value FROM traces t JOIN lp USING (sample_id, channel, frame) WHERE r <= 3 GROUP BY ALL)"""
 
 
-def frames3(s, d):
-    return Fr.prepared(scans(s, d), spans(s, d).select("sample_id", "channel", "start", "end"), "top3_mean", 3)
+def located(s, d):
+    """The spans, located once and written, as whole pipelines read them more than once."""
+    path = shared_path(s, "spans")
+    spans(s, d).select("sample_id", "channel", "start", "end", "status", "tail_start", "tail_end", "tail_pad").write.parquet(path)
+    return s.read.parquet(path)
+
+
+def frames3(s, d, at=None):
+    at = spans(s, d) if at is None else at
+    return Fr.prepared(scans(s, d), at.select("sample_id", "channel", "start", "end"), "top3_mean", 3)
 
 
 register("prepare_frames", lambda s, d: exploded(frames3(s, d), ["sample_id", "channel", "stream"]), sql(f"WITH {LP} SELECT sample_id, channel, 0 AS stream, CAST(pos AS INTEGER) AS pos, round(value, 6) AS value FROM pr", "traces"))
@@ -182,8 +191,9 @@ register("prepare_fixed", lambda s, d: exploded(whole(s, d), ["sample_id", "chan
  SELECT sample_id, channel, name, CAST(stream AS INTEGER) AS stream, CAST(k AS INTEGER) AS pos, round(value * {tukey(64, 'k')}, 6) AS value FROM rs""", "traces"))
 
 
-def main_tail(s, d, target=24, alpha=0.0):
-    return B.dynamic(frames3(s, d), spans(s, d), DET, target, alpha)
+def main_tail(s, d, target=24, alpha=0.0, at=None):
+    at = located(s, d) if at is None else at
+    return B.dynamic(frames3(s, d, at), at, DET, target, alpha)
 
 
 TWO = SPAN + """, br AS (SELECT sample_id, channel, 0 AS region_idx, 'main' AS name, start, "end", 24 AS input_len, 0 AS pad FROM lo UNION ALL SELECT sample_id, channel, 1, 'tail', "end", least("end" + 32, 64), 32, 32 - (least("end" + 32, 64) - "end") FROM lo), bo AS (SELECT * FROM br WHERE sample_id NOT IN (SELECT sample_id FROM lo WHERE "end" > 64))"""
@@ -196,8 +206,9 @@ register("branch_geometry", lambda s, d: B.geometry(main_tail(s, d), MM, 64, 24)
 
 def _verify(s, d):
     """Main windows against the same cut by hand, changed for some samples."""
-    a = main_tail(s, d).where("name = 'main'").select("sample_id", "channel", "signal")
-    hand = frames3(s, d).join(spans(s, d).select("sample_id", "channel", "start"), ["sample_id", "channel"]).where("sample_id % 7 <> 3")
+    at = located(s, d)
+    a = main_tail(s, d, at=at).where("name = 'main'").select("sample_id", "channel", "signal")
+    hand = frames3(s, d, at).join(at.select("sample_id", "channel", "start"), ["sample_id", "channel"]).where("sample_id % 7 <> 3")
     changed = F.transform(Fr.interval(F.col("signal"), F.col("start"), F.col("start") + 24), lambda x: F.when(F.col("sample_id") % 5 == 0, x + 1).otherwise(x))
     return B.compared(a, hand.select("sample_id", "channel", changed.alias("signal")), ["sample_id", "channel"])
 

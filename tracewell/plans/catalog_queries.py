@@ -177,14 +177,14 @@ register("config_checks", _checks, f"SELECT p_partkey, concat_ws(',', {_BROKEN},
 
 # Files written from the tables, then scanned.
 def _manifest(s, d):
-    m = lpool(s, d).groupBy((F.col("sample_id") % 40).alias("group"), "split").agg(F.array_sort(F.collect_list(F.col("sample_id").cast("string"))).alias("ids"))
+    m = lpool(s, d).groupBy(F.expr("sample_id div 400").alias("group"), "split").agg(F.array_sort(F.collect_list(F.col("sample_id").cast("string"))).alias("ids"))
     j = m.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("split", "ids"))).alias("splits"))
     text = F.to_json(F.struct(F.when(F.col("group") % 9 == 0, 2).otherwise(1).alias("schema_version"), F.lit(3).alias("num_classes"), F.array(F.lit(0.8), F.lit(1.2)).alias("thresholds_mm"), "splits"))
     path = written(j.select(text.alias("value"), "group").repartition(8), "manifests", "json")
     return Fi.manifests(s.read.schema("value string, group long").json(path), "value")
 
 
-register("scan_manifest", _manifest, sql("SELECT sample_id % 40 AS \"group\", (sample_id % 40) % 9 <> 0 AS sound, split, CAST(row_number() OVER (PARTITION BY sample_id % 40, split ORDER BY CAST(sample_id AS VARCHAR)) - 1 AS INTEGER) AS position, CAST(sample_id AS VARCHAR) AS sample_id FROM pool", "pool"))
+register("scan_manifest", _manifest, sql("SELECT sample_id // 400 AS \"group\", (sample_id // 400) % 9 <> 0 AS sound, split, CAST(row_number() OVER (PARTITION BY sample_id // 400, split ORDER BY CAST(sample_id AS VARCHAR)) - 1 AS INTEGER) AS position, CAST(sample_id AS VARCHAR) AS sample_id FROM pool", "pool"))
 
 
 PUBLISHED = sql(f"WITH {LP} SELECT split, label, count(*) AS n, CAST(sum(pool_row) AS BIGINT) AS rows FROM lp GROUP BY ALL", "pool")

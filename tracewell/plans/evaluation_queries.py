@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import evaluation as E
+from ..sources.scratch import shared_path
 from .registry import register
 from .views import branches, history, predictions, sql, table
 
@@ -99,7 +100,18 @@ def differences(s, d):
     return E.array_differences(v.withColumn("b", F.transform("a", lambda x: F.round(x, 2))), "a", "b", ["vec_id"])
 
 
-register("array_diff_stats", lambda s, d: differences(s, d).agg(R(F.max("max_abs")).alias("max_abs"), R(F.sqrt(F.avg(F.col("rmse") * F.col("rmse")))).alias("rmse"), R(F.median("rel_l2")).alias("rel_l2_median"), R(F.median("corr")).alias("corr_median"), R(F.percentile("corr", 0.1)).alias("corr_p10"), F.count_if("equal").alias("n_equal")),
+
+
+def _diff_stats(s, d):
+    path = shared_path(s, "differences")
+    differences(s, d).write.parquet(path)
+    x = s.read.parquet(path)
+    one = x.agg(R(F.max("max_abs")).alias("max_abs"), R(F.sqrt(F.avg(F.col("rmse") * F.col("rmse")))).alias("rmse"), F.count_if("equal").alias("n_equal"))
+    q = E.quantiles(x, {"rel_l2_median": ("rel_l2", 0.5), "corr_median": ("corr", 0.5), "corr_p10": ("corr", 0.1)})
+    return one.crossJoin(q.select(*(R(c).alias(c) for c in q.columns)))  # one row each
+
+
+register("array_diff_stats", _diff_stats,
          f"WITH {PAIR} SELECT round(max(max_abs), 6) AS max_abs, round(sqrt(avg(rmse * rmse)), 6) AS rmse, round(median(rel_l2), 6) AS rel_l2_median, round(median(corr), 6) AS corr_median, round(quantile_cont(corr, 0.1), 6) AS corr_p10, count(*) FILTER (max_abs = 0) AS n_equal FROM df")
 register("evaluate_run", lambda s, d: _evaluate(s, d), sql("""WITH p AS (SELECT *, CASE WHEN sample_id % 20 < 12 THEN 'train' WHEN sample_id % 20 < 15 THEN 'val' ELSE 'test' END AS split FROM predictions),
  c AS (SELECT p1 AS thr, 0 AS above FROM p WHERE split = 'val' UNION SELECT 0.0, 0 UNION SELECT NULL, 1), v AS (SELECT thr, above, count(*) FILTER (label = 0 AND (above = 1 OR p1 < thr)) / count(*) FILTER (label = 0) + 2.0 * count(*) FILTER (label = 1 AND above = 0 AND p1 >= thr) / count(*) FILTER (label = 1) AS obj FROM c, p WHERE split = 'val' GROUP BY ALL),
