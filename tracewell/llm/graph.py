@@ -3,27 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import discard, written
+from .scratch import discard, with_keys, written
+
+
+def _with_least(pairs: DataFrame, rows: int) -> DataFrame:
+    """pairs (u, v) of at most `rows` rows with the least v of each u as `m`. A u of many pairs is aggregated and joined, so no task sees all of them."""
+    return with_keys(pairs, pairs.groupBy("u").agg(F.min("v").alias("m")), "u", rows=rows)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node that links reach.
 
     Each round hangs every node's larger neighbours, then its smaller ones, on the smallest; rounds grow with the
-    logarithm of the number of nodes. Only counts reach the driver.
+    logarithm of the number of nodes, and pairs do not become more. Only counts reach the driver.
     """
-    by = W.partitionBy("u")
-    cur, last = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
+    state = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    cur = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    last = state(cur)
     while True:
+        rows = last[0]
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(by))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.where("u <> v").distinct().withColumn("m", F.min("v").over(by))
-        older, cur = cur, written(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select("v", "m")).distinct())
+        large = _with_least(both, 2 * rows).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        small = _with_least(large.where("u <> v").distinct(), rows)
+        older, cur = cur, written(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select("v", "m")).distinct(), rows)
         discard(older)
-        now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = state(cur)
         if now == last:
             break
         last = now

@@ -239,7 +239,9 @@ def numbered(df: DataFrame) -> DataFrame:
     parts = written(df.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     before = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = before.withColumn("_before", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).drop("_n")  # one row per part
-    return written(parts.join(F.broadcast(before), "_part").withColumn("i", F.col("_before") + F.col("_row")).drop("_part", "_row", "_before"))
+    out = written(parts.join(F.broadcast(before), "_part").withColumn("i", F.col("_before") + F.col("_row")).drop("_part", "_row", "_before"), parts.count())
+    discard(parts)
+    return out
 
 
 def _near_size(a: str, b: str, percent: int) -> Column:
@@ -360,7 +362,8 @@ class Join:
 
     def classed(self, links: DataFrame) -> DataFrame:
         """(node, n, comp), written, by the links found so far."""
-        return written(self.nodes.join(components(links), "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp")))
+        rooted = self.nodes.join(components(links), "node", "left")
+        return written(rooted.select("node", "n", F.coalesce("root", "node").alias("comp")), self.nodes.count())
 
     def once(self, meta: DataFrame) -> DataFrame:
         """The documents without repeated rows. Only texts that are repeated are shuffled for it."""
@@ -384,7 +387,7 @@ class Join:
         texts, common = self.with_common()
         links = written(links.union(self.dense_links(texts, common, placed)).union(self.verified(self.candidates(texts, common, placed))))
         roots = components(links)
-        least = written(nodes.join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("least")))
+        least = written(nodes.join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("least")), nodes.count())
         named = with_keys(roots, least, "root").select("node", "least")
         of_set = nodes.join(named, "node", "left").select("ka", "kb", F.col("doc_id").alias("set_id"), F.coalesce("least", "doc_id").alias("least"))
         out = meta.join(of_set, ["ka", "kb"], "left")

@@ -25,9 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet and read back: no lineage, and nothing is lost with an executor."""
+#: Rows of narrow tables that are written in one file, where their number is known.
+FILE_ROWS = 1_000_000
+
+
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, written once as Parquet and read back: no lineage, and nothing is lost with an executor. A known number of rows keeps small tables in few files."""
     spark = df.sparkSession
+    df = df if rows is None else df.coalesce(rows // FILE_ROWS + 1)
     path = f"{shared_dir(spark)}/tracewell-{uuid.uuid4().hex}"
     df.write.parquet(path)
     fs, at = _place(spark, path)
