@@ -30,8 +30,8 @@ from .textscan import BLOCK, BYTE, blocks, columns, mix, odd, piece, powers, pre
 LENGTH, GRAM, HOT = 200, 64, 20_000
 #: Rows whose suffixes are sorted together in a task (whole anchors, so one anchor's may be more).
 TOGETHER = 4096
-#: Bytes of contexts that are handed on at once.
-_BYTES = 1 << 22
+#: Contexts that are handed on at once.
+_TOGETHER = 8192
 
 
 def _sliding(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
@@ -91,42 +91,51 @@ def _anchor_counts(length: int, gram: int):
     return run
 
 
-def _anchors(length: int, gram: int, wanted: list[np.ndarray] | None):
-    """Anchors with their places and, where the wanted keys are given, only those, with how often they occur."""
+def _anchors(length: int, gram: int):
+    """Anchors with their places."""
 
     def run(batches):
         for batch in batches:
             for row, place, key in row_anchors(batch.column("text"), length, gram):
-                key, more = key.view(np.int64), {}
-                if wanted is not None:
-                    found, at = among(key, wanted[0])
-                    row, place, key, more = row[found], place[found], key[found], {"n": wanted[1][at]}
                 take = pa.array(row)
-                yield columns(key=key, doc_id=batch.column("doc_id").take(take), tk=batch.column("tk").take(take), pos=place, **more)
+                yield columns(key=key.view(np.int64), doc_id=batch.column("doc_id").take(take), tk=batch.column("tk").take(take), pos=place)
 
     return run
 
 
-def _contexts(length: int, gram: int):
-    """The bytes around each anchor of a text: length - gram before it and `length` from it, as far as the text goes."""
-    side, names = length - gram, ("key", "hot", "doc_id", "tk", "pos", "left", "right")
-    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+def _cut_around(batch: pa.RecordBatch, parts, length: int, gram: int):
+    """Batches (key, hot, doc_id, tk, pos, left, right) of bounded size for anchors given as arrays (row, place, key, hot).
+
+    left and right are the bytes around an anchor: length - gram before it and `length` from it, as far as the text goes."""
+    side, text = length - gram, batch.column("text")
+    for rows, places, keys, hots in parts:
+        for i in range(0, len(rows), _TOGETHER):
+            row, place = rows[i : i + _TOGETHER], places[i : i + _TOGETHER]
+            left, right, last, t = [], [], -1, None
+            for r, a in zip(row.tolist(), place.tolist(), strict=True):
+                if r != last:
+                    last, t = r, memoryview(text[r].as_buffer())
+                left.append(bytes(t[max(0, a - side) : a]))
+                right.append(bytes(t[a : a + length]))
+            take = pa.array(row)
+            yield columns(
+                key=keys[i : i + _TOGETHER], hot=hots[i : i + _TOGETHER], doc_id=batch.column("doc_id").take(take), tk=batch.column("tk").take(take), pos=place,
+                left=pa.array(left, pa.binary()), right=pa.array(right, pa.binary()),
+            )
+
+
+def _contexts(length: int, gram: int, wanted: list[np.ndarray] | None, hot: int):
+    """Contexts of the wanted anchors found in texts, or of those that come as columns key, pos and hot of the texts."""
 
     def run(batches):
         for batch in batches:
-            held, size = [[] for _ in names], 0
-            text = batch.column("text").cast(pa.large_binary())
-            for r in range(batch.num_rows):
-                t, doc, tk = memoryview(text[r].as_buffer()), batch.column("doc_id")[r].as_py(), batch.column("tk")[r].as_py()
-                for key, a, hot in zip(*(batch.column(c)[r].values.to_pylist() for c in ("key", "pos", "hot")), strict=True):
-                    for column, v in zip(held, (key, hot, doc, tk, a, bytes(t[max(0, a - side) : a]), bytes(t[a : a + length])), strict=True):
-                        column.append(v)
-                    size += length + side
-                    if size >= _BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(held, kinds, strict=True)], names)
-                        held, size = [[] for _ in names], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(held, kinds, strict=True)], names)
+            if wanted is None:
+                flat = lambda c, r: batch.column(c)[r].values.to_numpy(zero_copy_only=False)
+                parts = ((np.full(len(batch.column("pos")[r]), r), flat("pos", r), flat("key", r), flat("hot", r)) for r in range(batch.num_rows))
+            else:
+                found = ((row, place, key.view(np.int64), *among(key.view(np.int64), wanted[0])) for row, place, key in row_anchors(batch.column("text"), length, gram))
+                parts = ((row[f], place[f], key[f], wanted[1][at] > hot) for row, place, key, f, at in found)
+            yield from _cut_around(batch, parts, length, gram)
 
     return run
 
@@ -295,9 +304,8 @@ def _windows(length: int, gram: int, bits: int, whole: bool):
 def _kept(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     """What stays of each text: bytes, and how many went in how many runs."""
     out, gone, runs_ = [], [], []
-    text = text.cast(pa.large_binary())
     for t, a, z in zip(text, starts, ends, strict=True):
-        t = t.as_py() or b""
+        t = t.as_buffer().to_pybytes() if t.is_valid else b""
         a, z = a.values.to_numpy(), z.values.to_numpy()
         order = np.argsort(a, kind="stable")
         a, z = a[order], np.maximum.accumulate(z[order])
@@ -332,27 +340,29 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row, and kept: the bytes that stay, null where all do."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", F.xxhash64("text"))
     meta = written(docs.select("doc_id", "tk", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
-    texts = meta.groupBy("sha").agg(F.count("*").alias("copies"), F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "tk")).alias("rep"), F.max("n_bytes").alias("n"))
-    reps = written(texts.where(F.col("n") >= length).select("rep.doc_id", "rep.tk").distinct())
+    hashes = meta.groupBy("sha").agg(F.count("*").alias("copies"), F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "tk")).alias("rep"), F.max("n_bytes").alias("n"))
+    reps = written(hashes.where(F.col("n") >= length).select("rep.doc_id", "rep.tk").distinct())
     ids = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     n_reps = reps.count()
     one = with_keys(ids, reps.withColumnRenamed("tk", "tk_"), "doc_id", rows=n_reps).where("tk = tk_").select("doc_id", "tk", "text")
     # Anchors are counted first, so that only those met twice travel with their places, and no task sees all of one.
     twice = written(one.mapInArrow(_anchor_counts(length, gram), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
     wanted = few(twice.select("key", "n"), rows)
-    met = one.mapInArrow(_anchors(length, gram, wanted), "key long, doc_id long, tk long, pos long" + ", n long" * (wanted is not None))
-    met = met if wanted is not None else met.join(twice, "key")
-    per_text = met.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("key", "pos", (F.col("n") > hot).alias("hot"))).alias("m"))
-    found = written(one.join(per_text, ["doc_id", "tk"]).select("doc_id", "tk", "text", "m.key", "m.pos", "m.hot"))
-    around = found.mapInArrow(_contexts(length, gram), "key long, hot boolean, doc_id long, tk long, pos long, left binary, right binary")
+    sources = one
+    if wanted is None:  # too many to be held beside the kernel: find their places, and bring these back to the texts
+        met = one.mapInArrow(_anchors(length, gram), "key long, doc_id long, tk long, pos long").join(twice, "key")
+        per_text = met.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("key", "pos", (F.col("n") > hot).alias("hot"))).alias("m"))
+        sources = written(one.join(per_text, ["doc_id", "tk"]).select("doc_id", "tk", "text", "m.key", "m.pos", "m.hot"))
+    around = sources.mapInArrow(_contexts(length, gram, wanted, hot), "key long, hot boolean, doc_id long, tk long, pos long, left binary, right binary")
     spans = around.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key").mapInArrow(_sorts(length, gram, together), "doc_id long, tk long, a long, z long")
-    if not found.where(F.exists("hot", lambda h: h)).isEmpty():
+    if not twice.where(F.col("n") > hot).isEmpty():
         spans = spans.union(_spread(around.where("hot"), length, gram, bits))
-    cuts = spans.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("a", "z")).alias("s")).select("doc_id", "tk", "s.a", "s.z")
+    cuts = written(spans.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("a", "z")).alias("s")).select("doc_id", "tk", "s.a", "s.z"))
     cut = F.arrow_udf(_kept, "kept binary, n_removed long, n_spans long")
-    changed = found.select("doc_id", "tk", "text").dropDuplicates(["doc_id", "tk"]).join(cuts, ["doc_id", "tk"]).withColumn("c", cut("text", "a", "z")).select("doc_id", "tk", "c.*")
+    changed = with_keys(one, cuts.select("doc_id", "tk"), ["doc_id", "tk"], "left_semi").dropDuplicates(["doc_id", "tk"])
+    changed = changed.join(cuts, ["doc_id", "tk"]).select("doc_id", "tk", cut("text", "a", "z").alias("c")).select("doc_id", "tk", "c.*")
     out = meta.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(changed.withColumnRenamed("doc_id", "id"), ["id", "tk"], "left")
-    out = out.join(texts.select("sha", "copies"), "sha")
+    out = out.join(hashes.select("sha", "copies"), "sha")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     return out.select(
         "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
