@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a two-column table of longs is broadcast (about 60 MB once hashed).
@@ -55,7 +55,7 @@ def discard(*tables: DataFrame) -> None:
             fs.delete(at, True)
 
 
-def with_keys(df: DataFrame, keys: DataFrame, on: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+def with_keys(df: DataFrame, keys: DataFrame, on: str | list[str] | Column, how: str = "inner", rows: int | None = None) -> DataFrame:
     """df joined to the narrow table keys: broadcast if it is counted as small, else by shuffle."""
     n = keys.count() if rows is None else rows
     return df.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, on, how)

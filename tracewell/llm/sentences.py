@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import BROADCAST_ROWS, among, few, written
+from .scratch import BROADCAST_ROWS, among, few, with_keys, written
 from .textscan import LOWER, SPACE, blocks, columns, hashed, mix, odd, words
 
 MIN_SENTENCES, MIN_WORDS = 2, 12
@@ -119,31 +119,39 @@ def _spans(wanted: np.ndarray | None):
                     row, place, size, key, second = (x[take] for x in (row, place, size, key, second))
                 take = pa.array(row + i)
                 yield columns(
-                    key=key.view(np.int64), second=second.view(np.int64), doc_id=batch.column("doc_id").take(take), text_key=batch.column("text_key").take(take),
+                    key=key.view(np.int64), second=second.view(np.int64), **{c: batch.column(c).take(take) for c in ("doc_id", "ka", "kb")},
                     place=place.astype(np.int32), size=size.astype(np.int32),
                 )
 
     return run
 
 
-def _cut(text: pa.Array, places: pa.Array, sizes: pa.Array) -> pa.Array:
+def _cut(text: pa.Array, places: pa.Array, sizes: pa.Array, whole: pa.Array) -> pa.Array:
+    """Texts without the runs at the given places; of those marked `whole` every run goes, and so every sentence if there is a run."""
     kept, total, gone = [], np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+    whole = whole.to_numpy(zero_copy_only=False)
     for i, j, b, at in blocks(text):
         begin, stop, row, _ = sentences(b, at)
         edge = np.searchsorted(row, np.arange(j - i + 1))
         total[i:j] = np.diff(edge)
+        n_words = np.bincount(words(b, at)[2], minlength=j - i) if whole[i:j].any() else total[i:j]
         for k in range(j - i):
             if not text[i + k].is_valid:
                 kept.append(None)
                 continue
-            if not places[i + k].is_valid:
+            if whole[i + k]:
+                drop = np.full(total[i + k], total[i + k] >= MIN_SENTENCES and n_words[k] >= MIN_WORDS)
+            elif places[i + k].is_valid:
+                edges = np.zeros(total[i + k] + 1, np.int64)
+                p, n = places[i + k].values.to_numpy(), sizes[i + k].values.to_numpy()
+                np.add.at(edges, p, 1)
+                np.add.at(edges, p + n, -1)
+                drop = np.cumsum(edges)[:-1] > 0
+            else:
+                drop = np.zeros(total[i + k], bool)
+            if not drop.any():
                 kept.append(b[at[k] : at[k + 1]].tobytes())
                 continue
-            drop = np.zeros(total[i + k] + 1, np.int64)
-            p, n = places[i + k].values.to_numpy(), sizes[i + k].values.to_numpy()
-            np.add.at(drop, p, 1)
-            np.add.at(drop, p + n, -1)
-            drop = np.cumsum(drop)[:-1] > 0
             gone[i + k] = drop.sum()
             stay = edge[k] + np.flatnonzero(~drop)
             kept.append(b"".join(b[a:z].tobytes() for a, z in zip(begin[stay], stop[stay], strict=True)))
@@ -152,22 +160,31 @@ def _cut(text: pa.Array, places: pa.Array, sizes: pa.Array) -> pa.Array:
 
 
 def dedup(docs: DataFrame, out: str = "_dedup", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with the struct `out`: text without repeated runs, n_sentences, n_removed. Texts are scanned twice, so that only runs met twice are shuffled with their places."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    """docs with the struct `out`: text without repeated runs, n_sentences, n_removed.
+
+    Of equal texts (by 128 bits) the one with the smallest doc_id is searched; all runs of the others are repeats of it.
+    Texts are scanned twice, so that only runs met twice are shuffled with their places."""
+    keys = {"ka": F.xxhash64(docs["text"]), "kb": F.xxhash64(F.lit("second"), docs["text"])}
+    held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), *(v.alias(k) for k, v in keys.items()))
+    equal = written(held.where("text is not null").groupBy("ka", "kb").agg(F.min(F.struct("doc_id")).alias("first"), F.max(F.struct("doc_id")).alias("last")))
+    first = equal.select(F.col("ka").alias("first_ka"), F.col("kb").alias("first_kb"), F.col("first.doc_id").alias("first_id"))
+    same = (F.col("ka") == F.col("first_ka")) & (F.col("kb") == F.col("first_kb")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    texts = with_keys(held.select("doc_id", "ka", "kb", "text"), first, same, "left_semi")
     twice = written(texts.mapInArrow(_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
     wanted = few(twice, rows)
-    spans = texts.mapInArrow(_spans(wanted and wanted[0]), "key long, second long, doc_id long, text_key long, place int, size int")
+    spans = texts.mapInArrow(_spans(wanted and wanted[0]), "key long, second long, doc_id long, ka long, kb long, place int, size int")
     spans = written(spans if wanted is not None else spans.join(twice, "key", "left_semi"))
-    place = F.struct("doc_id", "text_key", "place", "size")
+    place = F.struct("doc_id", "ka", "kb", "place", "size")
     # One place twice (equal rows, or the run that ends a text) is one occurrence.
     repeated = spans.groupBy("key", "second").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "second", "first")
     later = spans.join(repeated, ["key", "second"]).where(~place.eqNullSafe(F.col("first")))
-    cuts = later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("place", "size")).alias("cuts"))
-    held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["text"]).alias("text_key"))
+    cuts = later.groupBy("ka", "kb").agg(F.collect_set(F.struct("place", "size")).alias("cuts"))
+    known = equal.join(cuts, ["ka", "kb"], "left").where("cuts is not null or first <> last")
+    known = known.select(F.col("ka").alias("cut_ka"), F.col("kb").alias("cut_kb"), "first", "cuts.place", "cuts.size")
+    joined = held.join(known, (F.col("ka") == F.col("cut_ka")) & (F.col("kb") == F.col("cut_kb")) & F.col("text").isNotNull(), "left")
+    copy = F.coalesce(~F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & F.col("first").isNotNull(), F.lit(False))
     cut = F.arrow_udf(_cut, "text string, n_sentences long, n_removed long")
-    cuts = cuts.select(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key"), "cuts.place", "cuts.size")
-    joined = held.join(cuts, held["doc_id"].eqNullSafe(F.col("cut_id")) & (F.col("text_key") == F.col("cut_key")), "left")
-    return joined.select("row", cut("text", "place", "size").alias("cut")).select("row.*", F.col("cut").alias(out))
+    return joined.select("row", cut("text", "place", "size", copy).alias("cut")).select("row.*", F.col("cut").alias(out))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
