@@ -275,7 +275,7 @@ def _windows(length: int, gram: int, bits: int, whole: bool):
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 left, right = part.column("left").to_pylist(), part.column("right").to_pylist()
-                row, start, keys, text = [], [], [[], []], []
+                row, start, keys = [], [], [[], []]
                 for r, (x, y) in enumerate(zip(left, right, strict=True)):
                     b = np.frombuffer(x + y, np.uint8)
                     if len(b) < length:
@@ -288,15 +288,19 @@ def _windows(length: int, gram: int, bits: int, whole: bool):
                         h = prefix_hash(other)
                         a = s if k == 0 else len(b) - length - s
                         keys[k].append((mix(piece(h, a, a + length) ^ salt[k]) >> shift).view(np.int64))
-                    if whole:
-                        text += [(x + y)[k : k + length] for k in s.tolist()]
                 row, start, ka, kb = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (row, start, *keys))
-                take = pa.array(row.astype(np.int64))
+                row = row.astype(np.int64)
+                # The anchors of a text adjoin, and most of its windows hold several of them: each is handed on once.
+                doc, tk, at = part.column("doc_id").to_numpy()[row], part.column("tk").to_numpy()[row], part.column("pos").to_numpy()[row] + start
+                order = np.lexsort((at, tk, doc))
+                new = np.ones(len(order), bool)
+                new[1:] = (np.diff(doc[order]) != 0) | (np.diff(tk[order]) != 0) | (np.diff(at[order]) != 0)
+                once = order[new]
                 if whole:
-                    yield columns(ka=ka, kb=kb, w=pa.array(text, pa.binary()))
+                    w = [(left[r] + right[r])[len(left[r]) + k : len(left[r]) + k + length] for r, k in zip(row[once].tolist(), start[once].tolist(), strict=True)]
+                    yield columns(ka=ka[once], kb=kb[once], w=pa.array(w, pa.binary()))
                 else:
-                    pos = part.column("pos").to_numpy()[row.astype(np.int64)] + start
-                    yield columns(doc_id=part.column("doc_id").take(take), tk=part.column("tk").take(take), a=pos, ka=ka, kb=kb)
+                    yield columns(doc_id=doc[once], tk=tk[once], a=at[once], ka=ka[once], kb=kb[once])
 
     return run
 
