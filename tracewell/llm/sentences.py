@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import BROADCAST_ROWS, among, few, with_keys, written
+from .scratch import with_keys, written
 from .textscan import LOWER, SPACE, blocks, columns, hashed, mix, odd, words
 
 MIN_SENTENCES, MIN_WORDS = 2, 12
@@ -107,23 +107,16 @@ def _counts(batches):
             yield columns(key=key.view(np.int64), n=n)
 
 
-def _spans(wanted: np.ndarray | None):
-    """Runs with their places; only those with a wanted key, if these are given."""
-
-    def run(batches):
-        for batch in batches:
-            for i, _, b, at in blocks(batch.column("text")):
-                row, place, size, key, second = runs(b, at, True)
-                if wanted is not None:
-                    take, _ = among(key.view(np.int64), wanted)
-                    row, place, size, key, second = (x[take] for x in (row, place, size, key, second))
-                take = pa.array(row + i)
-                yield columns(
-                    key=key.view(np.int64), second=second.view(np.int64), **{c: batch.column(c).take(take) for c in ("doc_id", "ka", "kb")},
-                    place=place.astype(np.int32), size=size.astype(np.int32),
-                )
-
-    return run
+def _spans(batches):
+    """Runs with their places."""
+    for batch in batches:
+        for i, _, b, at in blocks(batch.column("text")):
+            row, place, size, key, second = runs(b, at, True)
+            take = pa.array(row + i)
+            yield columns(
+                key=key.view(np.int64), second=second.view(np.int64), **{c: batch.column(c).take(take) for c in ("doc_id", "ka", "kb")},
+                place=place.astype(np.int32), size=size.astype(np.int32),
+            )
 
 
 def _cut(text: pa.Array, places: pa.Array, sizes: pa.Array, whole: pa.Array) -> pa.Array:
@@ -159,11 +152,11 @@ def _cut(text: pa.Array, places: pa.Array, sizes: pa.Array, whole: pa.Array) ->
     return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total), pa.array(gone)], names=names)
 
 
-def dedup(docs: DataFrame, out: str = "_dedup", rows: int = BROADCAST_ROWS) -> DataFrame:
+def dedup(docs: DataFrame, out: str = "_dedup") -> DataFrame:
     """docs with the struct `out`: text without repeated runs, n_sentences, n_removed.
 
     Of equal texts (by 128 bits) the one with the smallest doc_id is searched; all runs of the others are repeats of it.
-    Texts are scanned twice, so that only runs met twice are shuffled with their places."""
+    Texts are scanned twice: runs are counted by their keys alone, and those met twice are picked out by a join."""
     keys = {"ka": F.xxhash64(docs["text"]), "kb": F.xxhash64(F.lit("second"), docs["text"])}
     held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), *(v.alias(k) for k, v in keys.items()))
     equal = written(held.where("text is not null").groupBy("ka", "kb").agg(F.min(F.struct("doc_id")).alias("first"), F.max(F.struct("doc_id")).alias("last")))
@@ -171,9 +164,8 @@ def dedup(docs: DataFrame, out: str = "_dedup", rows: int = BROADCAST_ROWS) -> D
     same = (F.col("ka") == F.col("first_ka")) & (F.col("kb") == F.col("first_kb")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
     texts = with_keys(held.select("doc_id", "ka", "kb", "text"), first, same, "left_semi")
     twice = written(texts.mapInArrow(_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
-    wanted = few(twice, rows)
-    spans = texts.mapInArrow(_spans(wanted and wanted[0]), "key long, second long, doc_id long, ka long, kb long, place int, size int")
-    spans = written(spans if wanted is not None else spans.join(twice, "key", "left_semi"))
+    spans = texts.mapInArrow(_spans, "key long, second long, doc_id long, ka long, kb long, place int, size int")
+    spans = written(spans.join(twice, "key", "left_semi"))
     place = F.struct("doc_id", "ka", "kb", "place", "size")
     # One place twice (equal rows, or the run that ends a text) is one occurrence.
     repeated = spans.groupBy("key", "second").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", "second", "first")
