@@ -305,6 +305,16 @@ def _windows(length: int, gram: int, bits: int, whole: bool):
     return run
 
 
+def _hot_windows(length: int, gram: int, wanted: list[np.ndarray] | None, hot: int, bits: int, whole: bool):
+    """_windows of the hot anchors' contexts, in one worker with them."""
+    contexts, windows = _contexts(length, gram, wanted, hot), _windows(length, gram, bits, whole)
+
+    def run(batches):
+        yield from windows(batch.filter(batch.column("hot")) for batch in contexts(batches))
+
+    return run
+
+
 def _kept(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     """What stays of each text: bytes, and how many went in how many runs."""
     out, gone, runs_ = [], [], []
@@ -321,11 +331,11 @@ def _kept(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(gone, pa.int64()), pa.array(runs_, pa.int64())], names=["kept", "n_removed", "n_spans"])
 
 
-def _spread(around: DataFrame, length: int, gram: int, bits: int) -> DataFrame:
+def _spread(sources: DataFrame, around: DataFrame, length: int, gram: int, bits: int, wanted: list[np.ndarray] | None, hot: int) -> DataFrame:
     """Spans of the windows around hot anchors that occur again, without a task that sees all suffixes of one."""
-    windows = written(around.mapInArrow(_windows(length, gram, bits, False), "doc_id long, tk long, a long, ka long, kb long").distinct())
+    windows = written(sources.mapInArrow(_hot_windows(length, gram, wanted, hot, bits, False), "doc_id long, tk long, a long, ka long, kb long").distinct())
     again = written(windows.groupBy("ka", "kb").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    texts = around.mapInArrow(_windows(length, gram, bits, True), "ka long, kb long, w binary").join(again, ["ka", "kb"], "left_semi")
+    texts = sources.mapInArrow(_hot_windows(length, gram, wanted, hot, bits, True), "ka long, kb long, w binary").join(again, ["ka", "kb"], "left_semi")
     mixed = written(texts.groupBy("ka", "kb").agg(F.min("w").alias("low"), F.max("w").alias("high")).where("low <> high").select("ka", "kb"))
     n_mixed = mixed.count()
     sure = windows.join(again, ["ka", "kb"], "left_semi")
@@ -360,7 +370,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     around = sources.mapInArrow(_contexts(length, gram, wanted, hot), "key long, hot boolean, doc_id long, tk long, pos long, left binary, right binary")
     spans = around.where("not hot").drop("hot").repartition("key").sortWithinPartitions("key").mapInArrow(_sorts(length, gram, together), "doc_id long, tk long, a long, z long")
     if not twice.where(F.col("n") > hot).isEmpty():
-        spans = spans.union(_spread(around.where("hot"), length, gram, bits))
+        spans = spans.union(_spread(sources, around.where("hot"), length, gram, bits, wanted, hot))
     cuts = written(spans.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("a", "z")).alias("s")).select("doc_id", "tk", "s.a", "s.z"))
     cut = F.arrow_udf(_kept, "kept binary, n_removed long, n_spans long")
     changed = with_keys(one, cuts.select("doc_id", "tk"), ["doc_id", "tk"], "left_semi").dropDuplicates(["doc_id", "tk"])
