@@ -17,8 +17,7 @@ from tracewell.operators import features as Fe
 from tracewell.operators import frames as Fr
 from tracewell.operators import models as M
 from tracewell.operators import spans as Sp
-from tracewell.sources import arrays, datasets, files, sinks
-from tracewell.sources.arrays import ArrayScans
+from tracewell.sources import arrays, datasets, files, paths, sinks
 
 rng = np.random.default_rng(3)
 
@@ -227,48 +226,221 @@ def test_regions(spark):
     assert got == [(1, "0.2-1.5mm", True), (1, "3-2mm", False), (2, "bone", True)]
 
 
-def test_array_source(spark, tmp_path):
-    x = rng.normal(size=(10, 2, 3))
+def numbers(n):
+    return np.arange(n * 6, dtype=np.float64).reshape(n, 2, 3)
+
+
+def test_arrays_of_one_file_are_read_by_ranges_and_small_batches(spark, tmp_path):
+    x = numbers(10)
     np.save(tmp_path / "x.npy", x)
-    spark.dataSource.register(ArrayScans)
-    rows = spark.read.format("npy_scans").option("path", str(tmp_path / "x.npy")).option("rows", 4).load().collect()
-    assert np.allclose([r["values"] for r in sorted(rows, key=lambda r: r.row)], x.reshape(10, 6))
+    np.save(tmp_path / "y.npy", np.arange(10) * 2)
+    df = arrays.read_aligned(spark, f"file://{tmp_path}", [("x", "x.npy", "array<double>"), ("y", "y.npy", "long")], bytes=3 * 56, batch=60)
+    assert df.rdd.getNumPartitions() == 4
+    got = sorted(df.collect(), key=lambda r: r.position)
+    assert [(r.position, r.x, r.y) for r in got] == [(i, x[i].ravel().tolist(), 2 * i) for i in range(10)]
 
 
 def test_arrays_are_written_in_order_and_read_again(spark, tmp_path):
     rows = spark.range(37).select(F.col("id").alias("row"), F.array(*(F.col("id") * k for k in (1.0, 2.0, 3.0, 4.0, 5.0, 6.0))).alias("values")).repartition(5)
-    arrays.write_arrays(rows, f"file://{tmp_path}/x.npy", (2, 3), "float32", 4)
+    arrays.write_arrays(rows, f"file://{tmp_path}/x.npy", (2, 3), "float32", part_bytes=24 * 10)
     assert arrays.shape(f"file://{tmp_path}/x.npy") == (37, 2, 3)
+    assert [np.load(f).shape[0] for f in sorted((tmp_path / "x.npy").iterdir())] == [10, 10, 10, 7]
     got = arrays.read_arrays(spark, f"file://{tmp_path}/x.npy").orderBy("row").collect()
     assert [r["row"] for r in got] == list(range(37)) and all(r["values"] == [r["row"] * k for k in range(1, 7)] for r in got)
 
 
-def reference_folder(at, n=4, shape=(3, 2, 5), labels=None, records=None):
+def test_columns_and_ranges_that_are_not_asked_for_are_not_read(spark, tmp_path):
+    for split, n in (("a", 9), ("b", 4)):
+        (tmp_path / split).mkdir()
+        np.save(tmp_path / split / "x.npy", numbers(n))
+        np.save(tmp_path / split / "y.npy", np.arange(n))
+        (tmp_path / split / "r.json").write_text(json.dumps([{"sample_id": f"{split}{i}"} for i in range(n)]))
+    spec = [("x", "x.npy", "array<double>"), ("y", "y.npy", "long")]
+    df = arrays.read_aligned(spark, f"{tmp_path}", spec, ["a", "b"], "r.json", bytes=100)
+    layout = arrays.Layout({"path": str(tmp_path), "spec": json.dumps({"arrays": spec, "splits": ["a", "b"], "records": "r.json", "bytes": 100})})
+    reader = arrays.AlignedReader(layout, df.select("split", "y").schema)
+    assert {c for p in reader.partitions() for c in p.pieces} == {"y"} and {p.records for p in reader.partitions()} == {None}
+    left = list(reader.pushFilters([arrays.EqualTo(("split",), "a"), arrays.GreaterThan(("position",), 1), arrays.LessThanOrEqual(("position",), 5)]))
+    assert len(left) == 3 and {p.split for p in reader.partitions()} == {"a"} and all(p.last > 2 and p.first < 6 for p in reader.partitions())
+    assert sorted((r.sample_id, r.y) for r in df.where("split = 'a' and position between 3 and 6").collect()) == [(f"a{i}", i) for i in (3, 4, 5, 6)]
+    assert "Exchange" not in df._jdf.queryExecution().toString()
+
+
+def test_records_of_a_list_are_found_at_any_chunk(tmp_path):
+    items = [{"sample_id": "é" * k + '\\"]},[', "n": [{}, [k]], "depth_value": k / 3} for k in range(40)]
+    for text in (json.dumps(items, ensure_ascii=False), json.dumps(items, ensure_ascii=False, indent=2), " [ ] ", "[]"):
+        (tmp_path / "r.json").write_text(text)
+        at, file = arrays.store(str(tmp_path / "r.json"))
+        want = json.loads(text)
+        for chunk in (1, 7, 64, 1 << 20):
+            found = list(arrays.list_items(at, file, chunk=chunk))
+            assert [v for _, _, v in found] == want
+            if want:
+                assert [v for _, _, v in arrays.list_items(at, file, found[3][0], found[9][1], chunk)] == want[3:10]
+    for text in ("", "{}", "[{]", "[1", "3"):
+        (tmp_path / "r.json").write_text(text)
+        with pytest.raises(ValueError, match="JSON list"):
+            list(arrays.list_items(*arrays.store(str(tmp_path / "r.json"))))
+
+
+def test_a_failed_write_leaves_nothing_and_bad_rows_raise(spark, tmp_path):
+    spec = [("v", "v.npy", "float32", (2,))]
+    good = spark.range(20).select(F.lit("a").alias("split"), F.col("id").alias("position"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
+    bad = {
+        "numbers each": good.withColumn("v", F.when(F.col("position") == 7, F.array(F.lit(1.0))).otherwise(F.col("v"))), "count from 0": good.withColumn("position", F.col("position") + 16), "one after the other": good.where("position <> 4"),
+        "no split": good.withColumn("split", F.when(F.col("position") == 3, "z").otherwise("a")), "repeat": good.unionByName(good.where("position = 3")), "failed": good.withColumn("v", F.when(F.col("position") == 19, F.raise_error(F.lit("failed"))).otherwise(F.col("v"))),
+    }
+    for k, (word, rows) in enumerate(bad.items()):
+        with pytest.raises(Exception, match="one after the other" if word == "repeat" else word):
+            arrays.write_aligned(rows, f"{tmp_path}/{k}", spec, ["a"], part_bytes=64)
+        assert not [f for f in (tmp_path / str(k)).rglob("*") if f.is_file()]
+    arrays.write_aligned(good.repartition(7), f"{tmp_path}/good", spec, ["a", "empty"], part_bytes=64)
+    assert sorted(str(f.relative_to(tmp_path / "good")) for f in (tmp_path / "good").rglob("*") if f.is_file()) == [f"a/v.npy/part-{i:012d}.npy" for i in (0, 8, 16)] + ["empty/v.npy/part-000000000000.npy"]
+    assert arrays.read_aligned(spark, f"{tmp_path}/good", [("v", "v.npy", "array<float>")], ["a", "empty"]).count() == 20
+
+
+def test_paths_that_cannot_be_reached_are_told_from_absent_ones(spark, tmp_path):
+    assert not paths.exists(spark, f"file://{tmp_path}/none") and datasets.label_scheme(spark, f"file://{tmp_path}/none").count() == 0
+    for call in (lambda p: paths.exists(spark, p), lambda p: datasets.label_scheme(spark, p), lambda p: files.discover(spark, p)):
+        with pytest.raises(OSError, match="cannot be reached"):
+            call("nosuchscheme://host/data")
+    with pytest.raises(Exception, match="nosuchscheme"):
+        arrays.shape("nosuchscheme://host/data/x.npy")
+
+
+SHAPE = (3, 2, 5)
+
+
+def reference_folder(at, n=4, shape=SHAPE, labels=None, records=None, first=10, more=None):
     """A split in the layout of single files."""
     at.mkdir(parents=True)
-    np.save(at / "X.npy", np.arange(n * np.prod(shape), dtype=np.float32).reshape(n, *shape))
-    np.save(at / "y.npy", np.arange(n if labels is None else labels))
-    np.save(at / "indices.npy", np.arange(n) + 10)
-    (at / "samples.json").write_text(json.dumps([{"sample_id": f"s{i}", "depth_value": i / 2, "label": i, "source_label": 1, "bone": "x"} for i in range(n if records is None else records)], indent=1))
+    np.save(at / "X.npy", (np.arange(n * np.prod(shape), dtype=np.float32) / 7 + first).reshape(n, *shape))
+    np.save(at / "y.npy", np.arange(n if labels is None else labels) % 3)
+    np.save(at / "indices.npy", np.arange(n) + first)
+    rows = [{"sample_id": f"s{first + i}", "point_id": f"p{i}", "depth_value": (first + i) / 20, "label": i, "bone": {"side": "é", "n": i}, "note": None} | (more or {}) for i in range(n if records is None else records)]
+    (at / "samples.json").write_text(json.dumps(rows, indent=1, ensure_ascii=False))
+
+
+def whole_folder(at, sizes=(24, 6, 10), **more):
+    first = 0
+    for split, n in zip(C.SPLITS, sizes, strict=True):
+        reference_folder(at / split, n, first=first, **more)
+        first += n
+    return str(at)
 
 
 def test_split_folders_are_checked(spark, tmp_path):
     reference_folder(tmp_path / "good" / "train")
-    got = datasets.load_split(spark, f"file://{tmp_path}/good", "train", (3, 2, 5), True).orderBy("position").collect()
-    assert [(r.position, r.label, r.pool_row, r.sample_id, r.depth_value) for r in got] == [(i, i, 10 + i, f"s{i}", i / 2) for i in range(4)]
-    one = datasets.traces(datasets.load_split(spark, f"file://{tmp_path}/good", "train", (3, 2, 5)), 3, 2, 5).where("position = 1 and frame = 2 and channel = 1").first()
-    assert one.signal == [55.0, 56.0, 57.0, 58.0, 59.0]
+    got = datasets.load_split(spark, f"file://{tmp_path}/good", "train", SHAPE, True).orderBy("position").collect()
+    assert [(r.position, r.label, r.pool_row, r.sample_id, r.point_id, r.depth_value) for r in got] == [(i, i % 3, 10 + i, f"s{10 + i}", f"p{i}", (10 + i) / 20) for i in range(4)]
+    assert got[1].extra == {"bone": '{"side": "é", "n": 1}', "note": "null"}
+    one = datasets.traces(datasets.load_split(spark, f"file://{tmp_path}/good", "train", SHAPE), *SHAPE).where("position = 1 and frame = 2 and channel = 1").first()
+    assert np.allclose(one.signal, np.arange(55, 60) / 7 + 10)
     (tmp_path / "good" / "train" / "samples.json").unlink()
-    assert datasets.load_split(spark, f"file://{tmp_path}/good", "train", (3, 2, 5)).where("sample_id is null").count() == 4
+    assert datasets.load_split(spark, f"file://{tmp_path}/good", "train", SHAPE).where("sample_id is null").count() == 4
+    with pytest.raises(FileNotFoundError):
+        datasets.load_split(spark, f"file://{tmp_path}/good", "train", SHAPE, True)
     with pytest.raises(ValueError, match="shape"):
         datasets.load_split(spark, f"file://{tmp_path}/good", "train", (3, 2, 6))
     for name, more in (("labels", {"labels": 3}), ("records", {"records": 5})):
         reference_folder(tmp_path / name / "train", **more)
         with pytest.raises(ValueError, match="numbers"):
-            datasets.load_split(spark, f"file://{tmp_path}/{name}", "train", (3, 2, 5), True)
+            datasets.load_split(spark, f"file://{tmp_path}/{name}", "train", SHAPE, True)
     with pytest.raises(FileNotFoundError):
-        datasets.load_split(spark, f"file://{tmp_path}/none", "train", (3, 2, 5))
-    assert datasets.label_scheme(spark, f"file://{tmp_path}/none").count() == 0
+        datasets.load_split(spark, f"file://{tmp_path}/none", "train", SHAPE)
+    reference_folder(tmp_path / "far" / "train", first=9_998)
+    with pytest.raises(Exception, match="beyond 0 to 9999"):
+        datasets.load_split(spark, f"{tmp_path}/far", "train", SHAPE, True).collect()
+    assert datasets.load_split(spark, f"{tmp_path}/far", "train", SHAPE, True, None).agg(F.max("pool_row")).first()[0] == 10_001
+
+
+def test_unsound_pools_raise(spark, tmp_path):
+    assert datasets.load_pool(spark, whole_folder(tmp_path / "good"), SHAPE).count() == 40
+    bad = {"gaps": {}, "duplicate_ids": {"sample_id": "same"}, "empty_ids": {"sample_id": ""}, "bad_depth": {"depth_value": None}, "duplicate_rows": {}}
+    for word, more in bad.items():
+        at = whole_folder(tmp_path / word, more=more)
+        if word in ("gaps", "duplicate_rows"):
+            np.save(tmp_path / word / "val" / "indices.npy", np.arange(6) + {"gaps": 100, "duplicate_rows": 0}[word])
+        with pytest.raises(ValueError, match=word):
+            datasets.load_pool(spark, at, SHAPE)
+
+
+def by_row(spark, at, columns=None):
+    return {r.pool_row: r for r in datasets.load_pool(spark, at, SHAPE, columns=columns).collect()}
+
+
+@pytest.mark.parametrize("keep", [False, True])
+def test_relabelling_keeps_traces_and_records(spark, tmp_path, keep):
+    source, at = whole_folder(tmp_path / "source"), str(tmp_path / "out")
+    report = datasets.relabel_dataset(spark, source, at, SHAPE, [0.5, 1.25], {"train": 0.6, "val": 0.15, "test": 0.25}, keep_source_split=keep)
+    old, new = by_row(spark, source), by_row(spark, at)
+    assert old.keys() == new.keys() == set(range(40)) and report["total_samples"] == 40 and report["smallest_class"] == 10
+    assert [e["count"] for e in report["per_class"]] == [10, 15, 15] and not report["old_label_matches_thresholds"] and json.loads((tmp_path / "out" / "relabel_report.json").read_text()) == report
+    for k, r in new.items():
+        assert np.array_equal(np.float32(r["values"]), np.float32(old[k]["values"])) and (r.sample_id, r.point_id, r.depth_value, r.extra) == (old[k].sample_id, old[k].point_id, old[k].depth_value, old[k].extra)
+        assert r.label == int(r.depth_value >= 0.5) + int(r.depth_value >= 1.25) and r.source_label == old[k].label
+    for split in C.SPLITS:
+        own = sorted((r.position, r.pool_row) for r in new.values() if r.split == split)
+        assert [p for p, _ in own] == list(range(len(own))) and [k for _, k in own] == sorted(k for _, k in own)
+        if keep:  # the bytes of the arrays are the source's own
+            assert b"".join(np.load(f).tobytes() for f in sorted((tmp_path / "out" / split / "X.npy").iterdir())) == np.load(tmp_path / "source" / split / "X.npy").tobytes()
+    tag = datasets.label_scheme(spark, at).first().tag
+    assert tag == "cls3_thr0.5-1.25" + ("_keepsplit" if keep else "") and sum(1 for _ in datasets.read_manifest(spark, f"{at}/manifest.csv").collect()) == 40
+
+
+def test_relabelling_refuses_and_leaves_nothing(spark, tmp_path):
+    source = whole_folder(tmp_path / "source")
+    ratios = {"train": 0.6, "val": 0.15, "test": 0.25}
+    before = sorted(tmp_path.rglob("*"))
+    with pytest.raises(ValueError, match="fewer than 1"):
+        datasets.relabel_dataset(spark, source, f"{tmp_path}/out", SHAPE, [0.12], ratios)
+    for target in (source, f"{source}/inner", f"file://{tmp_path}"):
+        with pytest.raises(ValueError, match="overlaps"):
+            datasets.relabel_dataset(spark, source, target, SHAPE, [1.0], ratios)
+    assert sorted(tmp_path.rglob("*")) == before
+    datasets.relabel_dataset(spark, source, f"{tmp_path}/out", SHAPE, [0.12], ratios, allow_small_classes=True)
+    with pytest.raises(FileExistsError):
+        datasets.relabel_dataset(spark, source, f"{tmp_path}/out", SHAPE, [1.0], ratios)
+
+
+def frozen(ids, **more):
+    counts = {s: {"0": sum(int(x[1:]) < 20 for x in v), "1": sum(int(x[1:]) >= 20 for x in v)} for s, v in ids.items()}
+    return {"schema_version": 1, "num_classes": 2, "thresholds_mm": [1.0], "tag": "unified", "display_name": "one", "seed": 7, "ratios": [0.6, 0.15, 0.25], "splits": ids, "class_distribution": counts} | more
+
+
+def test_freezing_follows_the_manifest_or_leaves_nothing(spark, tmp_path):
+    source = whole_folder(tmp_path / "source")
+    order = [f"s{k * 7 % 40}" for k in range(40)]
+    ids = {"train": order[:20], "val": order[20:29], "test": order[29:]}
+    (tmp_path / "m.json").write_text(json.dumps(frozen(ids)))
+    meta = datasets.freeze_dataset(spark, source, f"{tmp_path}/good", f"{tmp_path}/m.json", SHAPE)
+    new = by_row(spark, f"{tmp_path}/good")
+    for split, want in ids.items():
+        assert [r.sample_id for r in sorted(new.values(), key=lambda r: r.position) if r.split == split] == want
+    assert meta["sample_counts"] == {"train": 20, "val": 9, "test": 11} and datasets.label_scheme(spark, f"{tmp_path}/good").first().tag == "unified"
+    assert "display_name" in json.loads((tmp_path / "good" / "label_scheme.json").read_text()) and all(r.label == int(r.depth_value >= 1) for r in new.values())
+    bad = [
+        frozen(ids, schema_version=2), frozen(ids, num_classes=3), frozen(ids, class_distribution=frozen(ids)["class_distribution"] | {"val": {"0": 9, "1": 0}}), frozen(ids | {"val": []}), frozen(ids | {"val": ids["val"][:-1]}), frozen(ids | {"val": [*ids["val"], "s99"]}),
+        frozen(ids | {"val": [*ids["val"][:-1], ids["train"][0]]}), frozen(ids | {"val": [*ids["val"], ids["val"][0]]}), frozen(ids | {"more": []}), frozen({k: v for k, v in ids.items() if k != "val"}),
+    ]
+    there = sorted(p.name for p in tmp_path.iterdir())
+    for m in bad:
+        (tmp_path / "m.json").write_text(json.dumps(m))
+        with pytest.raises(ValueError):
+            datasets.freeze_dataset(spark, source, f"{tmp_path}/bad", f"{tmp_path}/m.json", SHAPE)
+        assert sorted(p.name for p in tmp_path.iterdir()) == there
+
+
+def test_data_sets_are_found_behind_their_base(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    for name, text in (("b", '{"thresholds_mm": [0.8, 1.2], "tag": "x"}'), ("a", "{broken"), ("c", None)):
+        (tmp_path / "sets" / name).mkdir(parents=True)
+        if text:
+            (tmp_path / "sets" / name / "label_scheme.json").write_text(text)
+    found = lambda *a: [(r.data_dir, r.num_classes, r.tag) for r in files.discover(spark, *a).orderBy("place", "data_dir").collect()]
+    assert found(f"{tmp_path}/sets", f"file://{tmp_path}/raw") == [("raw", 2, None), ("a", 2, None), ("b", 3, "x")]
+    assert found(f"{tmp_path}/sets", f"{tmp_path}/sets/b") == [("b", 3, "x"), ("a", 2, None)]
+    assert found(f"{tmp_path}/none", f"{tmp_path}/none") == [] and found(f"{tmp_path}/sets") == [("a", 2, None), ("b", 3, "x")]
 
 
 def test_manifest_is_sorted_over_its_parts(spark, tmp_path):

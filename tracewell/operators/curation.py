@@ -78,11 +78,15 @@ def seeded(seed: int, key: str = "sample_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
 
 
-def stratified_split(pool: DataFrame, ratios: dict[str, float], seed: int, by: str = "label") -> DataFrame:
-    """pool with `split`: each class is shuffled by a seeded hash and cut by its allocated counts."""
+def stratified_split(pool: DataFrame, ratios: dict[str, float], seed: int, by: str = "label", min_per_split: int = 1, allow_small_classes: bool = False) -> DataFrame:
+    """pool with `split`: each class is shuffled by a seeded hash and cut by its allocated counts.
+
+    A class that would give a split after the first fewer than min_per_split rows raises, unless small classes are allowed."""
     rows = pool.drop("split").withColumn("_key", seeded(seed))
     rows = ranked(rows, [by], hash_bucket(F.col("_key")), ["_key", "sample_id"], "_rank")
     per_split = allocate_counts(pool.groupBy(by).agg(F.count("*").alias("n")), ratios, by)
+    if not allow_small_classes and (small := per_split.where((F.col("i") > 0) & (F.col("allocated") < min_per_split)).orderBy(by, "i").limit(1).collect()):
+        raise ValueError(f"class {small[0][by]} would have {small[0].allocated} rows in {small[0].split}, fewer than {min_per_split}")
     upto = per_split.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "split", "allocated"))).alias("cuts"))
     ends = F.transform("cuts", lambda c, k: F.struct(c["split"].alias("split"), F.aggregate(F.slice("cuts", 1, k + 1), F.lit(0).cast("long"), lambda a, x: a + x["allocated"]).alias("end")))
     first = F.get(F.filter("ends", lambda e: F.col("_rank") <= e["end"]), F.lit(0))["split"]

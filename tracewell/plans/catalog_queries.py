@@ -11,7 +11,6 @@ from ..operators import evaluation as E
 from ..operators import models as M
 from ..sources import files as Fi
 from ..sources import sinks as Si
-from ..sources.arrays import ArrayScans
 from ..sources.scratch import shared_path
 from .curation_queries import LABEL, LP, T, lpool
 from .evaluation_queries import DEC, decided

@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import curation as C
-from ..sources import sinks as Si
-from ..sources.scratch import shared_path
 from .registry import register
 from .views import pool, sql, table
 
@@ -79,31 +77,6 @@ register("manifest_class_check", _class_check, sql(f"""WITH {LP}, {MANIFEST}, w
 register("class_count_dev", lambda s, d: C.class_count_dev(lpool(s, d)), sql(f"WITH {LP} SELECT CAST(max(label) + 1 AS INTEGER) AS num_classes FROM lp WHERE split IN ('train', 'val')", "pool"))
 
 
-def _relabelled(s, d):
-    """The pool labelled and split anew, published and read back."""
-    at = shared_path(s, "relabelled")
-    Si.publish(C.stratified_split(lpool(s, d), RATIOS, 42), at, by=["split"])
-    return s.read.parquet(at)
-
-
-register("relabel_dataset", lambda s, d: _relabelled(s, d).groupBy("split", "label").agg(F.count("*").alias("n"), F.min("sample_id").alias("first_id"), F.sum("pool_row").alias("row_sum")), sql(f"WITH {SPLITTED} SELECT split, label, count(*) AS n, min(sample_id) AS first_id, CAST(sum(pool_row) AS BIGINT) AS row_sum FROM st GROUP BY ALL", "pool"))
-
-
-def _freeze(s, d):
-    """Align with the manifest, check the classes, publish and read back; ids that do not match are reported beside the rows."""
-    aligned = C.manifest_align(manifest(s, d), lpool(s, d))
-    found = aligned.groupBy("split", "label").agg(F.count("*").alias("n"))
-    wanted = manifest(s, d).dropDuplicates(["sample_id"]).select("sample_id", "split").join(lpool(s, d).select("sample_id", "label"), "sample_id").groupBy("split", "label").agg(F.count("*").alias("n"))
-    at = shared_path(s, "frozen")
-    Si.publish(aligned, at, by=["split"])
-    cells = s.read.parquet(at).groupBy("split", "label").agg(F.count("*").alias("n")).select("split", F.col("label").cast("string").alias("what"), "n")
-    bad = C.missing_extra(manifest(s, d), pool(s, d)).groupBy("problem").agg(F.count("*").alias("n"))
-    wrong = C.class_check(wanted, found).groupBy(F.lit("class").alias("problem")).agg(F.count("*").alias("n"))
-    return cells.union(bad.union(wrong).select(F.lit("rejected"), "problem", "n"))
-
-
-register("freeze_dataset", _freeze, sql(f"""WITH {LP}, {MISSING} SELECT mo.split, CAST(label AS VARCHAR) AS what, count(*) AS n FROM mo JOIN lp USING (sample_id) GROUP BY ALL UNION ALL SELECT 'rejected', problem, count(*) FROM me GROUP BY 2""", "pool"))
-
 # Schemes and names, from numbers and strings of the tables.
 PRICES = "SELECT p_partkey, [CAST(p_size AS DOUBLE) / 10, CAST(p_size + p_partkey % 7 - 1 AS DOUBLE) / 10] AS t FROM part"
 

@@ -12,13 +12,13 @@ from ..operators import features as Fe
 from ..sources import arrays as A
 from ..sources import datasets as D
 from ..sources import files as Fi
+from ..sources import paths
 from ..sources.scratch import shared_path
-from .branch_queries import LONG, LP, frames3, longs
+from .branch_queries import LONG, LP, frames3, located, longs
 from .catalog_queries import written
 from .curation_queries import LP as LABELLED
-from .curation_queries import lpool
+from .curation_queries import RATIOS, SPLITTED, lpool
 from .registry import register
-from .trace_queries import spans
 from .views import FRAMES, POINTS, samples, scans, sql, table
 
 R = lambda c, n=6: F.round(c, n)
@@ -35,12 +35,12 @@ def dataset_rows(s, d):
     return placed.withColumnRenamed("split_rank", "position")
 
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple, str] = {}
 
 
 def dataset_folder(s, d):
-    """The folder of the samples, written once a session for each place of the tables."""
-    key = s.sparkContext.applicationId, d
+    """The folder of the samples, written once a session for each state of the table's files."""
+    key = s.sparkContext.applicationId, d, paths.stamp(s, f"{d}/embeddings.parquet")
     if key not in _written:
         at = shared_path(s, "dataset")
         D.write_dataset(dataset_rows(s, d), at, INNER, T)
@@ -54,7 +54,7 @@ SET = "ds AS (SELECT sample_id, depth_value, CAST(label AS INTEGER) AS source_la
 def _scan_split(s, d):
     """Each split loaded with its checks, cleaned of the zero level."""
     at = dataset_folder(s, d)
-    parts = [D.traces(D.load_split(s, at, split, INNER), *INNER) for split in C.SPLITS]
+    parts = [D.traces(D.load_split(s, at, split, INNER, columns=["split", "label", "sample_id", "values"]), *INNER) for split in C.SPLITS]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("signal", S.adc_zero(F.col("signal"), 0.25, 0.02))
     return rows.groupBy("split", "sample_id", "label", "channel").agg(F.count("frame").alias("n_frames"), F.sum(F.size("signal")).alias("n_points"), F.sum(F.size(F.filter("signal", lambda x: x == 0))).alias("n_zero"))
 
@@ -64,10 +64,9 @@ register("scan_split", _scan_split, sql(f"WITH {SET} SELECT split, CAST(sample_i
 
 def _pool_split(s, d):
     """Sizes of each split, and whether its rows are unique and inside the pool, and labels and depths agree."""
-    pool = D.load_pool(s, dataset_folder(s, d), INNER)
-    g = pool.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("pool_row").alias("n_rows"), F.min("pool_row").alias("low"), F.max("pool_row").alias("high"), F.count_if(F.col("label") != S.digitize(F.col("depth_value"), C.thresholds_of(T))).alias("n_other"))
-    inside = (F.col("n") == F.col("n_rows")) & (F.col("low") >= 0) & (F.col("high") < 10_000)  # fixed value: rows of a pool
-    return g.select("split", "n", inside.alias("sound"), "n_other")
+    pool = D.load_pool(s, dataset_folder(s, d), INNER, columns=["split", "pool_row", "label", "depth_value"])  # raises beyond the range of pool rows
+    g = pool.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("pool_row").alias("n_rows"), F.count_if(F.col("label") != S.digitize(F.col("depth_value"), C.thresholds_of(T))).alias("n_other"))
+    return g.select("split", "n", (F.col("n") == F.col("n_rows")).alias("sound"), "n_other")
 
 
 register("scan_pool_split", _pool_split, sql(f"WITH {SET} SELECT split, count(*) AS n, count(*) = count(DISTINCT sample_id) AND max(sample_id) < 10000 AS sound, CAST(0 AS BIGINT) AS n_other FROM ds GROUP BY 1", "samples"))
@@ -75,16 +74,75 @@ register("scan_pool_split", _pool_split, sql(f"WITH {SET} SELECT split, count(*)
 
 def _write_dataset(s, d):
     """Cells of the written folder, beside what its scheme, metadata and manifest say."""
-    at = dataset_folder(s, d)
-    cells = D.load_pool(s, at, INNER).groupBy("split", "label").agg(F.count("*").alias("n"), F.sum("pool_row").alias("rows"), F.sum("source_label").cast("long").alias("source_sum"), R(F.sum("depth_value")).alias("depth_sum"))
+    at = shared_path(s, "dataset")
+    D.write_dataset(dataset_rows(s, d), at, INNER, T)
+    cells = D.load_pool(s, at, INNER, columns=[*D.NARROW, "values"]).groupBy("split", "label").agg(F.count("*").alias("n"), F.sum("pool_row").alias("rows"), F.sum("source_label").cast("long").alias("source_sum"), R(F.sum("depth_value")).alias("depth_sum"), R(F.sum(F.aggregate("values", F.lit(0.0), lambda a, x: a + x)), 3).alias("trace_sum"))
     scheme = D.label_scheme(s, at).select("tag", F.array_join("class_names", "|").alias("names"))
-    meta = s.read.schema("method string, feature_shape array<int>, split_class_counts map<string,map<string,long>>").json(f"{at}/split_metadata.json")
+    meta = s.read.schema("method string, feature_shape array<int>, class_distribution map<string,map<string,long>>").json(f"{at}/split_metadata.json")
     listed = D.read_manifest(s, f"{at}/manifest.csv").groupBy("split", "label").agg(F.count("*").alias("listed"))
     both = cells.join(listed, ["split", "label"]).crossJoin(F.broadcast(scheme)).crossJoin(F.broadcast(meta))  # one row each
-    return both.select("split", "label", "n", "rows", "source_sum", "depth_sum", "listed", "tag", "names", "method", F.array_join("feature_shape", ",").alias("shape"), F.col("split_class_counts")[F.col("split")][F.col("label").cast("string")].alias("recorded"))
+    return both.select("split", "label", "n", "rows", "source_sum", "depth_sum", "trace_sum", "listed", "tag", "names", "method", F.array_join("feature_shape", ",").alias("shape"), F.col("class_distribution")[F.col("split")][F.col("label").cast("string")].alias("recorded"))
+
+
+register("write_dataset", _write_dataset, sql(f"WITH {SET}, tv AS (SELECT sample_id, sum(value) AS v FROM traces GROUP BY 1) SELECT split, label, count(*) AS n, CAST(sum(sample_id) AS BIGINT) AS rows, CAST(sum(source_label) AS BIGINT) AS source_sum, round(sum(depth_value), 6) AS depth_sum, round(sum(v), 3) AS trace_sum, count(*) AS listed, 'cls3_thr0.8-1.2' AS tag, 'depth < 0.8|0.8 <= depth < 1.2|depth >= 1.2' AS names, 'stratified' AS method, '10,2,64' AS shape, count(*) AS recorded FROM ds JOIN tv USING (sample_id) GROUP BY ALL", "traces", "samples"))
+
+
+# Whole folders into new ones, by other thresholds or by a frozen manifest.
+CELLS = "count(*) AS n, CAST(sum(pool_row) AS BIGINT) AS rows, CAST(sum(position * pool_row) AS BIGINT) AS placed, CAST(sum(source_label) AS BIGINT) AS source_sum, round(sum(v), 3) AS trace_sum"
+AGAIN = [1.2]
+
+
+def cells(s, at):
+    """What a folder holds by split and class: numbers, pool rows, their places, old labels and traces."""
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return D.load_pool(s, at, INNER, columns=[*D.NARROW, "values"]).groupBy("split", "label").agg(F.count("*").alias("n"), F.sum("pool_row").alias("rows"), F.sum(F.col("position") * F.col("pool_row")).alias("placed"), F.sum("source_label").cast("long").alias("source_sum"), R(F.sum(total), 3).alias("trace_sum"))
+
+
+def _relabel(s, d):
+    """The folder of the samples by one other threshold, its splits dealt anew; the report's numbers stand beside the cells."""
+    at = shared_path(s, "relabelled")
+    report = D.relabel_dataset(s, dataset_folder(s, d), at, INNER, AGAIN, RATIOS, 42)
+    scheme = D.label_scheme(s, at).select("tag")
+    return cells(s, at).crossJoin(F.broadcast(scheme)).withColumns({"total": F.lit(report["total_samples"]).cast("long"), "smallest": F.lit(report["smallest_class"]).cast("long")})  # one row
 
 
-register("write_dataset", _write_dataset, sql(f"WITH {SET} SELECT split, label, count(*) AS n, CAST(sum(sample_id) AS BIGINT) AS rows, CAST(sum(source_label) AS BIGINT) AS source_sum, round(sum(depth_value), 6) AS depth_sum, count(*) AS listed, 'cls3_thr0.8-1.2' AS tag, 'depth < 0.8|0.8 <= depth < 1.2|depth >= 1.2' AS names, 'stratified' AS method, '10,2,64' AS shape, count(*) AS recorded FROM ds GROUP BY ALL", "samples"))
+RELABEL = SPLITTED.replace("depth_value >= 0.8 THEN 1 ELSE 0 END) + (CASE WHEN depth_value >= 1.2", "depth_value >= 1.2").replace("FROM pool", "FROM (SELECT sample_id, sample_id AS pool_row, depth_value FROM samples)")
+register("relabel_dataset", _relabel, sql(f"""WITH {RELABEL}, {SET.replace('ds AS', 'ds0 AS')}, tv AS (SELECT sample_id, sum(value) AS v FROM traces GROUP BY 1),
+ x AS (SELECT st.split, st.label, pool_row, row_number() OVER (PARTITION BY st.split ORDER BY pool_row) - 1 AS position, ds0.label AS source_label, v FROM st JOIN ds0 USING (sample_id) JOIN tv USING (sample_id))
+ SELECT split, label, {CELLS}, 'cls2_thr1.2' AS tag, (SELECT count(*) FROM samples) AS total, (SELECT min(n) FROM sz) AS smallest FROM x GROUP BY split, label""", "traces", "samples"))
+
+
+def _freeze(s, d):
+    """The folder of the samples frozen by a manifest, and refused by three that do not match, which leave nothing behind."""
+    own = samples(s, d).select(F.col("sample_id").cast("string").alias("sample_id"), S.digitize(F.col("depth_value"), C.thresholds_of(AGAIN)).alias("label"))
+    key = F.md5(F.col("sample_id").cast("binary"))
+    own = own.withColumns({"key": key, "split": F.when(key < "8", "train").when(key < "c", "val").otherwise("test")})
+    ids = lambda df: df.groupBy("split").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "sample_id"))), lambda x: x["sample_id"]).alias("ids")).agg(F.map_from_entries(F.collect_list(F.struct("split", "ids"))).alias("splits"))  # noqa: E731  a manifest is one document
+    every = s.createDataFrame([(x, k) for x in C.SPLITS for k in (0, 1)], "split string, label int").join(own.groupBy("split", "label").count(), ["split", "label"], "left").fillna(0)
+    counts = lambda more: every.groupBy("split").agg(F.map_from_entries(F.collect_list(F.struct(F.col("label").cast("string"), F.col("count") + more))).alias("m")).agg(F.map_from_entries(F.collect_list(F.struct("split", "m"))).alias("class_distribution"))
+
+    def manifest(df, more=0):
+        at = shared_path(s, "manifest")
+        head = [F.lit(1).alias("schema_version"), F.lit(2).alias("num_classes"), F.array(F.lit(1.2)).alias("thresholds_mm"), F.lit("frozen").alias("tag"), F.lit(42).alias("seed")]
+        ids(df).crossJoin(counts(more)).select(F.to_json(F.struct(*head, "splits", "class_distribution")).alias("value")).coalesce(1).write.text(at)  # one row each
+        return at
+
+    source, refused = dataset_folder(s, d), 0
+    bad = (own.where("key > '4'"), own.withColumn("sample_id", F.concat("sample_id", F.lit("x"))), own.unionByName(own.withColumn("split", F.lit("val"))))
+    for at in [*map(manifest, bad), manifest(own, 1)]:
+        target = shared_path(s, "refused")
+        try:
+            D.freeze_dataset(s, source, target, at, INNER)
+        except ValueError:
+            refused += not paths.matches(s, f"{target}*")
+    at = shared_path(s, "frozen")
+    D.freeze_dataset(s, source, at, manifest(own), INNER)
+    return cells(s, at).crossJoin(F.broadcast(D.label_scheme(s, at).select("tag"))).withColumn("refused", F.lit(refused))  # one row
+
+
+register("freeze_dataset", _freeze, sql(f"""WITH {SET.replace('ds AS', 'ds0 AS')}, tv AS (SELECT sample_id, sum(value) AS v FROM traces GROUP BY 1), k AS (SELECT sample_id, sample_id AS pool_row, md5(CAST(sample_id AS VARCHAR)) AS key, CAST(depth_value >= 1.2 AS INTEGER) AS label FROM samples),
+ f AS (SELECT *, CASE WHEN key < '8' THEN 'train' WHEN key < 'c' THEN 'val' ELSE 'test' END AS split FROM k), x AS (SELECT f.split, f.label, pool_row, row_number() OVER (PARTITION BY f.split ORDER BY key) - 1 AS position, ds0.label AS source_label, v FROM f JOIN ds0 USING (sample_id) JOIN tv USING (sample_id))
+ SELECT split, label, {CELLS}, 'frozen' AS tag, 4 AS refused FROM x GROUP BY split, label""", "traces", "samples"))
 
 
 def _write_manifest(s, d):
@@ -109,27 +167,23 @@ register("write_features", _write_features, sql(f"WITH {LONG}, {SET} SELECT samp
 
 def _reference_arrays(s, d):
     """The windows of an external parse as arrays of each split, loaded and put side by side."""
-    found = frames3(s, d).join(spans(s, d).where("status = 'ok'").select("sample_id", "channel", "start", "end"), ["sample_id", "channel"])
+    where = located(s, d)
+    found = frames3(s, d, where).join(where.where("status = 'ok'").select("sample_id", "channel", "start", "end"), ["sample_id", "channel"])
     padded = lambda x, n: F.concat(x, F.array_repeat(F.lit(0.0), F.lit(n) - F.size(x)))
     tail = F.slice("signal", F.col("end") + 1, F.lit(32))
-    rows = found.select((F.col("sample_id") * 2 + F.col("channel")).alias("row"), "start", "end", F.slice("signal", F.col("start") + 1, F.col("end") - F.col("start")).alias("main"), padded(tail, 32).alias("tail"), F.size(tail).alias("n_tail"))
-    at, parts = shared_path(s, "parse"), []
-    for name, split in enumerate(C.SPLITS):
-        own, folder = rows.where(f"row % 3 = {name}"), f"{at}/{split}/arrays"
-        arrays = {
-            "point_ids": ((), F.array(F.col("row").cast("double"))), "main_absolute_index": ((24,), F.transform(F.sequence("start", F.col("end") - 1), lambda x: x.cast("double"))), "main_signal": ((24,), F.col("main")),
-            "tail_absolute_index": ((32,), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.when(k < F.col("n_tail"), F.col("end") + k).otherwise(-1).cast("double"))), "tail_signal": ((32,), F.col("tail")),
-        }
-        for file, (inner, value) in arrays.items():
-            A.write_arrays(own.select("row", value.alias("values")), f"{folder}/{file}.npy", inner)
-        one = None
-        for file in arrays:
-            x = A.read_arrays(s, f"{folder}/{file}.npy").withColumnRenamed("values", file)
-            one = x if one is None else one.join(x, "row")
-        parts.append(one)
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    key, total = F.get("point_ids", F.lit(0)).cast("long"), lambda c: R(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 5)
-    return every.select(F.expr("cast(point_ids[0] as long) div 2").alias("sample_id"), (key % 2).alias("channel"), F.get("main_absolute_index", F.lit(0)).cast("int").alias("first"), F.element_at("main_absolute_index", -1).cast("int").alias("last"), F.size(F.filter("tail_absolute_index", lambda x: x >= 0)).alias("n_tail"), total("main_signal").alias("main"), total("tail_signal").alias("tail"))
+    row = F.col("sample_id") * 2 + F.col("channel")
+    rows = found.select(row.alias("point_id"), F.element_at(F.array(*(F.lit(x) for x in C.SPLITS)), (row % 3 + 1).cast("int")).alias("split"), "start", "end", F.slice("signal", F.col("start") + 1, F.col("end") - F.col("start")).alias("main_signal"), padded(tail, 32).alias("tail_signal"), F.size(tail).alias("n_tail"))
+    placed = C.keep_split(rows.select("split", F.col("point_id").alias("pool_row"))).select(F.col("pool_row").alias("point_id"), F.col("split_rank").alias("position"))
+    rows = rows.join(placed, "point_id").withColumns({
+        "main_absolute_index": F.sequence("start", F.col("end") - 1), "tail_absolute_index": F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.when(k < F.col("n_tail"), F.col("end") + k).otherwise(-1)),
+    })
+    kinds = {"point_id": ("int64", ()), "main_absolute_index": ("int64", (24,)), "main_signal": ("float64", (24,)), "tail_absolute_index": ("int64", (32,)), "tail_signal": ("float64", (32,))}
+    at, file = shared_path(s, "parse"), lambda c: f"arrays/{c}.npy"
+    A.write_aligned(rows.select("split", "position", *kinds), at, [(c, file(c), *kind) for c, kind in kinds.items()], list(C.SPLITS))
+    read = {"point_id": "long", "main_absolute_index": "array<int>", "main_signal": "array<double>", "tail_absolute_index": "array<int>", "tail_signal": "array<double>"}
+    every = A.read_aligned(s, at, [(c, file(c), kind) for c, kind in read.items()], list(C.SPLITS))
+    total = lambda c: R(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 5)
+    return every.select(F.expr("point_id div 2").alias("sample_id"), (F.col("point_id") % 2).alias("channel"), F.get("main_absolute_index", F.lit(0)).alias("first"), F.element_at("main_absolute_index", -1).alias("last"), F.size(F.filter("tail_absolute_index", lambda x: x >= 0)).alias("n_tail"), total("main_signal").alias("main"), total("tail_signal").alias("tail"))
 
 
 register("scan_reference_arrays", _reference_arrays, sql(f"""WITH {LP} SELECT p.sample_id, p.channel, CAST(start AS INTEGER) AS first, CAST("end" - 1 AS INTEGER) AS last, CAST(least("end" + 32, 64) - "end" AS INTEGER) AS n_tail, round(sum(value) FILTER (pos >= start AND pos < "end"), 5) AS main, round(coalesce(sum(value) FILTER (pos >= "end" AND pos < "end" + 32), 0), 5) AS tail FROM pr p JOIN lo USING (sample_id, channel) WHERE "end" <= 64 GROUP BY ALL""", "traces"))
@@ -198,9 +252,16 @@ def _scheme_folders(s, d):
     return at
 
 
+def _discovered(s, d):
+    """The folders below one root, behind a base folder that records no scheme."""
+    root, base = _scheme_folders(s, d), shared_path(s, "base")
+    table(s, d, "region").select(F.col("r_name").alias("value")).write.text(f"{base}/raw_data")
+    return Fi.discover(s, root, f"{base}/raw_data")
+
+
 BRAND = "br AS (SELECT 'brand=' || replace(p_brand, '#', '') AS data_dir, max(p_size) AS m, count(*) AS n FROM part GROUP BY p_brand)"
-register("discover_datasets", lambda s, d: Fi.discover(s, _scheme_folders(s, d)).select("data_dir", F.array_join("thresholds", ",").alias("thresholds"), "num_classes", "tag"),
-         f"WITH {BRAND} SELECT data_dir, CASE n % 4 WHEN 0 THEN '1.0' WHEN 1 THEN '0.5,' || m || '.5' ELSE '0.5,' || m || '.0' END AS thresholds, CASE n % 4 WHEN 0 THEN 2 ELSE 3 END AS num_classes, CASE n % 4 WHEN 1 THEN 't-' || m WHEN 2 THEN 'thr0.5-' || m END AS tag FROM br WHERE n % 4 <> 3")
+register("discover_datasets", lambda s, d: _discovered(s, d).select("place", "data_dir", F.array_join("thresholds", ",").alias("thresholds"), "num_classes", "tag"),
+         f"WITH {BRAND} SELECT 1 AS place, data_dir, CASE n % 4 WHEN 0 THEN '1.0' WHEN 1 THEN '0.5,' || m || '.5' ELSE '0.5,' || m || '.0' END AS thresholds, CASE n % 4 WHEN 0 THEN 2 ELSE 3 END AS num_classes, CASE n % 4 WHEN 1 THEN 't-' || m WHEN 2 THEN 'thr0.5-' || m END AS tag FROM br WHERE n % 4 <> 3 UNION ALL SELECT DISTINCT 0, 'raw_data', '1.0', 2, NULL FROM region")
 
 
 def _schemes(s, d):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import recorded_tag
+from . import paths
 
 MANIFEST = "schema_version int, num_classes int, thresholds_mm array<double>, splits map<string,array<string>>"
 CANDIDATES = "configurations array<struct<id:string,parameters:map<string,double>>>"
@@ -70,15 +71,27 @@ def run_folders(spark: SparkSession, root: str) -> DataFrame:
 DEFAULT_THRESHOLDS = (1.0,)
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """(data_dir, thresholds, num_classes, tag) of each folder below root that carries a label_scheme.json; an unreadable one counts as none recorded."""
-    t = texts(spark, f"{root.rstrip('/')}/*/*label_scheme.json")
-    s = t.select(F.regexp_extract("path", "/([^/]+)/(?:[^/=]*=)?label_scheme[.]json", 1).alias("data_dir"), F.from_json(F.trim("value"), "thresholds_mm array<string>, tag string").alias("s")).dropDuplicates(["data_dir"])
+def discover(spark: SparkSession, root: str, base: str | None = None) -> DataFrame:
+    """(place, data_dir, thresholds, num_classes, tag) of the data sets: the base folder first, if it is there, with a scheme or without; then each folder below root that carries a label_scheme.json.
+
+    An unreadable scheme counts as none recorded, an absent root as empty, and a folder met twice as one."""
+    named = "/([^/]+)/(?:[^/=]*=)?label_scheme[.]json"
+    pattern, base = f"{root.rstrip('/')}/*/*label_scheme.json", paths.qualified(spark, base) if base else None
+    found = spark.createDataFrame([], "path string, value string")
+    if paths.matches(spark, pattern):
+        found = texts(spark, pattern)
+    rows = found.select(F.regexp_extract("path", f"^(.*){named}", 1).alias("above"), F.regexp_extract("path", named, 1).alias("data_dir"), "value", F.lit(1).alias("place"))
+    if base and paths.exists(spark, base):
+        above, _, name = base.rpartition("/")
+        own = texts(spark, f"{base}/label_scheme.json").select("value") if paths.exists(spark, f"{base}/label_scheme.json") else spark.createDataFrame([(None,)], "value string")
+        same = F.regexp_replace(F.concat_ws("/", "above", "data_dir"), "^file:/+", "file:/") == F.regexp_replace(F.lit(base), "^file:/+", "file:/")
+        rows = rows.where(~same).unionByName(own.select(F.lit(above).alias("above"), F.lit(name).alias("data_dir"), "value", F.lit(0).alias("place")))
+    s = rows.select("place", "above", "data_dir", F.from_json(F.trim("value"), "thresholds_mm array<string>, tag string").alias("s")).dropDuplicates(["above", "data_dir"])
     numbers = F.filter(F.transform("s.thresholds_mm", lambda x: x.try_cast("double")), lambda x: x.isNotNull())
     none = F.col("s.thresholds_mm").isNull() & F.col("s.tag").isNull()
     thresholds = F.when(none, F.array(*(F.lit(x) for x in DEFAULT_THRESHOLDS))).otherwise(F.coalesce(numbers, F.array().cast("array<double>")))
     classes = F.when(F.size(thresholds) > 0, F.size(thresholds) + 1).otherwise(2)
-    return s.select("data_dir", thresholds.alias("thresholds"), classes.alias("num_classes"), recorded_tag(F.col("s.tag"), F.col("s.thresholds_mm")).alias("tag"))
+    return s.select("place", "data_dir", thresholds.alias("thresholds"), classes.alias("num_classes"), recorded_tag(F.col("s.tag"), F.col("s.thresholds_mm")).alias("tag"))
 
 
 def label_schemes(df: DataFrame, text: str) -> DataFrame:
