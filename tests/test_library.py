@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.functions import ranks
 from tracewell.functions import scalars as S
 from tracewell.functions import signals as G
 from tracewell.operators import branches as B
@@ -518,3 +519,195 @@ def test_unsound_manifest_and_scheme(spark):
     assert got == [(False, "train", 0, "b"), (False, "train", 1, "a")]
     s = files.label_schemes(spark.createDataFrame([("{",), (None,)], "t string"), "t").collect()
     assert all(r.thresholds is None and r.tag is None for r in s)
+
+
+def test_ranks_by_ranges_equal_a_sort_and_are_even(spark):
+    n = 20_000
+    v = np.where(rng.random(n) < 0.4, 7.0, rng.normal(size=n))
+    v[:3] = 1e12, np.inf, -np.inf
+    df = spark.createDataFrame([(i, "a" if i % 3 else None, float(x)) for i, x in enumerate(v)], "id long, g string, v double").repartition(3)
+    got = {r.id: (r.r, r.r_of) for r in ranks.ranked(df, ["g"], [F.col("v").desc(), F.col("id")], "r").collect()}
+    for g in (True, False):
+        own = sorted((i for i in range(n) if bool(i % 3) == g), key=lambda i: (-v[i], i))
+        assert [got[i] for i in own] == [(k, len(own)) for k in range(1, len(own) + 1)]
+    alone = ranks.ranked(df, [], ["v", "id"], "r")
+    assert [r.id for r in alone.orderBy("r").collect()] == sorted(range(n), key=lambda i: (v[i], i))
+    ends = [f for f in alone.inputFiles()]
+    sizes = [spark.read.parquet(f).count() for f in ends]
+    assert max(sizes) < 2 * n / 4, sizes  # four ranges, although one value has 40 % of the rows and one is 1e12
+
+
+def test_hash_ranks_in_one_group(spark):
+    df = spark.range(500).withColumn("k", F.md5(F.col("id").cast("string").cast("binary")))
+    got = ranks.hash_ranked(df, [], ranks.hash_bucket(F.col("k")), ["k"], "r").orderBy("r").collect()
+    assert [r.r for r in got] == list(range(1, 501)) and [r.k for r in got] == sorted(r.k for r in got)
+
+
+@pytest.mark.parametrize("near", [10, 100_000])
+def test_quantiles_are_exact(spark, near):
+    n = 5000
+    columns = {"plain": rng.normal(size=n), "hot": np.where(rng.random(n) < 0.6, 3.0, rng.normal(size=n)), "wild": np.where(np.arange(n) == 0, 1e12, rng.random(n)), "same": np.ones(n), "ends": np.where(rng.random(n) < 0.2, np.inf, -np.inf)}
+    rows = list(zip(*(c.tolist() for c in columns.values()), strict=True))
+    df = spark.createDataFrame([*rows, (None,) * len(columns)], ", ".join(f"{c} double" for c in columns))
+    wanted = {f"{c}_{q}": (c, q) for c in columns for q in (0.0, 0.1, 0.5, 0.999, 1.0)}
+    got = ranks.quantiles(df, wanted, near)
+    for k, (c, q) in wanted.items():
+        x = np.sort(columns[c])
+        place = q * (n - 1)
+        low, high = x[int(place)], x[min(int(place) + 1, n - 1)]
+        assert got[k] == pytest.approx(low if low == high else low + (high - low) * (place - int(place)), rel=1e-12), k
+    odd = spark.createDataFrame([(1.0, None), (float("nan"), None)], "a double, b double")
+    got = ranks.quantiles(odd, {"a": ("a", 0.0), "top": ("a", 1.0), "b": ("b", 0.5)})
+    assert got["a"] == 1 and math.isnan(got["top"]) and got["b"] is None
+
+
+def test_summaries_put_what_is_no_finite_number_last(spark):
+    values = ["2", "NaN", "abc", "-1", "inf", None, "10", "-Infinity", "2"]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, v string")
+    order = lambda down, **k: [r.id for r in K.sort_place(df, "v", down, "id", **k).orderBy("place").collect()]
+    assert order(False) == [3, 0, 8, 6, 1, 2, 4, 5, 7] and order(True) == [6, 0, 8, 3, 1, 2, 4, 5, 7]
+    assert order(False, text=True) == sorted(range(9), key=lambda i: (values[i] is None, (values[i] or "").lower(), i))
+
+
+def test_images_of_one_label(spark):
+    e = spark.createDataFrame([(f"r{i:03d}", "one" if i < 90 else f"l{i}") for i in range(100)], "name string, label string")
+    got = K.with_images(e, e.select(F.concat("name", F.lit(".png")).alias("file")).where("name <> 'r005'"), F.concat("name", F.lit(".png"))).orderBy("name").collect()
+    assert [r.shown for r in got] == [f"one ({i + 1 - (i > 5)})" for i in range(90) if i != 5] + [f"l{i}" for i in range(90, 100)]
+
+
+def branch_rows(spark, bad=False):
+    rows = [(s, c, r, name, 4 * r, 4 * r + 8, 8, 0, k, [float(100 * r + 10 * c + k + s / 10 + p) for p in range(8)]) for s in (1, 2) for r, name in enumerate((B.MAIN, B.TAIL, "0-5mm")) for c in (0, 1) for k in (0, 1)]
+    if bad:
+        rows[5][-1][3] = float("nan")
+    return spark.createDataFrame(rows, "sample_id int, channel int, region_idx int, name string, start int, end int, input_len int, pad int, stream int, signal array<double>").repartition(5)
+
+
+def test_tensors_are_in_order_and_stop_at_values_that_are_not_finite(spark):
+    got = {r.sample_id: r for r in B.tensors(branch_rows(spark), 2, "double").collect()}
+    for s, r in got.items():
+        assert r.names == [f"region{i}_{n}_ch{c}" for i, n in enumerate(("dynamic_main_window", "dynamic_tail_window", "0-5mm")) for c in (1, 2)]
+        assert np.allclose(np.array(r.inputs), [[[100 * i + 10 * c + k + s / 10 + p for p in range(8)] for k in (0, 1)] for i in range(3) for c in (0, 1)])
+        assert [a.start for a in r.audit] == [0, 0, 4, 4, 8, 8]
+    with pytest.raises(Exception, match="non-finite input for 1"):
+        B.tensors(branch_rows(spark, True), 2).collect()
+
+
+def test_fixed_regions_stand_beside_the_dynamic_ones(spark):
+    c = Sp.Detector(4, 0.3, 5, 8, 16, 0.5, 3, 2, 0.05, 16, 2, 3, 24, 32, 64, 3)
+    spans = spark.createDataFrame([(1, 0, 5, 29, "ok", 29, 61, 0), (1, 1, 9, 33, "ok", 33, 64, 1), (2, 0, 45, 69, "overflow", 69, 64, 37), (2, 1, 5, 29, "ok", 29, 61, 0)], "sample_id int, channel int, start int, end int, status string, tail_start int, tail_end int, tail_pad int")
+    regions = spark.createDataFrame([(0, "0-5mm", 0.0, 5.0), (1, "bone", 1.0, 3.0)], "region_idx int, name string, start_mm double, end_mm double")
+    got = B.bounds(spans, c, regions, 5.0, 64).orderBy("region_idx", "channel").collect()
+    assert [(r.region_idx, r.name, r.channel, r.start, r.end, r.input_len, r.pad) for r in got] == [
+        (0, B.MAIN, 0, 5, 29, 24, 0), (0, B.MAIN, 1, 9, 33, 24, 0), (1, B.TAIL, 0, 29, 61, 32, 0), (1, B.TAIL, 1, 33, 64, 32, 1),
+        (2, "0-5mm", 0, 0, 64, 64, 0), (2, "0-5mm", 1, 0, 64, 64, 0), (3, "bone", 0, 13, 38, 25, 0), (3, "bone", 1, 13, 38, 25, 0),
+    ]
+    assert {r.sample_id for r in got} == {1} and B.bounds(spans, c).count() == 4
+
+
+def plain_stats(x, spacing):
+    power = np.abs(np.fft.rfft(x)) ** 2
+    return [x.mean(), x.std(), np.sqrt((x * x).mean()), (x * x).mean(), np.abs(x).mean(), np.abs(x).max(), (x[:-1] * x[1:] < 0).sum() / (len(x) - 1), (np.fft.rfftfreq(len(x), spacing) * power).sum() / (power.sum() + 1e-12)]
+
+
+def test_features_and_curves_of_components_equal_a_plain_version(spark):
+    x = {(s, c, r): np.cumsum(rng.normal(size=40)) for s in (1, 2, 3) for c in (0, 1) for r in (0, 1)}
+    x[1, 0, 0] = np.zeros(40)
+    rows = [(s, c, r, f"b{r}", 0.5 + r, v.tolist()) for (s, c, r), v in x.items()]
+    branches = spark.createDataFrame(rows, "sample_id int, channel int, region_idx int, name string, spacing_mm double, signal array<double>")
+    key = ["sample_id", "channel", "region_idx", "name"]
+    got = Fe.vectors(Fe.long_features(Fe.pooled(Fe.components(branches), key, 1, spacing="spacing_mm"), key)).collect()
+    plain = {}
+    for k, v in x.items():
+        modes, rest = sifted(v)
+        plain[k] = np.array([*modes, *[np.zeros(40)] * (5 - len(modes)), rest])
+    for r in got:
+        want, names = [], []
+        for c in (0, 1):
+            for b in (0, 1):
+                modes, rest = sifted(x[r.sample_id, c, b])
+                want += (np.array([plain_stats(m, 0.5 + b) for m in [*modes, rest]]).sum(0) / 6).tolist()
+                names += [f"b{b}[ch{c + 1}].{stat}" for stat in G.STATS]
+        assert r.names == names and np.allclose(r.features, want, atol=1e-9)
+    curves = Fe.component_curves(branches, key).collect()
+    top = {(c, r, k): max(abs(plain[s, c, r][k]).max() for s in (1, 2, 3)) for c in (0, 1) for r in (0, 1) for k in range(6)}
+    assert len(curves) == 12 * 6 * 40
+    for r in curves:
+        assert r.value == pytest.approx(plain[r.sample_id, r.channel, r.region_idx][r.component][r.pos], abs=1e-9) and r.mm == pytest.approx(r.pos * (0.5 + r.region_idx))
+        t = top[r.channel, r.region_idx, r.component]
+        assert r.limit == pytest.approx(1.0 if t < 1e-8 else 1.1 * t) and r.is_residue == (r.component == 5)
+
+
+def labelled_vectors(spark, n=240):
+    x = rng.normal(size=(n, 6))
+    label = (x[:, 0] + x[:, 3] > 0).astype(int)
+    rows = [(i, int(label[i]), ("train", "val", "test")[i % 3], x[i].tolist(), [x[i, :3].tolist(), x[i, 3:].tolist()]) for i in range(n)]
+    return spark.createDataFrame(rows, "sample_id int, label int, split string, features array<double>, branches array<array<double>>").repartition(3)
+
+
+def test_one_classifier_over_all_features(spark):
+    got = M.concatenated(labelled_vectors(spark), 6, 2, [4], 40).collect()
+    assert len(got) == 240 and all(sum(r.probs) == pytest.approx(1) for r in got)
+    assert np.mean([(r.probs[1] > 0.5) == r.label for r in got if r.split != "train"]) > 0.9
+
+
+def test_votes_of_branches_equal_separate_models_in_one_scan(spark):
+    rows = labelled_vectors(spark)
+    models = M.branch_models(rows, 2, 3, 2, [3], 15)
+    out = M.branch_scored(models, rows)
+    got = {r.sample_id: r for r in out.collect()}
+    for b, model in enumerate(models):
+        for r in M.scored(model, rows.withColumn("features", F.get("branches", F.lit(b)))).collect():
+            assert got[r.sample_id].branch_probs[b] == pytest.approx(r.probs)
+    for r in got.values():
+        assert r.vote_sum == pytest.approx(np.sum(r.branch_probs, axis=0)) and r.vote_mean == pytest.approx(np.mean(r.branch_probs, axis=0))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan and "Union" not in plan
+    table = {(r.split, r.branch): r for r in M.batch_losses(out, ["split"]).collect()}
+    for split in ("train", "val", "test"):
+        own = [r for r in got.values() if r.split == split]
+        for b in (0, 1, None):
+            p = np.array([r.vote_mean if b is None else r.branch_probs[b] for r in own])
+            y = np.array([r.label for r in own])
+            assert table[split, b].val_loss == pytest.approx(-np.log(np.maximum(p[range(len(y)), y], 1e-12)).mean()) and table[split, b].val_accuracy == pytest.approx((p.argmax(1) == y).mean())
+    for bad, word in ((F.array(F.get("branches", F.lit(0))), "without 2 branches"), (F.transform("branches", lambda x: F.transform(x, lambda v: v / 0.0 if False else F.lit(float("nan")))), "not finite")):
+        with pytest.raises(Exception, match=word):
+            M.branch_scored(models, rows.withColumn("branches", bad)).collect()
+    voted = {r.sample_id: r.vote_mean for r in M.voting(rows, 2, 3, 2, [3], 15).collect()}
+    assert all(voted[i] == pytest.approx(r.vote_mean) for i, r in got.items())
+
+
+def test_a_sweep_goes_on_where_it_was_and_leaves_the_test_split_alone(spark, tmp_path, monkeypatch):
+    rows = labelled_vectors(spark)
+    sealed = rows.withColumn("features", F.when(F.col("split") == "test", F.raise_error(F.lit("test was read")).cast("array<double>")).otherwise(F.col("features")))
+    grid = [{"id": "b", "hidden": [4], "rounds": 10}, {"id": "a", "hidden": [4], "rounds": 10}, {"id": "c", "hidden": [2], "rounds": 1}]
+    runs, fits, whole = M.Runs(spark, f"file://{tmp_path}/runs"), [], M.fit
+    monkeypatch.setattr(M, "fit", lambda *a: (fits.append(a[3]), whole(*a))[1])
+    M.sweep(sealed, grid[2:], 6, 2, runs)
+    board, winner = M.sweep(sealed, grid, 6, 2, runs)
+    assert sorted(fits) == [[2], [4]] and winner["id"] == "a"  # equal settings are fitted once; ties go to the smaller id
+    assert {r.id: r.reused for r in board.collect()} == {"a": False, "b": False, "c": True}
+    again, same = M.sweep(sealed, grid, 6, 2, runs)
+    assert len(fits) == 2 and same == winner and again.where("not reused").isEmpty()
+    assert [(r.id, r.place) for r in again.orderBy("place").collect()] == [("a", 1), ("b", 2), ("c", 3)]
+    with pytest.raises(Exception, match="test was read"):
+        M.evaluated(sealed, winner, runs).collect()
+    got = M.evaluated(rows, winner, runs).first()
+    p = M.scored(runs.model(runs.key(winner, "")), rows.where("split = 'test'")).collect()
+    fn = sum(r.label == 1 and r.probs[1] <= r.probs[0] for r in p)
+    assert got.fn == fn and got.fn + got.tp == sum(r.label for r in p) and got.stop == (fn > 0.4 * (got.fn + got.tp))
+    with pytest.raises(Exception, match="no positive label"):
+        M.evaluated(rows.where("label = 0"), winner, runs).collect()
+    M.sweep(sealed, grid[:1], 6, 2, runs, "other inputs")
+    assert len(fits) == 3
+
+
+def test_tasks_follow_each_other_until_the_gate(spark, tmp_path):
+    rows, grid = labelled_vectors(spark), [{"id": "a", "hidden": [4], "rounds": 10}, {"id": "b", "hidden": [2], "rounds": 1}]
+    half = rows.withColumn("features", F.slice("features", 1, 3))
+    tasks = [
+        {"name": "1", "rows": half, "inputs": 3, "profile": "half", "candidates": grid, "gate": True}, {"name": "2", "rows": rows, "inputs": 6, "profile": "whole", "like": "1"},
+        {"name": "3", "rows": rows, "inputs": 6, "profile": "whole", "candidates": grid},
+    ]
+    got = M.chained(tasks, M.Runs(spark, str(tmp_path)), 2, limit=1.0).orderBy("task").collect()
+    assert [r.task for r in got] == ["1", "2", "3"] and [r.fitted for r in got] == [2, 1, 1] and got[0].winner == got[1].winner
+    assert [r.task for r in M.chained(tasks, M.Runs(spark, str(tmp_path)), 2, limit=-1.0).collect()] == ["1"]

@@ -1,16 +1,26 @@
-"""Ranks and prefix sums inside few large groups, without one task per group.
+"""Ranks and quantiles without one task per group.
 
-Rows are dealt by (group, bucket), where buckets follow the order; a small table of counts per bucket gives what
-comes before each bucket, and only the rank inside a bucket needs a window over rows.
+Rows with a hash to order by are dealt by (group, bucket of the hash), and a small table of counts per bucket gives what
+comes before each. Rows in the order of their values are dealt by ranges of the whole key, whose edges Spark samples, so
+neither outliers nor values that many rows share gather in one task.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+from ..sources.scratch import shared_path
+
+#: Rows among which a quantile is looked up on the driver.
+NEAR = 100_000
+#: Places in a partition that monotonically_increasing_id() counts with.
+_LOCAL = 33
 
 
 def hash_bucket(digest: Column) -> Column:
@@ -18,16 +28,8 @@ def hash_bucket(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
 
 
-def range_bucket(df: DataFrame, value: str, buckets: int = BUCKETS) -> Column:
-    """Bucket of a number between the table's smallest and largest value."""
-    low, high = df.agg(F.min(value), F.max(value)).first()
-    if low is None or low == high:
-        return F.lit(0)
-    return F.floor((F.col(value) - F.lit(low)) / F.lit(high - low) * (buckets - 1)).cast("int")
-
-
-def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column | str], name: str) -> DataFrame:
-    """df with `name`: 1, 2, ... inside each group in the given order; bucket must not decrease along it."""
+def hash_ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column | str], name: str) -> DataFrame:
+    """df with `name`: 1, 2, ... inside each group in the given order; bucket must not decrease along it and hold about as many rows as any other."""
     df = df.withColumn("_bucket", bucket)
     counts = df.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
     sums = W.partitionBy(*group).orderBy("_bucket") if group else W.orderBy("_bucket")  # of one row per bucket
@@ -35,3 +37,70 @@ def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column |
     local = F.row_number().over(W.partitionBy(*group, "_bucket").orderBy(*order))
     out = df.withColumn("_local", local).join(before, [*group, "_bucket"])
     return out.withColumn(name, F.col("_local") + F.col("_before")).drop("_bucket", "_local", "_before")
+
+
+def ranked(df: DataFrame, group: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """df with `name`: 1, 2, ... inside each group in the given order, which should tell all rows apart; and `name`_of, the rows of the group.
+
+    df is sorted by ranges of (group, order) and written with the place of each row in its range; counts by range and
+    group, a few rows for each range, give what comes before. No window sees the rows."""
+    at = shared_path(df.sparkSession, "ranks")
+    keys = [F.col(g).asc() for g in group]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(at)
+    placed = df.sparkSession.read.parquet(at).withColumn("_part", F.shiftright("_at", _LOCAL))
+    cells = placed.groupBy("_part", *group).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    within = W.partitionBy(*group).orderBy("_part") if group else W.orderBy("_part")
+    whole = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
+    cells = cells.withColumns({"_before": F.sum("_n").over(within) - F.col("_n"), f"{name}_of": F.sum("_n").over(whole)})
+    own = [F.col(f"p.{c}") for c in df.columns]
+    same = reduce(lambda a, b: a & b, [F.col(f"p.{g}").eqNullSafe(F.col(f"c.{g}")) for g in group], F.col("p._part") == F.col("c._part"))
+    both = placed.alias("p").join(cells.alias("c"), same)
+    return both.select(*own, (F.col("p._at") - F.col("c._first") + F.col("c._before") + 1).alias(name), F.col(f"c.{name}_of"))
+
+
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], near: int = NEAR) -> dict[str, float | None]:
+    """For each name the interpolated quantile of a column's values (null ones left out, NaN above all); exact.
+
+    A sketch brackets all of them in one pass, another pass counts what lies below and inside the brackets, and so on
+    until few rows are inside; then these are fetched and sorted."""
+    names, error = list(wanted), 1e-3
+    x = [F.col(wanted[k][0]).cast("double") for k in names]
+    between = lambda i: (x[i] > low[i]) & (x[i] < high[i])
+    low, high = [-math.inf] * len(x), [math.inf] * len(x)
+    inside = [c.alias(f"i{i}") for i, c in enumerate(F.count_if(between(i)) for i in range(len(x)))]
+    n = df.agg(*(F.count(c).alias(f"n{i}") for i, c in enumerate(x)), *(F.count_if(c == -math.inf).alias(f"b{i}") for i, c in enumerate(x)), *(F.count_if(F.isnan(c)).alias(f"o{i}") for i, c in enumerate(x)), *inside).first()
+    start, mid = [n[f"b{i}"] for i in range(len(x))], [n[f"i{i}"] for i in range(len(x))]  # rows before the open interval and in it
+    place = [q * max(n[f"n{i}"] - 1, 0) for i, (_, q) in enumerate(wanted.values())]
+    values: list[dict[int, float]] = [{} for _ in x]
+    for i, p in enumerate(place):
+        for r in (int(p), min(int(p) + 1, max(n[f"n{i}"] - 1, 0))):
+            known = -math.inf if r < start[i] else None if r < start[i] + mid[i] else math.nan if r >= n[f"n{i}"] - n[f"o{i}"] else math.inf
+            values[i][r] = known
+    needed = lambda i: [r for r, v in values[i].items() if v is None and n[f"n{i}"]]
+    while wide := [i for i in range(len(x)) if needed(i) and mid[i] > near]:
+        cut = df.select(*(F.when(between(i), x[i]).alias(f"q{i}") for i in wide))
+        share = lambda i, r, d: min(max((r - start[i]) / mid[i] + d, 0.0), 1.0)
+        found = cut.approxQuantile([f"q{i}" for i in wide], [p for i in wide for p in (share(i, min(needed(i)), -2 * error), share(i, max(needed(i)), 2 * error))], error)
+        for k, i in enumerate(wide):
+            low[i], high[i] = found[k][2 * k], found[k][2 * k + 1]
+        counts = df.agg(*(F.count_if(x[i] < low[i]).alias(f"b{i}") for i in wide), *(F.count_if(x[i] == low[i]).alias(f"e{i}") for i in wide), *(F.count_if(between(i)).alias(f"i{i}") for i in wide)).first()
+        for i in wide:
+            start[i], mid[i] = counts[f"b{i}"] + counts[f"e{i}"], counts[f"i{i}"]
+            for r in needed(i):  # the sketch puts low and high on either side of it
+                values[i][r] = low[i] if r < start[i] else high[i] if r >= start[i] + mid[i] else None
+    last = [i for i in range(len(x)) if needed(i)]
+    if last:
+        kept = F.filter(F.array(*(F.struct(F.lit(i).alias("i"), F.when(between(i), x[i]).alias("x")) for i in last)), lambda p: p["x"].isNotNull())
+        rows: dict[int, list[float]] = {i: [] for i in last}
+        for i, v in df.select(F.explode(kept).alias("p")).select("p.*").collect():  # near rows for each name at most
+            rows[i].append(v)
+        for i in last:
+            ordered = np.sort(np.array(rows[i])).tolist()
+            for r in needed(i):
+                values[i][r] = ordered[r - start[i]]
+    out: dict[str, float | None] = {}
+    for i, k in enumerate(names):
+        first, second = values[i][int(place[i])], values[i][max(values[i])]
+        out[k] = None if not n[f"n{i}"] else first if first == second or place[i] == int(place[i]) else first + (second - first) * (place[i] - int(place[i]))
+    return out

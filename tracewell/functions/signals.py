@@ -38,6 +38,20 @@ def lists(n: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values), mask=pa.array(~known))
 
 
+def ragged(n: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """n lists of the places that are set in the rows of the parts' masks; lists of no part are null."""
+    owner, place, known = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(n, bool)
+    for rows, mask in parts:
+        known[rows] = True
+        r, c = np.nonzero(mask)
+        owner.append(rows[r])
+        place.append(c)
+    owner, place = np.concatenate(owner), np.concatenate(place)
+    at = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
+    values = place[np.argsort(owner, kind="stable")]
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.astype(np.int32)), mask=pa.array(~known))
+
+
 def envelope_of(x: np.ndarray) -> np.ndarray:
     """Magnitude of the analytic signal of each row."""
     n = x.shape[1]
@@ -229,12 +243,8 @@ def local_extrema(signal: Column) -> Column:
     """Struct of the places of inner maxima and minima."""
 
     def run(c: pa.Array) -> pa.Array:
-        found = [[None] * len(c), [None] * len(c)]
-        for rows, m in by_length(c):
-            for out, mask in zip(found, extrema(m), strict=True):
-                for r, v in zip(rows.tolist(), mask, strict=True):
-                    out[r] = np.flatnonzero(v)
-        return pa.StructArray.from_arrays([pa.array(v, pa.list_(pa.int32())) for v in found], names=["maxima", "minima"])
+        found = [(rows, *extrema(m)) for rows, m in by_length(c)]
+        return pa.StructArray.from_arrays([ragged(len(c), [(f[0], f[k]) for f in found]) for k in (1, 2)], names=["maxima", "minima"])
 
     return kernel(run, "maxima array<int>, minima array<int>", signal)
 
@@ -254,11 +264,10 @@ def sift_once(signal: Column) -> Column:
     """Struct of one sifting step: candidate, its relative energy, extrema and zero crossings."""
 
     def run(c: pa.Array) -> pa.Array:
-        cand, sd, ext, zero = [None] * len(c), np.zeros(len(c)), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+        cand, sd, ext, zero = [], np.zeros(len(c)), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
         for rows, m in by_length(c):
             h, sd[rows], ext[rows], zero[rows] = sift(m)
-            for r, v in zip(rows.tolist(), h, strict=True):
-                cand[r] = v
-        return pa.StructArray.from_arrays([pa.array(cand, pa.list_(pa.float64())), pa.array(sd), pa.array(ext), pa.array(zero)], names=["candidate", "sd", "n_extrema", "n_crossings"])
+            cand.append((rows, h))
+        return pa.StructArray.from_arrays([lists(len(c), cand), pa.array(sd), pa.array(ext), pa.array(zero)], names=["candidate", "sd", "n_extrema", "n_crossings"])
 
     return kernel(run, "candidate array<double>, sd double, n_extrema long, n_crossings long", signal)

@@ -73,23 +73,58 @@ def fixed(prepared: DataFrame, regions: DataFrame, max_mm: float, length: int, t
     return cut(prepared.crossJoin(F.broadcast(bounds)), target, alpha)
 
 
-def dynamic(prepared: DataFrame, spans: DataFrame, c: Detector, target: int, alpha: float = 0.3) -> DataFrame:
-    """The main window and the padded tail of each channel; samples without a sound span have no branches."""
+#: Names of the two dynamic branches.
+MAIN, TAIL = "dynamic_main_window", "dynamic_tail_window"
+
+
+def bounds(spans: DataFrame, c: Detector, regions: DataFrame | None = None, max_mm: float = 0.0, length: int = 0) -> DataFrame:
+    """(sample_id, channel, region_idx, name, start, end, input_len, pad): each channel's main window and padded tail, then the fixed regions, which are the same for all.
+
+    Samples without a sound span have none. regions are a few rows of settings, and follow the two in their order."""
     sound = spans.withColumn("bad", F.count_if(F.col("status") != "ok").over(W.partitionBy("sample_id"))).where("bad = 0")
-    two = F.array(
-        F.struct(F.lit(0).alias("region_idx"), F.lit("main").alias("name"), F.col("start").alias("a"), F.col("end").alias("z"), F.lit(c.main_length).alias("input_len"), F.lit(0).alias("pad")),
-        F.struct(F.lit(1).alias("region_idx"), F.lit("tail").alias("name"), F.col("tail_start").alias("a"), F.col("tail_end").alias("z"), F.lit(c.tail_length).alias("input_len"), F.col("tail_pad").alias("pad")),
-    )
-    each = sound.select("sample_id", "channel", F.explode(two).alias("b")).select("sample_id", "channel", "b.region_idx", "b.name", F.col("b.a").alias("start"), F.col("b.z").alias("end"), "b.input_len", "b.pad")
+    one = lambda idx, name, a, z, n, pad: F.struct(F.lit(idx).cast("int").alias("region_idx"), F.lit(name).alias("name"), F.col(a).cast("int").alias("start"), F.col(z).cast("int").alias("end"), F.lit(n).cast("int").alias("input_len"), pad.cast("int").alias("pad"))
+    each = F.array(one(0, MAIN, "start", "end", c.main_length, F.lit(0)), one(1, TAIL, "tail_start", "tail_end", c.tail_length, F.col("tail_pad")))
+    if regions is not None:
+        cells = slice_bounds(regions, max_mm, length).withColumn("input_len", F.col("end") - F.col("start")).withColumn("pad", F.lit(0))
+        whole = [F.col(k).cast("int").alias(k) if k != "name" else F.col(k) for k in ("region_idx", "name", "start", "end", "input_len", "pad")]
+        row = cells.agg(F.array_sort(F.collect_list(F.struct(*whole))).alias("fixed"))  # settings: one row
+        sound = sound.crossJoin(F.broadcast(row))
+        each = F.concat(each, F.transform("fixed", lambda r, i: r.withField("region_idx", (i + 2).cast("int"))))
+    return sound.select("sample_id", "channel", F.explode(each).alias("b")).select("sample_id", "channel", "b.*")
+
+
+def dynamic(prepared: DataFrame, spans: DataFrame, c: Detector, target: int, alpha: float = 0.3, regions: DataFrame | None = None, max_mm: float = 0.0, length: int = 0) -> DataFrame:
+    """Branches of the main window and the padded tail of each channel, and of fixed regions beside them, out of one cut."""
+    each = bounds(spans, c, regions, max_mm, length)
     return cut(prepared.join(each, ["sample_id", "channel"]), target, alpha, F.col("pad"))
 
 
+def branch_name() -> Column:
+    """Name of a branch with its region's place and its channel, which counts from 1."""
+    return F.concat(F.lit("region"), F.col("region_idx").cast("string"), F.lit("_"), F.col("name"), F.lit("_ch"), (F.col("channel") + 1).cast("string"))
+
+
 def tensor(branches: DataFrame, channels: int) -> DataFrame:
     """branches with `branch_id`, region by region and then by channel, and whether every value is finite."""
     ok = F.forall("signal", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
     return branches.withColumn("branch_id", F.col("region_idx") * channels + F.col("channel")).withColumn("finite", ok)
 
 
+def tensors(branches: DataFrame, channels: int, kind: str = "float") -> DataFrame:
+    """One row a sample: `inputs` [branch][stream][point] in order of branch_id and stream, `names` of the branches, and their `audit` (start, end, input_len, pad).
+
+    A value that is not finite raises with the sample's id. A sample's rows are its branches and streams, a number that the settings bound."""
+    each = tensor(branches, channels).withColumn("branch_name", branch_name())
+    stop = F.raise_error(F.concat(F.lit("non-finite input for "), F.col("sample_id").cast("string")))
+    signal = F.when(F.col("finite"), F.col("signal").cast(f"array<{kind}>")).otherwise(stop)
+    rows = F.array_sort(F.collect_list(F.struct("branch_id", "stream", "branch_name", "start", "end", "input_len", "pad", signal.alias("signal"))))
+    t = each.groupBy("sample_id").agg(rows.alias("rows"))
+    first = F.filter("rows", lambda r: r["stream"] == F.get("rows", F.lit(0))["stream"])  # one of each branch
+    inputs = F.transform("first", lambda h: F.transform(F.filter("rows", lambda r: r["branch_id"] == h["branch_id"]), lambda r: r["signal"]))
+    audit = F.transform("first", lambda h: F.struct(*(h[c].alias(c) for c in ("start", "end", "input_len", "pad"))))
+    return t.withColumn("first", first).select("sample_id", F.transform("first", lambda h: h["branch_name"]).alias("names"), inputs.alias("inputs"), audit.alias("audit"))
+
+
 def geometry(branches: DataFrame, max_mm: float, length: int, target: int) -> DataFrame:
     """Input length, distance between resampled points and a title of each branch."""
     spacing = F.lit(max_mm / length) * F.col("input_len") / target

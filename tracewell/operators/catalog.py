@@ -6,7 +6,6 @@ Tables: experiments (name, model_family, form, region, channel, label_tag, data_
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ranks
@@ -117,26 +116,21 @@ def image_pairs(files: DataFrame) -> DataFrame:
 
 
 def with_images(experiments: DataFrame, files: DataFrame, expected: Column) -> DataFrame:
-    """Experiments whose image is there; equal labels get their place appended. Images without an experiment drop out."""
+    """Experiments whose image is there; equal labels get their place appended. Images without an experiment drop out.
+
+    Places are ranks over ranges of (label, name), so a label that most runs share is no task of its own."""
     e = experiments.withColumn("file", expected).join(files.select("file").distinct(), "file", "left_semi")
-    w = W.partitionBy("label")
-    k, n = F.row_number().over(w.orderBy("name")), F.count("*").over(w)
-    return e.withColumn("_k", k).withColumn("shown", F.when(n > 1, F.concat("label", F.lit(" ("), F.col("_k").cast("string"), F.lit(")"))).otherwise(F.col("label"))).drop("_k")
-
-
-def sort_place(df: DataFrame, column: str, descending: bool, tie: str) -> DataFrame:
-    """df with `place`: numbers before text, missing last; text sorts by its lower-case form. Ranked by buckets, not in one task."""
-    number, text = F.col(column).try_cast("double"), F.lower(column)
-    rows = df.withColumns({"_number": number, "_text": text})
-    spread = ranks.range_bucket(rows.where(~F.isnan("_number")), "_number")
-    letter = F.least(F.ascii(F.substring("_text", 1, 1)), F.lit(255))  # order of text is that of its UTF-8 bytes
-    last = F.lit(ranks.BUCKETS)
-    inside = F.when(F.isnan("_number"), last).otherwise(spread)
-    down = lambda b, top: top - b if descending else b
-    bucket = F.when(F.col(column).isNull(), 3 * last).when(F.col("_number").isNull(), 2 * last + down(letter, F.lit(255))).otherwise(down(inside, last))
-    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    order = [F.col(column).isNull(), F.col("_number").isNull(), direction("_number"), direction("_text"), F.col(tie)]
-    return ranks.ranked(rows, [], bucket, order, "place").drop("_number", "_text")
+    e = ranks.ranked(e, ["label"], ["name"], "_k")
+    return e.withColumn("shown", F.when(F.col("_k_of") > 1, F.concat("label", F.lit(" ("), F.col("_k").cast("string"), F.lit(")"))).otherwise(F.col("label"))).drop("_k", "_k_of")
+
+
+def sort_place(df: DataFrame, column: str, descending: bool, tie: str, text: bool = False) -> DataFrame:
+    """df with `place`: finite numbers in the given direction, then everything else; equal ones and the rest in the order of tie. text: by the lower-case form instead, missing last."""
+    number = F.col(column).try_cast("double")
+    key = F.lower(column) if text else F.when(F.abs(number) < float("inf"), number)
+    rows = df.withColumn("_key", key)
+    order = F.col("_key").desc_nulls_last() if descending else F.col("_key").asc_nulls_last()
+    return ranks.ranked(rows, [], [order, F.col(tie).asc()], "place").drop("_key", "place_of")
 
 
 def shown(x: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ranks import hash_bucket, range_bucket, ranked
+from ..functions.ranks import hash_bucket, hash_ranked, ranked
 from ..functions.scalars import digitize, half_up
 
 SPLITS = ("train", "val", "test")
@@ -55,7 +55,7 @@ def pool_tiling(pool: DataFrame, total: int) -> DataFrame:
 
 def keep_split(pool: DataFrame) -> DataFrame:
     """The split as it was, with the place of each row in it."""
-    return ranked(pool, ["split"], range_bucket(pool, "pool_row"), ["pool_row"], "split_rank").withColumn("split_rank", F.col("split_rank") - 1)
+    return ranked(pool, ["split"], ["pool_row"], "split_rank").withColumn("split_rank", F.col("split_rank") - 1).drop("split_rank_of")
 
 
 def limit_split(pool: DataFrame, n: int) -> DataFrame:
@@ -83,7 +83,7 @@ def stratified_split(pool: DataFrame, ratios: dict[str, float], seed: int, by: s
 
     A class that would give a split after the first fewer than min_per_split rows raises, unless small classes are allowed."""
     rows = pool.drop("split").withColumn("_key", seeded(seed))
-    rows = ranked(rows, [by], hash_bucket(F.col("_key")), ["_key", "sample_id"], "_rank")
+    rows = hash_ranked(rows, [by], hash_bucket(F.col("_key")), ["_key", "sample_id"], "_rank")
     per_split = allocate_counts(pool.groupBy(by).agg(F.count("*").alias("n")), ratios, by)
     if not allow_small_classes and (small := per_split.where((F.col("i") > 0) & (F.col("allocated") < min_per_split)).orderBy(by, "i").limit(1).collect()):
         raise ValueError(f"class {small[0][by]} would have {small[0].allocated} rows in {small[0].split}, fewer than {min_per_split}")
@@ -95,7 +95,7 @@ def stratified_split(pool: DataFrame, ratios: dict[str, float], seed: int, by: s
 
 def class_sample(pool: DataFrame, n: int, seed: int, by: str = "label") -> DataFrame:
     """n rows of each class by a seeded hash; classes with fewer give all they have and `short` tells."""
-    rows = ranked(pool.withColumn("_key", seeded(seed)), [by], hash_bucket(F.col("_key")), ["_key", "sample_id"], "_rank").where(F.col("_rank") <= n)
+    rows = hash_ranked(pool.withColumn("_key", seeded(seed)), [by], hash_bucket(F.col("_key")), ["_key", "sample_id"], "_rank").where(F.col("_rank") <= n)
     return rows.withColumn("short", F.count("*").over(W.partitionBy(by)) < n).drop("_key", "_rank")
 
 

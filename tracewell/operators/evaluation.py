@@ -114,17 +114,9 @@ def votes(df: DataFrame, key: list[str], probs: str = "probs") -> DataFrame:
 
 
 def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """One row: for each name the interpolated quantile of a column's values, by their ranks and not in one task's state."""
-    out = None
-    for name, (column, q) in wanted.items():
-        rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("x"))
-        place = q * max(rows.count() - 1, 0)
-        low = int(place)
-        near = ranks.ranked(rows, [], ranks.range_bucket(rows, "x"), ["x"], "r").where(F.col("r").isin(low + 1, low + 2))
-        first, second = F.max(F.when(F.col("r") == low + 1, F.col("x"))), F.max(F.when(F.col("r") == low + 2, F.col("x")))
-        one = near.agg((first + (F.coalesce(second, first) - first) * F.lit(place - low)).alias(name))
-        out = one if out is None else out.crossJoin(one)  # one row each
-    return out
+    """One row: for each name the interpolated quantile of a column's values (see ranks.quantiles)."""
+    found = ranks.quantiles(df, wanted)
+    return df.sparkSession.createDataFrame([tuple(found.values())], ", ".join(f"{k} double" for k in found))
 
 
 def error_gate(cells: DataFrame, limit: float) -> DataFrame:
@@ -154,10 +146,8 @@ def best_epoch_auc(df: DataFrame, patience: int, gain: float = 1e-4) -> DataFram
 
 
 def leaderboard(results: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Candidates with their place: by accuracy, then the lower loss, then the id. Accuracies are dealt into buckets."""
-    bucket = BINS - F.least(F.greatest(F.floor(F.col("val_accuracy") * BINS), F.lit(0)), F.lit(BINS)).cast("int")
-    bucket = F.coalesce(F.when(F.isnan("val_accuracy"), -1).otherwise(bucket), F.lit(BINS + 1))
-    return ranks.ranked(results, by or [], bucket, [F.col("val_accuracy").desc(), "val_loss", "id"], "place")
+    """Candidates with their place: by accuracy, then the lower loss, then the id."""
+    return ranks.ranked(results, by or [], [F.col("val_accuracy").desc(), F.col("val_loss").asc(), F.col("id").asc()], "place").drop("place_of")
 
 
 def array_differences(df: DataFrame, a: str, b: str, key: list[str]) -> DataFrame:

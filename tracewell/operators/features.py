@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.signals import STATS, component_stats, emd
+from .branches import component_limits
 
 
 def components(branches: DataFrame, modes: int = 5) -> DataFrame:
@@ -22,6 +23,20 @@ def pooled(components: DataFrame, key: list[str], streams: int, modes: int = 5,
     return s.groupBy(*key).agg(*((F.sum(f"_s.{k}") / (streams * (modes + 1))).alias(k) for k in STATS))
 
 
+def component_curves(branches: DataFrame, key: list[str], modes: int = 5) -> DataFrame:
+    """Curves of every component of branches (key, signal, start, input_len, spacing_mm): (key, component, is_residue, pos, mm, value, limit).
+
+    Absent components are curves of zeros. limit is 1.1 times the largest absolute value that a component has at a
+    branch's place (region_idx, channel), over all rows, and 1 where there is next to nothing."""
+    own = branches.withColumn("_e", emd(F.col("signal"), modes))
+    slots = F.transform("_e.components", lambda c, i: F.struct(((i < F.col("_e.n_modes")) | (i == modes)).alias("there"), c.alias("c")))
+    each = own.select(*key, "spacing_mm", F.posexplode(slots).alias("component", "s"))
+    each = each.select(*key, "spacing_mm", "component", F.when(F.col("s.there"), F.col("s.c")).otherwise(F.transform("s.c", lambda x: F.lit(0.0))).alias("signal"))
+    limits = component_limits(each, ["region_idx", "channel", "component"])  # settings: few rows
+    shown = each.join(F.broadcast(limits), ["region_idx", "channel", "component"])
+    return shown.select(*key, "component", (F.col("component") == modes).alias("is_residue"), "spacing_mm", "limit", F.posexplode("signal").alias("pos", "value")).withColumn("mm", F.col("pos") * F.col("spacing_mm")).drop("spacing_mm")
+
+
 def long_features(pooled: DataFrame, key: list[str]) -> DataFrame:
     """(key, stat_idx, stat, value)."""
     rows = F.array(*(F.struct(F.lit(i).alias("stat_idx"), F.lit(k).alias("stat"), F.col(k).alias("value")) for i, k in enumerate(STATS)))

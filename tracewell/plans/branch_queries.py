@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import signals as G
 from ..operators import branches as B
+from ..operators import curation as C
 from ..operators import features as Fe
 from ..operators import frames as Fr
 from ..sources.scratch import shared_path
@@ -130,11 +131,11 @@ register("component_stats", lambda s, d: scans(s, d).withColumn("x", G.component
 
 
 def _pool_table(s, d):
-    """Four frames of each channel stand for components, so two of six slots are absent."""
-    return Fe.pooled(scans(s, d).where("frame < 4"), ["sample_id", "channel"], 1)
+    """The ten frames of each channel stand for components, so two of twelve slots are absent."""
+    return Fe.pooled(scans(s, d), ["sample_id", "channel"], 1, 11)
 
 
-POOL = CST + ", po AS (SELECT sample_id, channel, " + ", ".join(f"sum({k}) / 6 AS {k}" for k in G.STATS) + " FROM st WHERE frame < 4 GROUP BY ALL)"
+POOL = CST + ", po AS (SELECT sample_id, channel, " + ", ".join(f"sum({k}) / 12 AS {k}" for k in G.STATS) + " FROM st GROUP BY ALL)"
 LONG = POOL + ", lo AS (SELECT sample_id, channel, stat_idx, stat, value FROM (" + " UNION ALL ".join(f"SELECT sample_id, channel, {i} AS stat_idx, '{k}' AS stat, {k} AS value FROM po" for i, k in enumerate(G.STATS)) + "))"
 SCALE = LONG + ", ms AS (SELECT channel, stat, avg(value) AS mean, stddev_pop(value) AS std FROM lo WHERE sample_id % 5 < 3 GROUP BY ALL), sc AS (SELECT channel, stat, mean, std <= 1e-8 + 1e-6 * abs(mean) AS degenerate, CASE WHEN std <= 1e-8 + 1e-6 * abs(mean) THEN 1.0 ELSE std END AS scale FROM ms)"
 
@@ -196,24 +197,52 @@ def main_tail(s, d, target=24, alpha=0.0, at=None):
     return B.dynamic(frames3(s, d, at), at, DET, target, alpha)
 
 
-TWO = SPAN + """, br AS (SELECT sample_id, channel, 0 AS region_idx, 'main' AS name, start, "end", 24 AS input_len, 0 AS pad FROM lo UNION ALL SELECT sample_id, channel, 1, 'tail', "end", least("end" + 32, 64), 32, 32 - (least("end" + 32, 64) - "end") FROM lo), bo AS (SELECT * FROM br WHERE sample_id NOT IN (SELECT sample_id FROM lo WHERE "end" > 64))"""
+TWO = SPAN + """, br AS (SELECT sample_id, channel, 0 AS region_idx, 'dynamic_main_window' AS name, start, "end", 24 AS input_len, 0 AS pad FROM lo UNION ALL SELECT sample_id, channel, 1, 'dynamic_tail_window', "end", least("end" + 32, 64), 32, 32 - (least("end" + 32, 64) - "end") FROM lo), bo AS (SELECT * FROM br WHERE sample_id NOT IN (SELECT sample_id FROM lo WHERE "end" > 64))"""
 register("prepare_dynamic", lambda s, d: exploded(main_tail(s, d, 24, 0.3), ["sample_id", "channel", "name"]), sql(f"""WITH {LP}{TWO[len(SPAN):]}, cu AS (SELECT p.sample_id, p.channel, name, pos - start AS i, value FROM pr p JOIN bo USING (sample_id, channel) WHERE pos >= start AND pos < "end"),
- rs AS (SELECT sample_id, channel, name, i AS k, value FROM cu WHERE name = 'main' UNION ALL SELECT b.sample_id, b.channel, 'tail', k, coalesce(sum(value * w), 0) FROM bo b CROSS JOIN {spline_table(32, 24)} v LEFT JOIN cu ON cu.sample_id = b.sample_id AND cu.channel = b.channel AND cu.name = 'tail' AND cu.i = v.i WHERE b.name = 'tail' GROUP BY ALL)
+ rs AS (SELECT sample_id, channel, name, i AS k, value FROM cu WHERE name = 'dynamic_main_window' UNION ALL SELECT b.sample_id, b.channel, 'dynamic_tail_window', k, coalesce(sum(value * w), 0) FROM bo b CROSS JOIN {spline_table(32, 24)} v LEFT JOIN cu ON cu.sample_id = b.sample_id AND cu.channel = b.channel AND cu.name = 'dynamic_tail_window' AND cu.i = v.i WHERE b.name = 'dynamic_tail_window' GROUP BY ALL)
  SELECT sample_id, channel, name, CAST(k AS INTEGER) AS pos, round(value * {tukey(24, 'k')}, 6) AS value FROM rs""", "traces"))
-register("branch_tensor", lambda s, d: B.tensor(main_tail(s, d, 24, 0.3), 2).select("sample_id", F.col("branch_id").cast("int").alias("branch_id"), "name", "start", "end", "pad", F.size("signal").alias("points"), "finite"), sql(f'WITH {TWO} SELECT sample_id, CAST(region_idx * 2 + channel AS INTEGER) AS branch_id, name, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", CAST(pad AS INTEGER) AS pad, 24 AS points, true AS finite FROM bo', "traces"))
+
+
+def full_region(s):
+    """The fixed region that the six-branch set puts beside the dynamic windows."""
+    return s.createDataFrame([(0, "0-5mm", 0.0, 5.0)], "region_idx int, name string, start_mm double, end_mm double")
+
+
+def six(s, d, target=24, alpha=0.3):
+    at = located(s, d)
+    return B.dynamic(frames3(s, d, at), at, DET, target, alpha, full_region(s), MM, 64)
+
+
+def _tensor(s, d):
+    """Nested inputs of each sample: main window, tail and full region of both channels, told branch by branch."""
+    t = B.tensors(six(s, d), 2, "double")
+    each = t.select("sample_id", F.size("inputs").alias("branches"), F.posexplode(F.arrays_zip("names", "inputs", "audit")).alias("branch_id", "b"))
+    total = F.aggregate(F.get("b.inputs", F.lit(0)), F.lit(0.0), lambda a, x: a + x)
+    weighed = F.aggregate(F.transform(F.get("b.inputs", F.lit(0)), lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    return each.select("sample_id", "branches", "branch_id", F.col("b.names").alias("name"), "b.audit.start", "b.audit.end", "b.audit.pad", F.size(F.get("b.inputs", F.lit(0))).alias("points"), F.size("b.inputs").alias("streams"), R(total, 5).alias("total"), R(weighed, 4).alias("weighed"))
+
+
+SIX = f"""{LP}{TWO[len(SPAN):]}, b6 AS (SELECT sample_id, channel, region_idx, name, start, "end", pad FROM bo UNION ALL SELECT DISTINCT sample_id, channel, 2, '0-5mm', 0, 64, 0 FROM bo),
+ c6 AS (SELECT p.sample_id, p.channel, region_idx, pos - start AS i, value FROM pr p JOIN b6 USING (sample_id, channel) WHERE pos >= start AND pos < "end"),
+ r6 AS (SELECT sample_id, channel, region_idx, i AS k, value FROM c6 WHERE region_idx = 0
+  UNION ALL SELECT b.sample_id, b.channel, 1, k, coalesce(sum(value * w), 0) FROM b6 b CROSS JOIN {spline_table(32, 24)} v LEFT JOIN c6 ON c6.sample_id = b.sample_id AND c6.channel = b.channel AND c6.region_idx = 1 AND c6.i = v.i WHERE b.region_idx = 1 GROUP BY b.sample_id, b.channel, k
+  UNION ALL SELECT sample_id, channel, 2, k, sum(value * w) FROM c6 JOIN {spline_table(64, 24)} v USING (i) WHERE region_idx = 2 GROUP BY sample_id, channel, k),
+ t6 AS (SELECT sample_id, channel, region_idx, k, value * {tukey(24, 'k')} AS value FROM r6)"""
+register("branch_tensor", _tensor, sql(f"""WITH {SIX} SELECT sample_id, 6 AS branches, CAST(region_idx * 2 + channel AS INTEGER) AS branch_id, 'region' || region_idx || '_' || name || '_ch' || (channel + 1) AS name, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", CAST(pad AS INTEGER) AS pad,
+ CAST(count(*) AS INTEGER) AS points, 1 AS streams, round(sum(value), 5) AS total, round(sum(value * k), 4) AS weighed FROM b6 JOIN t6 USING (sample_id, channel, region_idx) GROUP BY ALL""", "traces"))
 register("branch_geometry", lambda s, d: B.geometry(main_tail(s, d), MM, 64, 24).select("sample_id", "channel", "name", "input_len", R("spacing_mm").alias("spacing_mm"), "title"), sql(f"""WITH {TWO} SELECT sample_id, channel, name, CAST(input_len AS INTEGER) AS input_len, round(CAST(5.0 AS DOUBLE) / 64 * input_len / 24, 6) AS spacing_mm, name || ' ' || {G_.format('start * CAST(0.078125 AS DOUBLE)')} || '-' || {G_.format('"end" * CAST(0.078125 AS DOUBLE)')} || 'mm' AS title FROM bo""", "traces"))
 
 
 def _verify(s, d):
     """Main windows against the same cut by hand, changed for some samples."""
     at = located(s, d)
-    a = main_tail(s, d, at=at).where("name = 'main'").select("sample_id", "channel", "signal")
+    a = main_tail(s, d, at=at).where(F.col("name") == B.MAIN).select("sample_id", "channel", "signal")
     hand = frames3(s, d, at).join(at.select("sample_id", "channel", "start"), ["sample_id", "channel"]).where("sample_id % 7 <> 3")
     changed = F.transform(Fr.interval(F.col("signal"), F.col("start"), F.col("start") + 24), lambda x: F.when(F.col("sample_id") % 5 == 0, x + 1).otherwise(x))
     return B.compared(a, hand.select("sample_id", "channel", changed.alias("signal")), ["sample_id", "channel"])
 
 
-register("verify_branches", _verify, sql(f"""WITH {TWO} SELECT sample_id, channel, CASE WHEN sample_id % 7 = 3 THEN 'missing' ELSE 'values' END AS problem FROM bo WHERE name = 'main' AND (sample_id % 7 = 3 OR sample_id % 5 = 0)""", "traces"))
+register("verify_branches", _verify, sql(f"""WITH {TWO} SELECT sample_id, channel, CASE WHEN sample_id % 7 = 3 THEN 'missing' ELSE 'values' END AS problem FROM bo WHERE name = 'dynamic_main_window' AND (sample_id % 7 = 3 OR sample_id % 5 = 0)""", "traces"))
 
 
 def vectors(s, d):
@@ -227,6 +256,16 @@ register("entry_slice", lambda s, d: Fr.select_c3(scans(s, d).withColumn("signal
  xt AS (SELECT *, lead(value) OVER (PARTITION BY sample_id, frame, channel ORDER BY pos) AS r FROM z JOIN k USING (sample_id, channel, frame)), s7 AS (SELECT sample_id, channel, frame, {STATS7} FROM xt GROUP BY ALL) SELECT sample_id, channel, frame, {', '.join(f'round({k}, 6) AS {k}' for k in G.STATS[:7])} FROM s7""", "traces"))
 
 
+def _component_curves(s, d):
+    """Components of all six branches of one sample of each class, as curves over millimetres."""
+    chosen = C.class_sample(samples(s, d), 1, 7).select("sample_id", "label")
+    own = B.geometry(six(s, d).join(chosen, "sample_id"), MM, 64, 24)
+    return Fe.component_curves(own, ["label", "sample_id", "region_idx", "name", "channel", "stream"]).withColumns({k: R(k) for k in ("mm", "value", "limit")})
+
+
+register("component_curves", _component_curves)
+
+
 def _curves(s, d):
     """Long-form curves: the mean trace of each label and channel, and both losses of each run."""
     lab = samples(s, d).select("sample_id", "label")

@@ -112,9 +112,9 @@ def _with_images(s, d):
 
 register("catalog_images", _with_images, f"WITH {EXP}, k AS (SELECT name || '__p' || p_partkey AS name, 'form_' || form || '__regions_' || region || '__channels_' || channel || '__split_test__' || rest || '__p' || p_partkey || '.png' AS file, form || ' ' || region AS label FROM ne WHERE p_partkey % 4 <> 1) SELECT name, file, CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN label || ' (' || row_number() OVER (PARTITION BY label ORDER BY name) || ')' ELSE label END AS shown FROM k")
 register("summary_view", lambda s, d: experiments(s, d).select("name", "p_partkey", K.shown(F.col("accuracy")).alias("accuracy"), F.coalesce("label_tag", F.lit("-")).alias("tag")), f"WITH {EXP} SELECT name, p_partkey, coalesce(printf('%.3f', floor(accuracy * 1000 + 0.5) / 1000), '-') AS accuracy, coalesce(label_tag, '-') AS tag FROM ne")
-MIXED = "CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN p_brand ELSE CAST(p_size AS VARCHAR) END"
-register("summary_sort", lambda s, d: K.sort_place(table(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 13 == 0, None).when(F.col("p_partkey") % 5 == 0, F.col("p_brand")).otherwise(F.col("p_size").cast("string")).alias("v")), "v", True, "p_partkey").select("p_partkey", "place"),
-         f"WITH x AS (SELECT p_partkey, {MIXED} AS v FROM part) SELECT p_partkey, CAST(row_number() OVER (ORDER BY v IS NULL, TRY_CAST(v AS DOUBLE) IS NULL, TRY_CAST(v AS DOUBLE) DESC, lower(v) DESC, p_partkey) AS INTEGER) AS place FROM x")
+MIXED = "CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN p_brand WHEN p_partkey % 7 = 0 THEN 'NaN' WHEN p_partkey % 11 = 0 THEN 'Infinity' ELSE CAST(p_size AS VARCHAR) END"
+register("summary_sort", lambda s, d: K.sort_place(table(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 13 == 0, None).when(F.col("p_partkey") % 5 == 0, F.col("p_brand")).when(F.col("p_partkey") % 7 == 0, "NaN").when(F.col("p_partkey") % 11 == 0, "Infinity").otherwise(F.col("p_size").cast("string")).alias("v")), "v", True, "p_partkey").select("p_partkey", "place"),
+         f"WITH x AS (SELECT p_partkey, {MIXED} AS v FROM part) SELECT p_partkey, CAST(row_number() OVER (ORDER BY CASE WHEN isfinite(TRY_CAST(v AS DOUBLE)) THEN TRY_CAST(v AS DOUBLE) END DESC NULLS LAST, p_partkey) AS INTEGER) AS place FROM x")
 
 
 def _task_report(s, d):
@@ -218,19 +218,24 @@ def vectors(s, d):
 
 
 def branch_vectors(s, d):
-    v = vectors(s, d)
-    return v.select("sample_id", "label", "split", F.posexplode(F.array(F.slice("features", 1, 32), F.slice("features", 33, 32))).alias("branch_id", "features"))
+    """The vectors as two nested branches."""
+    return vectors(s, d).select("sample_id", "label", "split", F.array(F.slice("features", 1, 32), F.slice("features", 33, 32)).alias("branches"))
 
 
 register("classify_concat", lambda s, d: M.concatenated(vectors(s, d), 64, 2, [16, 8], 30).select("sample_id", "split", "label", R(F.element_at("probs", 2)).alias("p1")))
-register("classify_vote", lambda s, d: M.voting(branch_vectors(s, d), [0, 1], 32, 2, [8], 30).select("sample_id", "split", "label", R(F.element_at("vote_mean", 2)).alias("p1")))
-register("score_batch", lambda s, d: M.losses(M.concatenated(vectors(s, d), 64, 2, [16, 8], 30), ["split"]))
+register("classify_vote", lambda s, d: M.voting(branch_vectors(s, d), 2, 32, 2, [8], 30).select("sample_id", "split", "label", R(F.element_at("vote_mean", 2)).alias("p1")))
+register("score_batch", lambda s, d: M.batch_losses(M.voting(branch_vectors(s, d), 2, 32, 2, [8], 30), ["split"]).withColumns({"val_loss": R("val_loss"), "val_accuracy": R("val_accuracy")}))
 
 
 def _sweep(s, d):
-    """The leaderboard, with the winner's counts and gate on the test split beside it."""
-    board, winner = M.sweep(vectors(s, d), [{"id": "a", "hidden": [8], "rounds": 15}, {"id": "b", "hidden": [16], "rounds": 15}], 64, 2)
-    return board.join(F.broadcast(winner.select(F.col("winner").alias("id"), "tn", "fp", "fn", "tp", "label1_error", "stop")), "id", "left")  # one row
+    """Three tasks in a chain: a search on half of the features, its winner on all of them, and a search there that takes the former over."""
+    whole, grid = vectors(s, d), [{"id": "a", "hidden": [8], "rounds": 15}, {"id": "b", "hidden": [16], "rounds": 15}]
+    half = whole.withColumn("features", F.slice("features", 1, 32))
+    tasks = [
+        {"name": "1", "rows": half, "inputs": 32, "profile": "half", "candidates": grid}, {"name": "2", "rows": whole, "inputs": 64, "profile": "whole", "like": "1"},
+        {"name": "3", "rows": whole, "inputs": 64, "profile": "whole", "candidates": grid},
+    ]
+    return M.chained(tasks, M.Runs(s, shared_path(s, "runs")), 2)
 
 
 register("sweep_select", _sweep)

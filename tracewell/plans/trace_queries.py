@@ -42,7 +42,7 @@ def ranked(s, d):
 
 
 register("adc_zero", lambda s, d: scans(s, d).select("sample_id", "frame", "channel", F.posexplode(S.adc_zero(F.col("signal"), 0.25, 0.02)).alias("pos", "value")), sql("SELECT sample_id, frame, channel, CAST(pos AS INTEGER) AS pos, CASE WHEN abs(abs(value) - 0.25) <= 0.02 + 1e-5 * 0.25 THEN 0.0 ELSE value END AS value FROM traces", "traces"))
-register("select_channels", lambda s, d: Fr.select_channels(scans(s, d), 2).select("sample_id", "frame", "channel", F.get("signal", F.lit(0)).alias("first")), sql("SELECT sample_id, frame, channel, value AS first FROM traces WHERE channel = 1 AND pos = 0", "traces"))
+register("select_channels", lambda s, d: Fr.select_channels(scans(s, d), 2).select("sample_id", "frame", "channel", F.posexplode("signal").alias("pos", "value")), sql("SELECT sample_id, frame, channel, CAST(pos AS INTEGER) AS pos, value FROM traces WHERE channel = 1", "traces"))
 register("interval_slice", lambda s, d: scans(s, d).join(windows(s, d), ["sample_id", "channel"]).select("sample_id", "frame", "channel", F.posexplode(Fr.interval(F.col("signal"), F.col("start"), F.col("end"))).alias("i", "value")), sql(f"WITH {WIN} SELECT t.sample_id, t.frame, t.channel, CAST(pos - a AS INTEGER) AS i, value FROM traces t JOIN wn USING (sample_id, channel) WHERE pos >= a AND pos < z", "traces"))
 register("frame_peak", lambda s, d: Fr.frame_peaks(scans(s, d), windows(s, d)).select("sample_id", "frame", "channel", "peak"), sql(f"WITH {PEAKS} SELECT * FROM pk", "traces"))
 register("frame_rank", lambda s, d: ranked(s, d).select("sample_id", "frame", "channel", "rank"), sql(f"WITH {PEAKS} SELECT sample_id, frame, channel, CAST(r AS INTEGER) AS rank FROM rk", "traces"))
