@@ -1,17 +1,19 @@
 """Best-fit packing of tokenised documents by exact complements.
 
 All pieces of one length are alike, so the plan is made from the count of each length (at most `size` numbers,
-whatever the corpus): the longest lengths first, an index of single lengths, pairs and triples finds combinations
-that fill a gap exactly and consumes as many as are available; what is left goes best-fit. A piece finds its place
-from its rank among the pieces of its length.
+whatever the corpus): an index of single lengths, pairs and triples finds combinations that fill the gap of a longer
+piece exactly, and consumes as many as are available and do not cost a sequence elsewhere; what is left goes best-fit.
+A piece finds its place from its rank among the pieces of its length.
 
-Defined results: a null text is empty and still yields its end token; repeated rows are packed each on its own;
-an empty table packs into nothing; further columns of the input are not read.
+Defined results: a null text is empty and still yields its end token; repeated rows are packed each on its own, and ties
+of length go by key and piece; a very long text is tokenised as a whole, in a block of its own (some 20 times its size in
+memory); an empty table packs into nothing; further columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import zlib
 from collections import defaultdict
 
@@ -100,62 +102,108 @@ def pieces(text: Column, model: str, ranks: str, size: int = SIZE, end: int = EN
     return F.arrow_udf(cut, "array<struct<piece:int,start:long,length:long,ids_crc32:long>>")(text)
 
 
-def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]]:
-    """(lengths of one sequence, how many such sequences) that use up the counts of each length.
+Patterns = list[tuple[list[int], int]]
 
-    Exact combinations early on can eat short pieces that best fit would need later, so the plan is made with
-    combinations of up to three, two, one and no further pieces, and the shortest plan is taken."""
-    return min((_plan(counts, size, most) for most in (3, 2, 1, 0)), key=lambda p: sum(n for _, n in p))
 
+def plan(counts: dict[int, int], size: int = SIZE) -> Patterns:
+    """(lengths of one sequence, how many such sequences) that use up the counts of each length.
 
-def _plan(counts: dict[int, int], size: int, most: int) -> list[tuple[list[int], int]]:
-    """A plan whose exact fillings hold up to `most` pieces beside the longest one."""
+    The exact fillings that the indexes find are taken, and what they leave goes best-fit. A filling can eat short
+    pieces that the rest needs more; so fillings are taken together as long as the whole plan has no more sequences
+    than without them, and else by halves, down to single kinds of filling. The plan thus never has more sequences than
+    best fit alone."""
+    taken, least = [], _sequences(best_fit(counts, size))
+
+    def rest(more: Patterns) -> dict[int, int]:
+        left = dict(counts)
+        for lengths, n in [*taken, *more]:
+            for x in lengths:
+                left[x] -= n
+        return left
+
+    def take(found: Patterns) -> None:
+        nonlocal least
+        total = _sequences([*taken, *found]) + _sequences(best_fit(rest(found), size))
+        if total <= least:
+            taken.extend(found)
+            least = total
+        elif len(found) > 1:
+            take(found[: len(found) // 2])
+            take(found[len(found) // 2 :])
+
+    found = fillings(counts, size)
+    for kind in range(1, 5):  # whole pieces, then complements of one, two and three pieces
+        if own := [f for f in found if len(f[0]) == kind]:
+            take(own)
+    return taken + best_fit(rest([]), size)
+
+
+def _sequences(patterns: Patterns) -> int:
+    return sum(n for _, n in patterns)
+
+
+def fillings(counts: dict[int, int], size: int) -> Patterns:
+    """Full sequences: a piece with one, two or three others whose lengths add up to its gap, as many as are available."""
     left, out = defaultdict(int, counts), []
 
-    def use(lengths: list[int]) -> bool:
+    def use(*lengths: int) -> None:
         need = defaultdict(int)
         for x in lengths:
             need[x] += 1
-        n = min(left[x] // k for x, k in need.items())
-        if n:
-            out.append((lengths, n))
+        if n := min(left[x] // k for x, k in need.items()):
+            out.append((list(lengths), n))
             for x, k in need.items():
                 left[x] -= n * k
-        return n > 0
 
-    for long in range(size, 0, -1) if most else ():
+    use(size)
+    for long in range(size - 1, (size - 1) // 2, -1):
+        use(long, size - long)
+    for long in range(size - 2, (size - 1) // 3, -1):
         gap = size - long
-        if left[long] and not gap:
-            use([long])
-        if left[long] and gap:
-            use([long, gap])
-        for a in range(gap - 1, (gap - 1) // 2, -1) if most > 1 else ():
-            if not left[long]:
-                break
+        for a in range(min(long, gap - 1), (gap - 1) // 2, -1) if left[long] else ():
             if left[a] and left[gap - a]:
-                use([long, a, gap - a])
-        for a in range(gap - 2, (gap - 1) // 3, -1) if most > 2 else ():
-            if not left[long]:
-                break
+                use(long, a, gap - a)
+                if not left[long]:
+                    break
+    for long in range(size - 3, (size - 1) // 4, -1):
+        gap = size - long
+        for a in range(min(long, gap - 2), (gap - 1) // 3, -1) if left[long] else ():
             for b in range(min(a, gap - a - 1), (gap - a - 1) // 2, -1) if left[a] else ():
                 if left[b] and left[gap - a - b]:
-                    use([long, a, b, gap - a - b])
-                if not left[a] or not left[long]:
-                    break
-    # Best fit of the rest: by gap, sequences that are alike are kept as one entry with a count.
-    open_: dict[int, list[tuple[list[int], int]]] = defaultdict(list)
+                    use(long, a, b, gap - a - b)
+                    if not left[a] or not left[long]:
+                        break
+            if not left[long]:
+                break
+    return out
+
+
+def best_fit(counts: dict[int, int], size: int) -> Patterns:
+    """Longest pieces first, each into the smallest gap that takes it; sequences that are alike are kept as one entry with a count."""
+    open_: dict[int, Patterns] = {}
+    gaps: list[int] = []  # of open_, sorted
     for x in range(size, 0, -1):
-        n = left[x]
+        n = counts.get(x, 0)
         while n:
-            gap = next((g for g in range(x, size) if open_[g]), size)
-            lengths, have = open_[gap].pop() if gap < size else ([], n)
+            k = bisect.bisect_left(gaps, x)
+            if k < len(gaps):
+                gap = gaps[k]
+                lengths, have = open_[gap].pop()
+            else:
+                gap, lengths, have = size, [], n
             each = min(gap // x, n)
             m = min(have, n // each)
             if have > m and gap < size:
                 open_[gap].append((lengths, have - m))
-            open_[gap - each * x].append((lengths + [x] * each, m))
+            if gap < size and not open_[gap]:
+                del open_[gap], gaps[k]
+            to = gap - each * x
+            if to not in open_:
+                open_[to] = []
+                bisect.insort(gaps, to)
+            open_[to].append((lengths + [x] * each, m))
             n -= m * each
-    return out + [y for g in open_ for y in open_[g]]
+    return [y for g in open_ for y in open_[g]]
 
 
 def slots(patterns: list[tuple[list[int], int]]) -> tuple[np.ndarray, ...]:
