@@ -78,13 +78,26 @@ def test_ring_overflow_goes_clockwise_and_moves_little():
         assert s == owner[arc] or load[owner[arc]] == cap[owner[arc]]
 
 
-def plain_ring(position, at, owner, shards):
-    """Shard of each key: its own while there is room, else the next one clockwise with room. Keys in order of the ring."""
+def test_sharding_is_the_same_however_the_input_is_cut(spark, monkeypatch):
+    """One key has a third of the rows, and one row is repeated in all its columns."""
+    monkeypatch.setattr(sharding, "RUN", 7)
+    keys = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("size"))
+    got = []
+    for parts in (1, 3, 17):
+        rows = sharding.assign(keys.repartition(parts)).collect()
+        got.append(Counter((r.doc_id, r.size, r.shard, r.slot) for r in rows))
+        per = Counter(r.shard for r in rows)
+        assert len(rows) == 6000 and set(per.values()) == {150} and len({(r.shard, r.slot) for r in rows}) == 6000
+    assert got[0] == got[1] == got[2]
+
+
+def plain_ring(position, salt, at, owner, shards):
+    """Shard of each key: its own while there is room, else the next one clockwise with room. Keys in order of the ring, and within a 65,536th of it by salt."""
     arc = np.searchsorted(at, position) % len(at)
     native = np.bincount(owner[arc], minlength=shards)
     free = np.full(shards, len(position) // shards)
     free[np.argsort(-native, kind="stable")[: len(position) % shards]] += 1
-    order = sorted(range(len(position)), key=lambda k: (arc[k], (position[k] >> 48) - (position[k] > at[-1]) * 65536, position[k]))
+    order = sorted(range(len(position)), key=lambda k: (arc[k], (position[k] >> 48) - (position[k] > at[-1]) * 65536, salt[k], position[k]))
     out, late = {}, []
     for k in order:
         s = owner[arc[k]]
@@ -100,11 +113,11 @@ def plain_ring(position, at, owner, shards):
 
 
 def test_sharding_equals_a_plain_ring_and_moves_little(spark):
-    keys = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("shard"), F.lit(1).alias("at")).coalesce(1)
-    position = np.array([r.p for r in keys.orderBy("doc_id").select(F.xxhash64("doc_id").alias("p")).collect()])
-    got = {n: [r.shard for r in sharding.assign(keys, shards=n).orderBy("doc_id").collect()] for n in (40, 41)}
+    keys = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("shard"), F.lit(1).alias("at"))
+    position, salt = np.array(keys.orderBy("doc_id").select(F.xxhash64("doc_id"), F.pmod(F.xxhash64(F.struct(*keys.columns)), F.lit(sharding.SALTS))).collect()).T
+    got = {n: [r.shard for r in sharding.assign(keys.repartition(3), shards=n).orderBy("doc_id").collect()] for n in (40, 41)}
     for n, shards in got.items():
-        assert shards == plain_ring(position, *sharding.ring(n, 64), n)
+        assert shards == plain_ring(position, salt, *sharding.ring(n, 64), n)
     moved = np.mean(np.array(got[40]) != np.array(got[41]))
     assert moved < 0.25, moved  # a plain modulus moves 0.98
 
@@ -189,6 +202,21 @@ def test_plan_is_never_longer_than_best_fit(low, high):
     assert sum(k for _, k in packing.plan(Counter(lengths.tolist()))) <= n
 
 
+@pytest.mark.parametrize(("name", "lengths"), [
+    ("corpus", [1024] * 500 + [k % 700 + 60 for k in range(900)] + [k % 90 + 5 for k in range(400)]), ("even", list(range(1, 1025)) * 4), ("middle", [100 + k * 7 % 501 for k in range(5000)]),
+    ("third", [260 + k * 11 % 240 for k in range(5000)]), ("short", [1 + k * k % 300 for k in range(5000)]),
+])
+def test_exact_fillings_are_in_the_plan_and_cost_no_sequence(name, lengths):
+    counts = Counter(lengths)
+    plan, alone = packing.plan(counts), packing.best_fit(counts, 1024)
+    offered = packing.fillings(counts, 1024)
+    assert all(sum(f) == 1024 for f, _ in offered)
+    assert sum(n for _, n in plan) <= sum(n for _, n in alone)
+    kinds = lambda p: Counter({len(f): n for k in range(1, 5) for f, n in [([0] * k, sum(n for g, n in p if len(g) == k and sum(g) == 1024))]})
+    for kind, n in kinds(offered).items():
+        assert not n or kinds(plan)[kind] > 0, (kind, kinds(offered), kinds(plan))
+
+
 # Secrets.
 def spans_of(t):
     t, out = t or "", []
@@ -288,6 +316,27 @@ def test_decontamination(spark):
     assert decontam.decontaminate(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_seeds_miss_no_alignment_that_reaches_the_score():
+    rng = random.Random(11)
+    found = missed = 0
+    for size in (4, 6, 10, 13, 20, 35, 60) * 6:
+        item = [f"i{rng.randrange(400)}" for _ in range(size)]
+        m = decontam.Items([(1, " ".join(item)), (2, " ".join(reversed(item)))], 3, 0.6)
+        known = m.gram[m.item == 0]
+        m.keep_rare(known, np.array([rng.randrange(50) for _ in known]))
+        for _ in range(25):
+            text, rate = [], rng.random() * 0.4
+            for w in item[rng.randrange(1 + size // 4) : size - rng.randrange(1 + size // 4)]:
+                text += {0: [w], 1: ["x"], 2: [w, "y"], 3: []}[rng.choice([1, 2, 3]) if rng.random() < rate else 0]
+            text = ["z"] * 5 + text + ["z"] * 5
+            word = decontam.item_words(" ".join(text))
+            row = np.zeros(len(word), np.int64)
+            if plain_score(item, text) >= 0.6:
+                found += 1
+                missed += 0 not in m.near(*m.hits(word, row), row)[0]
+    assert found > 200 and not missed
+
+
 def plain_score(item, text):
     """Best local alignment (match 1, mismatch and gap -1) as a share of the item."""
     last, best = [0] * (len(text) + 1), 0

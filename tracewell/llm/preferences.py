@@ -8,8 +8,9 @@ order of conv_id (each is chosen against the next); a conversation without such
 stale form, in which the last assistant turn repeats the one before it; one with neither stays unpaired.
 
 Defined results: turns are in order of turn, role, text, and equal turns of one conversation count once; null role and
-text read as empty; rows without conv_id belong to no conversation; equal conversations give empty completions; an
-empty table gives an empty result; further columns are not read.
+text read as empty; rows without conv_id belong to no conversation; equal conversations give empty completions; a very
+long turn, or a conversation of many, is one row and takes a small multiple of its size in memory; an empty table gives an
+empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -75,7 +76,8 @@ def chained(conversations: DataFrame) -> DataFrame:
 
     Ranges of (first turn, conv_id) are chained one by one, so a first turn of any number of conversations is spread over
     tasks; the last of a range is linked to the smallest of the next range that holds its first turn."""
-    head = F.xxhash64(F.col("turns")[0]["role"], F.col("turns")[0]["text"])
+    first = F.col("turns")[0]
+    head = F.md5(F.concat(F.length(first["role"]).cast("string"), F.lit(":"), first["role"], first["text"]).cast("binary"))  # 128 bits tell first turns apart
     keys = conversations.select("conv_id", head.alias("head"))
     large = keys.groupBy("head").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     shared = written(keys.join(large.select("head"), "head"))

@@ -6,8 +6,12 @@ row count, so counts are at most one apart (law `rows`).
 
 Only counts per arc (shards x vnodes numbers) reach the driver; every row gets its shard from its rank inside its arc.
 
+A row's place is decided by its contents, however the input is cut: rows are ranked in the order of the ring, and rows
+that are equal in every column, between which no order exists, share a run of ranks.
+
 Defined results: a null text has no bytes (size 16, checksum 0); a null doc_id is a key of its own; repeated rows
-are placed each on its own; a very long text counts whole; an empty table gives an empty result; further columns stay.
+are placed each on its own; a very long text counts whole; an empty table gives an empty result; further columns stay
+(they must be of types that can be grouped by).
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .scratch import written
 
-#: Parts into which the rows of one place on the ring are dealt.
-SALTS = 32
+#: Parts into which the rows of one place on the ring are dealt, and equal rows that are counted out at once.
+SALTS, RUN = 32, 10_000
 
 
 def ring(shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,8 +62,9 @@ def placed(counts: np.ndarray, owner: np.ndarray, capacity: np.ndarray) -> list[
 def assign(rows: DataFrame, key: str = "doc_id", shards: int = 40, vnodes: int = 64) -> DataFrame:
     """rows with `shard` and `slot` (the place in it, gapless from 0); these two replace columns of their names.
 
-    Rows go in the order of the ring; within a 65,536th of it, by the part they were written in, so that not even equal
-    keys meet in one task. They are written first, as ranks must see the same parts."""
+    Rows go in the order of the ring; within a 65,536th of it, by a hash of all their columns, so rows of one key are
+    dealt over tasks. Equal rows are combined to one with their number before they are ranked, and counted out in
+    runs over tasks. They are written first, as counts and ranks read them both."""
     at, owner = ring(shards, vnodes)
 
     def arc_of(position: pa.Array) -> pa.Array:
@@ -67,8 +72,10 @@ def assign(rows: DataFrame, key: str = "doc_id", shards: int = 40, vnodes: int =
 
     keyed = rows.select(F.struct(*rows.columns).alias("row"), F.xxhash64(key).alias("at"))
     near = F.shiftright("at", 48) - F.when(F.col("at") > int(at[-1]), 1 << 16).otherwise(0)  # what lies past the last node comes first in its arc
-    keyed = written(keyed.select("row", "at", F.arrow_udf(arc_of, "long")("at").alias("arc"), near.alias("near"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")))
-    parts = keyed.groupBy("arc", "near", "salt").agg(F.count("*").alias("n"))
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS))
+    keyed = keyed.select("row", "at", F.arrow_udf(arc_of, "long")("at").alias("arc"), near.alias("near"), salt.alias("salt"))
+    keyed = written(keyed.groupBy("arc", "near", "salt", "at", "row").agg(F.count("*").alias("copies")))
+    parts = keyed.groupBy("arc", "near", "salt").agg(F.sum("copies").alias("n"))
     counts = np.zeros(len(at), np.int64)
     for r in parts.groupBy("arc").agg(F.sum("n").alias("n")).collect():
         counts[r["arc"]] = r["n"]
@@ -89,10 +96,15 @@ def assign(rows: DataFrame, key: str = "doc_id", shards: int = 40, vnodes: int =
         return pa.StructArray.from_arrays([pa.array(shard[k].astype(np.int32)), pa.array(slot[k] + g - first[k])], names=["shard", "slot"])
 
     before = parts.select("arc", "near", "salt", (F.sum("n").over(W.partitionBy("arc").orderBy("near", "salt")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(W.partitionBy("arc", "near", "salt").orderBy("at", "row")) - 1
-    ranked = keyed.withColumn("inside", inside).join(before, ["arc", "near", "salt"])
+    upto = F.sum("copies").over(W.partitionBy("arc", "near", "salt").orderBy("at", "row"))
+    starts = keyed.withColumn("inside", upto - F.col("copies")).join(before, ["arc", "near", "salt"]).select("row", "arc", "copies", (F.col("before") + F.col("inside")).alias("rank"))
+    single = starts.where("copies = 1").select("row", "arc", "rank")
+    last = F.col("copies") - 1
+    runs = starts.where("copies > 1").select("row", "arc", "rank", "copies", F.explode(F.sequence(F.lit(0), last, F.lit(RUN))).alias("run")).repartition("row", "run")
+    each = runs.select("row", "arc", "rank", F.explode(F.sequence("run", F.least(F.col("run") + (RUN - 1), last))).alias("copy"))
+    ranked = single.unionByName(each.select("row", "arc", (F.col("rank") + F.col("copy")).alias("rank")))
     to = F.arrow_udf(place, "shard int, slot long")
-    out = ranked.select("row", to("arc", F.col("before") + F.col("inside")).alias("to"))
+    out = ranked.select("row", to("arc", "rank").alias("to"))
     return out.select(*(F.col("row")[c].alias(c) for c in rows.columns if c not in ("shard", "slot")), "to.shard", "to.slot")
 
 
