@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks
 from ..functions.scalars import rate_problem
+from .spans import RANGES, wrong
 
 #: Fixed value: the pattern of a preprocessing image's name.
 IMAGE = r"^form_(.+?)__regions_(.+?)__channels_([1234])__class_(imminent|safe|label\d+)__headsim_cubic\.png$"
@@ -79,10 +80,7 @@ def resolve_hyperparameters(runs: DataFrame) -> DataFrame:
 
 
 #: What settings of the detector, the decomposition, the perceptron and the transformer must not be.
-WRONG = {
-    "noise_start": "noise_start < 0", "weak_threshold": "not (weak_threshold >= 0)", "smooth_window": "smooth_window <= 0", "peak_window_back": "peak_window_back < 0", "peak_window_forward": "peak_window_forward <= 0",
-    "peak_ratio": "not (peak_ratio > 0 and peak_ratio < 1)", "gap_max": "gap_max < 0", "min_run_width": "min_run_width <= 0", "min_run_area_ratio": "not (min_run_area_ratio between 0 and 1)", "merge_max_lead": "merge_max_lead < 0",
-    "lead_back": "lead_back < 0", "main_length": "main_length < 4", "main_start_min": "main_start_min < 0", "tail_length": "tail_length < 4", "locator_top_k": "locator_top_k <= 0",
+WRONG = {name: wrong(name) for name in RANGES} | {
     "max_imfs": "max_imfs <= 0", "max_sift_iterations": "max_sift_iterations <= 0", "sift_sd_threshold": "not (sift_sd_threshold > 0)",
     "num_classes": "num_classes < 2", "weight_decay": "weight_decay < 0", "dropout": "not (dropout >= 0 and dropout < 1)", "batch_size": "batch_size <= 0", "epochs": "epochs <= 0", "patience": "patience <= 0",
     "patch_size": "patch_size < 1", "dim": "dim < 1 or dim % 2 <> 0", "depth": "depth < 1", "mlp_dim": "mlp_dim < 1",

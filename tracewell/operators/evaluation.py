@@ -126,7 +126,9 @@ def error_gate(cells: DataFrame, limit: float) -> DataFrame:
 
 
 def first_improvement(df: DataFrame, by: str, epoch: str, better: Column, patience: int, start: Column, keep: list[str]) -> DataFrame:
-    """Fold over the epochs of each run; `better` compares a row x with the state a, which keeps `best` and columns of it."""
+    """Fold over the epochs of each run; `better` compares a row x with the state a, which keeps `best` and columns of it.
+
+    The epochs of a run are one array: a run has as many as its settings allow (tens to thousands), whatever the number of runs."""
     rows = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(epoch, *keep))).alias("h"))
     step = lambda a, x: F.when(a["stale"] >= patience, a).when(better(a, x), F.struct(x[epoch].alias("best"), F.lit(0).alias("stale"), x[epoch].alias("last"), *(x[k].alias(k) for k in keep))).otherwise(F.struct(a["best"].alias("best"), (a["stale"] + 1).alias("stale"), x[epoch].alias("last"), *(a[k].alias(k) for k in keep)))
     return rows.withColumn("r", F.aggregate("h", start, step)).select(by, F.col("r.best").alias("best_epoch"), F.col("r.last").alias("stopped_epoch"), *(F.col(f"r.{k}").alias(f"best_{k}") for k in keep))

@@ -21,25 +21,44 @@ class Detector:
     noise_start: int = 71
     weak_threshold: float = 0.015
     smooth_window: int = 5
-    peak_back: int = 50
-    peak_forward: int = 150
+    peak_window_back: int = 50
+    peak_window_forward: int = 150
     peak_ratio: float = 0.05
     gap_max: int = 8
-    min_width: int = 8
-    min_area: float = 0.05
-    lead_max: int = 96
+    min_run_width: int = 8
+    min_run_area_ratio: float = 0.05
+    merge_max_lead: int = 96
     lead_back: int = 20
-    start_min: int = 70
+    main_start_min: int = 70
     main_length: int = 170
     tail_length: int = 600
     length: int = 896
-    top_k: int = 3
+    locator_top_k: int = 3
 
     def errors(self) -> list[str]:
-        """Names of the settings that are out of range."""
-        least = {"noise_start": 0, "weak_threshold": 0, "smooth_window": 1, "peak_back": 0, "peak_forward": 1, "gap_max": 0, "min_width": 1, "lead_max": 0, "lead_back": 0, "start_min": 0, "main_length": 4, "tail_length": 4, "top_k": 1}
-        bad = [k for k, v in least.items() if getattr(self, k) < v]
-        return bad + ["peak_ratio"] * (not 0 < self.peak_ratio < 1) + ["min_area"] * (not 0 <= self.min_area <= 1)
+        """Names of the settings that are out of range, by the rules that hold for tables of settings too."""
+        return [k for k in RANGES if not allowed(k, getattr(self, k))]
+
+
+#: Least and most that each setting of the detector may be.
+RANGES = {
+    "noise_start": (0, None), "weak_threshold": (0, None), "smooth_window": (1, None), "peak_window_back": (0, None), "peak_window_forward": (1, None), "peak_ratio": (0, 1), "gap_max": (0, None), "min_run_width": (1, None),
+    "min_run_area_ratio": (0, 1), "merge_max_lead": (0, None), "lead_back": (0, None), "main_length": (4, None), "main_start_min": (0, None), "tail_length": (4, None), "locator_top_k": (1, None),
+}
+#: Of these the ends are not allowed.
+OPEN = ("peak_ratio",)
+
+
+def allowed(name: str, value: float) -> bool:
+    low, high = RANGES[name]
+    return (low < value < high) if name in OPEN else low <= value and (high is None or value <= high)
+
+
+def wrong(name: str) -> str:
+    """The same as SQL, true of a value that is not allowed."""
+    low, high = RANGES[name]
+    more, less = (">", "<") if name in OPEN else (">=", "<=")
+    return f"not ({name} {more} {low}" + (f" and {name} {less} {high})" if high is not None else ")")
 
 
 def moving_average(x: Column, window: int, first: int = 0) -> Column:
@@ -73,7 +92,7 @@ def merged_start(runs: Column, anchor: Column, c: Detector) -> Column:
     start = F.struct(anchor["start"].alias("at"), F.lit(True).alias("on"), F.lit(0).alias("n"))
 
     def step(s: Column, r: Column) -> Column:
-        ok = s["on"] & (s["at"] - r["end"] <= c.gap_max) & (r["width"] >= c.min_width) & (r["area"] >= c.min_area * anchor["area"]) & (anchor["start"] - r["start"] <= c.lead_max)
+        ok = s["on"] & (s["at"] - r["end"] <= c.gap_max) & (r["width"] >= c.min_run_width) & (r["area"] >= c.min_run_area_ratio * anchor["area"]) & (anchor["start"] - r["start"] <= c.merge_max_lead)
         return F.struct(F.when(ok, r["start"]).otherwise(s["at"]).alias("at"), ok.alias("on"), (s["n"] + ok.cast("int")).alias("n"))
 
     return F.aggregate(earlier, start, step)
@@ -81,7 +100,7 @@ def merged_start(runs: Column, anchor: Column, c: Detector) -> Column:
 
 def smoothed(scans: DataFrame, c: Detector) -> DataFrame:
     """(sample_id, channel, env): smoothed envelope of the locator signal."""
-    e = locator_signal(scans, c.top_k).withColumn("env", envelope(F.col("signal")))
+    e = locator_signal(scans, c.locator_top_k).withColumn("env", envelope(F.col("signal")))
     return e.select("sample_id", "channel", moving_average(F.col("env"), c.smooth_window, c.noise_start).alias("env"))
 
 
@@ -108,7 +127,7 @@ def located(scans: DataFrame, c: Detector, corrections: DataFrame | None = None)
     corrections (sample_id, channel, recorded, manual) replace the crossing where it still is the recorded one.
     """
     r = references(smoothed(scans, c), c)
-    low, high = F.greatest(F.lit(c.noise_start), F.col("reference") - c.peak_back), F.least(F.lit(c.length), F.col("reference") + c.peak_forward)
+    low, high = F.greatest(F.lit(c.noise_start), F.col("reference") - c.peak_window_back), F.least(F.lit(c.length), F.col("reference") + c.peak_window_forward)
     r = r.withColumn("low", low).withColumn("high", high)
     inside = F.slice("env", F.col("low") + 1, F.greatest(F.col("high") - F.col("low"), F.lit(0)))
     r = r.withColumn("peak_value", F.array_max(inside)).withColumn("peak", (F.col("low") + F.array_position(inside, F.array_max(inside)) - 1).cast("int"))
@@ -121,12 +140,12 @@ def located(scans: DataFrame, c: Detector, corrections: DataFrame | None = None)
         r = r.join(corrections, ["sample_id", "channel"], "left")
         same = F.col("recorded") == F.col("automatic")
         r = r.withColumn("crossing", F.when(same, F.col("manual")).otherwise(F.col("automatic"))).withColumn("stale", F.coalesce(~same, F.lit(False))).withColumn("corrected", F.coalesce(same, F.lit(False)))
-    start = F.greatest(F.col("crossing") - c.lead_back, F.lit(c.start_min))
+    start = F.greatest(F.col("crossing") - c.lead_back, F.lit(c.main_start_min))
     r = r.withColumn("start", start).withColumn("end", start + c.main_length)
     status = F.when(F.col("reference").isNull(), "no_reference").when(F.coalesce(F.col("threshold"), F.lit(0.0)) <= 0, "flat").when(F.col("stale"), "stale_correction").when(F.col("end") > c.length, "overflow").otherwise("ok")
     return r.select(
         "sample_id", "channel", "direct", "reference", "rule", "peak", "peak_value", "threshold", "runs", F.col("anchor.start").alias("premerge"), F.col("m.n").alias("n_merged"), "automatic", "crossing", "corrected",
-        "start", "end", *tail_geometry(F.col("end"), c), (F.col("crossing") - c.lead_back < c.start_min).alias("clamped"), status.alias("status"),
+        "start", "end", *tail_geometry(F.col("end"), c), (F.col("crossing") - c.lead_back < c.main_start_min).alias("clamped"), status.alias("status"),
     )
 
 

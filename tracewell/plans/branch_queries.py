@@ -11,9 +11,8 @@ from ..operators import branches as B
 from ..operators import curation as C
 from ..operators import features as Fe
 from ..operators import frames as Fr
-from ..sources.scratch import shared_path
 from .registry import register
-from .trace_queries import DET, SPAN, spans
+from .trace_queries import DET, SPAN, located, spans
 from .views import history, pool, samples, scans, sql, table
 
 R = lambda c, n=6: F.round(c, n)
@@ -160,13 +159,6 @@ LP = SPAN + """, lp AS (SELECT t.sample_id, t.channel, t.frame, row_number() OVE
  pr AS (SELECT t.sample_id, t.channel, pos, avg(value) AS value FROM traces t JOIN lp USING (sample_id, channel, frame) WHERE r <= 3 GROUP BY ALL)"""
 
 
-def located(s, d):
-    """The spans, located once and written, as whole pipelines read them more than once."""
-    path = shared_path(s, "spans")
-    spans(s, d).select("sample_id", "channel", "start", "end", "status", "tail_start", "tail_end", "tail_pad").write.parquet(path)
-    return s.read.parquet(path)
-
-
 def frames3(s, d, at=None):
     at = spans(s, d) if at is None else at
     return Fr.prepared(scans(s, d), at.select("sample_id", "channel", "start", "end"), "top3_mean", 3)

@@ -8,6 +8,7 @@ from ..functions import scalars as S
 from ..functions import signals as G
 from ..operators import frames as Fr
 from ..operators import spans as Sp
+from ..sources.scratch import shared_path
 from .registry import register
 from .views import scans, sql
 
@@ -93,6 +94,13 @@ def spans(s, d):
     return Sp.located(scans(s, d), DET)
 
 
+def located(s, d):
+    """The spans, located once and written, for plans that read them more than once."""
+    path = shared_path(s, "spans")
+    spans(s, d).select("sample_id", "channel", "start", "end", "status", "tail_start", "tail_end", "tail_pad", "automatic", "rule").write.parquet(path)
+    return s.read.parquet(path)
+
+
 register("locator_signal", lambda s, d: Fr.locator_signal(scans(s, d)).select("sample_id", "channel", F.posexplode("signal").alias("pos", "v")).select("sample_id", "channel", "pos", R("v").alias("value")), sql(f"WITH {LOC} SELECT sample_id, channel, CAST(pos AS INTEGER) AS pos, round(v, 6) AS value FROM ls", "traces"))
 register("hilbert_envelope", lambda s, d: Fr.locator_signal(scans(s, d)).select("sample_id", "channel", F.posexplode(G.envelope(F.col("signal"))).alias("pos", "v")).select("sample_id", "channel", "pos", R("v").alias("envelope")), sql(f"WITH {LOC} SELECT sample_id, channel, CAST(pos AS INTEGER) AS pos, round(e, 6) AS envelope FROM en", "traces"))
 register("moving_average", lambda s, d: Sp.smoothed(scans(s, d), DET).select("sample_id", "channel", F.posexplode("env").alias("pos", "v")).select("sample_id", "channel", "pos", R("v").alias("value")), sql(f"WITH {SMOOTH} SELECT sample_id, channel, CAST(pos AS INTEGER) AS pos, round(v, 6) AS value FROM sm", "traces"))
@@ -109,7 +117,7 @@ register("tail_geometry", lambda s, d: spans(s, d).where("status = 'ok'").select
 
 def _corrected(s, d):
     """Hand corrections for every third sample; every ninth names a crossing that no longer is the automatic one."""
-    auto = spans(s, d).where("sample_id % 3 = 0").select("sample_id", "channel", (F.col("automatic") + F.when(F.col("sample_id") % 9 == 0, 1).otherwise(0)).alias("recorded"), (F.col("automatic") + 2).alias("manual"))
+    auto = located(s, d).where("sample_id % 3 = 0").select("sample_id", "channel", (F.col("automatic") + F.when(F.col("sample_id") % 9 == 0, 1).otherwise(0)).alias("recorded"), (F.col("automatic") + 2).alias("manual"))
     return Sp.located(scans(s, d), DET, auto).select("sample_id", "channel", "automatic", "crossing", "corrected", "status")
 
 
@@ -119,7 +127,7 @@ register("manual_corrections", _corrected, sql(f"""WITH {SPAN}, x AS (SELECT sam
 
 def _verify(s, d):
     """Spans against the same spans as an external parse would give them: some moved by a point, some absent."""
-    a = spans(s, d).select("sample_id", "channel", "start", "end")
+    a = located(s, d).select("sample_id", "channel", "start", "end")
     b = a.where("sample_id % 7 <> 3").select("sample_id", "channel", (F.col("start") + F.when(F.col("sample_id") % 5 == 0, 1).otherwise(0)).alias("start_ref"), F.col("end").alias("end_ref"))
     return a.join(b, ["sample_id", "channel"], "full").where(~(F.col("start").eqNullSafe(F.col("start_ref")) & F.col("end").eqNullSafe(F.col("end_ref"))))
 
