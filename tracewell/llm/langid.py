@@ -6,7 +6,9 @@ prediction is rejected come from a part of that sample kept aside. To predict, e
 out to one row of scores per bucket, so a text costs one look-up per subword of its distinct words.
 
 Defined results: a null text and one without a letter get `und` and score 0; with no labelled row to learn from every
-text gets `und`; a null doc_id is never held out; repeated rows give repeated rows; other columns are not read.
+text gets `und`; an empty table gives no rows; a null doc_id is never held out; repeated rows give repeated rows, and of a
+repeated doc_id one row is learned from (the smallest hash of text and language); a very long text is a block of its own (some 60 times
+its size in memory); other columns are not read.
 """
 
 from __future__ import annotations

@@ -10,6 +10,9 @@ A sentence of more than LONG words (a word list, a text without stops) is split
 in any WINDOW consecutive ones, and each piece counts as a sentence. Places depend on the words near them only, so of
 50 words repeated inside such a sentence at least 50 - 2 * WINDOW + 1 lie in whole pieces and go.
 
+Shorter runs are left alone, as they recur by chance: see the README for how many there are. Hot runs are counted in each task
+before they are shuffled; their places are joined back by key, where Spark splits large keys.
+
 Defined results: null and empty texts have no sentences and stay as they are; a text too short for a run stays, and so
 does a repeated sentence of up to LONG words between others that differ; rows
 with equal doc_id and text are one place (all stay or all lose the same sentences); a null doc_id sorts first; a very
