@@ -711,3 +711,13 @@ def test_tasks_follow_each_other_until_the_gate(spark, tmp_path):
     got = M.chained(tasks, M.Runs(spark, str(tmp_path)), 2, limit=1.0).orderBy("task").collect()
     assert [r.task for r in got] == ["1", "2", "3"] and [r.fitted for r in got] == [2, 1, 1] and got[0].winner == got[1].winner
     assert [r.task for r in M.chained(tasks, M.Runs(spark, str(tmp_path)), 2, limit=-1.0).collect()] == ["1"]
+
+
+def test_labels_meet_their_probabilities_or_raise(spark):
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "sample_id int, label int")
+    rows = [(3, [0.2, 0.8]), (1, [0.6, 0.4]), (2, [0.5, 0.5])]
+    table = lambda rows: spark.createDataFrame(rows, "sample_id int, probs array<double>")
+    assert sorted((r.sample_id, r.label, r.probs[1]) for r in sinks.labelled_probs(labels, table(rows)).collect()) == [(1, 0, 0.4), (2, 1, 0.5), (3, 1, 0.8)]
+    for bad in (rows[:2], [*rows, (4, [1.0, 0.0])], [*rows, rows[0]], [*rows[:2], (2, [1.0])], [*rows[:2], (None, [0.5, 0.5])]):
+        with pytest.raises(ValueError, match="do not match"):
+            sinks.labelled_probs(labels, table(bad))

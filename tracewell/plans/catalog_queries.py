@@ -202,7 +202,17 @@ def _guarded(s, d):
 
 
 register("publish_guarded", _guarded, PUBLISHED)
-register("write_predictions", lambda s, d: s.read.schema("sample_id long, label int, prediction int, probability_label1 string").csv(written(Si.prediction_rows(decided(s, d)), "predictions", "csv")), sql(f"WITH {DEC} SELECT sample_id, label, prediction, printf('%.6f', floor(p1 * 1e6 + 0.5) / 1e6) AS probability_label1 FROM de", "predictions"))
+def _write_predictions(s, d):
+    """Labels beside the probability arrays of another table, decided and written, then read again."""
+    own = decided(s, d)
+    probs = own.select("sample_id", F.array(1 - F.col("p1"), F.col("p1")).alias("probs"))
+    both = Si.labelled_probs(own.select("sample_id", "label"), probs).withColumn("p1", F.element_at("probs", 2)).join(own.select("sample_id", "prediction"), "sample_id")
+    return s.read.schema("sample_id long, label int, prediction int, probability_label1 string").csv(written(Si.prediction_rows(both), "predictions", "csv"))
+
+
+register("write_predictions", _write_predictions, sql(f"WITH {DEC} SELECT sample_id, label, prediction, printf('%.6f', floor(p1 * 1e6 + 0.5) / 1e6) AS probability_label1 FROM de", "predictions"))
+
+
 def _summary(s, d):
     m = E.binary_metrics(decided(s, d), ["toxic"])
     path = written(m.select("toxic", F.struct("accuracy", "f1").alias("metrics"), F.struct("tn", "fp", "fn", "tp").alias("confusion")), "summary", "json")

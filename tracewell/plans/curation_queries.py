@@ -39,7 +39,7 @@ MANIFEST = "mf AS (SELECT split, sample_id + CASE WHEN sample_id % 97 = 0 THEN 1
 register("digitize", lambda s, d: lpool(s, d).select("sample_id", "label"), sql(f"SELECT sample_id, {LABEL} AS label FROM pool", "pool"))
 register("rebuild_pool", lambda s, d: C.pool_problems(C.split_union({k: pool(s, d).where(F.col("split") == k).drop("split") for k in C.SPLITS})), sql("""
 SELECT count(*) AS n_rows, count(*) - count(DISTINCT pool_row) AS duplicate_rows, max(pool_row) + 1 - count(DISTINCT pool_row) AS gaps,
- count(*) FILTER (depth_value IS NULL OR isnan(depth_value)) AS bad_depth, count(*) FILTER (sample_id IS NULL) AS empty_ids, count(*) - count(DISTINCT sample_id) AS duplicate_ids FROM pool""", "pool"))
+ count(*) FILTER (depth_value IS NULL OR isnan(depth_value) OR isinf(depth_value)) AS bad_depth, count(*) FILTER (sample_id IS NULL OR CAST(sample_id AS VARCHAR) = '') AS empty_ids, count(*) - count(DISTINCT sample_id) AS duplicate_ids FROM pool""", "pool"))
 register("scan_all_splits", lambda s, d: C.split_union({k: pool(s, d).where(F.col("split") == k).drop("split") for k in C.SPLITS}).select("sample_id", "split"), sql("SELECT sample_id, split FROM pool", "pool"))
 register("split_union", lambda s, d: lpool(s, d).where(F.col("split").isin("train", "val")).withColumn("part", F.lit("dev")).unionByName(lpool(s, d).where("split = 'test'").withColumn("part", F.lit("test"))).groupBy("part", "label").agg(F.count("*").alias("n")),
          sql(f"WITH {LP} SELECT CASE WHEN split = 'test' THEN 'test' ELSE 'dev' END AS part, label, count(*) AS n FROM lp GROUP BY ALL", "pool"))

@@ -73,5 +73,17 @@ def may_run(wanted: DataFrame, done: DataFrame) -> DataFrame:
     return both.where(~F.col("hash").eqNullSafe(F.col("saved"))).select("name", F.col("saved").isNotNull().alias("conflict"))
 
 
+def labelled_probs(labels: DataFrame, probs: DataFrame) -> DataFrame:
+    """labels (sample_id, label) beside the probability arrays (sample_id, probs) of the same samples; an id that one side lacks or has twice raises, as does an array of another length than the first one's.
+
+    Only ids and sizes are compared beforehand; the arrays move once, for the join."""
+    sides = labels.select("sample_id", F.lit(1).alias("l"), F.lit(0).alias("p"), F.lit(None).cast("int").alias("size")).unionByName(probs.select("sample_id", F.lit(0).alias("l"), F.lit(1).alias("p"), F.size("probs").alias("size")))
+    each = sides.groupBy("sample_id").agg(F.sum("l").alias("l"), F.sum("p").alias("p"), F.min("size").alias("low"), F.max("size").alias("high"))
+    found = each.agg(F.count_if((F.col("l") != 1) | (F.col("p") != 1) | F.col("sample_id").isNull()).alias("unmatched"), F.min("low").alias("low"), F.max("high").alias("high")).first()
+    if found["unmatched"] or found["low"] != found["high"]:
+        raise ValueError(f"labels and probabilities do not match: {found['unmatched']} ids, arrays of {found['low']} to {found['high']} classes")
+    return labels.select("sample_id", "label").join(probs.select("sample_id", "probs"), "sample_id")
+
+
 def prediction_rows(df: DataFrame) -> DataFrame:
     return df.select("sample_id", "label", "prediction", F.format_string("%.6f", F.floor(F.col("p1") * 1e6 + 0.5) / 1e6).alias("probability_label1"))
