@@ -5,6 +5,8 @@ Tables: scans (sample_id, frame, channel, signal) and spans (sample_id, channel,
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,10 +50,18 @@ def mean_of(rows: DataFrame, keys: list[str]) -> DataFrame:
     return got.select(*keys, F.explode(F.array(mean)).alias("signal"))
 
 
+def mean_std_traces(scans: DataFrame) -> DataFrame:
+    """(sample_id, channel, mean, std): both as traces, over all frames; the deviation is of the population.
+
+    Frames are summed point by point as vectors, in each task before the shuffle, so neither points nor single frames are shuffled."""
+    own = scans.groupBy("sample_id", "channel").agg(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("signal")).alias("s"))
+    share = (F.col("s.count") - 1) / F.col("s.count")  # the summary's variance is that of a sample
+    return own.select("sample_id", "channel", vector_to_array("s.mean").alias("mean"), F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(v * share)).alias("std"))
+
+
 def mean_std(scans: DataFrame) -> DataFrame:
-    """(sample_id, channel, pos, mean, std) over all frames; the deviation is of the population."""
-    each = scans.select("sample_id", "channel", F.posexplode("signal").alias("pos", "value"))
-    return each.groupBy("sample_id", "channel", "pos").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    """(sample_id, channel, pos, mean, std) of mean_std_traces, point by point."""
+    return mean_std_traces(scans).select("sample_id", "channel", F.posexplode(F.arrays_zip("mean", "std")).alias("pos", "v")).select("sample_id", "channel", "pos", "v.mean", "v.std")
 
 
 def locator_signal(scans: DataFrame, k: int = 3) -> DataFrame:
@@ -121,9 +131,7 @@ def prepared(scans: DataFrame, spans: DataFrame, form: str, mode: int, top: int
     if form == "raw50":
         return some.select("sample_id", "channel", F.col("frame").cast("int").alias("stream"), "signal")
     if form == "mean_std":
-        m = mean_std(some).groupBy("sample_id", "channel").agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "std"))).alias("v"))
-        streams = F.array(F.col("v.mean"), F.col("v.std"))
-        return m.select("sample_id", "channel", F.posexplode(streams).alias("stream", "signal"))
+        return mean_std_traces(some).select("sample_id", "channel", F.posexplode(F.array("mean", "std")).alias("stream", "signal"))
     k = {"max1": 1, "top3_mean": 3}[form]
     if mode == 4:
         chosen = select_c4(scans, spans, k, top).select("sample_id", "frame")
