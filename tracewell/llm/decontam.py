@@ -33,7 +33,7 @@ N, SCORE = 3, 0.6
 PART = 8 << 20
 _BITS = 20
 #: Words of texts that are aligned with one item at once, and a piece of a text in lengths of its item.
-_CELLS, _PIECE = 1 << 20, 8
+_CELLS, _PIECE = 1 << 18, 8
 
 
 def item_words(text: str) -> np.ndarray:
@@ -198,6 +198,7 @@ def _part(docs: DataFrame, spark: SparkSession, sized: DataFrame, n: int, score:
                 once[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
                 seed, n = np.unique(k[once], return_counts=True)
                 yield columns(seed=m.known[seed].view(np.int64), n=n)
+        pa.default_memory_pool().release_unused()  # workers outlive the stage
 
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     counted = texts.mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
@@ -228,6 +229,8 @@ def _part(docs: DataFrame, spark: SparkSession, sized: DataFrame, n: int, score:
                     yield _scored(m, todo, score)
                     todo, size = defaultdict(list), 0
             yield _scored(m, todo, score)
+            todo = None
+        pa.default_memory_pool().release_unused()  # workers outlive the stage
 
     hits = texts.mapInArrow(align, "doc_id long, item_id long, matched long, item_words long, end_word long")
     best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched", "item_words", (-F.col("end_word")).alias("e"))).alias("x"))
