@@ -1,5 +1,6 @@
 """Data set folders: per split the traces X, labels y and pool rows indices as arrays, and the samples' records as JSON.
 
+A sample that lacks traces keeps its place: they are NaN in X, and its record names them as `absent`.
 Arrays and records lie side by side and are read by one scan (`arrays.read_aligned`). Beside the splits lie
 `label_scheme.json`, `split_metadata.json` and `manifest.csv`. A folder is built beside its place and renamed when it is
 whole; one that exists, or that overlaps its source, is refused.
@@ -10,7 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import class_names, scheme_tag
@@ -31,6 +32,8 @@ POOL_ROWS = 10_000
 NARROW = ["split", "position", "label", "pool_row", "sample_id", "point_id", "depth_value", "source_label"]
 #: Columns that tell all that changes when a data set is dealt anew.
 PLACED = ["pool_row", "split", "position", "label", "source_label"]
+#: Key of a record that names the traces (frame * channels + channel) a sample lacks; their places in the array hold NaN.
+ABSENT = "absent"
 
 
 def load_split(spark: SparkSession, folder: str, split: str, inner: tuple[int, int, int], pool_rows: bool = False, limit: int | None = POOL_ROWS, columns: list[str] | None = None) -> DataFrame:
@@ -65,9 +68,34 @@ def load_pool(spark: SparkSession, folder: str, inner: tuple[int, int, int], lim
     return _loaded(spark, folder, list(SPLITS), inner, True, limit, columns)
 
 
+def stacked(held: Column, frames: int, channels: int, points: int) -> list[Column]:
+    """`values` and `extra` of a sample out of its traces, an array of (frame, channel, signal) in any order: those that it lacks are NaN, and its record names them."""
+    one = lambda k: F.get(F.filter(held, lambda t: t["frame"] * channels + t["channel"] == k), F.lit(0))["signal"]
+    every = F.sequence(F.lit(0), F.lit(frames * channels - 1))
+    values = F.flatten(F.transform(every, lambda k: F.coalesce(one(k), F.array_repeat(F.lit(float("nan")), points))))
+    absent = F.filter(every, lambda k: one(k).isNull())
+    extra = F.when(F.size(absent) > 0, F.create_map(F.lit(ABSENT), F.to_json(absent)))
+    return [values.alias("values"), extra.alias("extra")]
+
+
+def absent(extra: Column) -> Column:
+    """The traces that a sample lacks, by its record."""
+    return F.coalesce(F.from_json(extra[ABSENT], "array<int>"), F.array().cast("array<int>"))
+
+
+def total(values: Column, extra: Column, points: int) -> Column:
+    """Sum over the values of the traces that a sample has."""
+    gone = absent(extra)
+    held = F.when(F.size(gone) > 0, F.filter(values, lambda x, i: ~F.array_contains(gone, F.floor(i / points).cast("int")))).otherwise(values)
+    return F.aggregate(held, F.lit(0.0), lambda a, x: a + x)
+
+
 def traces(rows: DataFrame, frames: int, channels: int, points: int) -> DataFrame:
-    """rows with `values` as one row for each (frame, channel, signal)."""
-    each = F.transform(F.sequence(F.lit(0), F.lit(frames * channels - 1)), lambda k: F.struct(F.floor(k / channels).cast("int").alias("frame"), (k % channels).cast("int").alias("channel"), F.slice("values", k * points + 1, F.lit(points)).alias("signal")))
+    """rows with `values` as one row for each (frame, channel, signal); those that a sample lacks are left out where `extra` is among the columns."""
+    every = F.sequence(F.lit(0), F.lit(frames * channels - 1))
+    if "extra" in rows.columns:
+        every = F.array_except(every, absent(F.col("extra")))
+    each = F.transform(every, lambda k: F.struct(F.floor(k / channels).cast("int").alias("frame"), (k % channels).cast("int").alias("channel"), F.slice("values", k * points + 1, F.lit(points)).alias("signal")))
     return rows.select(*(c for c in rows.columns if c != "values"), F.explode(each).alias("t")).select(*(c for c in rows.columns if c != "values"), "t.*")
 
 
